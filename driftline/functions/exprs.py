@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "NULL_TOKEN", "EPSILON", "col_of", "binarise", "safe_div", "as_category",
     "linspace", "lit_array", "count_le", "count_lt", "hash_uniform",
-    "poisson1_cdf", "poisson_from_uniform", "t_test_p_even_df", "r6",
+    "poisson1_cdf", "poisson_from_uniform", "t_test_p_even_df", "r6", "round_half_up",
     "status_class", "percentile_exact",
 ]
 
@@ -122,8 +122,19 @@ def t_test_p_even_df(rho: Column, k: int) -> Column:
     return F.when(r >= 1.0, F.lit(0.0)).otherwise(F.greatest(p, F.lit(0.0)))
 
 
+def round_half_up(c: str | Column, dp: int = 6) -> Column:
+    """``floor(x * 10^dp + 0.5) / 10^dp`` on doubles.
+
+    Every SQL engine evaluates these IEEE operations identically, unlike
+    ``round`` (which some engines apply to the shortest decimal text of the
+    double); magnitudes of 1e12 and more are returned unrounded."""
+    x = col_of(c).cast("double")
+    m = float(10 ** dp)
+    return F.when(F.abs(x) < 1e12, F.floor(x * m + 0.5) / m).otherwise(x)
+
+
 def r6(c: str | Column, dp: int = 6) -> Column:
-    return F.round(col_of(c).cast("double"), dp)
+    return round_half_up(c, dp)
 
 
 def status_class(code: str | Column) -> Column:

@@ -41,21 +41,32 @@ def _sortable(c: Column) -> Column:
     return c.cast("double")
 
 
+def cut_points(df: DataFrame, key: str | Column, n_buckets: int, descending: bool = False,
+               relative_error: int = 10000) -> list[float]:
+    """Approximate quantile cut points of an order key (metadata: ``n_buckets - 1``
+    numbers reach the driver, never rows)."""
+    k = _sortable(col_of(key))
+    if descending:
+        k = -k
+    fracs = [i / n_buckets for i in range(1, n_buckets)]
+    if not fracs:
+        return []
+    row = df.agg(F.percentile_approx(k, fracs, relative_error).alias("c")).first()
+    return sorted({float(c) for c in (row["c"] or []) if c is not None
+                   and c not in (float("inf"), float("-inf"))})
+
+
 def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
-               relative_error: int = 10000) -> tuple[DataFrame, int]:
+               relative_error: int = 10000, cuts: list[float] | None = None
+               ) -> tuple[DataFrame, int]:
     """Add ``_dl_bucket`` from approximate quantile cut points of ``key``."""
     k = _sortable(key)
     if descending:
         k = -k
+    if cuts is None:
+        cuts = cut_points(df, key, n_buckets, descending, relative_error)
     df = df.withColumn(_K, F.coalesce(k, F.lit(float("-inf"))))
-    fracs = [i / n_buckets for i in range(1, n_buckets)]
-    if fracs:
-        row = df.agg(F.percentile_approx(_K, fracs, relative_error).alias("c")).first()
-        cuts = sorted({float(c) for c in (row["c"] or []) if c is not None
-                       and c not in (float("inf"), float("-inf"))})
-    else:
-        cuts = []
-    splits = [float("-inf")] + cuts + [float("inf")]
+    splits = [float("-inf")] + list(cuts) + [float("inf")]
     if len(splits) < 3:
         return df.withColumn(_B, F.lit(0)).drop(_K), 1
     out = Bucketizer(splits=splits, inputCol=_K, outputCol=_B,
@@ -124,7 +135,8 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
 
 def prefix_sum(df: DataFrame, order_col: str, value_cols: Sequence[str],
                keys: Sequence[str] = (), descending: bool = False,
-               prefix: str = "cum_", n_buckets: int | None = None) -> DataFrame:
+               prefix: str = "cum_", n_buckets: int | None = None,
+               cuts: list[float] | None = None) -> DataFrame:
     """Running sums of ``value_cols`` in the order of ``order_col`` within ``keys``.
 
     ``order_col`` must be unique within ``keys`` (collapse ties with ``groupBy``
@@ -132,7 +144,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_cols: Sequence[str],
     """
     keys = list(keys)
     nb = n_buckets or _default_buckets(df)
-    b, _ = _bucketize(df, F.col(order_col), nb, descending)
+    b, _ = _bucketize(df, F.col(order_col), nb, descending, cuts=cuts)
     tot = b.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"_dl_t_{c}") for c in value_cols])
     wo = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(*keys, _B, *[

@@ -17,6 +17,7 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            from driftline.plans.sqlgen import half_up_rounds
+            ORACLES[name] = half_up_rounds(sql)
         return fn
     return deco

@@ -23,6 +23,13 @@ def dlist(vals: Sequence[float]) -> str:
     return "[" + ", ".join(dbl(v) for v in vals) + "]"
 
 
+def r6(x: str, dp: int = 6) -> str:
+    """SQL twin of ``round_half_up``."""
+    m = f"{float(10 ** dp)!r}::DOUBLE"
+    return (f"(CASE WHEN abs(({x})::DOUBLE) < 1e12 THEN floor(({x})::DOUBLE * {m} + 0.5) / {m} "
+            f"ELSE ({x})::DOUBLE END)")
+
+
 def keysel(keys: Sequence[str], prefix: str = "") -> str:
     return "".join(f"{prefix}{k}, " for k in keys)
 
@@ -115,3 +122,37 @@ def psi_sql(ref: str, cur: str, numeric: Sequence[str], categorical: Sequence[st
         f"CASE WHEN p.feature IN ({numlist}) THEN 'numeric' ELSE 'categorical' END AS kind "
         f"FROM _psi0 p{join_deg} GROUP BY {keysel(keys, 'p.')}p.feature)")
     return ",\n".join(ctes)
+
+
+def half_up_rounds(sql: str) -> str:
+    """Rewrite every ``round(x, dp)`` call of an oracle query into :func:`r6`."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 1, j + len(key), -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            elif ch == "'":
+                k = sql.index("'", k + 1)
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        if comma < 0:
+            arg, dp = inner, 0
+        else:
+            arg, dp = sql[j + len(key):comma], int(sql[comma + 1:k - 1].strip())
+        out.append(sql[i:j])
+        out.append(r6(half_up_rounds(arg), dp))
+        i = k

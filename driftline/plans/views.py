@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.exprs import round_half_up
 from driftline.sources.tables import load_table
 
 #: outcome tiebreak after the outcome time (lineitem has no unique key)
@@ -60,7 +61,7 @@ def round_doubles(df: DataFrame, dp: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), dp).alias(f.name))
+            cols.append(round_half_up(F.col(f.name), dp).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
