@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions.exprs import linspace
@@ -208,3 +209,245 @@ def ece_bins(spark, sf):
 def ece(spark, sf):
     """count-weighted ECE and MCE over 10 bins."""
     return present(M.ece(M.calibration_bins(scored(spark, sf))))
+
+
+# ---------------------------------------------------------------- F13-F15
+
+def _sub(spark, sf):
+    return M.subgroup_metrics(scored(spark, sf), DIMS, THR)
+
+
+_SUB_COLS = ["dimension", "grp", "n", "n_positive", "prevalence", "recall", "precision", "pr_auc",
+             "brier", "ece", "flagged_rate", "recall_gap", "sufficient", "note"]
+SUB_SQL = (
+    "_st AS (" + " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, coalesce(CAST({d} AS VARCHAR), '<null>') AS grp, label, score FROM _scored"
+        for d in DIMS) + "),\n"
+    "_sc AS (" + confusion_sql("_st", ["dimension", "grp"], "0.35") + "),\n"
+    "_sd AS (SELECT _sc.*, " + derived_sql("_sc") + " FROM _sc),\n"
+    + curve_sql("_st", ["dimension", "grp"]) + ",\n"
+    "_sr AS (" + rank_sql("_curve", ["dimension", "grp"]) + "),\n"
+    "_sb AS (SELECT dimension, grp, avg(power(score - label, 2)) AS brier FROM _st GROUP BY dimension, grp),\n"
+    "_se0 AS (SELECT dimension, grp, least(greatest(len(list_filter(" + _INNER10 + ", lambda e: e < score)), 0), 9) AS bin, "
+    "score, label FROM _st),\n"
+    "_se1 AS (SELECT dimension, grp, bin, count(*) AS cnt, avg(score) AS conf, avg(label::DOUBLE) AS acc "
+    "FROM _se0 GROUP BY dimension, grp, bin),\n"
+    "_se AS (SELECT dimension, grp, sum(cnt * abs(conf - acc)) / sum(cnt) AS ece FROM _se1 GROUP BY dimension, grp),\n"
+    "_ov0 AS (" + confusion_sql("_scored", [], "0.35") + "),\n"
+    "_ov AS (SELECT CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0.0 END AS overall_recall FROM _ov0),\n"
+    "_sub AS (SELECT d.dimension, d.grp, d.n, d.n_positive, d.prevalence, "
+    "CASE WHEN d.n_positive > 0 THEN d.recall ELSE 0.0 END AS recall, d.precision, "
+    "CASE WHEN d.n_positive = 0 OR d.n_positive = d.n THEN NULL ELSE r.average_precision END AS pr_auc, "
+    "b.brier, CASE WHEN d.n >= 50 THEN e.ece END AS ece, d.flagged_rate, "
+    "CASE WHEN d.n_positive > 0 THEN d.recall - o.overall_recall ELSE 0.0 END AS recall_gap, "
+    "CAST(d.n >= 500 AND d.n_positive > 0 AS INTEGER) AS sufficient, "
+    "CASE WHEN d.n < 500 THEN 'n below 500' WHEN d.n_positive = 0 THEN 'no positive cases' ELSE '' END AS note "
+    "FROM _sd d JOIN _sr r USING (dimension, grp) JOIN _sb b USING (dimension, grp) "
+    "LEFT JOIN _se e USING (dimension, grp) CROSS JOIN _ov o)")
+
+
+@register("subgroup_metrics", "WITH " + SCORED_SQL + ",\n" + SUB_SQL + "\nSELECT dimension, grp, n, n_positive, "
+          + r6cols(["prevalence", "recall", "precision", "pr_auc", "brier", "ece", "flagged_rate", "recall_gap"])
+          + ", sufficient, note FROM _sub")
+def subgroup_metrics(spark, sf):
+    """per priority / status group at the shared threshold 0.35."""
+    return present(_sub(spark, sf).select(*_SUB_COLS))
+
+
+@register("worst_gap", "WITH " + SCORED_SQL + ",\n" + SUB_SQL + "\n"
+          "SELECT count(*) AS n_analysable, round(coalesce(min(recall_gap), 0.0), 6) AS worst_recall_gap, "
+          "(SELECT dimension || '=' || grp FROM _sub WHERE sufficient = 1 ORDER BY recall_gap, dimension, grp LIMIT 1) "
+          "AS worst_group FROM _sub WHERE sufficient = 1")
+def worst_gap(spark, sf):
+    """analysable groups and the worst recall gap against the overall recall."""
+    return present(M.worst_gap(_sub(spark, sf)))
+
+
+def recall_spread(spark, sf):
+    """per dimension, lowest / highest recall among analysable groups."""
+    return present(M.recall_spread(_sub(spark, sf)))
+
+
+ORACLE_RECALL_SPREAD = (
+    "WITH " + SCORED_SQL + ",\n" + SUB_SQL + ",\n"
+    "_a AS (SELECT * FROM _sub WHERE sufficient = 1),\n"
+    "_mn AS (SELECT dimension, grp AS min_group, recall AS min_recall FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY dimension ORDER BY recall ASC, grp ASC) AS k FROM _a) WHERE k = 1),\n"
+    "_mx AS (SELECT dimension, grp AS max_group, recall AS max_recall FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY dimension ORDER BY recall DESC, grp DESC) AS k FROM _a) WHERE k = 1),\n"
+    "_n AS (SELECT dimension, count(*) AS n_groups FROM _a GROUP BY dimension)\n"
+    "SELECT _n.dimension, n_groups, min_group, round(min_recall, 6) AS min_recall, max_group, "
+    "round(max_recall, 6) AS max_recall, round(max_recall - min_recall, 6) AS spread "
+    "FROM _n JOIN _mn USING (dimension) JOIN _mx USING (dimension) WHERE n_groups >= 2")
+register("recall_spread", ORACLE_RECALL_SPREAD)(recall_spread)
+
+
+# ---------------------------------------------------------------- F16-F18
+
+BASE_COLS = ["baseline", "accuracy", "recall", "pr_auc", "roc_auc", "brier", "threshold", "flagged_rate"]
+
+
+@register("baselines",
+          "WITH " + SCORED_SQL + ",\n"
+          "_p AS (SELECT avg(label::DOUBLE) AS p, count(*) AS n, sum(label) AS npos FROM _scored),\n"
+          "_cb AS (SELECT b.name AS baseline, 1 - p AS accuracy, 0.0 AS recall, p AS pr_auc, 0.5 AS roc_auc, "
+          "(npos * power(p - 1, 2) + (n - npos) * power(p, 2)) / n AS brier, NULL::DOUBLE AS threshold, "
+          "NULL::DOUBLE AS flagged_rate FROM _p, (VALUES ('majority_class'), ('prevalence_constant')) b(name)),\n"
+          "_st0 AS (SELECT quantile_cont(o_totalprice, 0.89::DOUBLE) AS cut, min(o_totalprice) AS mn, "
+          "max(o_totalprice) AS mx FROM _scored),\n"
+          "_hs AS (SELECT label, o_totalprice AS x, cut, (o_totalprice - mn) / (CASE WHEN mx - mn = 0 THEN 1.0 ELSE mx - mn END) "
+          "AS score FROM _scored, _st0),\n"
+          + curve_sql("_hs", []) + ",\n"
+          "_hr AS (" + rank_sql("_curve", []) + "),\n"
+          "_h AS (SELECT 'heuristic_o_totalprice' AS baseline, avg(CAST((CAST(x > cut AS INTEGER)) = label AS INTEGER)::DOUBLE) AS accuracy, "
+          "CASE WHEN sum(label) > 0 THEN sum(CAST(x > cut AS INTEGER) * label)::DOUBLE / sum(label) ELSE 0.0 END AS recall, "
+          "(SELECT average_precision FROM _hr) AS pr_auc, (SELECT roc_auc FROM _hr) AS roc_auc, "
+          "avg(power(least(greatest(score, 0.0), 1.0) - label, 2)) AS brier, any_value(cut) AS threshold, "
+          "avg(CAST(x > cut AS INTEGER)::DOUBLE) AS flagged_rate FROM _hs)\n"
+          "SELECT baseline, " + r6cols(BASE_COLS[1:]) + " FROM (SELECT * FROM _cb UNION ALL SELECT * FROM _h)")
+def baselines(spark, sf):
+    """Majority class, prevalence constant, single-feature ranking (o_totalprice)."""
+    s = scored(spark, sf)
+    c = M.constant_baselines(s).withColumn("threshold", F.lit(None).cast("double")) \
+         .withColumn("flagged_rate", F.lit(None).cast("double"))
+    h = M.single_feature_baseline(s, "o_totalprice")
+    return present(c.select(*BASE_COLS).unionByName(h.select(*BASE_COLS)))
+
+
+# ---------------------------------------------------------------- F8 / F10
+
+def boot_sql(src: str, keys: list[str], B: int) -> str:
+    """Bootstrap replicate metrics in SQL (cross join with range(B) is fine in
+    the oracle); ends in ``_bci(keys, metric, point, lower, upper, se, n_replicates)``."""
+    ks = S.keysel(keys)
+    kr = keys + ["b"]
+    u = S.hash_uniform_sql("s.prediction_id", "r.range")
+    on = " AND ".join([f"p.{k} = c.{k}" for k in keys] + ["p.metric = c.metric"]) or "p.metric = c.metric"
+    gbk = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return (
+        f"_rep AS (SELECT * FROM (SELECT s.*, r.range AS b, {S.poisson_sql(u)} AS w FROM {src} s "
+        f"CROSS JOIN range({B}) r) WHERE w > 0),\n"
+        + curve_sql("_rep", kr, weight="w", name="_bc") + ",\n"
+        f"_brk AS (" + rank_sql("_bc", kr) + "),\n"
+        f"_bbr AS (SELECT {S.keysel(kr)}sum(w * power(score - label, 2)) / sum(w) AS value, "
+        f"sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS _p, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS _n "
+        f"FROM _rep GROUP BY {', '.join(kr)}),\n"
+        f"_bv AS (SELECT {ks}'pr_auc' AS metric, average_precision AS value FROM _brk WHERE total_pos > 0 AND total_neg > 0 "
+        f"UNION ALL SELECT {ks}'roc_auc', roc_auc FROM _brk WHERE total_pos > 0 AND total_neg > 0 "
+        f"UNION ALL SELECT {ks}'brier', value FROM _bbr WHERE _p > 0 AND _n > 0),\n"
+        f"_bq AS (SELECT {ks}metric, quantile_cont(value, 0.025::DOUBLE) AS lower, quantile_cont(value, 0.975::DOUBLE) AS upper, "
+        f"stddev_pop(value) AS se, count(*) AS n_replicates FROM _bv GROUP BY {ks}metric),\n"
+        + curve_sql(src, keys, name="_pc") + ",\n"
+        f"_prk AS (" + rank_sql("_pc", keys) + "),\n"
+        f"_pbr AS (SELECT {ks}avg(power(score - label, 2)) AS brier FROM {src} {gbk}),\n"
+        f"_pt AS (SELECT {ks}'pr_auc' AS metric, average_precision AS point FROM _prk UNION ALL "
+        f"SELECT {ks}'roc_auc', roc_auc FROM _prk UNION ALL SELECT {ks}'brier', brier FROM _pbr),\n"
+        f"_bci AS (SELECT {S.keysel(keys, 'p.')}p.metric, p.point, coalesce(c.lower, p.point) AS lower, "
+        f"coalesce(c.upper, p.point) AS upper, coalesce(c.se, 0.0) AS se, "
+        f"coalesce(c.n_replicates, 0) AS n_replicates FROM _pt p LEFT JOIN _bq c ON {on})")
+
+
+@register("bootstrap_ci", "WITH " + SCORED_SQL + ",\n" + boot_sql("_scored", [], B) + "\n"
+          "SELECT metric, round(point, 6) AS point, round(lower, 6) AS lower, round(upper, 6) AS upper, "
+          "round(se, 6) AS se, n_replicates FROM _bci")
+def bootstrap_ci(spark, sf):
+    """F8: 95% percentile bootstrap CI (B = 20, md5-seeded Poisson weights) of
+    PR-AUC, ROC-AUC and Brier on all scored predictions."""
+    return present(BS.bootstrap_metrics(scored(spark, sf), ["prediction_id"], B=B))
+
+
+SCORE_B = ("least(o_totalprice / 500000.0 * (1.0 + 0.1 * CAST(substr(o_orderpriority, 1, 1) AS INTEGER)), 1.0)")
+#: candidate models: name, score expression over ``pred`` columns, complexity rank
+CANDIDATES = [("price_linear", "score", 1), ("price_priority", SCORE_B, 2)]
+
+
+def candidates(spark, sf):
+    s = scored(spark, sf)
+    parts = [s.select(F.lit(m).alias("model"), "prediction_id", "label",
+                      F.expr(e).cast("double").alias("score")) for m, e, _ in CANDIDATES]
+    return parts[0].unionByName(parts[1])
+
+
+CAND_SQL = ("_cand AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS model, prediction_id, label, CAST({e.replace('1.0)', '1.0::DOUBLE)')} AS DOUBLE) AS score "
+    f"FROM _scored" for m, e, _ in CANDIDATES) + ")")
+EVAL_COLS = ["n", "n_positive", "tp", "fp", "tn", "fn"]
+EVAL_RATES = ["precision", "recall", "f1", "specificity", "flagged_rate", "lift"]
+CI_COLS = [f"{m}{s}" for m in ("pr_auc", "roc_auc", "brier") for s in ("", "_lower", "_upper")]
+
+
+def _report(spark, sf):
+    c = candidates(spark, sf)
+    conf = M.confusion(c, THR, ["model"])
+    ci = BS.bootstrap_metrics(c, ["prediction_id"], ["model"], B=B)
+    aggs = []
+    for m in ("pr_auc", "roc_auc", "brier"):
+        for src, suf in (("point", ""), ("lower", "_lower"), ("upper", "_upper")):
+            aggs.append(F.max(F.when(F.col("metric") == m, F.col(src))).alias(f"{m}{suf}"))
+    wide = ci.groupBy("model").agg(*aggs)
+    return conf.select("model", *EVAL_COLS, *EVAL_RATES).join(wide, "model")
+
+
+REPORT_SQL = (
+    "WITH " + SCORED_SQL + ",\n" + CAND_SQL + ",\n" + boot_sql("_cand", ["model"], B) + ",\n"
+    "_cc AS (" + confusion_sql("_cand", ["model"], "0.35") + "),\n"
+    "_cd AS (SELECT _cc.*, " + derived_sql("_cc") + " FROM _cc),\n"
+    "_w AS (SELECT model, " + ", ".join(
+        f"max(CASE WHEN metric = '{m}' THEN {src} END) AS {m}{suf}"
+        for m in ("pr_auc", "roc_auc", "brier")
+        for src, suf in (("point", ""), ("lower", "_lower"), ("upper", "_upper"))) + " FROM _bci GROUP BY model),\n"
+    "_rep_all AS (SELECT d.model, " + ", ".join(f"d.{c}" for c in EVAL_COLS + EVAL_RATES) + ", "
+    + ", ".join(f"w.{c}" for c in CI_COLS) + " FROM _cd d JOIN _w w USING (model))")
+
+
+@register("evaluation_report", REPORT_SQL + "\nSELECT model, " + ", ".join(EVAL_COLS) + ", "
+          + r6cols(EVAL_RATES + CI_COLS) + " FROM _rep_all")
+def evaluation_report(spark, sf):
+    """full report per candidate at 0.35 with bootstrap CIs (B = 20)."""
+    return present(_report(spark, sf))
+
+
+@register("candidate_compare", REPORT_SQL + ",\n"
+          "_cx AS (SELECT model, pr_auc, pr_auc_lower, pr_auc_upper, CASE model " + " ".join(
+              f"WHEN '{m}' THEN {k}" for m, _, k in CANDIDATES) + " END AS complexity FROM _rep_all),\n"
+          "_best AS (SELECT * FROM _cx ORDER BY pr_auc DESC, model LIMIT 1),\n"
+          "_ov AS (SELECT c.*, CAST(c.pr_auc_lower <= b.pr_auc_upper AND b.pr_auc_lower <= c.pr_auc_upper AS INTEGER) AS overlaps_best, "
+          "CAST(c.model = b.model AS INTEGER) AS is_best FROM _cx c, _best b),\n"
+          "_ch AS (SELECT model FROM _ov WHERE overlaps_best = 1 ORDER BY complexity, model LIMIT 1),\n"
+          "_bn AS (SELECT model, least(greatest(len(list_filter(" + _INNER10 + ", lambda e: e < score)), 0), 9) AS bin, label, score FROM _cand),\n"
+          "_bg AS (SELECT model, bin, count(*) AS cnt, avg(score) AS conf, avg(label::DOUBLE) AS acc FROM _bn GROUP BY model, bin),\n"
+          "_ece AS (SELECT model, sum(cnt * abs(conf - acc)) / sum(cnt) AS ece FROM _bg GROUP BY model)\n"
+          "SELECT o.model, o.complexity, round(o.pr_auc, 6) AS pr_auc, round(o.pr_auc_lower, 6) AS pr_auc_lower, "
+          "round(o.pr_auc_upper, 6) AS pr_auc_upper, o.is_best, o.overlaps_best, "
+          "CAST(o.pr_auc > b.pr_auc AND o.is_best = 0 AND o.overlaps_best = 0 AS INTEGER) AS beats_best, "
+          "CAST(o.model = (SELECT model FROM _ch) AS INTEGER) AS is_champion, round(e.ece, 6) AS ece, "
+          "CASE WHEN e.ece <= 0.05 THEN 'PASS' ELSE 'FAIL' END AS ece_gate "
+          "FROM _ov o JOIN _ece e USING (model), _best b")
+def candidate_compare(spark, sf):
+    """F10 + F20 + G10: interval overlap with the best candidate, champion =
+    simplest candidate overlapping the best, ECE gate (<= 0.05)."""
+    r = _report(spark, sf)
+    cx = r.select("model", "pr_auc", "pr_auc_lower", "pr_auc_upper",
+                  F.expr("CASE model " + " ".join(f"WHEN '{m}' THEN {k}" for m, _, k in CANDIDATES)
+                         + " END").alias("complexity"))
+    # the candidate table has one row per model: a window over it is bounded
+    allm = Window.partitionBy()
+    best = F.max_by(F.struct("model", "pr_auc", "pr_auc_lower", "pr_auc_upper"),
+                    F.struct("pr_auc", F.lit(0))).over(allm)
+    ov = cx.withColumn("_b", best).select(
+        "*",
+        ((F.col("pr_auc_lower") <= F.col("_b.pr_auc_upper")) &
+         (F.col("_b.pr_auc_lower") <= F.col("pr_auc_upper"))).cast("int").alias("overlaps_best"),
+        (F.col("model") == F.col("_b.model")).cast("int").alias("is_best"))
+    ov = ov.withColumn("_champ", F.min_by("model", F.when(
+        F.col("overlaps_best") == 1, F.struct("complexity", "model"))).over(allm))
+    b = {"pr_auc": F.col("_b.pr_auc")}
+    champ = F.col("_champ")
+    e = M.ece(M.calibration_bins(candidates(spark, sf), ["model"]), ["model"]).select("model", "ece")
+    out = ov.join(e, "model").select(
+        "model", "complexity", "pr_auc", "pr_auc_lower", "pr_auc_upper", "is_best", "overlaps_best",
+        ((F.col("pr_auc") > b["pr_auc"]) & (F.col("is_best") == 0) & (F.col("overlaps_best") == 0))
+        .cast("int").alias("beats_best"),
+        (F.col("model") == champ).cast("int").alias("is_champion"), "ece",
+        F.when(F.col("ece") <= 0.05, "PASS").otherwise("FAIL").alias("ece_gate"))
+    return present(out)
