@@ -37,8 +37,8 @@ def percentile_interval(reps: DataFrame, value: str, keys: Sequence[str],
     """Percentile interval (linear interpolation), replicate count and population SE."""
     a = (1 - level) / 2
     return reps.groupBy(*keys).agg(
-        F.percentile(F.col(value), F.lit(a)).alias("lower"),
-        F.percentile(F.col(value), F.lit(1 - a)).alias("upper"),
+        F.percentile(F.col(value), F.lit(float(a))).alias("lower"),
+        F.percentile(F.col(value), F.lit(float(1 - a))).alias("upper"),
         F.stddev_pop(value).alias("se"),
         F.count(F.lit(1)).alias("n_replicates"))
 

@@ -72,13 +72,28 @@ def reference_edges(ref: DataFrame, numeric: Sequence[str], bins: int = 10,
     )
 
 
-def _bin_numeric(long: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    j = long.join(F.broadcast(edges) if not keys else edges, [*keys, "feature"], "inner")
-    x = F.col("x")
-    inside = x.isNotNull() & (x >= F.col("lo")) & (x <= F.col("hi"))
-    return (j.where(inside)
-             .select(*keys, "feature", "side",
-                     count_le(F.col("inner"), x).cast("string").alias("cell")))
+def cell_rows(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+              keys: Sequence[str], edges: DataFrame | None, edge_keys: Sequence[str] = ()) -> DataFrame:
+    """One ``(keys..., feature, cell)`` row per (row, feature) value that is counted.
+
+    Numeric values become the index of their bin among ``edges`` (joined on
+    ``edge_keys + feature``); categorical values their text (null included)."""
+    keys, edge_keys = list(keys), list(edge_keys)
+    parts = []
+    if numeric:
+        nl = _num_long(df, numeric, keys)
+        e = F.broadcast(edges) if not edge_keys else edges
+        j = nl.join(e, [*edge_keys, "feature"], "inner")
+        x = F.col("x")
+        inside = x.isNotNull() & (x >= F.col("lo")) & (x <= F.col("hi"))
+        parts.append(j.where(inside).select(*keys, "feature",
+                                            count_le(F.col("inner"), x).cast("string").alias("cell")))
+    if categorical:
+        parts.append(_cat_long(df, categorical, keys).select(*keys, "feature", "cell"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u
 
 
 def psi_cells(reference: DataFrame, current: DataFrame, numeric: Sequence[str] = (),
@@ -89,28 +104,51 @@ def psi_cells(reference: DataFrame, current: DataFrame, numeric: Sequence[str] =
 
     Numeric cells are bin indexes (as text) of the reference edges; categorical
     cells are the string values, null included, from both sides (the union of
-    categories falls out of the grouping).
+    categories falls out of the grouping).  One shuffle for all features.
     """
     numeric, categorical, keys = list(numeric), list(categorical), list(keys)
-    parts = []
-    if numeric:
-        if edges is None:
-            edges = reference_edges(reference, numeric, bins, keys, edge_method)
-        nl = (_num_long(reference, numeric, keys).withColumn("side", F.lit(REF))
-              .unionByName(_num_long(current, numeric, keys).withColumn("side", F.lit(CUR))))
-        parts.append(_bin_numeric(nl, edges, keys))
-    if categorical:
-        cl = (_cat_long(reference, categorical, keys).withColumn("side", F.lit(REF))
-              .unionByName(_cat_long(current, categorical, keys).withColumn("side", F.lit(CUR))))
-        parts.append(cl.select(*keys, "feature", "side", "cell"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    if numeric and edges is None:
+        edges = reference_edges(reference, numeric, bins, keys, edge_method)
+    u = (cell_rows(reference, numeric, categorical, keys, edges, keys).withColumn("side", F.lit(REF))
+         .unionByName(cell_rows(current, numeric, categorical, keys, edges, keys)
+                      .withColumn("side", F.lit(CUR))))
     return (u.groupBy(*keys, "feature", "cell")
              .agg(F.count_if(F.col("side") == REF).alias("ref_n"),
                   F.count_if(F.col("side") == CUR).alias("cur_n")))
 
 
+def psi_vs_reference(reference: DataFrame, current: DataFrame, window_col: str,
+                     numeric: Sequence[str] = (), categorical: Sequence[str] = (),
+                     bins: int = 10, edge_method: str = "exact") -> DataFrame:
+    """PSI of every window of ``current`` against one fixed reference.
+
+    The reference is binned and counted once; its (feature x cell) counts, a
+    table bounded by features x bins/levels, are fanned out to the window ids
+    (a bounded list), so reference rows are never replicated per window."""
+    numeric, categorical = list(numeric), list(categorical)
+    edges = reference_edges(reference, numeric, bins, (), edge_method) if numeric else None
+    ref_cells = (cell_rows(reference, numeric, categorical, (), edges)
+                 .groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("ref_n")))
+    ids = [r[0] for r in current.select(window_col).distinct().collect()]  # bounded: windows
+    if not ids:
+        raise ValueError("current has no windows")
+    ref_w = ref_cells.withColumn(window_col, F.explode(F.array(*[F.lit(i) for i in sorted(ids)])))
+    cur_cells = (cell_rows(current, numeric, categorical, [window_col], edges)
+                 .groupBy(window_col, "feature", "cell").agg(F.count(F.lit(1)).alias("cur_n")))
+    cells = (ref_w.select(window_col, "feature", "cell", "ref_n", F.lit(0).cast("long").alias("cur_n"))
+             .unionByName(cur_cells.select(window_col, "feature", "cell",
+                                           F.lit(0).cast("long").alias("ref_n"), "cur_n"))
+             .groupBy(window_col, "feature", "cell")
+             .agg(F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n")))
+    res = psi_from_cells(cells, [window_col])
+    kind = F.when(F.col("feature").isin(numeric), F.lit("numeric")).otherwise(F.lit("categorical"))
+    if numeric:
+        res = res.join(F.broadcast(edges.select("feature", "degenerate")), "feature", "left")
+    else:
+        res = res.withColumn("degenerate", F.lit(0))
+    return res.withColumn("kind", kind).withColumn("degenerate", F.coalesce("degenerate", F.lit(0)))
+
+
 def psi_from_cells(cells: DataFrame, keys: Sequence[str] = (), eps: float = EPSILON) -> DataFrame:
     """PSI and Jensen-Shannon per ``(keys, feature)`` from cell counts.
 
@@ -172,3 +210,208 @@ def data_drift(psi_df: DataFrame, thresholds: DataFrame, keys: Sequence[str] = (
          .otherwise(F.lit("checked")).alias("status"),
         F.coalesce(F.col("psi") > F.col("threshold"), F.lit(False)).cast("int").alias("breaching"),
     )
+
+
+# -- H5 / H6 / H17 null calibration over adjacent windows ------------------------
+
+def adjacent_pairs(ranked: DataFrame, window_col: str, n_windows: int) -> tuple[DataFrame, DataFrame]:
+    """Window i is the reference and window i+1 the current of pair i.
+
+    Each row plays both roles through one generator (no self join): it is the
+    current of pair ``w-1`` and the reference of pair ``w``."""
+    w = F.col(window_col)
+    roles = ranked.withColumn("_role", F.explode(F.array(
+        F.struct((w - 1).alias("pair"), F.lit(CUR).alias("side")),
+        F.struct(w.alias("pair"), F.lit(REF).alias("side")))))
+    roles = roles.select("*", F.col("_role.pair").alias("pair"), F.col("_role.side").alias("_side")) \
+                 .drop("_role").where((F.col("pair") >= 0) & (F.col("pair") < n_windows - 1))
+    return (roles.where(F.col("_side") == REF).drop("_side"),
+            roles.where(F.col("_side") == CUR).drop("_side"))
+
+
+def null_psi(df: DataFrame, order_cols: Sequence[str], numeric: Sequence[str],
+             categorical: Sequence[str], n_windows: int = 20, bins: int = 10,
+             min_window_rows: int = 100, edge_method: str = "exact") -> DataFrame:
+    """H5 (first half): PSI of every feature for each adjacent pair of ``n_windows``
+    equal consecutive windows of the order (remainder dropped).
+
+    Returns the long table ``(pair, feature, psi)``; edges are recomputed per
+    reference window."""
+    from driftline.operators.order import global_rank, window_id
+    n = df.count()
+    window_rows = n // n_windows
+    if window_rows < min_window_rows:
+        raise ValueError(f"{n_windows} windows over {n} rows gives {window_rows} rows each; "
+                         f"at least {min_window_rows} are required")
+    cols = list(dict.fromkeys([*order_cols, *numeric, *categorical]))
+    ranked = global_rank(df.select(*cols), order_cols, "_rank")
+    ranked = ranked.withColumn("_w", window_id("_rank", window_rows)).where(F.col("_w") < n_windows)
+    ref, cur = adjacent_pairs(ranked, "_w", n_windows)
+    return psi(ref, cur, numeric, categorical, keys=["pair"], bins=bins, edge_method=edge_method)
+
+
+def calibrate_thresholds(null_long: DataFrame, percentile: float = 0.99,
+                         floor: float = 0.10, ceiling: float = 0.25) -> DataFrame:
+    """H5 (second half): ``threshold = clip(p99 of the null PSIs, floor, ceiling)``."""
+    g = null_long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_comparisons"),
+        F.percentile("psi", F.lit(0.5)).alias("median"),
+        F.percentile("psi", F.lit(0.9)).alias("p90"),
+        F.percentile("psi", F.lit(percentile)).alias("p99"),
+        F.max("psi").alias("maximum"))
+    p99 = F.col("p99")
+    return g.select(
+        "*",
+        F.greatest(F.least(p99, F.lit(ceiling)), F.lit(floor)).alias("threshold"),
+        F.when(p99 < floor, "floor").when(p99 > ceiling, "ceiling").otherwise("none").alias("clamped"))
+
+
+def calibration_summary(cal: DataFrame) -> DataFrame:
+    """H6: features per clamp class (bounded by the number of features)."""
+    return cal.groupBy("clamped").agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.concat_ws(",", F.array_sort(F.collect_list("feature"))).alias("features"))
+
+
+def false_alarms(null_long: DataFrame, cal: DataFrame, uniform: float = 0.10) -> DataFrame:
+    """Alarms over the null pairs, uniform threshold vs calibrated."""
+    j = null_long.join(F.broadcast(cal.select("feature", "threshold")), "feature")
+    return j.agg(F.count(F.lit(1)).alias("n_checks"),
+                 F.count_if(F.col("psi") > uniform).alias("uniform_alarms"),
+                 F.count_if(F.col("psi") > F.col("threshold")).alias("calibrated_alarms")) \
+            .select("*", (F.col("uniform_alarms") / F.col("n_checks")).alias("uniform_rate"),
+                    (F.col("calibrated_alarms") / F.col("n_checks")).alias("calibrated_rate"))
+
+
+# -- H7 / H8 --------------------------------------------------------------------
+
+def prediction_drift(reference: DataFrame, current: DataFrame, score: str, row_key: Sequence[str],
+                     decision_threshold: float, rate_limit: float = 0.25, B: int = 500,
+                     level: float = 0.99, seed: int = 42) -> DataFrame:
+    """H7: mean score and alert-rate shift; breach = |rate change| > limit or the
+    current mean outside the bootstrap CI of the reference mean.
+
+    ``decision_threshold`` must be the model's own threshold (it is required)."""
+    from driftline.operators.bootstrap import bootstrap_mean
+    if decision_threshold is None:
+        raise ValueError("decision_threshold must come from the model")
+    s = F.col(score)
+    r = reference.agg(F.avg(s).alias("reference_mean"),
+                      F.avg((s >= decision_threshold).cast("double")).alias("reference_alert_rate"))
+    c = current.agg(F.avg(s).alias("current_mean"),
+                    F.avg((s >= decision_threshold).cast("double")).alias("current_alert_rate"))
+    ci = bootstrap_mean(reference, score, row_key, B=B, level=level, seed=seed)
+    rm, ra = r.select("reference_mean").scalar(), r.select("reference_alert_rate").scalar()
+    lo, hi = ci.select("lower").scalar(), ci.select("upper").scalar()
+    out = c.select(
+        rm.alias("reference_mean"), "current_mean",
+        F.when(rm != 0, (F.col("current_mean") - rm) / rm).otherwise(F.lit(0.0)).alias("mean_relative_change"),
+        lo.alias("reference_ci_lower"), hi.alias("reference_ci_upper"),
+        ra.alias("reference_alert_rate"), "current_alert_rate",
+        F.when(ra != 0, (F.col("current_alert_rate") - ra) / ra).otherwise(F.lit(0.0))
+         .alias("alert_rate_relative_change"))
+    outside = ~((F.col("reference_ci_lower") <= F.col("current_mean")) &
+                (F.col("current_mean") <= F.col("reference_ci_upper")))
+    return out.select("*", outside.cast("int").alias("mean_outside_reference_ci"),
+                      ((F.abs(F.col("alert_rate_relative_change")) > rate_limit) | outside)
+                      .cast("int").alias("breaching"))
+
+
+def label_drift(matured: DataFrame, baseline_pr_auc: float | Column, row_key: Sequence[str],
+                label: str = "label", score: str = "score", min_labels: int = 500,
+                limit_se: float = 2.0, B: int = 1000, seed: int = 42) -> DataFrame:
+    """H8: PR-AUC drop on matured labels, in bootstrap standard errors
+    (population std of the replicate APs); needs ``min_labels`` and two classes."""
+    from driftline.operators.bootstrap import bootstrap_metrics
+    base = matured.select(*row_key, F.col(label).alias("label"), F.col(score).alias("score"))
+    bm = bootstrap_metrics(base, row_key, [], B=B, seed=seed, metrics=("pr_auc",))
+    stats = base.agg(F.count(F.lit(1)).alias("n_matured"),
+                     F.sum("label").alias("n_positive"))
+    obs = bm.select("point").scalar()
+    se = bm.select("se").scalar()
+    bl = baseline_pr_auc if isinstance(baseline_pr_auc, Column) else F.lit(float(baseline_pr_auc))
+    enough = (F.col("n_matured") >= min_labels) & (F.col("n_positive") > 0) & \
+        (F.col("n_positive") < F.col("n_matured"))
+    drop = bl - obs
+    dse = F.when(se > 0, drop / se).otherwise(F.lit(0.0))
+    return stats.select(
+        "n_matured", enough.cast("int").alias("sufficient_labels"),
+        bl.alias("baseline_pr_auc"),
+        F.when(enough, obs).alias("observed_pr_auc"),
+        F.when(enough, drop).alias("drop"),
+        F.when(enough, se).alias("bootstrap_se"),
+        F.when(enough, dse).alias("drop_in_standard_errors"),
+        F.coalesce(enough & (dse > limit_se), F.lit(False)).cast("int").alias("breaching"))
+
+
+# -- H10 / H11 alert confirmation -------------------------------------------------
+
+def alert_state(window_breaches: DataFrame, window_col: str, count_col: str,
+                min_features: int = 3, consecutive: int = 2, keys: Sequence[str] = ()) -> DataFrame:
+    """A window is confirmed when it and the previous ``consecutive - 1``
+    windows each have at least ``min_features`` breaching features.  Rows are
+    windows (few per key), so the window function is bounded."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(window_col).rowsBetween(-(consecutive - 1), 0)
+    flag = (F.col(count_col) >= min_features).cast("int")
+    d = window_breaches.withColumn("_f", flag)
+    return d.select(
+        "*",
+        (F.count(F.lit(1)).over(w) >= consecutive).alias("_full"),
+        F.sum("_f").over(w).alias("_nf")).select(
+        *[c for c in d.columns if c != "_f"],
+        (F.col("_full") & (F.col("_nf") == consecutive)).cast("int").alias("confirmed")).drop("_full", "_nf")
+
+
+# -- H13-H15 perturbations ----------------------------------------------------------
+
+def poisson_inverse(lam: Column, u: Column, kmax: int = 40) -> Column:
+    """Smallest k with Poisson(lam) CDF(k) >= u, for lam up to about 10."""
+    term = F.exp(-lam)
+    cdf = term
+    expr = F.lit(kmax)
+    conds = []
+    for k in range(kmax):
+        conds.append((u <= cdf, k))
+        term = term * lam / F.lit(float(k + 1))
+        cdf = cdf + term
+    for cond, k in reversed(conds):
+        expr = F.when(cond, F.lit(k)).otherwise(expr)
+    return expr
+
+
+def reweight_sample(df: DataFrame, col: str, levels: Sequence[str], weight: float,
+                    row_key: Sequence[str], seed: int = 42) -> DataFrame:
+    """Weighted resample with replacement, ``levels`` weighted ``weight``.
+
+    Row r is copied Poisson(n * w_r / sum w) times (hash-seeded), which keeps the
+    expected size n and the level shares of a weighted draw; no driver loop."""
+    w = F.when(F.col(col).isin(list(levels)), F.lit(float(weight))).otherwise(F.lit(1.0))
+    tot = df.agg(F.sum(w).alias("sw"), F.count(F.lit(1)).alias("n"))
+    lam = F.lit(1.0) * w * tot.select("n").scalar() / tot.select("sw").scalar()
+    u = hash_uniform_cols(row_key, seed)
+    k = poisson_inverse(lam, u)
+    return df.withColumn("_copies", k).where(F.col("_copies") > 0) \
+             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+
+
+def hash_uniform_cols(row_key: Sequence[str], seed: int) -> Column:
+    from driftline.functions.exprs import hash_uniform
+    return hash_uniform(*row_key, seed=seed)
+
+
+def additive_shift(df: DataFrame, col: str, amount: float, cap: float | None = None) -> DataFrame:
+    """``col + amount``, capped."""
+    v = F.col(col) + F.lit(amount)
+    if cap is not None:
+        v = F.least(v, F.lit(cap))
+    return df.withColumn(col, v.cast(df.schema[col].dataType))
+
+
+def collapse(df: DataFrame, col: str, value) -> DataFrame:
+    """Every row gets one value."""
+    return df.withColumn(col, F.lit(value).cast(df.schema[col].dataType))
+
+
+#: pluggable perturbations for ``df.transform``
+INDUCERS = {"reweight": reweight_sample, "shift": additive_shift, "collapse": collapse}

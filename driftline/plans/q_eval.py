@@ -316,7 +316,7 @@ def baselines(spark, sf):
 
 # ---------------------------------------------------------------- F8 / F10
 
-def boot_sql(src: str, keys: list[str], B: int) -> str:
+def boot_sql(src: str, keys: list[str], B: int, level: float = 0.95) -> str:
     """Bootstrap replicate metrics in SQL (cross join with range(B) is fine in
     the oracle); ends in ``_bci(keys, metric, point, lower, upper, se, n_replicates)``."""
     ks = S.keysel(keys)
@@ -335,7 +335,8 @@ def boot_sql(src: str, keys: list[str], B: int) -> str:
         f"_bv AS (SELECT {ks}'pr_auc' AS metric, average_precision AS value FROM _brk WHERE total_pos > 0 AND total_neg > 0 "
         f"UNION ALL SELECT {ks}'roc_auc', roc_auc FROM _brk WHERE total_pos > 0 AND total_neg > 0 "
         f"UNION ALL SELECT {ks}'brier', value FROM _bbr WHERE _p > 0 AND _n > 0),\n"
-        f"_bq AS (SELECT {ks}metric, quantile_cont(value, 0.025::DOUBLE) AS lower, quantile_cont(value, 0.975::DOUBLE) AS upper, "
+        f"_bq AS (SELECT {ks}metric, quantile_cont(value, {S.dbl((1 - level) / 2)}) AS lower, "
+        f"quantile_cont(value, {S.dbl(1 - (1 - level) / 2)}) AS upper, "
         f"stddev_pop(value) AS se, count(*) AS n_replicates FROM _bv GROUP BY {ks}metric),\n"
         + curve_sql(src, keys, name="_pc") + ",\n"
         f"_prk AS (" + rank_sql("_pc", keys) + "),\n"
