@@ -1,4 +1,4 @@
 """Import every plan module so the registry is complete."""
 
-from driftline.plans import q_drift, q_eval, q_monitor  # noqa: F401
+from driftline.plans import q_drift, q_eval, q_monitor, q_order, q_profile  # noqa: F401
 from driftline.plans.registry import ORACLES, QUERIES  # noqa: F401
