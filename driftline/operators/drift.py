@@ -365,8 +365,8 @@ def alert_state(window_breaches: DataFrame, window_col: str, count_col: str,
 
 # -- H13-H15 perturbations ----------------------------------------------------------
 
-def poisson_inverse(lam: Column, u: Column, kmax: int = 40) -> Column:
-    """Smallest k with Poisson(lam) CDF(k) >= u, for lam up to about 10."""
+def poisson_inverse(lam: Column, u: Column, kmax: int = 20) -> Column:
+    """Smallest k with Poisson(lam) CDF(k) >= u (lam up to about 5; k capped at kmax)."""
     term = F.exp(-lam)
     cdf = term
     expr = F.lit(kmax)
@@ -388,11 +388,12 @@ def reweight_sample(df: DataFrame, col: str, levels: Sequence[str], weight: floa
     expected size n and the level shares of a weighted draw; no driver loop."""
     w = F.when(F.col(col).isin(list(levels)), F.lit(float(weight))).otherwise(F.lit(1.0))
     tot = df.agg(F.sum(w).alias("sw"), F.count(F.lit(1)).alias("n"))
-    lam = F.lit(1.0) * w * tot.select("n").scalar() / tot.select("sw").scalar()
-    u = hash_uniform_cols(row_key, seed)
-    k = poisson_inverse(lam, u)
-    return df.withColumn("_copies", k).where(F.col("_copies") > 0) \
-             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    lam = w * tot.select("n").scalar() / tot.select("sw").scalar()
+    d = df.withColumn("_lam", lam).withColumn("_u", hash_uniform_cols(row_key, seed))
+    k = poisson_inverse(F.col("_lam"), F.col("_u"))
+    return d.withColumn("_copies", k).where(F.col("_copies") > 0) \
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
+            .drop("_copies", "_lam", "_u")
 
 
 def hash_uniform_cols(row_key: Sequence[str], seed: int) -> Column:

@@ -156,3 +156,15 @@ def half_up_rounds(sql: str) -> str:
         out.append(sql[i:j])
         out.append(r6(half_up_rounds(arg), dp))
         i = k
+
+
+def poisson_inverse_sql(lam: str, u: str, kmax: int = 20) -> str:
+    """SQL twin of ``drift.poisson_inverse`` (same evaluation order)."""
+    term = f"exp(-({lam}))"
+    cdf = term
+    conds = []
+    for k in range(kmax):
+        conds.append(f"WHEN {u} <= {cdf} THEN {k}")
+        term = f"(({term}) * ({lam}) / {float(k + 1)!r}::DOUBLE)"
+        cdf = f"({cdf} + {term})"
+    return "(CASE " + " ".join(conds) + f" ELSE {kmax} END)"
