@@ -45,10 +45,14 @@ def outc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def req(spark: SparkSession, sf: str) -> DataFrame:
+    """events as a request log: path, status code, latency, instance."""
     e = t(spark, sf, "events")
     return e.select(
         "event_id", "ts", "user_id",
         F.col("event_type").alias("endpoint"),
+        F.concat(F.lit("/v1/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string")).alias("path"),
+        F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 201)
+         .otherwise(200).alias("status"),
         F.col("value").alias("duration_ms"),
         (F.col("event_type") == "error").cast("int").alias("is_5xx"),
         (F.col("user_id") % 4).alias("instance"),
@@ -56,6 +60,13 @@ def req(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+REQ_SQL = ("_req AS (SELECT event_id, ts, user_id, event_type AS endpoint, "
+           "'/v1/' || event_type || '/' || CAST(event_id AS VARCHAR) AS path, "
+           "CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 201 ELSE 200 END AS status, "
+           "value AS duration_ms, CAST(event_type = 'error' AS INTEGER) AS is_5xx, user_id % 4 AS instance, props "
+           "FROM events)")
+
+
 def round_doubles(df: DataFrame, dp: int = 6) -> DataFrame:
     """Round every double column (result presentation; oracle does the same)."""
     cols = []
