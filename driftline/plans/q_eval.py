@@ -246,6 +246,20 @@ SUB_SQL = (
     "LEFT JOIN _se e USING (dimension, grp) CROSS JOIN _ov o)")
 
 
+_SUB_NAMES = ["_st", "_sc", "_sd", "_curve_p", "_curve_x", "_curve", "_sr", "_sb", "_se0", "_se1", "_se",
+              "_ov0", "_ov", "_sub"]
+
+
+def sub_sql(src: str = "_scored", sfx: str = "") -> str:
+    """SUB_SQL over another scored relation with suffixed CTE names (ends in ``_sub{sfx}``)."""
+    import re
+    out = SUB_SQL
+    if sfx:
+        out = re.sub(r"\b(" + "|".join(sorted(_SUB_NAMES, key=len, reverse=True)) + r")\b",
+                     lambda m: m.group(1) + sfx, out)
+    return re.sub(r"\b_scored\b", src, out)
+
+
 @register("subgroup_metrics", "WITH " + SCORED_SQL + ",\n" + SUB_SQL + "\nSELECT dimension, grp, n, n_positive, "
           + r6cols(["prevalence", "recall", "precision", "pr_auc", "brier", "ece", "flagged_rate", "recall_gap"])
           + ", sufficient, note FROM _sub")

@@ -152,12 +152,12 @@ def label_drift(spark, sf):
 
 # ---------------------------------------------------------------- H10, H11, H16
 
-AL_REF_CUT = "1994-01-01"
-AL_INDUCED_FROM = 1997
+AL_REF_CUT = "1996-01-01"
+AL_INDUCED_FROM = 1999
 AL_THR = 0.10
 AL_MIN_FEATURES = 3
 AL_CONSECUTIVE = 2
-AL_MANIPULATION = "shift:l_quantity+10<=50;collapse:l_discount=0.0"
+AL_MANIPULATION = "shift:l_quantity+10<=50;collapse:l_discount=0.0;collapse:l_returnflag=R"
 
 
 def _alert_windows(spark, sf):
@@ -169,6 +169,7 @@ def _alert_windows(spark, sf):
     cur = cur.withColumn("l_quantity", F.when(induced, F.least(F.col("l_quantity") + 10, F.lit(50.0)))
                          .otherwise(F.col("l_quantity")))
     cur = cur.withColumn("l_discount", F.when(induced, F.lit(0.0)).otherwise(F.col("l_discount")))
+    cur = cur.withColumn("l_returnflag", F.when(induced, F.lit("R")).otherwise(F.col("l_returnflag")))
     p = D.psi_vs_reference(ref, cur, "win", NUM, CAT)
     per = p.groupBy("win").agg(
         F.count_if(F.col("psi") > AL_THR).alias("n_breaching"),
@@ -189,7 +190,8 @@ ALERT_SQL = (
     "WITH " f"_ref AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '{AL_REF_CUT}'),\n"
     "_cur AS (SELECT l_shipdate, CAST(year(l_shipdate) AS INTEGER) AS win, "
     f"CASE WHEN {_IND} THEN least(l_quantity + 10, 50.0::DOUBLE) ELSE l_quantity END AS l_quantity, "
-    f"l_extendedprice, CASE WHEN {_IND} THEN 0.0::DOUBLE ELSE l_discount END AS l_discount, l_tax, l_returnflag, l_linestatus "
+    f"l_extendedprice, CASE WHEN {_IND} THEN 0.0::DOUBLE ELSE l_discount END AS l_discount, l_tax, "
+    f"CASE WHEN {_IND} THEN 'R' ELSE l_returnflag END AS l_returnflag, l_linestatus "
     f"FROM lineitem WHERE l_shipdate >= TIMESTAMP '{AL_REF_CUT}'),\n"
     "_refw AS (SELECT r.*, w.win FROM _ref r CROSS JOIN (SELECT DISTINCT win FROM _cur) w),\n"
     + S.psi_sql("_refw", "_cur", NUM, CAT, keys=["win"]) + ",\n"
@@ -206,7 +208,7 @@ ALERT_SQL = (
 
 @register("drift_alerts", ALERT_SQL)
 def drift_alerts(spark, sf):
-    """H10 + H11 + H16: yearly windows of lineitem vs the pre-1994 reference;
-    windows from 1997 get an induced shift (quantity +10 capped at 50, discount
-    collapsed to 0); confirmed = 3+ features over 0.10 in 2 consecutive windows."""
+    """H10 + H11 + H16: yearly windows of lineitem vs the 1995 reference;
+    windows from 1999 get an induced shift (quantity +10 capped at 50, discount
+    collapsed to 0, return flag collapsed to R); confirmed = 3+ features over 0.10 in 2 consecutive windows."""
     return present(_alert_windows(spark, sf))
