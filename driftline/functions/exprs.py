@@ -56,16 +56,34 @@ def lit_array(values: Iterable[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def count_le(edges: Column, x: str | Column) -> Column:
-    """Number of array elements ``<= x`` (index of a half-open bin ``[lo, hi)``)."""
-    xc = col_of(x)
-    return F.size(F.filter(edges, lambda e: e <= xc))
+def count_le(edges: Column | Sequence[float], x: str | Column, max_len: int | None = None) -> Column:
+    """Number of edges ``<= x`` (index of a half-open bin ``[lo, hi)``).
+
+    With literal edges or a known maximum array length this is a sum of plain
+    comparisons (whole-stage codegen); otherwise a higher-order ``filter``."""
+    return _count(edges, x, max_len, strict=False)
+
 
+def count_lt(edges: Column | Sequence[float], x: str | Column, max_len: int | None = None) -> Column:
+    """Number of edges ``< x`` (index of a right-closed bin ``(lo, hi]``)."""
+    return _count(edges, x, max_len, strict=True)
 
-def count_lt(edges: Column, x: str | Column) -> Column:
-    """Number of array elements ``< x`` (index of a right-closed bin ``(lo, hi]``)."""
+
+def _count(edges, x, max_len, strict):
     xc = col_of(x)
-    return F.size(F.filter(edges, lambda e: e < xc))
+    if isinstance(edges, (list, tuple)):
+        terms = [((F.lit(float(e)) < xc) if strict else (F.lit(float(e)) <= xc)).cast("int") for e in edges]
+    elif max_len is not None:
+        terms = []
+        for i in range(1, max_len + 1):
+            e = F.try_element_at(edges, F.lit(i))
+            terms.append(F.coalesce((e < xc) if strict else (e <= xc), F.lit(False)).cast("int"))
+    else:
+        return F.size(F.filter(edges, (lambda e: e < xc) if strict else (lambda e: e <= xc)))
+    out = F.lit(0)
+    for t in terms:
+        out = out + t
+    return out
 
 
 def hash_uniform(*parts: str | Column, seed: int = 42) -> Column:

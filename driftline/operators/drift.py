@@ -72,8 +72,19 @@ def reference_edges(ref: DataFrame, numeric: Sequence[str], bins: int = 10,
     )
 
 
+def materialize_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Evaluate a result bounded by keys x features (e.g. edges) once and keep
+    it as a local relation, so every later use (binning join, flags) reads the
+    rows instead of re-planning the aggregate.  The bound is checked."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows (keys x features), got more")
+    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+
+
 def cell_rows(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-              keys: Sequence[str], edges: DataFrame | None, edge_keys: Sequence[str] = ()) -> DataFrame:
+              keys: Sequence[str], edges: DataFrame | None, edge_keys: Sequence[str] = (),
+              max_len: int | None = None) -> DataFrame:
     """One ``(keys..., feature, cell)`` row per (row, feature) value that is counted.
 
     Numeric values become the index of their bin among ``edges`` (joined on
@@ -87,7 +98,7 @@ def cell_rows(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
         x = F.col("x")
         inside = x.isNotNull() & (x >= F.col("lo")) & (x <= F.col("hi"))
         parts.append(j.where(inside).select(*keys, "feature",
-                                            count_le(F.col("inner"), x).cast("string").alias("cell")))
+                                            count_le(F.col("inner"), x, max_len).cast("string").alias("cell")))
     if categorical:
         parts.append(_cat_long(df, categorical, keys).select(*keys, "feature", "cell"))
     u = parts[0]
@@ -108,9 +119,10 @@ def psi_cells(reference: DataFrame, current: DataFrame, numeric: Sequence[str] =
     """
     numeric, categorical, keys = list(numeric), list(categorical), list(keys)
     if numeric and edges is None:
-        edges = reference_edges(reference, numeric, bins, keys, edge_method)
-    u = (cell_rows(reference, numeric, categorical, keys, edges, keys).withColumn("side", F.lit(REF))
-         .unionByName(cell_rows(current, numeric, categorical, keys, edges, keys)
+        edges = materialize_small(reference_edges(reference, numeric, bins, keys, edge_method))
+    ml = bins - 1
+    u = (cell_rows(reference, numeric, categorical, keys, edges, keys, ml).withColumn("side", F.lit(REF))
+         .unionByName(cell_rows(current, numeric, categorical, keys, edges, keys, ml)
                       .withColumn("side", F.lit(CUR))))
     return (u.groupBy(*keys, "feature", "cell")
              .agg(F.count_if(F.col("side") == REF).alias("ref_n"),
@@ -126,14 +138,14 @@ def psi_vs_reference(reference: DataFrame, current: DataFrame, window_col: str,
     table bounded by features x bins/levels, are fanned out to the window ids
     (a bounded list), so reference rows are never replicated per window."""
     numeric, categorical = list(numeric), list(categorical)
-    edges = reference_edges(reference, numeric, bins, (), edge_method) if numeric else None
-    ref_cells = (cell_rows(reference, numeric, categorical, (), edges)
+    edges = materialize_small(reference_edges(reference, numeric, bins, (), edge_method)) if numeric else None
+    ref_cells = (cell_rows(reference, numeric, categorical, (), edges, (), bins - 1)
                  .groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("ref_n")))
     ids = [r[0] for r in current.select(window_col).distinct().collect()]  # bounded: windows
     if not ids:
         raise ValueError("current has no windows")
     ref_w = ref_cells.withColumn(window_col, F.explode(F.array(*[F.lit(i) for i in sorted(ids)])))
-    cur_cells = (cell_rows(current, numeric, categorical, [window_col], edges)
+    cur_cells = (cell_rows(current, numeric, categorical, [window_col], edges, (), bins - 1)
                  .groupBy(window_col, "feature", "cell").agg(F.count(F.lit(1)).alias("cur_n")))
     cells = (ref_w.select(window_col, "feature", "cell", "ref_n", F.lit(0).cast("long").alias("cur_n"))
              .unionByName(cur_cells.select(window_col, "feature", "cell",
@@ -183,7 +195,7 @@ def psi(reference: DataFrame, current: DataFrame, numeric: Sequence[str] = (),
         bins: int = 10, edge_method: str = "exact") -> DataFrame:
     """H2/H3: PSI per feature, with edge metadata (degenerate flag, kind)."""
     numeric, categorical, keys = list(numeric), list(categorical), list(keys)
-    edges = reference_edges(reference, numeric, bins, keys, edge_method) if numeric else None
+    edges = materialize_small(reference_edges(reference, numeric, bins, keys, edge_method)) if numeric else None
     cells = psi_cells(reference, current, numeric, categorical, keys, edges, bins, edge_method)
     res = psi_from_cells(cells, keys)
     kind = F.when(F.col("feature").isin(numeric), F.lit("numeric")).otherwise(F.lit("categorical"))

@@ -163,8 +163,7 @@ def calibration_bins(df: DataFrame, keys: Sequence[str] = (), label: str = "labe
     ``i * (1/bins)`` floats)."""
     keys = list(keys)
     edges = linspace(bins)
-    inner = lit_array(edges[1:-1])
-    b = F.least(F.greatest(count_lt(inner, F.col(score)), F.lit(0)), F.lit(bins - 1))
+    b = F.least(F.greatest(count_lt(edges[1:-1], F.col(score)), F.lit(0)), F.lit(bins - 1))
     g = df.groupBy(*keys, b.alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.avg(score).alias("confidence"),
         F.avg(F.col(label).cast("double")).alias("accuracy"))

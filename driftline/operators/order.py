@@ -15,6 +15,7 @@ these operators never use it on row-level data. Instead:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -52,8 +53,14 @@ def cut_points(df: DataFrame, key: str | Column, n_buckets: int, descending: boo
     if not fracs:
         return []
     row = df.agg(F.percentile_approx(k, fracs, relative_error).alias("c")).first()
-    return sorted({float(c) for c in (row["c"] or []) if c is not None
-                   and c not in (float("inf"), float("-inf"))})
+    raw = [float(c) for c in (row["c"] or []) if c is not None and c not in (float("inf"), float("-inf"))]
+    cuts = set(raw)
+    # a value returned for two or more quantiles holds at least 1/n_buckets of
+    # the rows: give it a bucket of its own, [v, nextafter(v)), so that only
+    # rows with that exact value share it (and it can be split on a tiebreak)
+    for v in {v for v in raw if raw.count(v) > 1}:
+        cuts.add(math.nextafter(v, math.inf))
+    return sorted(cuts)
 
 
 def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
@@ -74,13 +81,16 @@ def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
     return out.withColumn(_B, F.col(_B).cast("int")).drop(_K), len(splits) - 1
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], next_col: str | None,
+def _split_hot(df: DataFrame, keys: Sequence[str], lead_col: str, next_col: str | None,
                target: int, descending: bool) -> DataFrame:
-    """Add ``_dl_sub``: over-full buckets are cut again on ``next_col``."""
+    """Add ``_dl_sub``: over-full buckets holding a single leading value are cut
+    again on ``next_col`` (rows of one leading value are ordered by the next
+    column, so the sub-buckets keep the total order)."""
     if next_col is None:
         return df.withColumn(_S, F.lit(0))
-    counts = df.groupBy(*keys, _B).count()
-    hot = counts.where(F.col("count") > 4 * target)
+    counts = df.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("count"),
+                                       F.min(lead_col).alias("_mn"), F.max(lead_col).alias("_mx"))
+    hot = counts.where((F.col("count") > 4 * target) & (F.col("_mn") == F.col("_mx")))
     hot_rows = hot.select(*keys, _B, "count").collect()   # bounded: #hot buckets
     if not hot_rows:
         return df.withColumn(_S, F.lit(0))
@@ -120,7 +130,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
     keys = list(keys)
     nb = n_buckets or _default_buckets(df)
     b, _ = _bucketize(df, F.col(order_cols[0]), nb, descending)
-    b = _split_hot(b, keys, order_cols[1] if len(order_cols) > 1 else None,
+    b = _split_hot(b, keys, order_cols[0], order_cols[1] if len(order_cols) > 1 else None,
                    rows_per_bucket, descending)
     counts = b.groupBy(*keys, _B, _S).agg(F.count(F.lit(1)).alias("_dl_n"))
     wo = Window.partitionBy(*keys).orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
@@ -170,7 +180,7 @@ def equal_count_bin(rank: str | Column, n: str | Column, k: int) -> Column:
     ``max(ceil((rank-1)*k/(n-1)) - 1, 0)`` in integer arithmetic; not ``ntile``.
     """
     r = col_of(rank).cast("long")
-    nn = col_of(n).cast("long")
+    nn = (F.lit(n) if isinstance(n, int) else col_of(n)).cast("long")
     num = (r - 1) * F.lit(k) + nn - 2
     v = F.when(nn <= 1, F.lit(0)).otherwise(
         F.greatest(int_div(num, nn - 1) - 1, F.lit(0)))

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import lit_array
+from driftline.functions.exprs import count_lt, lit_array
 
 # Latency histogram bucket upper bounds (seconds) of the service.
 LATENCY_BUCKETS = (0.001, 0.0025, 0.005, 0.0075, 0.010, 0.015, 0.020, 0.030, 0.040, 0.050,
@@ -101,7 +101,7 @@ def histogram(df: DataFrame, value_s: str, keys: Sequence[str], bounds: Sequence
     >= value, the last bucket is +Inf; every bucket present (bounded rows)."""
     keys = list(keys)
     arr = lit_array(bounds)
-    idx = F.size(F.filter(arr, lambda b: b < F.col(value_s)))
+    idx = count_lt(list(bounds), F.col(value_s))
     g = df.groupBy(*keys, idx.alias("le_idx")).agg(F.count(F.lit(1)).alias("count"))
     nb = len(bounds) + 1
     grid = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("le_idx"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import status_class
+from driftline.functions.exprs import count_lt, status_class
 from driftline.operators import clean as C
 from driftline.operators import slo as L
 from driftline.plans import sqlgen as S
@@ -222,7 +222,7 @@ NB = len(L.LATENCY_BUCKETS) + 1
 def _p99_rules(spark, sf):
     r = _req(spark, sf)
     arr = F.array(*[F.lit(x) for x in L.LATENCY_BUCKETS])
-    r = r.withColumn("le_idx", F.size(F.filter(arr, lambda x: x < F.col("duration_ms") / 1000.0)))
+    r = r.withColumn("le_idx", count_lt(list(L.LATENCY_BUCKETS), F.col("duration_ms") / 1000.0))
     base = r.select("endpoint").distinct().select("endpoint", F.explode(F.sequence(F.lit(0), F.lit(NB - 1))).alias("le_idx"))
     g = L.grid_series(r, "ts", STEP, {"count": F.count(F.lit(1))}, ["endpoint", "le_idx"], base=base)
     g = g.withColumn("le", F.coalesce(F.try_element_at(arr, F.col("le_idx") + 1), F.lit(float("inf"))))
