@@ -43,21 +43,24 @@ def reference_edges(ref: DataFrame, numeric: Sequence[str], bins: int = 10,
     -inf/+inf.  A reference with fewer than two distinct quantiles gets the one
     closed bin ``[min-1, max+1]`` (``lo``/``hi``) and rows outside it are not
     counted.  ``degenerate`` = 1 when at most one bin exists (PSI is then 0 or
-    blind).  ``method="approx"`` uses ``percentile_approx`` for very large
-    references (bounded sketch instead of exact value counts).
+    blind).  ``method="exact"`` uses the distributed exact quantiles of
+    ``operators.quantile`` (no single-task merge); ``method="approx"`` a
+    bounded ``percentile_approx`` sketch.
     """
     qs = linspace(bins)
-    aggs = []
-    for c in numeric:
-        x = F.col(c).cast("double")
-        if method == "exact":
-            q = F.percentile(x, lit_array(qs))
-        else:
+    if method == "exact":
+        from driftline.operators.quantile import exact_quantiles
+        ex = exact_quantiles(ref, numeric, qs, keys)
+        long = ex.select(*keys, F.struct("feature", "q", "mn", "mx").alias("s"))
+    else:
+        aggs = []
+        for c in numeric:
+            x = F.col(c).cast("double")
             q = F.percentile_approx(x, lit_array(qs), accuracy)
-        aggs.append(F.struct(F.lit(c).alias("feature"), q.alias("q"),
-                             F.min(x).alias("mn"), F.max(x).alias("mx")).alias(c))
-    g = ref.groupBy(*keys).agg(*aggs) if keys else ref.agg(*aggs)
-    long = g.select(*keys, F.explode(F.array(*[F.col(c) for c in numeric])).alias("s"))
+            aggs.append(F.struct(F.lit(c).alias("feature"), q.alias("q"),
+                                 F.min(x).alias("mn"), F.max(x).alias("mx")).alias(c))
+        g = ref.groupBy(*keys).agg(*aggs) if keys else ref.agg(*aggs)
+        long = g.select(*keys, F.explode(F.array(*[F.col(c) for c in numeric])).alias("s"))
     e = F.array_sort(F.array_distinct(F.coalesce(F.col("s.q"), F.array().cast("array<double>"))))
     n_e = F.size(e)
     return long.select(
