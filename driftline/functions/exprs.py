@@ -16,7 +16,7 @@ __all__ = [
     "NULL_TOKEN", "EPSILON", "col_of", "binarise", "safe_div", "as_category",
     "linspace", "lit_array", "count_le", "count_lt", "hash_uniform",
     "poisson1_cdf", "poisson_from_uniform", "t_test_p_even_df", "r6", "round_half_up",
-    "status_class", "percentile_exact",
+    "status_class", "percentile_exact", "scalars",
 ]
 
 # Fixed values -------------------------------------------------------------
@@ -151,6 +151,13 @@ def round_half_up(c: str | Column, dp: int = 6) -> Column:
     return F.when(F.abs(x) < 1e12, F.floor(x * m + 0.5) / m).otherwise(x)
 
 
+def scalars(df, *cols: str) -> dict:
+    """Several values of a one-row frame as scalar-subquery columns that share
+    ONE subquery (a struct), so the frame is evaluated once, not once per value."""
+    s = df.select(F.struct(*cols).alias("_s")).scalar()
+    return {c: s[c] for c in cols}
+
+
 def r6(c: str | Column, dp: int = 6) -> Column:
     return round_half_up(c, dp)
 

@@ -46,37 +46,34 @@ def percentile_interval(reps: DataFrame, value: str, keys: Sequence[str],
 def bootstrap_metrics(df: DataFrame, row_key: Sequence[str], keys: Sequence[str] = (),
                       label: str = "label", score: str = "score", B: int = 1000,
                       level: float = 0.95, seed: int = 42,
-                      metrics: Sequence[str] = ("pr_auc", "roc_auc", "brier")) -> DataFrame:
+                      metrics: Sequence[str] = ("pr_auc", "roc_auc", "brier"),
+                      materialize: bool = True) -> DataFrame:
     """F8: point estimate and percentile CI of AP / ROC-AUC / Brier per ``keys``.
 
     Replicates with a single class are skipped; with no valid replicate the
     interval collapses to the point.  Output: ``(keys, metric, point, lower,
-    upper, se, n_replicates)``.
+    upper, se, n_replicates)``.  The (keys, row key, label, score) input is
+    checkpointed once because every branch below reads it.
     """
     keys = list(keys)
     base = df.select(*keys, *row_key, F.col(label).alias("label"), F.col(score).alias("score"))
+    if materialize:
+        # read by the cut points, the point curve, every replicate and Brier:
+        # cut the lineage once (reliable checkpoint in spark.checkpoint.dir)
+        base = base.checkpoint()
     cuts = cut_points(base, "score", M._nb(base), descending=True)
     reps = replicate(base, row_key, B, seed)
     rk = [*keys, "b"]
     point_parts, rep_parts = [], []
-    if "pr_auc" in metrics or "roc_auc" in metrics:
-        pt = M.rank_metrics(M.score_curve(base, keys, cuts=cuts), keys)
-        rp = M.rank_metrics(M.score_curve(reps, rk, weight="w", cuts=cuts), rk)
-        rp = rp.where((F.col("total_pos") > 0) & (F.col("total_neg") > 0))
-        for m, c in (("pr_auc", "average_precision"), ("roc_auc", "roc_auc")):
-            if m in metrics:
-                point_parts.append(pt.select(*keys, F.lit(m).alias("metric"), F.col(c).alias("point")))
-                rep_parts.append(rp.select(*rk, F.lit(m).alias("metric"), F.col(c).alias("value")))
-    if "brier" in metrics:
-        point_parts.append(M.brier(base, keys).select(*keys, F.lit("brier").alias("metric"),
-                                                      F.col("brier").alias("point")))
-        y = F.col("label") == 1
-        g = reps.groupBy(*rk).agg(
-            (F.sum(F.col("w") * F.pow(F.col("score") - F.col("label"), 2)) / F.sum("w")).alias("value"),
-            F.sum(F.when(y, F.col("w")).otherwise(0)).alias("_p"),
-            F.sum(F.when(~y, F.col("w")).otherwise(0)).alias("_n"))
-        rep_parts.append(g.where((F.col("_p") > 0) & (F.col("_n") > 0))
-                          .select(*rk, F.lit("brier").alias("metric"), "value"))
+    # one weighted (keys, b, score) aggregate serves AP, ROC-AUC and Brier, so the
+    # replicate generator runs once
+    pt = M.rank_metrics(M.score_curve(base, keys, cuts=cuts, with_sq_error=True), keys)
+    rp = M.rank_metrics(M.score_curve(reps, rk, weight="w", cuts=cuts, with_sq_error=True), rk)
+    rp = rp.where((F.col("total_pos") > 0) & (F.col("total_neg") > 0))
+    for m, c in (("pr_auc", "average_precision"), ("roc_auc", "roc_auc"), ("brier", "brier")):
+        if m in metrics:
+            point_parts.append(pt.select(*keys, F.lit(m).alias("metric"), F.col(c).alias("point")))
+            rep_parts.append(rp.select(*rk, F.lit(m).alias("metric"), F.col(c).alias("value")))
     points = point_parts[0]
     for p in point_parts[1:]:
         points = points.unionByName(p)

@@ -316,8 +316,9 @@ def prediction_drift(reference: DataFrame, current: DataFrame, score: str, row_k
     c = current.agg(F.avg(s).alias("current_mean"),
                     F.avg((s >= decision_threshold).cast("double")).alias("current_alert_rate"))
     ci = bootstrap_mean(reference, score, row_key, B=B, level=level, seed=seed)
-    rm, ra = r.select("reference_mean").scalar(), r.select("reference_alert_rate").scalar()
-    lo, hi = ci.select("lower").scalar(), ci.select("upper").scalar()
+    from driftline.functions.exprs import scalars
+    rs, cs = scalars(r, "reference_mean", "reference_alert_rate"), scalars(ci, "lower", "upper")
+    rm, ra, lo, hi = rs["reference_mean"], rs["reference_alert_rate"], cs["lower"], cs["upper"]
     out = c.select(
         rm.alias("reference_mean"), "current_mean",
         F.when(rm != 0, (F.col("current_mean") - rm) / rm).otherwise(F.lit(0.0)).alias("mean_relative_change"),
@@ -342,8 +343,9 @@ def label_drift(matured: DataFrame, baseline_pr_auc: float | Column, row_key: Se
     bm = bootstrap_metrics(base, row_key, [], B=B, seed=seed, metrics=("pr_auc",))
     stats = base.agg(F.count(F.lit(1)).alias("n_matured"),
                      F.sum("label").alias("n_positive"))
-    obs = bm.select("point").scalar()
-    se = bm.select("se").scalar()
+    from driftline.functions.exprs import scalars
+    bs = scalars(bm, "point", "se")
+    obs, se = bs["point"], bs["se"]
     bl = baseline_pr_auc if isinstance(baseline_pr_auc, Column) else F.lit(float(baseline_pr_auc))
     enough = (F.col("n_matured") >= min_labels) & (F.col("n_positive") > 0) & \
         (F.col("n_positive") < F.col("n_matured"))
@@ -403,7 +405,9 @@ def reweight_sample(df: DataFrame, col: str, levels: Sequence[str], weight: floa
     expected size n and the level shares of a weighted draw; no driver loop."""
     w = F.when(F.col(col).isin(list(levels)), F.lit(float(weight))).otherwise(F.lit(1.0))
     tot = df.agg(F.sum(w).alias("sw"), F.count(F.lit(1)).alias("n"))
-    lam = w * tot.select("n").scalar() / tot.select("sw").scalar()
+    from driftline.functions.exprs import scalars
+    ts = scalars(tot, "n", "sw")
+    lam = w * ts["n"] / ts["sw"]
     d = df.withColumn("_lam", lam).withColumn("_u", hash_uniform_cols(row_key, seed))
     k = poisson_inverse(F.col("_lam"), F.col("_u"))
     return d.withColumn("_copies", k).where(F.col("_copies") > 0) \

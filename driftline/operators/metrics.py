@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.exprs import (NULL_TOKEN, col_of, count_lt, linspace, lit_array,
-                                      round_half_up, safe_div)
+                                      round_half_up, safe_div, scalars)
 from driftline.operators.order import cut_points, prefix_sum
 
 
@@ -67,7 +67,7 @@ def confusion(df: DataFrame, threshold: float | str | Column, keys: Sequence[str
 
 def score_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
                 score: str = "score", weight: str | None = None,
-                cuts: list[float] | None = None) -> DataFrame:
+                cuts: list[float] | None = None, with_sq_error: bool = False) -> DataFrame:
     """one row per ``(keys, distinct score)`` in descending score order.
 
     Columns: ``pos, neg`` at the score, cumulative ``cum_pos, cum_neg`` over
@@ -77,9 +77,11 @@ def score_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
     keys = list(keys)
     w = _w(weight)
     y = F.col(label) == 1
+    extra = ([(F.sum(w * F.pow(F.col(score) - F.col(label), 2))).alias("sq_err")]
+             if with_sq_error else [])
     pts = df.groupBy(*keys, score).agg(
         F.sum(F.when(y, w).otherwise(F.lit(0))).alias("pos"),
-        F.sum(F.when(~y, w).otherwise(F.lit(0))).alias("neg"))
+        F.sum(F.when(~y, w).otherwise(F.lit(0))).alias("neg"), *extra)
     if cuts is None:
         cuts = cut_points(df, score, _nb(df), descending=True)
     cum = prefix_sum(pts, score, ["pos", "neg"], keys, descending=True, cuts=cuts)
@@ -87,8 +89,8 @@ def score_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
     if keys:
         j = cum.join(tot, keys, "inner")
     else:  # scalar subqueries: computed once, one value each
-        j = cum.select("*", tot.select("total_pos").scalar().alias("total_pos"),
-                       tot.select("total_neg").scalar().alias("total_neg"))
+        ts = scalars(tot, "total_pos", "total_neg")
+        j = cum.select("*", ts["total_pos"].alias("total_pos"), ts["total_neg"].alias("total_neg"))
     return j.select(
         "*",
         safe_div(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
@@ -106,20 +108,22 @@ def _nb(df: DataFrame) -> int:
 
 def rank_metrics(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """F5 + F6 from a curve: average precision (step sum, ties grouped) and
-    ROC-AUC (ties count one half).  Null when a class is absent."""
+    ROC-AUC (ties count one half).  Null when a class is absent.  A curve built
+    ``with_sq_error`` also yields the (weighted) Brier score in the same pass."""
     keys = list(keys)
     P, N = F.first("total_pos"), F.first("total_neg")
+    extra = [F.sum("sq_err").alias("_sq")] if "sq_err" in curve.columns else []
     g = curve.groupBy(*keys).agg(
         F.sum(F.col("pos") * F.col("precision")).alias("_ap_num"),
         F.sum(F.col("pos") * (F.col("total_neg") - F.col("cum_neg") + 0.5 * F.col("neg"))).alias("_auc_num"),
-        P.alias("total_pos"), N.alias("total_neg"))
+        P.alias("total_pos"), N.alias("total_neg"), *extra)
     pos_ok = F.col("total_pos") > 0
     both = pos_ok & (F.col("total_neg") > 0)
-    return g.select(
-        *keys, "total_pos", "total_neg",
-        F.when(pos_ok, F.col("_ap_num") / F.col("total_pos")).alias("average_precision"),
-        F.when(both, F.col("_auc_num") / (F.col("total_pos") * F.col("total_neg"))).alias("roc_auc"),
-    )
+    out = [F.when(pos_ok, F.col("_ap_num") / F.col("total_pos")).alias("average_precision"),
+           F.when(both, F.col("_auc_num") / (F.col("total_pos") * F.col("total_neg"))).alias("roc_auc")]
+    if extra:
+        out.append((F.col("_sq") / (F.col("total_pos") + F.col("total_neg"))).alias("brier"))
+    return g.select(*keys, "total_pos", "total_neg", *out)
 
 
 def brier(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
@@ -285,18 +289,19 @@ def single_feature_baseline(df: DataFrame, feature: str, label: str = "label",
     st = df.agg(F.percentile(F.col(feature).cast("double"), F.lit(pct)).alias("cut"),
                 F.min(feature).cast("double").alias("mn"),
                 F.max(feature).cast("double").alias("mx"))
-    cut, mn, mx = (st.select(c).scalar() for c in ("cut", "mn", "mx"))
+    ss = scalars(st, "cut", "mn", "mx")
+    cut, mn, mx = ss["cut"], ss["mn"], ss["mx"]
     rng = F.when((mx - mn) == 0, F.lit(1.0)).otherwise(mx - mn)
     s = df.select(F.col(label).alias("label"), F.col(feature).cast("double").alias("x")) \
           .select("label", "x", ((F.col("x") - mn) / rng).alias("score"))
     flag = (F.col("x") > cut).cast("int")
-    rm = rank_metrics(score_curve(s, []))
+    rm = scalars(rank_metrics(score_curve(s, [])), "average_precision", "roc_auc")
     return s.agg(
         F.lit(f"heuristic_{feature}").alias("baseline"),
         F.avg((flag == F.col("label")).cast("double")).alias("accuracy"),
         safe_div(F.sum(flag * F.col("label")), F.sum("label")).alias("recall"),
-        F.first(rm.select("average_precision").scalar()).alias("pr_auc"),
-        F.first(rm.select("roc_auc").scalar()).alias("roc_auc"),
+        F.first(rm["average_precision"]).alias("pr_auc"),
+        F.first(rm["roc_auc"]).alias("roc_auc"),
         F.avg(F.pow(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) - F.col("label"), 2))
          .alias("brier"),
         F.first(cut).alias("threshold"),

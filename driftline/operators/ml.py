@@ -24,7 +24,9 @@ INFREQUENT = "__infrequent__"
 def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
     """``n / (2 * n_class)`` per row (two class counts, a scalar each)."""
     g = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    n, p = g.select("n").scalar(), g.select("p").scalar()
+    from driftline.functions.exprs import scalars
+    gs = scalars(g, "n", "p")
+    n, p = gs["n"], gs["p"]
     w = F.when(F.col(label) == 1, n / (2 * p)).otherwise(n / (2 * (n - p)))
     return df.withColumn(weight_col, w.cast("double"))
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import count_lt, lit_array
+from driftline.functions.exprs import count_lt, lit_array, scalars
 
 # Latency histogram bucket upper bounds (seconds) of the service.
 LATENCY_BUCKETS = (0.001, 0.0025, 0.005, 0.0075, 0.010, 0.015, 0.020, 0.030, 0.040, 0.050,
@@ -43,8 +43,8 @@ def grid_series(df: DataFrame, ts: str, step_s: int, measures: Mapping[str, Colu
     b = df.withColumn("_b", bucket_of(ts, step_s))
     g = b.groupBy(*keys, "_b").agg(*[m.alias(n) for n, m in measures.items()])
     sp = (span if span is not None else df).select(bucket_of(ts, step_s).alias("_b"))
-    lo = sp.agg(F.min("_b")).scalar()
-    hi = sp.agg(F.max("_b")).scalar()
+    bounds = scalars(sp.agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")), "lo", "hi")
+    lo, hi = bounds["lo"], bounds["hi"]
     if base is None:
         base = b.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     grid = base.select(*keys, F.explode(F.sequence(lo, hi)).alias("_b"))

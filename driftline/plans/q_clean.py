@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import binarise
+from driftline.functions.exprs import binarise, scalars
 from driftline.operators import clean as C
 from driftline.operators import validate as VL
 from driftline.plans.registry import register
@@ -67,7 +67,8 @@ def _ledger(spark, sf):
     first = C.first_per_entity(kept, "o_custkey", ["o_orderkey"])
     kb = kept.agg(F.count(F.lit(1)).alias("b"), F.countDistinct("o_custkey").alias("u"))
     fa = first.agg(F.count(F.lit(1)).alias("a"))
-    b, u, a = kb.select("b").scalar(), kb.select("u").scalar(), fa.select("a").scalar()
+    ks = scalars(kb, "b", "u")
+    b, u, a = ks["b"], ks["u"], fa.select("a").scalar()
     one = o.sparkSession.range(1)
     for m, v in (("rows_before", b), ("rows_after", a), ("rows_removed", b - a), ("unique_entities", u)):
         rows.append(one.select(F.lit("first_per_entity").alias("step"), F.lit(m).alias("metric"),
@@ -79,9 +80,10 @@ def _ledger(spark, sf):
     clean = C.replace_sentinel(first, SENTINEL, "Unknown")
     fin = clean.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("r"))
     nin = o.select(F.count(F.lit(1))).scalar()
-    nout = fin.select("n").scalar()
+    fs = scalars(fin, "n", "r")
+    nout = fs["n"]
     for m, v in (("rows_in", nin), ("rows_out", nout), ("rows_removed", nin - nout),
-                 ("pct_removed", (nin - nout) * 100.0 / nin), ("positive_rate", fin.select("r").scalar())):
+                 ("pct_removed", (nin - nout) * 100.0 / nin), ("positive_rate", fs["r"])):
         rows.append(one.select(F.lit("complete").alias("step"), F.lit(m).alias("metric"),
                                v.cast("double").alias("value")))
     out = rows[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline.functions import exprs as S_
 from driftline.operators import gates as G
 from driftline.operators import metrics as M
 from driftline.operators import profile as P
@@ -165,7 +166,8 @@ def canary_verdict(spark, sf):
     can = r.where(F.col("instance") == CANARY_INSTANCE)
     ci = bootstrap_mean(base, "v", ["event_id"], B=CANARY_B, level=0.99)
     be = base.agg(F.avg(F.col("is_5xx").cast("double"))).scalar()
-    lo, hi = ci.select("lower").scalar(), ci.select("upper").scalar()
+    cs = S_.scalars(ci, "lower", "upper")
+    lo, hi = cs["lower"], cs["upper"]
     c = can.agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.lit(0.99)).alias("p99"),
                 F.avg(F.col("is_5xx").cast("double")).alias("error_ratio"), F.avg("v").alias("mean_score"))
     ok = ((F.col("n") >= CANARY_MIN) & (F.col("p99") <= SLO_P99) & (F.col("error_ratio") <= be * 1.5) &

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.functions.exprs import scalars
 from driftline.operators import drift as D
 from driftline.operators import split as SP
 from driftline.operators.order import global_rank, window_id
@@ -95,8 +96,9 @@ def _live(spark, sf):
     thr = spark.createDataFrame([(f, 0.10) for f in FEATURES], "feature string, threshold double")
     p = D.data_drift(D.psi(ref, win, ["o_totalprice"], ["o_orderpriority", "o_orderstatus"]), thr)
     stored = win.agg(F.max("feature_schema_hash").alias("h"), F.count(F.lit(1)).alias("n"))
-    comparable = (stored.select("h").scalar() == F.lit(ref_hash)).cast("int")
-    wn = stored.select("n").scalar()
+    st = scalars(stored, "h", "n")
+    comparable = (st["h"] == F.lit(ref_hash)).cast("int")
+    wn = st["n"]
     return p.select("feature", "psi", "threshold", "breaching", comparable.alias("comparable"),
                     wn.alias("window_rows"),
                     F.when(wn < 1000, F.lit("window below 1000 rows: indicative only")).otherwise(F.lit(""))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import binarise
+from driftline.functions.exprs import binarise, scalars
 from driftline.operators import bootstrap as BS
 from driftline.operators import metrics as M
 from driftline.operators import ml as ML
@@ -109,7 +109,8 @@ def champion(spark, sf):
     cx = ev.withColumn("complexity", F.expr("CASE model " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in COMPLEXITY.items())
                                             + " END"))
     best = cx.agg(F.max_by(F.struct("model", "pr_auc_lower", "pr_auc_upper"), "pr_auc").alias("b"))
-    lo, hi = best.select("b.pr_auc_lower").scalar(), best.select("b.pr_auc_upper").scalar()
+    bs = scalars(best.select("b.*"), "pr_auc_lower", "pr_auc_upper")
+    lo, hi = bs["pr_auc_lower"], bs["pr_auc_upper"]
     ov = cx.where((F.col("pr_auc_lower") <= hi) & (lo <= F.col("pr_auc_upper")))
     return present(ov.agg(F.min_by("model", F.struct("complexity", "model")).alias("champion"),
                           F.min_by("pr_auc", F.struct("complexity", "model")).alias("pr_auc"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import binarise
+from driftline.functions.exprs import binarise, scalars
 from driftline.operators import outcomes as O
 from driftline.operators import split as SP
 from driftline.operators.order import equal_count_bin, global_rank
@@ -112,9 +112,9 @@ def proxy_verification(spark, sf):
     status) over 10 bins; Spearman rho, p (t, 8 df), verdict (>= 3 trend)."""
     tr = _proxy(spark, sf)
     v = SP.proxy_verdict(tr)
+    vs = scalars(v, "n_trending", "passed")
     return present(tr.select("signal", "spearman_rho", "p_value", "first_bin", "last_bin", "trends",
-                             v.select("n_trending").scalar().alias("n_trending"),
-                             v.select("passed").scalar().alias("passed")))
+                             vs["n_trending"].alias("n_trending"), vs["passed"].alias("passed")))
 
 
 # ---------------------------------------------------------------- E6

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftline.functions.exprs import scalars
 from driftline.operators import drift as D
 from driftline.operators import outcomes as O
 from driftline.operators import profile as P
@@ -132,10 +133,9 @@ def additive_shift(spark, sf):
     sh = D.additive_shift(li, "l_quantity", 10.0, 50.0)
     mb, ma = P.moments(li, "l_quantity"), P.moments(sh, "l_quantity")
     p = D.psi(li, sh, ["l_quantity"], [])
-    return present(p.select("feature", mb.select("mean").scalar().alias("mean_before"),
-                            ma.select("mean").scalar().alias("mean_after"),
-                            mb.select("p90").scalar().alias("p90_before"),
-                            ma.select("p90").scalar().alias("p90_after"), "psi"))
+    b, a = scalars(mb, "mean", "p90"), scalars(ma, "mean", "p90")
+    return present(p.select("feature", b["mean"].alias("mean_before"), a["mean"].alias("mean_after"),
+                            b["p90"].alias("p90_before"), a["p90"].alias("p90_after"), "psi"))
 
 
 @register("collapse",
