@@ -463,3 +463,42 @@ def alert_table(spark, sf):
                           .select("rule", F.col("t").alias("fired_at"), "value")))
     meta = sp.createDataFrame([(k, SEVERITY[k], RUNBOOKS[k]) for k in RUNBOOKS], "rule string, severity string, runbook string")
     return present(fires.join(F.broadcast(meta), "rule").select("rule", "severity", "fired_at", "value", "runbook"))
+
+
+# ---------------------------------------------------------------- J18 model health
+
+MH_THR = 0.35
+
+
+def _model_health(spark, sf):
+    p = V.pred(spark, sf)
+    o = V.outc(spark, sf)
+    g = L.grid_series(p, "pred_ts", DAY, {"n_pred": F.count(F.lit(1)),
+                                          "n_flagged": F.count_if(F.col("score") >= MH_THR),
+                                          "score_sum": F.sum("score")})
+    g = L.trailing(g, 7 * DAY, DAY, ["n_pred", "score_sum"], [], "_7d")
+    oc = L.grid_series(o, "outcome_ts", DAY, {"n_outcomes": F.count(F.lit(1))},
+                       span=p.select(F.col("pred_ts").alias("outcome_ts"))).select("_b", "n_outcomes")
+    j = g.join(oc, "_b", "left").fillna(0, ["n_outcomes"])
+    return j.select("t", "n_pred", "n_flagged", (F.col("n_pred") - F.col("n_flagged")).alias("n_not_flagged"),
+                    (F.col("n_flagged") / F.greatest(F.col("n_pred").cast("double"), F.lit(0.001))).alias("flagged_share"),
+                    (F.col("score_sum_7d") / F.col("n_pred_7d")).alias("mean_score_7d"), "n_outcomes")
+
+
+@register("model_health",
+          "WITH _p AS (SELECT o_orderdate AS ts, least(o_totalprice / 500000.0::DOUBLE, 1.0::DOUBLE) AS score, "
+          f"epoch_us(o_orderdate) // {DAY * 1_000_000} AS b FROM orders),\n"
+          f"_o AS (SELECT epoch_us(l_shipdate) // {DAY * 1_000_000} AS b FROM lineitem),\n"
+          f"_g AS (SELECT b, count(*) AS n_pred, count(*) FILTER (WHERE score >= {MH_THR}) AS n_flagged, sum(score) AS score_sum FROM _p GROUP BY b),\n"
+          "_s AS (SELECT unnest(range(min(b), max(b) + 1)) AS b FROM _p),\n"
+          "_oc AS (SELECT b, count(*) AS n_outcomes FROM _o GROUP BY b),\n"
+          f"_f AS (SELECT s.b, coalesce(g.n_pred, 0) AS n_pred, coalesce(g.n_flagged, 0) AS n_flagged, coalesce(g.score_sum, 0) AS score_sum, "
+          "coalesce(oc.n_outcomes, 0) AS n_outcomes FROM _s s LEFT JOIN _g g USING (b) LEFT JOIN _oc oc USING (b)),\n"
+          f"_t AS (SELECT *, sum(n_pred) OVER w AS n7, sum(score_sum) OVER w AS s7 FROM _f WINDOW w AS (ORDER BY b RANGE BETWEEN 6 PRECEDING AND CURRENT ROW))\n"
+          f"SELECT make_timestamp((b + 1) * {DAY * 1_000_000}) AS t, n_pred, n_flagged, n_pred - n_flagged AS n_not_flagged, "
+          "round(n_flagged / greatest(n_pred::DOUBLE, 0.001), 6) AS flagged_share, round(s7 / n7, 6) AS mean_score_7d, n_outcomes FROM _t")
+def model_health(spark, sf):
+    """Daily model-health panel on the prediction log: prediction rate,
+    flagged share (denominator floored at 0.001), label mix, 7-day mean score
+    and outcomes recorded per day (empty days are rows)."""
+    return present(_model_health(spark, sf))
