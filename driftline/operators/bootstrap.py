@@ -68,7 +68,8 @@ def bootstrap_metrics(df: DataFrame, row_key: Sequence[str], keys: Sequence[str]
     # one weighted (keys, b, score) aggregate serves AP, ROC-AUC and Brier, so the
     # replicate generator runs once
     pt = M.rank_metrics(M.score_curve(base, keys, cuts=cuts, with_sq_error=True), keys)
-    rp = M.rank_metrics(M.score_curve(reps, rk, weight="w", cuts=cuts, with_sq_error=True), rk)
+    rp = M.rank_metrics(M.score_curve(reps, rk, weight="w", cuts=cuts, with_sq_error=True,
+                                      materialize=materialize), rk)
     rp = rp.where((F.col("total_pos") > 0) & (F.col("total_neg") > 0))
     for m, c in (("pr_auc", "average_precision"), ("roc_auc", "roc_auc"), ("brier", "brier")):
         if m in metrics:

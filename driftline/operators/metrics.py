@@ -67,7 +67,8 @@ def confusion(df: DataFrame, threshold: float | str | Column, keys: Sequence[str
 
 def score_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
                 score: str = "score", weight: str | None = None,
-                cuts: list[float] | None = None, with_sq_error: bool = False) -> DataFrame:
+                cuts: list[float] | None = None, with_sq_error: bool = False,
+                materialize: bool = False) -> DataFrame:
     """one row per ``(keys, distinct score)`` in descending score order.
 
     Columns: ``pos, neg`` at the score, cumulative ``cum_pos, cum_neg`` over
@@ -82,6 +83,10 @@ def score_curve(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
     pts = df.groupBy(*keys, score).agg(
         F.sum(F.when(y, w).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(~y, w).otherwise(F.lit(0))).alias("neg"), *extra)
+    if materialize:
+        # the per-score sums feed the bucket totals, the offsets and the running
+        # sums: cut the lineage once instead of re-deriving them per branch
+        pts = pts.checkpoint()
     if cuts is None:
         cuts = cut_points(df, score, _nb(df), descending=True)
     cum = prefix_sum(pts, score, ["pos", "neg"], keys, descending=True, cuts=cuts)

@@ -76,6 +76,11 @@ def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
     splits = [float("-inf")] + list(cuts) + [float("inf")]
     if len(splits) < 3:
         return df.withColumn(_B, F.lit(0)).drop(_K), 1
+    if len(cuts) <= 64:
+        # few cuts: a sum of literal comparisons stays inside whole-stage codegen
+        from driftline.functions.exprs import count_le
+        return df.withColumn(_B, count_le(list(cuts), F.col(_K)).cast("int")).drop(_K), len(splits) - 1
+    # many cuts: binary search on the JVM
     out = Bucketizer(splits=splits, inputCol=_K, outputCol=_B,
                      handleInvalid="keep").transform(df)
     return out.withColumn(_B, F.col(_B).cast("int")).drop(_K), len(splits) - 1
