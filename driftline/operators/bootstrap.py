@@ -20,16 +20,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import hash_uniform, poisson_from_uniform
+from driftline.functions.exprs import poisson_from_uniform, replicate_hashes, replicate_uniform
 from driftline.operators import metrics as M
 from driftline.operators.order import cut_points
 
 
 def replicate(df: DataFrame, row_key: Sequence[str], B: int, seed: int = 42) -> DataFrame:
-    """Add ``b`` (0..B-1) and Poisson(1) weight ``w``; rows with weight 0 are dropped."""
-    ex = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    u = hash_uniform(*row_key, F.col("b"), seed=seed)
-    return ex.withColumn("w", poisson_from_uniform(u)).where(F.col("w") > 0)
+    """Add ``b`` (0..B-1) and Poisson(1) weight ``w``; rows with weight 0 are dropped.
+
+    The md5 texts are computed once per row before the generator (one md5 per
+    four replicates); each replicate reads its own 32 bits."""
+    ex = df.withColumn("_h", replicate_hashes(row_key, B, seed)) \
+           .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    u = replicate_uniform(F.col("_h"), F.col("b"))
+    return ex.withColumn("w", poisson_from_uniform(u)).where(F.col("w") > 0).drop("_h")
 
 
 def percentile_interval(reps: DataFrame, value: str, keys: Sequence[str],

@@ -335,7 +335,7 @@ def boot_sql(src: str, keys: list[str], B: int, level: float = 0.95) -> str:
     the oracle); ends in ``_bci(keys, metric, point, lower, upper, se, n_replicates)``."""
     ks = S.keysel(keys)
     kr = keys + ["b"]
-    u = S.hash_uniform_sql("s.prediction_id", "r.range")
+    u = S.replicate_uniform_sql("s.prediction_id", "r.range")
     on = " AND ".join([f"p.{k} = c.{k}" for k in keys] + ["p.metric = c.metric"]) or "p.metric = c.metric"
     gbk = f"GROUP BY {', '.join(keys)}" if keys else ""
     return (

@@ -146,7 +146,7 @@ CANARY_B = 100
           f"_base AS (SELECT * FROM _req WHERE instance <> {CANARY_INSTANCE}),\n"
           f"_can AS (SELECT * FROM _req WHERE instance = {CANARY_INSTANCE}),\n"
           "_rep AS (SELECT * FROM (SELECT duration_ms / 1000.0 AS v, r.range AS b, "
-          + S.poisson_sql(S.hash_uniform_sql("q.event_id", "r.range"))
+          + S.poisson_sql(S.replicate_uniform_sql("q.event_id", "r.range"))
           + f" AS w FROM _base q CROSS JOIN range({CANARY_B}) r) WHERE w > 0),\n"
           "_m AS (SELECT b, sum(w * v) / sum(w) AS m FROM _rep GROUP BY b),\n"
           f"_ci AS (SELECT quantile_cont(m, {S.dbl((1 - 0.99) / 2)}) AS lo, quantile_cont(m, {S.dbl(1 - (1 - 0.99) / 2)}) AS hi FROM _m),\n"

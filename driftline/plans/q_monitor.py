@@ -83,7 +83,7 @@ PD_THR = 0.35
           "WITH " + SCORED_SQL.split(",\n_outc")[0] + ",\n"
           f"_r AS (SELECT * FROM _pred WHERE pred_ts < TIMESTAMP '{PD_CUT}'),\n"
           f"_c AS (SELECT * FROM _pred WHERE pred_ts >= TIMESTAMP '{PD_CUT}'),\n"
-          f"_rep AS (SELECT * FROM (SELECT p.score, {S.poisson_sql(S.hash_uniform_sql('p.prediction_id', 'r.range'))} AS w, "
+          f"_rep AS (SELECT * FROM (SELECT p.score, {S.poisson_sql(S.replicate_uniform_sql('p.prediction_id', 'r.range'))} AS w, "
           f"r.range AS b FROM _r p CROSS JOIN range({PD_B}) r) WHERE w > 0),\n"
           "_m AS (SELECT b, sum(w * score) / sum(w) AS m FROM _rep GROUP BY b),\n"
           f"_ci AS (SELECT quantile_cont(m, {S.dbl((1 - 0.99) / 2)}) AS lo, quantile_cont(m, {S.dbl(1 - (1 - 0.99) / 2)}) AS hi FROM _m),\n"

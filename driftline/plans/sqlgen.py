@@ -40,6 +40,13 @@ def hash_uniform_sql(*parts: str, seed: int = 42) -> str:
             f" / 4294967296.0)")
 
 
+def replicate_uniform_sql(key: str, b: str, seed: int = 42) -> str:
+    """SQL twin of ``replicate_hashes`` + ``replicate_uniform``."""
+    txt = f"CAST({key} AS VARCHAR) || '|' || CAST(({b}) // 4 AS VARCHAR) || '|{seed}'"
+    return (f"(('0x' || substr(md5({txt}), CAST(1 + 8 * (({b}) % 4) AS INTEGER), 8))::BIGINT::DOUBLE"
+            f" / 4294967296.0)")
+
+
 def poisson_sql(u: str, kmax: int = 12) -> str:
     cdf = poisson1_cdf(kmax)
     whens = " ".join(f"WHEN {u} <= {dbl(cdf[k])} THEN {k}" for k in range(kmax))
