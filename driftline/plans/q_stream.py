@@ -103,9 +103,7 @@ def stream_outcome_upsert(spark, sf):
     _outc_files(spark, sf, f"{base}/outc")
     table = ST.OutcomeTable(f"{base}/table", "prediction_id", "outcome_ts", V.OUTC_TIEBREAK)
     s = ST.file_stream(spark, f"{base}/outc", OUTC_SCHEMA)
-    q = (s.writeStream.foreachBatch(table.upsert).option("checkpointLocation", f"{base}/_ckpt")
-          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    ST.run_foreach_batch(s, table.upsert, f"{base}/_ckpt")
     return present(table.current(spark))
 
 
@@ -126,9 +124,7 @@ def stream_count_windows(spark, sf):
     cw = ST.CountWindows(f"{base}/log", ["pred_ts", "prediction_id"], WIN_SIZE,
                          on_window=lambda df, w: done.append(w))
     s = ST.file_stream(spark, f"{base}/pred", PRED_SCHEMA)
-    q = (s.writeStream.foreachBatch(cw.process).option("checkpointLocation", f"{base}/_ckpt")
-          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    ST.run_foreach_batch(s, cw.process, f"{base}/_ckpt")
     log = spark.read.parquet(f"{base}/log").where(F.col("window_id").isin(done))
     return present(log.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.min("pred_ts").alias("first_ts"),
                                                 F.max("pred_ts").alias("last_ts")))

@@ -196,11 +196,43 @@ def heartbeat_watchdog(df: DataFrame, key: str, ts_col: str, gap: str) -> DataFr
     return df.groupBy(key).applyInPandasWithState(fn, WATCHDOG_OUT, WATCHDOG_STATE, "append", "EventTimeTimeout")
 
 
-def run_available_now(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+class state_partitions:
+    """Context manager: shuffle / state-store partitions for a streaming query.
+
+    A stateful query fixes its partition count in the checkpoint when it first
+    starts; the default follows the cluster's parallelism rather than the
+    session's batch setting (200 state tasks per micro-batch are pure overhead
+    for small streams)."""
+
+    def __init__(self, spark: SparkSession, n: int | None = None):
+        self.spark = spark
+        self.n = n or max(8, spark.sparkContext.defaultParallelism)
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False
+
+
+def run_available_now(df: DataFrame, name: str, checkpoint: str, mode: str = "append",
+                      partitions: int | None = None) -> DataFrame:
     """Run a streaming query over everything available into a memory table and
     return it as a batch DataFrame (tests and the query catalogue)."""
     spark = df.sparkSession
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark, partitions):
+        q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.table(name)
+
+
+def run_foreach_batch(df: DataFrame, fn, checkpoint: str, partitions: int | None = None) -> None:
+    """Run ``fn(batch_df, epoch_id)`` over everything available (availableNow)."""
+    with state_partitions(df.sparkSession, partitions):
+        q = (df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start())
+        q.awaitTermination()
