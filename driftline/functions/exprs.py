@@ -31,7 +31,7 @@ def col_of(c: str | Column) -> Column:
 
 
 def binarise(c: str | Column, positive) -> Column:
-    """1 where ``c == positive``; everything else, null included, is 0."""
+    """B1: 1 where ``c == positive``; everything else, null included, is 0."""
     return F.coalesce(col_of(c) == F.lit(positive), F.lit(False)).cast("int")
 
 
@@ -180,7 +180,7 @@ def r6(c: str | Column, dp: int = 6) -> Column:
 
 
 def status_class(code: str | Column) -> Column:
-    """HTTP status code -> class label such as ``5xx``."""
+    """HTTP status code -> class label such as ``5xx``."""
     return F.concat(F.floor(col_of(code) / 100).cast("string"), F.lit("xx"))
 
 

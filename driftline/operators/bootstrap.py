@@ -107,3 +107,19 @@ def bootstrap_mean(df: DataFrame, value: str, row_key: Sequence[str], keys: Sequ
 def overlaps(a_lo, a_hi, b_lo, b_hi):
     """closed intervals overlap."""
     return (F.col(a_lo) <= F.col(b_hi)) & (F.col(b_lo) <= F.col(a_hi))
+
+
+def evaluation_report(df: DataFrame, threshold: float, row_key: Sequence[str], keys: Sequence[str] = (),
+                      label: str = "label", score: str = "score", B: int = 1000, seed: int = 42) -> DataFrame:
+    """confusion-based rates at the threshold joined with point and
+    percentile CI of PR-AUC, ROC-AUC and Brier, one row per ``keys``."""
+    keys = list(keys)
+    d = df.withColumnRenamed(label, "label").withColumnRenamed(score, "score") if (label, score) != ("label", "score") else df
+    conf = M.confusion(d, threshold, keys)
+    ci = bootstrap_metrics(d, row_key, keys, B=B, seed=seed)
+    aggs = []
+    for m in ("pr_auc", "roc_auc", "brier"):
+        for src, suf in (("point", ""), ("lower", "_lower"), ("upper", "_upper")):
+            aggs.append(F.max(F.when(F.col("metric") == m, F.col(src))).alias(f"{m}{suf}"))
+    wide = ci.groupBy(*keys).agg(*aggs) if keys else ci.agg(*aggs)
+    return conf.join(wide, keys) if keys else conf.join(wide)

@@ -259,3 +259,38 @@ def normalise_routes(df: DataFrame, key: Column, routes: DataFrame, key_col: str
     j = df.withColumn(key_col, key).join(F.broadcast(routes), key_col, "left")
     return j.withColumn("route", F.coalesce(F.col(template_col), F.lit("unmatched"))).drop(key_col, template_col)
 
+
+
+def cleaning_ledger(df: DataFrame, classes: Sequence[ExclusionClass], entity: str, order_cols: Sequence[str],
+                    sentinel: str, label: str, replacement: str = "Unknown") -> tuple[DataFrame, DataFrame]:
+    """Exclusion classes, then first row per entity, then sentinel ->
+    ``replacement`` (the fixed order), with the step ledger
+    ``(step, metric, value)`` built from aggregates of the same inputs."""
+    from driftline.functions.exprs import scalars
+    ev = exclusion_evidence(df, classes, label)
+    rows = [ev.select("step", F.lit("n_rows").alias("metric"), F.col("n_rows").cast("double").alias("value")),
+            ev.select("step", F.lit("n_positive").alias("metric"), F.col("n_positive").cast("double").alias("value")),
+            ev.select("step", F.lit("positive_rate").alias("metric"), F.col("positive_rate").alias("value"))]
+    kept = exclude(df, classes)
+    first = first_per_entity(kept, entity, order_cols)
+    ks = scalars(kept.agg(F.count(F.lit(1)).alias("b"), F.countDistinct(entity).alias("u")), "b", "u")
+    b, u, a = ks["b"], ks["u"], first.select(F.count(F.lit(1))).scalar()
+    one = df.sparkSession.range(1)
+    for m, v in (("rows_before", b), ("rows_after", a), ("rows_removed", b - a), ("unique_entities", u)):
+        rows.append(one.select(F.lit("first_per_entity").alias("step"), F.lit(m).alias("metric"),
+                               v.cast("double").alias("value")))
+    sc = sentinel_counts(first, sentinel)
+    rows.append(sc.select(F.lit("normalise_missing").alias("step"),
+                          F.concat(F.lit("sentinel:"), "column_name").alias("metric"),
+                          F.col("n").cast("double").alias("value")))
+    clean = replace_sentinel(first, sentinel, replacement)
+    fs = scalars(clean.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("r")), "n", "r")
+    nin, nout = df.select(F.count(F.lit(1))).scalar(), fs["n"]
+    for m, v in (("rows_in", nin), ("rows_out", nout), ("rows_removed", nin - nout),
+                 ("pct_removed", (nin - nout) * 100.0 / nin), ("positive_rate", fs["r"])):
+        rows.append(one.select(F.lit("complete").alias("step"), F.lit(m).alias("metric"),
+                               v.cast("double").alias("value")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return clean, out

@@ -135,7 +135,7 @@ def psi_cells(reference: DataFrame, current: DataFrame, numeric: Sequence[str] =
 def psi_vs_reference(reference: DataFrame, current: DataFrame, window_col: str,
                      numeric: Sequence[str] = (), categorical: Sequence[str] = (),
                      bins: int = 10, edge_method: str = "exact") -> DataFrame:
-    """PSI of every window of ``current`` against one fixed reference.
+    """PSI of every window of ``current`` against one fixed reference.
 
     The reference is binned and counted once; its (feature x cell) counts, a
     table bounded by features x bins/levels, are fanned out to the window ids
@@ -165,7 +165,7 @@ def psi_vs_reference(reference: DataFrame, current: DataFrame, window_col: str,
 
 
 def psi_from_cells(cells: DataFrame, keys: Sequence[str] = (), eps: float = EPSILON) -> DataFrame:
-    """PSI and Jensen-Shannon per ``(keys, feature)`` from cell counts.
+    """H2/H3 + H18: PSI and Jensen-Shannon per ``(keys, feature)`` from cell counts.
 
     Totals are floored at 1, proportions clipped at ``eps`` (PSI), and the
     Jensen-Shannon divergence (natural log) uses the unclipped proportions.
@@ -435,3 +435,10 @@ def collapse(df: DataFrame, col: str, value) -> DataFrame:
 
 #: pluggable perturbations for ``df.transform``
 INDUCERS = {"reweight": reweight_sample, "shift": additive_shift, "collapse": collapse}
+
+
+def label_origin(windows: DataFrame, induced: Column, manipulation: str) -> DataFrame:
+    """Every window row says whether its drift is ``real`` or ``induced``
+    and carries the manipulation record."""
+    return windows.withColumn("drift_origin", F.when(induced, F.lit("induced")).otherwise(F.lit("real"))) \
+                  .withColumn("manipulation", F.when(induced, F.lit(manipulation)).otherwise(F.lit("none")))

@@ -32,7 +32,7 @@ def gate_rows(wide: DataFrame, gates: Mapping[str, tuple[Column, Column, Column]
 
 def promotion_gates(wide: DataFrame, pr_auc_margin: float = 0.005, brier_ratio: float = 1.02,
                     ece_max: float = 0.05, gap_widening: float = 0.20, slo_p99: float | None = None) -> DataFrame:
-    """K1, K2, K3, K5 from a pivoted row with pr_auc, pr_auc_lower, brier, ece,
+    """K1, K2, K3, K5 (and the F20 ECE gate) from a pivoted row with pr_auc, pr_auc_lower, brier, ece,
     worst_gap, contract hash, canary p99 and the prevalence baseline."""
     c = F.col
     gates = {
@@ -62,6 +62,19 @@ def missingness_gate(ref_profile: DataFrame, cur_profile: DataFrame, max_points:
                     (d <= max_points).cast("int").alias("passed"))
 
 
+def canary_checks(canary: DataFrame, value: str, error_flag: str, baseline_error: Column,
+                  ci_lower: Column, ci_upper: Column, slo_p99: float, min_n: int = 1000) -> DataFrame:
+    """K8: canary verdict once it has ``min_n`` rows: p99 within SLO, error ratio
+    at most 1.5x the baseline's, mean inside the baseline's bootstrap CI."""
+    c = canary.agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.99)).alias("p99"),
+                   F.avg(F.col(error_flag).cast("double")).alias("error_ratio"), F.avg(value).alias("mean_score"))
+    ok = ((F.col("n") >= min_n) & (F.col("p99") <= slo_p99) & (F.col("error_ratio") <= baseline_error * 1.5) &
+          (F.col("mean_score") >= ci_lower) & (F.col("mean_score") <= ci_upper))
+    return c.select("n", "p99", "error_ratio", baseline_error.alias("baseline_error_ratio"), "mean_score",
+                    ci_lower.alias("ci_lower"), ci_upper.alias("ci_upper"),
+                    (F.col("n") >= min_n).cast("int").alias("enough"), ok.cast("int").alias("passed"))
+
+
 def triggers(rows: Mapping[str, tuple[Column, str]], frame: DataFrame) -> DataFrame:
     """K7: boolean trigger table ``(trigger_name, fired, reason)`` from a one-row frame."""
     st = F.explode(F.array(*[F.struct(F.lit(k).alias("trigger_name"), v.cast("int").alias("fired"),

@@ -154,7 +154,7 @@ def choose_calibration(val: DataFrame, score_col: str = "score", label: str = "l
 
 def sweep(model: PipelineModel, rows: DataFrame, row_id: str, feature: str, grid: Sequence[float],
           direction: int = 1) -> DataFrame:
-    """Every row scored at every grid value of ``feature`` (a generator over
+    """G13 + K4: every row scored at every grid value of ``feature`` (a generator over
     a literal grid, no join); share of rows whose score is monotone in the
     expected ``direction``."""
     ex = rows.withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))

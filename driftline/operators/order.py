@@ -193,5 +193,7 @@ def equal_count_bin(rank: str | Column, n: str | Column, k: int) -> Column:
 
 
 def window_id(rank: str | Column, window_rows: int) -> Column:
-    """0-based id of consecutive fixed-size windows over a 1-based rank."""
+    """0-based id of consecutive fixed-size windows over a 1-based
+    rank (the caller keeps complete windows, E12, or partial ones above a size,
+    E13)."""
     return int_div(col_of(rank).cast("long") - 1, F.lit(window_rows).cast("long"))

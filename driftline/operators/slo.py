@@ -36,7 +36,8 @@ def bucket_time(b: str | Column, step_s: int) -> Column:
 def grid_series(df: DataFrame, ts: str, step_s: int, measures: Mapping[str, Column],
                 keys: Sequence[str] = (), base: DataFrame | None = None,
                 span: DataFrame | None = None) -> DataFrame:
-    """Per-key series of ``step_s`` buckets from the first to the last bucket of
+    """Per-key series of ``step_s`` buckets
+    from the first to the last bucket of
     ``span`` (default: the table itself); buckets without events carry zeros.
     ``base`` lists the keys (default: the keys seen in the data)."""
     keys = list(keys)
@@ -54,7 +55,8 @@ def grid_series(df: DataFrame, ts: str, step_s: int, measures: Mapping[str, Colu
 
 def trailing(grid: DataFrame, range_s: int, step_s: int, cols: Sequence[str],
              keys: Sequence[str] = (), suffix: str = "") -> DataFrame:
-    """Sums of ``cols`` over the trailing ``range_s`` seconds at every grid point."""
+    """Sums of ``cols`` over the trailing
+    ``range_s`` seconds at every grid point (a Prometheus range)."""
     k = max(int(range_s // step_s), 1)
     w = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-(k - 1), 0)
     out = grid
@@ -64,8 +66,9 @@ def trailing(grid: DataFrame, range_s: int, step_s: int, cols: Sequence[str],
 
 
 def hold(df: DataFrame, cond: str, step_s: int, hold_s: int, keys: Sequence[str] = ()) -> DataFrame:
-    """J8 ``for:``: a condition fires once it has been true continuously for
-    ``hold_s`` seconds (gaps and islands over grid points per key)."""
+    """J8 ``for:`` (used by J6, J7, J9-J17, J21): a condition fires once it has
+    been true continuously for ``hold_s`` seconds (gaps and islands over grid
+    points per key); ``starts_firing`` marks the onset rows of the alert table."""
     keys = list(keys)
     w = Window.partitionBy(*keys, cond).orderBy("_b")
     d = df.withColumn("_isl", F.col("_b") - F.row_number().over(w))

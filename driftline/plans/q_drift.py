@@ -44,8 +44,9 @@ DRIFT_REPORT_SQL = (
 
 @register("drift_report", DRIFT_REPORT_SQL)
 def drift_report(spark, sf):
-    """Flagship: PSI of 4 numeric + 2 categorical lineitem features, reference =
-    ship dates before 1998, current = from 1998, each against its own threshold."""
+    """Flagship (A2, H1-H4, H9): PSI of 4 numeric + 2 categorical lineitem
+    features, reference = ship dates before 1998, current = from 1998, each
+    against its own threshold."""
     ref, cur = _sides(spark, sf)
     p = D.psi(ref, cur, NUM, CAT)
     r = D.data_drift(p, _thresholds(spark))

@@ -392,15 +392,8 @@ CI_COLS = [f"{m}{s}" for m in ("pr_auc", "roc_auc", "brier") for s in ("", "_low
 
 
 def _report(spark, sf):
-    c = candidates(spark, sf)
-    conf = M.confusion(c, THR, ["model"])
-    ci = BS.bootstrap_metrics(c, ["prediction_id"], ["model"], B=B)
-    aggs = []
-    for m in ("pr_auc", "roc_auc", "brier"):
-        for src, suf in (("point", ""), ("lower", "_lower"), ("upper", "_upper")):
-            aggs.append(F.max(F.when(F.col("metric") == m, F.col(src))).alias(f"{m}{suf}"))
-    wide = ci.groupBy("model").agg(*aggs)
-    return conf.select("model", *EVAL_COLS, *EVAL_RATES).join(wide, "model")
+    r = BS.evaluation_report(candidates(spark, sf), THR, ["prediction_id"], ["model"], B=B)
+    return r.select("model", *EVAL_COLS, *EVAL_RATES, *CI_COLS)
 
 
 REPORT_SQL = (

@@ -168,10 +168,4 @@ def canary_verdict(spark, sf):
     be = base.agg(F.avg(F.col("is_5xx").cast("double"))).scalar()
     cs = S_.scalars(ci, "lower", "upper")
     lo, hi = cs["lower"], cs["upper"]
-    c = can.agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.lit(0.99)).alias("p99"),
-                F.avg(F.col("is_5xx").cast("double")).alias("error_ratio"), F.avg("v").alias("mean_score"))
-    ok = ((F.col("n") >= CANARY_MIN) & (F.col("p99") <= SLO_P99) & (F.col("error_ratio") <= be * 1.5) &
-          (F.col("mean_score") >= lo) & (F.col("mean_score") <= hi))
-    return present(c.select("n", "p99", "error_ratio", be.alias("baseline_error_ratio"), "mean_score",
-                            lo.alias("ci_lower"), hi.alias("ci_upper"),
-                            (F.col("n") >= CANARY_MIN).cast("int").alias("enough"), ok.cast("int").alias("passed")))
+    return present(G.canary_checks(can, "v", "is_5xx", be, lo, hi, SLO_P99, CANARY_MIN))

@@ -63,16 +63,28 @@ _PRED_SQL = ("_p AS (SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriori
 
 
 @register("ndjson_log", "WITH " + _PRED_SQL + "\nSELECT CAST(score >= 0.35 AS INTEGER) AS predicted_label, count(*) AS n, "
-          f"round(avg({S.r6('score')}), 6) AS mean_proba, CAST(1 AS BIGINT) AS n_malformed FROM _p GROUP BY 1")
+          f"round(avg({S.r6('score')}), 6) AS mean_proba, CAST(1 AS BIGINT) AS n_malformed, 1 AS write_failure_alert, "
+          "(SELECT count(*) FROM lineitem) AS n_outcomes_logged FROM _p GROUP BY 1")
 def ndjson_log(spark, sf):
-    """A5 + A6 + I1 + S1: prediction records appended twice as NDJSON plus a
-    truncated line; the tolerant reader keeps the valid records and counts the
-    malformed one."""
+    """A5 + A6 + A7 + I1 + J14: prediction records appended twice as NDJSON
+    plus a truncated line (a failed write); the tolerant reader keeps the valid
+    records and counts the malformed one, which raises the write-failure alert;
+    outcome records are appended to their own log (never to the predictions)."""
     path = scratch_dir(spark, "prediction_log")
     write_prediction_log(spark, sf, path)
     good, bad = FS.read_ndjson(spark, path, FS.PREDICTION_SCHEMA)
+    opath = scratch_dir(spark, "outcome_log")
+    o = V.outc(spark, sf)
+    FS.append_ndjson(o.select(F.sha2(F.col("prediction_id").cast("string"), 256).alias("prediction_id"),
+                              "outcome_label", F.date_format("outcome_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+                              .alias("outcome_timestamp"), F.lit("lineitem").alias("outcome_source"),
+                              F.lit(1).alias("schema_version")), opath)
+    n_out = FS.read_ndjson(spark, opath, FS.OUTCOME_SCHEMA)[0].select(F.count(F.lit(1))).scalar()
     g = good.groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n"), F.avg("predicted_proba").alias("mean_proba"))
-    return present(g.withColumn("n_malformed", bad.select("n_malformed").scalar()))
+    nm = bad.select("n_malformed").scalar()
+    return present(g.withColumn("n_malformed", nm)
+                    .withColumn("write_failure_alert", (nm > 0).cast("int"))
+                    .withColumn("n_outcomes_logged", n_out))
 
 
 LIVE_W = 2000

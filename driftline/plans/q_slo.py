@@ -75,8 +75,9 @@ def trail_sql(col: str, keys: list[str], range_s: int) -> str:
           f"SELECT route, status_class, t, CAST({trail_sql('n', ['route', 'status_class'], 6 * HOUR)} AS BIGINT) AS n_6h, "
           f"round({trail_sql('n', ['route', 'status_class'], 6 * HOUR)} / {float(6 * HOUR)}, 6) AS rate_per_s FROM _rg")
 def request_rate(spark, sf):
-    """J1 + B15 + B16: requests (probes excluded) per normalised route and status
-    class over a trailing 6 h window, evaluated hourly; empty hours are rows."""
+    """J1 + J3 + B15 + B16: requests (probes excluded) per normalised route and
+    status class (the status mix) over a trailing 6 h window, evaluated hourly;
+    empty hours are rows."""
     g = L.grid_series(_req(spark, sf), "ts", STEP, {"n": F.count(F.lit(1))}, ["route", "status_class"])
     g = L.trailing(g, 6 * HOUR, STEP, ["n"], ["route", "status_class"], "_6h")
     return present(g.select("route", "status_class", "t", F.col("n_6h").cast("long"),
