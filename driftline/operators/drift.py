@@ -261,6 +261,9 @@ def null_psi(df: DataFrame, order_cols: Sequence[str], numeric: Sequence[str],
     cols = list(dict.fromkeys([*order_cols, *numeric, *categorical]))
     ranked = global_rank(df.select(*cols), order_cols, "_rank")
     ranked = ranked.withColumn("_w", window_id("_rank", window_rows)).where(F.col("_w") < n_windows)
+    # read by the quantile sketch, the slab passes and both binning sides: cut the
+    # rank lineage once (reliable checkpoint in spark.checkpoint.dir)
+    ranked = ranked.drop("_rank").checkpoint()
     ref, cur = adjacent_pairs(ranked, "_w", n_windows)
     return psi(ref, cur, numeric, categorical, keys=["pair"], bins=bins, edge_method=edge_method)
 
