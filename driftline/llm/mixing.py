@@ -185,6 +185,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    **options) -> DataFrame:
+    """The documents of the mix with all their columns, a row per copy taken.
+
+    An id names one document: rows that share an id are each taken as often as the most taken of them.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("_taken")).agg(
+        F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_taken")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+
+
 def tape(rows: DataFrame) -> DataFrame:
     """Adds ``row`` (unique inside its pattern) and ``start`` (sizes of the pattern's rows before it in hash order)."""
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.col("buckets").cast("long")))

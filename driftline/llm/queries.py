@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import exact_dedup, mixing, token_files
+from driftline.llm import ann, exact_dedup, mixing, near_dedup, packing, token_files, warc
 from driftline.sources.tables import load_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op3_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 5-word shingles, similarity 0.85 or more."""
+    return near_dedup.near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
+@query("op4_warc_archive", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+         n AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY b) AS top
+               FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM n""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, written and read back."""
+    folder = warc.archive_pages(load_table(spark, sf_dir, "pages"))
+    return warc.archived_pages(spark, folder)
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of at most 4096 tokens."""
+    return packing.pack(load_table(spark, sf_dir, "documents"))
+
+
+@query("op8_nearest_vectors")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20, against all rows."""
+    return ann.search(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_source_mix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: weights 3, 1, 2, 150 % of all words, at most two copies."""
