@@ -7,11 +7,14 @@ Fit, on a hash-chosen sample of at most ``sample`` vectors (driver memory is bou
    move to the part that holds most of their neighbours while no part exceeds its share by
    more than ``slack``;
 3. a small classifier (one hidden layer) learns, for a vector, how its neighbours spread over
-   the parts.
+   the parts;
+4. an eighth of the sample, held out of all this, gives the number of probes: the fewest most
+   probable parts that hold ``recall`` of its true nearest. Vectors without structure need
+   most parts, clustered ones few.
 
 Index: every vector goes to its most probable part. A part is split by hash into blocks of
 about ``block`` candidates, so copies of one vector never meet in one task. Search: a query goes
-to its ``probes`` most probable parts (more, until they hold enough candidates), to every block
+to that many most probable parts (more, until they hold enough candidates), to every block
 of them; each block returns its own best ``k`` by exact double-precision inner product, and a
 ranking per query merges them. Tables of up to ``exhaustive`` vectors have a single part.
 
@@ -120,8 +123,21 @@ class Router:
                     self.w[i] = self.w[i] - rate * (1 - epoch / epochs) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
 
-def fit_router(x: np.ndarray, parts: int, degree: int, hidden: int, seed: int) -> Router:
+def fit_router(x: np.ndarray, parts: int, degree: int, hidden: int, seed: int, recall: float = 0.95, k: int = 20) -> tuple[Router, int]:
+    """The router, and the fewest probes that find ``recall`` of the nearest ``k`` of vectors held out of the fit."""
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(x))
+    held, x = x[order[:len(x) // 8]], x[order[len(x) // 8:]]
+    router = _fitted(x, parts, degree, hidden, rng)
+    home = router.forward(x)[1].argmax(1)
+    place = np.argsort(np.argsort(-router.forward(held)[1], axis=1, kind="stable"), axis=1)     # of each part in a route
+    k = min(k, len(x))
+    rank = np.concatenate([np.take_along_axis(place[a:a + 512], home[np.argpartition(-(held[a:a + 512] @ x.T), k - 1, axis=1)[:, :k]], 1).ravel()
+                           for a in range(0, len(held), 512)])
+    return router, int(np.quantile(rank, recall, method="higher")) + 1
+
+
+def _fitted(x: np.ndarray, parts: int, degree: int, hidden: int, rng) -> Router:
     degree = min(degree, len(x) - 1)
     graph = neighbour_graph(x, degree)
     part = balanced_parts(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), graph, parts, rng)
@@ -148,7 +164,7 @@ def top_k(queries: np.ndarray, names: np.ndarray, own: np.ndarray, x: np.ndarray
 
 
 def search(vectors: DataFrame, queries: Column | str, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 20,
-           parts: int = 32, probes: int = 14, sample: int = 8192, degree: int = 16, hidden: int = 192, block: int = 2048,
+           parts: int = 64, recall: float = 0.95, sample: int = 8192, degree: int = 32, hidden: int = 256, block: int = 2048,
            exhaustive: int = 2048, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that ``queries`` selects, against all rows."""
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v"),
@@ -160,11 +176,11 @@ def search(vectors: DataFrame, queries: Column | str, id_col: str = "vec_id", ve
         return vectors.sparkSession.createDataFrame([], schema)
     d, n = dims[0]["d"], dims[0]["count"]
     rows = rows.where(F.size("v") == d)
-    router = None
+    router, probes = None, 1
     if n > exhaustive:
         share = max(1, n // sample)
         chosen = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(share)) == 0).select("v").limit(sample)
-        router = fit_router(np.stack(chosen.toPandas()["v"].to_numpy()).astype(float), parts, degree, hidden, seed)
+        router, probes = fit_router(np.stack(chosen.toPandas()["v"].to_numpy()).astype(float), parts, degree, hidden, seed, recall, k)
     parts = parts if router else 1
 
     def route(batches):
