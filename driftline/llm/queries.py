@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, exact_dedup, mixing, near_dedup, packing, token_files, warc
+from driftline.llm import ann, exact_dedup, mixing, near_dedup, packing, pii, token_files, toxicity, warc
 from driftline.sources.tables import load_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op2_toxic_severity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected toxicity grade of every document; fitted on at most 20,000 labelled ones."""
+    docs = load_table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, load_table(spark, sf_dir, "labels")))
+
+
 @query("op3_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, similarity 0.85 or more."""
@@ -61,6 +68,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load_table(spark, sf_dir, "documents"))
 
 
+@query("op6_pseudonyms")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal values replaced by format-preserving pseudonyms."""
+    return pii.pseudonyms(load_table(spark, sf_dir, "documents"), key=b"driftline pseudonyms")
+
+
 @query("op8_nearest_vectors")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every row whose vec_id is divisible by 20, against all rows."""
