@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, exact_dedup, mixing, near_dedup, packing, pii, token_files, toxicity, warc
+from driftline.llm import ann, exact_dedup, licenses, mixing, near_dedup, packing, pii, token_files, toxicity, warc
 from driftline.sources.tables import load_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(load_table(spark, sf_dir, "documents"), key=b"driftline pseudonyms")
 
 
+@query("op7_licences")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document."""
+    docs = load_table(spark, sf_dir, "documents")
+    return licenses.document_licences(docs, licenses.train(docs))
+
+
 @query("op8_nearest_vectors")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every row whose vec_id is divisible by 20, against all rows."""
