@@ -100,8 +100,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Built from the same index: the one row per text that carries its ``keep_id``.
     """
     index = build_index(docs, id_col, text_col)
-    stay = index.select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    stay = index.select(F.col("keep_id").alias("__dl_keep"), F.col("text_sha256").alias("__dl_same"))
     sha = F.sha2(ascii_lower(text_of(docs, text_col)), 256)
-    left = docs.withColumn("_sha", sha).join(
-        stay, docs[id_col].eqNullSafe(stay["_keep"]) & (F.col("_sha") == stay["_sha"]), "left_semi")
-    return left.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    left = docs.withColumn("__dl_sha", sha).join(
+        stay, docs[id_col].eqNullSafe(stay["__dl_keep"]) & (F.col("__dl_sha") == F.col("__dl_same")), "left_semi")
+    return left.dropDuplicates([id_col, "__dl_sha"]).drop("__dl_sha")

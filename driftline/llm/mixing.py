@@ -191,10 +191,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     An id names one document: rows that share an id are each taken as often as the most taken of them.
     """
-    taken = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("_taken")).agg(
-        F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_taken")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__dl_taken")).agg(
+        F.max("copies").alias("__dl_copies")).where("__dl_copies > 0")
+    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("__dl_taken")))
+    return rows.withColumn("__dl_copy", F.explode(F.sequence(F.lit(1), F.col("__dl_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def tape(rows: DataFrame) -> DataFrame:
