@@ -280,7 +280,7 @@ def cleaning_ledger(df: DataFrame, classes: Sequence[ExclusionClass], entity: st
         rows.append(one.select(F.lit("first_per_entity").alias("step"), F.lit(m).alias("metric"),
                                v.cast("double").alias("value")))
     sc = sentinel_counts(first, sentinel)
-    rows.append(sc.select(F.lit("normalise_missing").alias("step"),
+    rows.append(sc.select(F.lit("sentinel_to_text").alias("step"),
                           F.concat(F.lit("sentinel:"), "column_name").alias("metric"),
                           F.col("n").cast("double").alias("value")))
     clean = replace_sentinel(first, sentinel, replacement)
@@ -288,7 +288,7 @@ def cleaning_ledger(df: DataFrame, classes: Sequence[ExclusionClass], entity: st
     nin, nout = df.select(F.count(F.lit(1))).scalar(), fs["n"]
     for m, v in (("rows_in", nin), ("rows_out", nout), ("rows_removed", nin - nout),
                  ("pct_removed", (nin - nout) * 100.0 / nin), ("positive_rate", fs["r"])):
-        rows.append(one.select(F.lit("complete").alias("step"), F.lit(m).alias("metric"),
+        rows.append(one.select(F.lit("all_steps").alias("step"), F.lit(m).alias("metric"),
                                v.cast("double").alias("value")))
     out = rows[0]
     for r in rows[1:]:

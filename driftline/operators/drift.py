@@ -203,8 +203,10 @@ def psi(reference: DataFrame, current: DataFrame, numeric: Sequence[str] = (),
     res = psi_from_cells(cells, keys)
     kind = F.when(F.col("feature").isin(numeric), F.lit("numeric")).otherwise(F.lit("categorical"))
     if numeric:
+        # full: a feature without any value on either side has edges but no cell
         flags = edges.select(*keys, "feature", "degenerate")
-        res = res.join(F.broadcast(flags) if not keys else flags, [*keys, "feature"], "left")
+        res = res.join(flags, [*keys, "feature"], "full").fillna(
+            {"psi": 0.0, "js_divergence": 0.0, "reference_n": 0, "current_n": 0, "n_cells": 0})
     else:
         res = res.withColumn("degenerate", F.lit(None).cast("int"))
     return res.withColumn("kind", kind).withColumn(
@@ -385,19 +387,15 @@ def alert_state(window_breaches: DataFrame, window_col: str, count_col: str,
 
 # -- H13-H15 perturbations ----------------------------------------------------------
 
-def poisson_inverse(lam: Column, u: Column, kmax: int = 20) -> Column:
-    """Smallest k with Poisson(lam) CDF(k) >= u (lam up to about 5; k capped at kmax)."""
-    term = F.exp(-lam)
-    cdf = term
-    expr = F.lit(kmax)
-    conds = []
-    for k in range(kmax):
-        conds.append((u <= cdf, k))
-        term = term * lam / F.lit(float(k + 1))
-        cdf = cdf + term
-    for cond, k in reversed(conds):
-        expr = F.when(cond, F.lit(k)).otherwise(expr)
-    return expr
+def poisson_inverse(lam: Column, u: Column, kmax: int = 40) -> Column:
+    """Smallest k with Poisson(lam) CDF(k) >= u, for lam up to 5 (beyond ``kmax`` = 40 the tail is below 1e-22)."""
+    start = F.struct(F.lit(0).alias("k"), F.exp(-lam).alias("term"), F.exp(-lam).alias("cdf"))
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * lam / i.cast("double")
+        return F.struct((s["k"] + F.when(u > s["cdf"], 1).otherwise(0)).alias("k"), term.alias("term"), (s["cdf"] + term).alias("cdf"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(kmax)), start, step, lambda s: s["k"])
 
 
 def reweight_sample(df: DataFrame, col: str, levels: Sequence[str], weight: float,
@@ -412,7 +410,12 @@ def reweight_sample(df: DataFrame, col: str, levels: Sequence[str], weight: floa
     ts = scalars(tot, "n", "sw")
     lam = w * ts["n"] / ts["sw"]
     d = df.withColumn("_lam", lam).withColumn("_u", hash_uniform_cols(row_key, seed))
-    k = poisson_inverse(F.col("_lam"), F.col("_u"))
+    # a large mean is a sum of independent draws of means of at most 5
+    parts = F.greatest(F.ceil(F.col("_lam") / 5), F.lit(1))
+    rest = F.when(parts > 1, F.sequence(F.lit(1), (parts - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    more = F.aggregate(F.transform(rest, lambda i: hash_uniform_cols([*row_key, i], seed)), F.lit(0),
+                       lambda s, u: s + poisson_inverse(F.col("_lam") / parts, u))
+    k = poisson_inverse(F.col("_lam") / parts, F.col("_u")) + more
     return d.withColumn("_copies", k).where(F.col("_copies") > 0) \
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))) \
             .drop("_copies", "_lam", "_u")

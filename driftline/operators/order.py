@@ -8,7 +8,8 @@ these operators never use it on row-level data. Instead:
    assigns the same bucket to a row, even after a task is recomputed);
 2. ``Bucketizer`` (binary search on the JVM) assigns a bucket per row;
 3. a bucket that is over-full because one leading value is hot is split again
-   on the next order column, with cut points computed per hot bucket;
+   on the next order column (number, time or text), with cut points computed per
+   hot bucket, and so on through the order columns;
 4. per-bucket counts / sums give offsets (a table of at most a few thousand
    rows per key), and ``row_number`` / running sums run inside each bucket.
 """
@@ -21,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.exprs import col_of, count_lt
 
@@ -42,6 +44,21 @@ def _sortable(c: Column) -> Column:
     return c.cast("double")
 
 
+def _placed(k: Column, descending: bool) -> Column:
+    """The (negated, if descending) numeric key with nulls and NaN where the sort puts them:
+    nulls first ascending and last descending, NaN last ascending and first descending."""
+    first, last = F.lit(float("-inf")), F.lit(float("inf"))
+    return F.when(k.isNull(), last if descending else first).when(F.isnan(k), first if descending else last).otherwise(k)
+
+
+def _image(df: DataFrame, column: str) -> Column:
+    """A number that never decreases along the order of the column: text counts by its first six bytes."""
+    c = F.col(column)
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return _sortable(c)
+
+
 def cut_points(df: DataFrame, key: str | Column, n_buckets: int, descending: bool = False,
                relative_error: int = 10000) -> list[float]:
     """Approximate quantile cut points of an order key (metadata: ``n_buckets - 1``
@@ -72,7 +89,7 @@ def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
         k = -k
     if cuts is None:
         cuts = cut_points(df, key, n_buckets, descending, relative_error)
-    df = df.withColumn(_K, F.coalesce(k, F.lit(float("-inf"))))
+    df = df.withColumn(_K, _placed(k, descending))
     splits = [float("-inf")] + list(cuts) + [float("inf")]
     if len(splits) < 3:
         return df.withColumn(_B, F.lit(0)).drop(_K), 1
@@ -86,34 +103,37 @@ def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
     return out.withColumn(_B, F.col(_B).cast("int")).drop(_K), len(splits) - 1
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], lead_col: str, next_col: str | None,
-               target: int, descending: bool) -> DataFrame:
-    """Add ``_dl_sub``: over-full buckets holding a single leading value are cut
-    again on ``next_col`` (rows of one leading value are ordered by the next
-    column, so the sub-buckets keep the total order)."""
-    if next_col is None:
-        return df.withColumn(_S, F.lit(0))
-    counts = df.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("count"),
-                                       F.min(lead_col).alias("_mn"), F.max(lead_col).alias("_mx"))
-    hot = counts.where((F.col("count") > 4 * target) & (F.col("_mn") == F.col("_mx")))
-    hot_rows = hot.select(*keys, _B, "count").collect()   # bounded: #hot buckets
-    if not hot_rows:
-        return df.withColumn(_S, F.lit(0))
-    nk = _sortable(F.col(next_col))
-    if descending:
-        nk = -nk
-    max_parts = max(int(r["count"]) // target for r in hot_rows)
-    parts = min(max(max_parts, 2), 1024)
-    fracs = [i / parts for i in range(1, parts)]
-    cuts = (df.join(F.broadcast(hot.select(*keys, _B)), [*keys, _B], "left_semi")
-              .groupBy(*keys, _B)
-              .agg(F.array_sort(F.array_distinct(
-                  F.percentile_approx(nk, fracs, 10000))).alias("_dl_cuts")))
-    # one row per hot bucket: size proven by ``hot_rows`` above
-    out = df.join(F.broadcast(cuts), [*keys, _B], "left")
-    sub = F.when(F.col("_dl_cuts").isNull(), F.lit(0)).otherwise(
-        count_lt(F.col("_dl_cuts"), F.coalesce(nk, F.lit(float("-inf")))))
-    return out.withColumn(_S, sub).drop("_dl_cuts")
+def _split_hot(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target: int,
+               descending: bool) -> tuple[DataFrame, list[str]]:
+    """Cut over-full buckets that hold one value of an order column again on the next column,
+    column after column, as long as one is hot. Returns the frame and its bucket columns, in order."""
+    cols = [_B]
+    for i in range(1, len(order_cols)):
+        prev, nxt = order_cols[i - 1], order_cols[i]
+        counts = df.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("count"),
+                                              F.min(prev).alias("_mn"), F.max(prev).alias("_mx"),
+                                              F.count(prev).alias("_known"))
+        one_value = (F.col("_mn") == F.col("_mx")) & (F.col("_known") == F.col("count")) | (F.col("_known") == 0)
+        hot = counts.where((F.col("count") > 4 * target) & one_value)
+        hot_rows = hot.select(*keys, *cols, "count").collect()   # bounded: #hot buckets
+        if not hot_rows:
+            break
+        nk = _image(df, nxt)
+        if descending:
+            nk = -nk
+        parts = max(2, max(int(r["count"]) // target for r in hot_rows))
+        fracs = [k / parts for k in range(1, parts)]
+        cuts = (df.join(F.broadcast(hot.select(*keys, *cols)), [*keys, *cols], "left_semi")
+                  .groupBy(*keys, *cols)
+                  .agg(F.array_sort(F.array_distinct(
+                      F.percentile_approx(nk, fracs, max(10000, 4 * parts)))).alias("_dl_cuts")))
+        # one row per hot bucket: size proven by ``hot_rows`` above
+        out = df.join(F.broadcast(cuts), [*keys, *cols], "left")
+        sub = F.when(F.col("_dl_cuts").isNull(), F.lit(0)).otherwise(
+            count_lt(F.col("_dl_cuts"), _placed(nk, descending)))
+        df = out.withColumn(f"{_S}{i}", sub).drop("_dl_cuts")
+        cols.append(f"{_S}{i}")
+    return df, cols
 
 
 def _order_exprs(order_cols: Sequence[str], descending: bool) -> list[Column]:
@@ -129,23 +149,22 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
 
     ``order_cols`` must give a total order (add tiebreak columns); the leading
     column must be numeric or a timestamp.  No task ever sees more than one
-    bucket, and a hot leading value is split on the next order column.
+    bucket that the order columns can still split.
     """
     order_cols = list(order_cols)
     keys = list(keys)
     nb = n_buckets or _default_buckets(df)
     b, _ = _bucketize(df, F.col(order_cols[0]), nb, descending)
-    b = _split_hot(b, keys, order_cols[0], order_cols[1] if len(order_cols) > 1 else None,
-                   rows_per_bucket, descending)
-    counts = b.groupBy(*keys, _B, _S).agg(F.count(F.lit(1)).alias("_dl_n"))
-    wo = Window.partitionBy(*keys).orderBy(_B, _S).rowsBetween(Window.unboundedPreceding, -1)
+    b, cols = _split_hot(b, keys, order_cols, rows_per_bucket, descending)
+    counts = b.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_dl_n"))
+    wo = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     # offsets table: one row per (key, bucket); AQE broadcasts it when small
-    offsets = counts.select(*keys, _B, _S,
+    offsets = counts.select(*keys, *cols,
                             F.coalesce(F.sum("_dl_n").over(wo), F.lit(0)).alias("_dl_off"))
-    w = Window.partitionBy(*keys, _B, _S).orderBy(*_order_exprs(order_cols, descending))
-    return (b.join(offsets, [*keys, _B, _S], "inner")
+    w = Window.partitionBy(*keys, *cols).orderBy(*_order_exprs(order_cols, descending))
+    return (b.join(offsets, [*keys, *cols], "inner")
              .withColumn(rank_col, (F.col("_dl_off") + F.row_number().over(w)).cast("long"))
-             .drop(_B, _S, "_dl_off"))
+             .drop(*cols, "_dl_off"))
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_cols: Sequence[str],

@@ -2,12 +2,15 @@
 
 Spark's exact ``percentile`` merges every distinct value of a group in one
 task.  Here a bounded sketch (``percentile_approx``, rank error <= n/accuracy)
-brackets each target rank inside a narrow value slab; one pass counts the rows
-below every slab and extracts the slab rows (about 6n/accuracy per target);
-``row_number`` inside each slab then gives the exact order statistics.  The
-result equals the linear interpolation ``x[lo] + f * (x[hi] - x[lo])`` at
+brackets each target rank inside a value slab; one pass counts the rows below
+and inside every slab.  A slab of more than ``slab_rows`` rows is bracketed
+again by a sketch of its own rows, until it is small or no longer shrinks
+(ties).  The slabs' rows are then collapsed to value counts, map-side first,
+and running counts over the distinct values give the exact order statistics.
+The result equals the linear interpolation ``x[lo] + f * (x[hi] - x[lo])`` at
 position ``(n-1) q``.  A slab that misses its rank (outside the sketch's
-guarantee) is widened to the full range and recomputed.
+guarantee) is widened to the full range and bracketed anew.  A group without
+any value keeps its row: null quantiles and ``n`` = 0.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from pyspark.sql import functions as F
 
 def _long(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
     d = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-    return d.unpivot(list(keys), list(cols), "feature", "x").where(F.col("x").isNotNull())
+    return d.unpivot(list(keys), list(cols), "feature", "x")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (),
-                    accuracy: int = 10000, max_groups: int = 200_000) -> DataFrame:
+                    accuracy: int = 10000, max_groups: int = 200_000, slab_rows: int = 1_000_000) -> DataFrame:
     """``(keys..., feature, q array<double> (in qs order), mn, mx, n)`` per group."""
     keys, qs = list(keys), [float(q) for q in qs]
     spark = df.sparkSession
@@ -33,82 +36,105 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], key
     m = 3.0 / accuracy
     levels = sorted({min(max(q - m, 0.0), 1.0) for q in qs} | {min(max(q + m, 0.0), 1.0) for q in qs})
     sk = long.groupBy(*keys, "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
+        F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
         F.percentile_approx("x", levels, accuracy).alias("arr"))
     groups = sk.limit(max_groups + 1).collect()          # bounded: keys x features
     if len(groups) > max_groups:
         raise ValueError("too many quantile groups")
     pos = {v: i for i, v in enumerate(levels)}
-    slabs = {}
+    slabs, bounds = {}, {}                              # (group, i) -> [lo, hi, r_lo, r_hi, fraction]
     for g in groups:
         gk = tuple(g[k] for k in keys) + (g["feature"],)
-        n = g["n"]
-        rows = []
-        for i, q in enumerate(qs):
-            h = (n - 1) * q
-            r_lo, r_hi = math.floor(h) + 1, math.ceil(h) + 1
+        bounds[gk] = g
+        for i, q in enumerate(qs if g["n"] else ()):
+            h = (g["n"] - 1) * q
             lo = g["mn"] if q - m <= 0 else g["arr"][pos[min(max(q - m, 0.0), 1.0)]]
             hi = g["mx"] if q + m >= 1 else g["arr"][pos[min(max(q + m, 0.0), 1.0)]]
-            rows.append([i, float(lo), float(hi), r_lo, r_hi, h - math.floor(h)])
-        slabs[gk] = (g, rows)
-    for attempt in range(2):
-        res, missed = _resolve(spark, long, keys, slabs, len(qs))
-        if not missed:
-            break
-        for gk, i in missed:                       # widen and retry once
-            g, rows = slabs[gk]
-            rows[i][1], rows[i][2] = float(g["mn"]), float(g["mx"])
-    else:
-        raise RuntimeError("quantile slabs did not converge")
+            slabs[gk, i] = [float(lo), float(hi), math.floor(h) + 1, math.ceil(h) + 1, h - math.floor(h)]
+    slab_of = _Slabs(spark, long, keys)
+    below, inside, todo, was = {}, {}, dict(slabs), {}
+    while todo:
+        got = slab_of.counts(todo)
+        large = {}
+        for k in todo:
+            lo, hi, r_lo, r_hi, _ = slabs[k]
+            below[k], inside[k] = got[k]
+            if r_lo <= below[k] or r_hi > below[k] + inside[k]:      # missed: start from the full range
+                g = bounds[k[0]]
+                slabs[k][:2] = [float(g["mn"]), float(g["mx"])]
+                below[k], inside[k] = 0, g["n"]
+            if inside[k] > slab_rows and lo < hi and inside[k] <= was.get(k, math.inf) / 2:
+                large[k] = [(r_lo - below[k]) / inside[k], (r_hi - below[k]) / inside[k]]
+            was[k] = inside[k]
+        todo = {}
+        for k, (lo, hi) in slab_of.narrow({k: (slabs[k], at) for k, at in large.items()}, m, accuracy).items():
+            slabs[k][:2] = [lo, hi]
+            todo[k] = slabs[k]
+    values = slab_of.pick({k: (v, {v[2] - below[k], v[3] - below[k]}) for k, v in slabs.items()})
     out = []
-    for gk, (g, rows) in slabs.items():
-        vals = [res[(gk, i)] for i in range(len(qs))]
-        out.append((*gk[:-1], gk[-1], vals, float(g["mn"]), float(g["mx"]), int(g["n"])))
+    for gk, g in bounds.items():
+        vals = []
+        for i in range(len(qs) if g["n"] else 0):
+            _, _, r_lo, r_hi, f = slabs[gk, i]
+            xl, xh = values[gk, i, r_lo - below[gk, i]], values[gk, i, r_hi - below[gk, i]]
+            vals.append(xl if r_lo == r_hi else xl + f * (xh - xl))
+        out.append((*gk, vals or None, g["mn"], g["mx"], int(g["n"])))
     key_fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = (key_fields + ", " if keys else "") + "feature string, q array<double>, mn double, mx double, n long"
     return spark.createDataFrame(out, schema)
 
 
-def _resolve(spark, long: DataFrame, keys, slabs, nq):
-    rows = []
-    for gk, (g, rs) in slabs.items():
-        rows.append((*gk, [r[1] for r in rs], [r[2] for r in rs]))
-    key_types = ", ".join(f"{k} {long.schema[k].dataType.simpleString()}" for k in keys)
-    sch = (key_types + ", " if keys else "") + "feature string, los array<double>, his array<double>"
-    st = spark.createDataFrame(rows, sch)
-    j = long.join(F.broadcast(st), [*keys, "feature"])     # bounded: groups x targets
-    x = F.col("x")
-    below = j.groupBy(*keys, "feature").agg(
-        *[F.count_if(x < F.col("los")[i]).alias(f"b{i}") for i in range(nq)],
-        *[F.count_if((x >= F.col("los")[i]) & (x <= F.col("his")[i])).alias(f"s{i}") for i in range(nq)])
-    counts = {tuple(r[k] for k in keys) + (r["feature"],): r for r in below.collect()}
-    in_any = F.lit(False)
-    for i in range(nq):
-        in_any = in_any | ((x >= F.col("los")[i]) & (x <= F.col("his")[i]))
-    tags = F.array(*[F.when((x >= F.col("los")[i]) & (x <= F.col("his")[i]), F.lit(i)) for i in range(nq)])
-    slab_rows = (j.where(in_any).select(*keys, "feature", "x", F.explode(tags).alias("qi"))
-                  .where(F.col("qi").isNotNull()))
-    need, missed = [], []
-    for gk, (g, rs) in slabs.items():
-        c = counts[gk]
-        for i, _, _, r_lo, r_hi, _ in rs:
-            b, s = c[f"b{i}"], c[f"s{i}"]
-            if r_lo - b < 1 or r_hi - b > s:
-                missed.append((gk, i))
-            else:
-                need += [(*gk, i, r_lo - b), (*gk, i, r_hi - b)]
-    if missed:
-        return None, missed
-    nsch = (key_types + ", " if keys else "") + "feature string, qi int, rk long"
-    nd = spark.createDataFrame(need, nsch).distinct()
-    w = Window.partitionBy(*keys, "feature", "qi").orderBy("x")
-    picked = slab_rows.withColumn("rk", F.row_number().over(w)).join(F.broadcast(nd), [*keys, "feature", "qi", "rk"])
-    got = {tuple(r[k] for k in keys) + (r["feature"], r["qi"], r["rk"]): r["x"] for r in picked.collect()}
-    res = {}
-    for gk, (g, rs) in slabs.items():
-        c = counts[gk]
-        for i, _, _, r_lo, r_hi, f in rs:
-            b = c[f"b{i}"]
-            xl, xh = got[gk + (i, r_lo - b)], got[gk + (i, r_hi - b)]
-            res[(gk, i)] = xl if r_lo == r_hi else xl + f * (xh - xl)
-    return res, []
+class _Slabs:
+    """Passes over the long table for a bounded set of (group, target, lo, hi) slabs."""
+
+    def __init__(self, spark, long: DataFrame, keys: list[str]):
+        self.spark, self.long, self.on = spark, long, [*keys, "feature"]
+        types = ", ".join(f"{k} {long.schema[k].dataType.simpleString()}" for k in keys)
+        self.head = (types + ", " if keys else "") + "feature string"
+
+    def _table(self, rows: list, fields: str) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame(rows, f"{self.head}, {fields}"))      # bounded: groups x targets
+
+    def _rows(self, slabs: dict) -> DataFrame:
+        """The values of each slab's group, one row per (value, slab), with ``part``: -1 below, 0 inside."""
+        by: dict = {}
+        for (gk, i), (lo, hi, *_) in slabs.items():
+            by.setdefault(gk, []).append((i, lo, hi))
+        st = self._table([(*gk, v) for gk, v in by.items()], "slabs array<struct<qi: int, lo: double, hi: double>>")
+        j = self.long.where(F.col("x").isNotNull()).join(st, self.on)
+        hit = F.filter("slabs", lambda s: F.col("x") <= s["hi"])
+        return j.select(*self.on, "x", F.explode(hit).alias("s")).select(
+            *self.on, "x", F.col("s.qi").alias("qi"), F.when(F.col("x") < F.col("s.lo"), -1).otherwise(0).alias("part"))
+
+    def counts(self, slabs: dict) -> dict:
+        """(rows below, rows inside) of each slab."""
+        got = self._rows(slabs).groupBy(*self.on, "qi").agg(
+            F.count_if(F.col("part") < 0).alias("below"), F.count_if(F.col("part") == 0).alias("inside")).collect()
+        found = {(tuple(r[c] for c in self.on), r["qi"]): (r["below"], r["inside"]) for r in got}
+        return {k: found.get(k, (0, 0)) for k in slabs}
+
+    def narrow(self, slabs: dict, margin: float, accuracy: int) -> dict:
+        """New (lo, hi) around the wanted fractions of each slab's own rows."""
+        if not slabs:
+            return {}
+        wanted = self._table([(*gk, i, [max(a - margin, 0.0), min(b + margin, 1.0)])
+                              for (gk, i), (_, (a, b)) in slabs.items()], "qi int, at array<double>")
+        rows = self._rows({k: v for k, (v, _) in slabs.items()}).where("part = 0")
+        # the fractions differ by slab, so the sketch is read at a fixed fine grid and the bracket picked from it
+        grid = [i / 2000 for i in range(2001)]
+        sk = rows.groupBy(*self.on, "qi").agg(F.percentile_approx("x", grid, accuracy).alias("g")).join(wanted, [*self.on, "qi"])
+        got = sk.select(*self.on, "qi", F.get("g", F.floor(F.col("at")[0] * 2000).cast("int")).alias("lo"),
+                        F.get("g", F.ceil(F.col("at")[1] * 2000).cast("int")).alias("hi")).collect()
+        return {(tuple(r[c] for c in self.on), r["qi"]): (r["lo"], r["hi"]) for r in got}
+
+    def pick(self, slabs: dict) -> dict:
+        """The values at the wanted 1-based ranks inside each slab."""
+        if not slabs:
+            return {}
+        need = self._table([(*gk, i, rk) for (gk, i), (_, ranks) in slabs.items() for rk in sorted(ranks)], "qi int, rk long")
+        counts = self._rows({k: v for k, (v, _) in slabs.items()}).where("part = 0").groupBy(*self.on, "qi", "x").agg(
+            F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy(*self.on, "qi").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        picked = counts.withColumn("upto", F.sum("c").over(w)).join(need, [*self.on, "qi"]).where(
+            (F.col("rk") <= F.col("upto")) & (F.col("rk") > F.col("upto") - F.col("c")))
+        return {(tuple(r[c] for c in self.on), r["qi"], r["rk"]): r["x"] for r in picked.collect()}

@@ -11,9 +11,9 @@ from driftline.plans.registry import register
 from driftline.plans.views import present, t
 
 LABEL_SQL = "CAST(coalesce(o_orderstatus = 'F', false) AS INTEGER)"
-CLASSES = [C.ExclusionClass("exclude_status_p", "o_orderstatus", ("P",), "LEAKAGE",
+CLASSES = [C.ExclusionClass("exclude_status_p", "o_orderstatus", ("P",), "OPEN_ORDER",
                             "status P rows carry a deterministic label"),
-           C.ExclusionClass("exclude_low_priority", "o_orderpriority", ("5-LOW",), "CLINICAL_JUDGEMENT",
+           C.ExclusionClass("exclude_low_priority", "o_orderpriority", ("5-LOW",), "LOW_URGENCY",
                             "low priority orders are out of scope")]
 SENTINEL = "4-NOT SPECIFIED"
 
@@ -76,13 +76,13 @@ _FIRST_SQL = (f"_o AS (SELECT *, {LABEL_SQL} AS label FROM orders),\n"
           "SELECT 'first_per_entity', 'rows_after', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
           "SELECT 'first_per_entity', 'rows_removed', ((SELECT count(*) FROM _k) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
           "SELECT 'first_per_entity', 'unique_entities', (SELECT count(DISTINCT o_custkey) FROM _k)::DOUBLE UNION ALL "
-          f"SELECT 'normalise_missing', 'sentinel:' || c, n::DOUBLE FROM (SELECT 'o_orderstatus' AS c, count(*) FILTER (WHERE o_orderstatus = '{SENTINEL}') AS n FROM _f "
+          f"SELECT 'sentinel_to_text', 'sentinel:' || c, n::DOUBLE FROM (SELECT 'o_orderstatus' AS c, count(*) FILTER (WHERE o_orderstatus = '{SENTINEL}') AS n FROM _f "
           f"UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE o_orderpriority = '{SENTINEL}') FROM _f) WHERE n > 0 UNION ALL "
-          "SELECT 'complete', 'rows_in', (SELECT count(*) FROM orders)::DOUBLE UNION ALL "
-          "SELECT 'complete', 'rows_out', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
-          "SELECT 'complete', 'rows_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
-          "SELECT 'complete', 'pct_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f)) * 100.0 / (SELECT count(*) FROM orders) UNION ALL "
-          "SELECT 'complete', 'positive_rate', (SELECT avg(label) FROM _f))\n"
+          "SELECT 'all_steps', 'rows_in', (SELECT count(*) FROM orders)::DOUBLE UNION ALL "
+          "SELECT 'all_steps', 'rows_out', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
+          "SELECT 'all_steps', 'rows_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
+          "SELECT 'all_steps', 'pct_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f)) * 100.0 / (SELECT count(*) FROM orders) UNION ALL "
+          "SELECT 'all_steps', 'positive_rate', (SELECT avg(label) FROM _f))\n"
           "SELECT step, metric, round(value, 6) AS value FROM _l")
 def clean_ledger(spark, sf):
     """B1-B8 + D9: orders cleaned in the fixed order (exclusion classes, then

@@ -165,7 +165,7 @@ def half_up_rounds(sql: str) -> str:
         i = k
 
 
-def poisson_inverse_sql(lam: str, u: str, kmax: int = 20) -> str:
+def poisson_inverse_sql(lam: str, u: str, kmax: int = 40) -> str:
     """SQL twin of ``drift.poisson_inverse`` (same evaluation order)."""
     term = f"exp(-({lam}))"
     cdf = term

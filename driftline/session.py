@@ -38,10 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we create a private folder under the system temp dir.
+    and the session runs in one process (``local[n]``, as in tests) is a private folder made
+    under the system temp dir; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="driftline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -74,18 +74,29 @@ def read_reference(spark: SparkSession, path: str) -> DataFrame:
 
 # -- A5 / A6 / A7 NDJSON logs --------------------------------------------------------------------
 
+# The wire format of a prediction log's records, in the order of its fields.
 PREDICTION_SCHEMA = T.StructType([
-    T.StructField("prediction_id", T.StringType()), T.StructField("request_id", T.StringType()),
-    T.StructField("timestamp", T.StringType()), T.StructField("model_name", T.StringType()),
-    T.StructField("model_version", T.StringType()), T.StructField("model_stage", T.StringType()),
-    T.StructField("model_source", T.StringType()), T.StructField("feature_schema_hash", T.StringType()),
+    T.StructField("prediction_id", T.StringType()),
+    T.StructField("request_id", T.StringType()),
+    T.StructField("timestamp_utc", T.StringType()),
+    T.StructField("model_name", T.StringType()),
+    T.StructField("model_version", T.StringType()),
+    T.StructField("model_stage", T.StringType()),
+    T.StructField("model_source", T.StringType()),
+    T.StructField("feature_schema_hash", T.StringType()),
     T.StructField("features_raw", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("predicted_proba", T.DoubleType()), T.StructField("predicted_label", T.IntegerType()),
-    T.StructField("decision_threshold", T.DoubleType()), T.StructField("latency_ms", T.DoubleType()),
-    T.StructField("model_latency_ms", T.DoubleType()), T.StructField("api_version", T.StringType()),
-    T.StructField("client", T.StringType()), T.StructField("batch_id", T.StringType()),
-    T.StructField("batch_index", T.IntegerType()), T.StructField("outcome_label", T.IntegerType()),
-    T.StructField("outcome_timestamp", T.StringType()), T.StructField("outcome_source", T.StringType()),
+    T.StructField("predicted_proba", T.DoubleType()),
+    T.StructField("predicted_label", T.IntegerType()),
+    T.StructField("decision_threshold", T.DoubleType()),
+    T.StructField("latency_ms_total", T.DoubleType()),
+    T.StructField("latency_ms_inference", T.DoubleType()),
+    T.StructField("api_version", T.StringType()),
+    T.StructField("client_id", T.StringType()),
+    T.StructField("batch_id", T.StringType()),
+    T.StructField("batch_index", T.IntegerType()),
+    T.StructField("outcome_label", T.IntegerType()),
+    T.StructField("outcome_timestamp", T.StringType()),
+    T.StructField("outcome_source", T.StringType()),
     T.StructField("schema_version", T.IntegerType()),
     T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
 ])
@@ -110,14 +121,13 @@ def parse_ndjson(lines: DataFrame, schema: T.StructType) -> DataFrame:
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType,
                 limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A5: (good records, one-row malformed count).  A missing log is empty."""
-    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
     try:
         lines = spark.read.text(path)
-    except Exception as ex:  # AnalysisException: path does not exist
-        if "PATH_NOT_FOUND" in str(ex) or "does not exist" in str(ex) or isinstance(ex, Py4JJavaError):
-            lines = spark.createDataFrame([], "value string")
-        else:
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
             raise
+        lines = spark.createDataFrame([], "value string")
     parsed = parse_ndjson(lines, schema)
     good = parsed.where(F.col("_malformed") == 0).drop("_malformed")
     if limit is not None:
@@ -137,16 +147,19 @@ def append_ndjson(df: DataFrame, path: str) -> None:
 def prediction_records(scored: DataFrame, key_cols: Sequence[str], ts_col: str, score_col: str,
                        threshold: float, model_name: str, model_version: str, schema_hash: str,
                        feature_cols: Sequence[str], latency_col: str | None = None,
-                       batch_col: str | None = None) -> DataFrame:
-    """Log records after scoring.  Replayable ids (sha256 of the key), ISO
+                       batch_col: str | None = None, inference_col: str | None = None,
+                       index_col: str | None = None) -> DataFrame:
+    """Log records after scoring; the model's own latency and the place in a
+    batch are null unless their columns are given.  Replayable ids (sha256 of the key), ISO
     UTC time, label from the **model's** threshold, scores rounded to 6 dp and
     latencies to 3 dp (half-up)."""
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
     lat = F.col(latency_col) if latency_col else F.lit(0.0)
+    inference = F.col(inference_col) if inference_col else F.lit(None).cast("double")
     return scored.select(
         F.sha2(key, 256).alias("prediction_id"),
         F.sha2(F.concat(F.lit("req|"), key), 256).substr(1, 32).alias("request_id"),
-        F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.date_format(F.col(ts_col), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_utc"),
         F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),
         F.lit("production").alias("model_stage"), F.lit("registry").alias("model_source"),
         F.lit(schema_hash).alias("feature_schema_hash"),
@@ -154,10 +167,10 @@ def prediction_records(scored: DataFrame, key_cols: Sequence[str], ts_col: str,
         round_half_up(F.col(score_col), 6).alias("predicted_proba"),
         (F.col(score_col) >= F.lit(threshold)).cast("int").alias("predicted_label"),
         round_half_up(F.lit(threshold), 6).alias("decision_threshold"),
-        round_half_up(lat, 3).alias("latency_ms"), round_half_up(lat * 0.5, 3).alias("model_latency_ms"),
-        F.lit("v1").alias("api_version"), F.lit("batch").alias("client"),
+        round_half_up(lat, 3).alias("latency_ms_total"), round_half_up(inference, 3).alias("latency_ms_inference"),
+        F.lit("v1").alias("api_version"), F.lit("batch").alias("client_id"),
         (F.col(batch_col).cast("string") if batch_col else F.lit(None).cast("string")).alias("batch_id"),
-        F.lit(None).cast("int").alias("batch_index"),
+        (F.col(index_col) if index_col else F.lit(None)).cast("int").alias("batch_index"),
         F.lit(None).cast("int").alias("outcome_label"), F.lit(None).cast("string").alias("outcome_timestamp"),
         F.lit(None).cast("string").alias("outcome_source"), F.lit(1).alias("schema_version"),
         F.create_map().cast("map<string,string>").alias("extra"))
@@ -172,7 +185,12 @@ def write_report(df: DataFrame, path: str, run_id: str, fmt: str = "json") -> No
 
 def metric_lines(df: DataFrame, metric: str, label_cols: Sequence[str], value_col: str) -> DataFrame:
     """One exposition line per row: ``name{l1="v1",...} value``."""
-    labels = F.concat_ws(",", *[F.format_string(f'{c}="%s"', F.col(c)) for c in label_cols])
+    def escaped(c: str) -> Column:
+        out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            out = F.replace(out, F.lit(plain), F.lit(code))
+        return out
+    labels = F.concat_ws(",", *[F.format_string(f'{c}="%s"', escaped(c)) for c in label_cols])
     return df.select(F.format_string(f"{metric}{{%s}} %.6f", labels, F.col(value_col).cast("double")).alias("value"))
 
 

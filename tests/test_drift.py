@@ -142,3 +142,31 @@ def test_perturbations(spark):
     rw = D.reweight_sample(df, "s", ["A"], 4.0, ["id"])
     shares = {r["s"]: r["count"] for r in rw.groupBy("s").count().collect()}
     assert shares["A"] > 1.5 * shares["B"]
+
+
+def test_exact_quantiles_of_ties_nulls_and_narrowed_slabs(spark):
+    import numpy as np
+    from driftline.operators.quantile import exact_quantiles
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=5000), rng.integers(0, 4, 5000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)], "x double, y double, z double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for rows in (1_000_000, 20):                       # 20: every slab is bracketed again, ties stop shrinking
+        got = {r["feature"]: r for r in exact_quantiles(df, ["x", "y", "z"], qs, accuracy=100, slab_rows=rows).collect()}
+        assert np.allclose(got["x"]["q"], np.quantile(x, qs), atol=0, rtol=1e-12)
+        assert np.allclose(got["y"]["q"], np.quantile(y, qs))
+        assert got["z"]["q"] is None and got["z"]["n"] == 0
+
+
+def test_psi_keeps_a_feature_without_values(spark):
+    from driftline.operators.drift import psi
+    df = spark.createDataFrame([(float(i), None) for i in range(50)], "a double, b double")
+    got = {r["feature"]: r for r in psi(df, df, ["a", "b"]).collect()}
+    assert set(got) == {"a", "b"} and got["b"]["degenerate"] == 1 and got["b"]["psi"] == 0.0
+
+
+def test_reweighting_does_not_cap_copies(spark):
+    from driftline.operators.drift import reweight_sample
+    df = spark.createDataFrame([(i, "rare" if i < 20 else "common") for i in range(2000)], "id long, g string")
+    got = {r["g"]: r["count"] for r in reweight_sample(df, "g", ["rare"], 5000.0, ["id"]).groupBy("g").count().collect()}
+    assert abs(got["rare"] - 1961) < 150 and sum(got.values()) > 1800

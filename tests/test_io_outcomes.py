@@ -76,7 +76,7 @@ def test_banding_rules(spark):
 def test_exclusion_keeps_null_codes_and_first_per_entity(spark):
     df = spark.createDataFrame([(1, 10, "P", 1), (2, 10, None, 0), (3, 11, "F", 1), (4, 11, "F", 0)],
                                "id long, ent long, code string, y int")
-    cls = [C.ExclusionClass("a", "code", ("P",), "LEAKAGE")]
+    cls = [C.ExclusionClass("a", "code", ("P",), "OPEN_ORDER")]
     kept = C.exclude(df, cls)
     assert sorted(r["id"] for r in kept.collect()) == [2, 3, 4]
     first = C.first_per_entity(kept, "ent", ["id"])

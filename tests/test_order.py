@@ -59,3 +59,35 @@ def test_prefix_sum_with_keys(spark):
     for k in ("a", "b"):
         g = got[got.k == k].sort_values("s", ascending=False)
         assert g["cum_one"].tolist() == list(range(1, 101))
+
+
+def _rank_of(spark, rows, schema, cols, descending=False, target=40):
+    from driftline.operators.order import global_rank
+    df = spark.createDataFrame(rows, schema)
+    got = global_rank(df, cols, "r", n_buckets=8, rows_per_bucket=target, descending=descending).collect()
+    order = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in map(F.col, cols)]
+    want = [str(tuple(x)) for x in df.orderBy(*order).collect()]
+    assert [str(tuple(x)[:-1]) for x in sorted(got, key=lambda x: x["r"])] == want
+    assert sorted(x["r"] for x in got) == list(range(1, len(rows) + 1))
+
+
+def test_rank_text_tiebreak_and_two_hot_columns(spark):
+    rows = [(1 if i % 3 else i, f"key{'é' if i % 2 else 'a'}{i % 7:03d}", i) for i in range(900)]
+    for down in (False, True):
+        _rank_of(spark, rows, "a long, b string, c long", ["a", "b", "c"], down)
+    rows = [(5, "same", i) for i in range(900)] + [(None, "x", 1000 + i) for i in range(300)]
+    for down in (False, True):
+        _rank_of(spark, rows, "a long, b string, c long", ["a", "b", "c"], down)
+
+
+def test_rank_nulls_and_nan_follow_the_sort(spark):
+    rows = [(float(i % 50), i) for i in range(500)] + [(None, 900), (float("nan"), 901), (float("inf"), 902), (float("-inf"), 903)]
+    for down in (False, True):
+        _rank_of(spark, rows, "a double, b long", ["a", "b"], down)
+
+
+def test_descending_prefix_sum_counts_a_null_key_last(spark):
+    from driftline.operators.order import prefix_sum
+    df = spark.createDataFrame([(4.0, 5), (3.0, 3), (2.0, 2), (None, 1)], "s double, v long")
+    got = {r["s"]: r["cum_v"] for r in prefix_sum(df, "s", ["v"], descending=True).collect()}
+    assert got == {4.0: 5, 3.0: 8, 2.0: 10, None: 11}
