@@ -1,11 +1,9 @@
 """Streaming plans (S1-S9): inputs replayed from the test tables as time-ordered
-files, run with ``availableNow`` into memory, returned as DataFrames.  Each has
+files, run with ``availableNow`` into Parquet sinks, returned as DataFrames.  Each has
 a batch twin as its SQL oracle."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,10 +35,6 @@ def _outc_files(spark, sf, base):
     ST.write_ordered(spark, o, "_y", base)
 
 
-def _name(prefix):
-    return f"{prefix}_{uuid.uuid4().hex[:8]}"
-
-
 @register("stream_join_outcomes",
           "WITH _p AS (SELECT o_orderkey AS prediction_id, o_orderdate AS pred_ts FROM orders),\n"
           "_o AS (SELECT l_orderkey AS prediction_id, l_shipdate AS outcome_ts, CAST(l_returnflag = 'R' AS INTEGER) AS outcome_label FROM lineitem),\n"
@@ -64,7 +58,7 @@ def stream_join_outcomes(spark, sf):
     j = ST.late_outcome_join(p, o.select("prediction_id", "outcome_ts", "outcome_label"), "prediction_id",
                              "pred_ts", "outcome_ts", f"{WITHIN_DAYS} days")
     out = ST.run_available_now(j.select("prediction_id", "pred_ts", "outcome_ts", "outcome_label"),
-                               _name("sjo"), f"{base}/_ckpt")
+                               f"{base}/out", f"{base}/_ckpt")
     return present(out.withColumn("outcome_label", F.col("outcome_label").cast("double")))
 
 
@@ -89,7 +83,7 @@ def stream_burn(spark, sf):
     s = ST.with_event_time(ST.file_stream(spark, f"{base}/req", sch), "ts", BURN_DELAY)
     w = ST.windowed_counts(s, "ts", "6 hours", "1 hour",
                            {"n": F.count(F.lit(1)), "n_5xx": F.sum("is_5xx").cast("long")})
-    out = ST.run_available_now(w, _name("sbu"), f"{base}/_ckpt")
+    out = ST.run_available_now(w, f"{base}/out", f"{base}/_ckpt")
     return present(out.withColumn("error_ratio", F.col("n_5xx") / F.col("n")))
 
 
@@ -125,7 +119,10 @@ def stream_count_windows(spark, sf):
                          on_window=lambda df, w: done.append(w))
     s = ST.file_stream(spark, f"{base}/pred", PRED_SCHEMA)
     ST.run_foreach_batch(s, cw.process, f"{base}/_ckpt")
-    log = spark.read.parquet(f"{base}/log").where(F.col("window_id").isin(done))
+    log = cw.log(spark)
+    if log is None:
+        log = spark.createDataFrame([], PRED_SCHEMA).withColumn("window_id", F.lit(0).cast("long"))
+    log = log.where(F.col("window_id").isin(done))
     return present(log.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.min("pred_ts").alias("first_ts"),
                                                 F.max("pred_ts").alias("last_ts")))
 
@@ -137,7 +134,9 @@ HB_GAP_S = 2 * 3600
           "WITH " + REQ_SQL + ",\n"
           "_hb AS (SELECT instance, ts AS gap_start, lead(ts) OVER (PARTITION BY instance ORDER BY ts, event_id) AS gap_end FROM _req)\n"
           "SELECT instance, gap_start AS last_seen, gap_end AS next_seen, 'heartbeat_gap' AS alert FROM _hb "
-          f"WHERE epoch_us(gap_end) - epoch_us(gap_start) > {HB_GAP_S * 1_000_000}")
+          f"WHERE epoch_us(gap_end) - epoch_us(gap_start) > {HB_GAP_S * 1_000_000} "
+          "UNION ALL SELECT instance, max(ts), NULL::TIMESTAMP, 'heartbeat_missing' FROM _req GROUP BY instance "
+          f"HAVING max(ts) + INTERVAL {HB_GAP_S} SECONDS < (SELECT max(ts) FROM _req) - INTERVAL 10 MINUTES")
 def stream_heartbeat(spark, sf):
     """Per-instance heartbeat watchdog (applyInPandasWithState): gaps over
     2 h between consecutive requests, found inside and across micro-batches
@@ -147,5 +146,5 @@ def stream_heartbeat(spark, sf):
     ST.write_ordered(spark, r, "_d", f"{base}/req")
     sch = T.StructType([T.StructField("instance", T.LongType()), T.StructField("ts", T.TimestampType())])
     s = ST.with_event_time(ST.file_stream(spark, f"{base}/req", sch), "ts", "10 minutes")
-    out = ST.run_available_now(ST.heartbeat_watchdog(s, "instance", "ts", "2 hours"), _name("shb"), f"{base}/_ckpt")
-    return present(out.where(F.col("alert") == "heartbeat_gap"))
+    out = ST.run_available_now(ST.heartbeat_watchdog(s, "instance", "ts", "2 hours"), f"{base}/out", f"{base}/_ckpt")
+    return present(out)

@@ -3,7 +3,7 @@
 Each operator is the streaming twin of a batch operator in ``driftline.operators``;
 the batch twin is the correctness reference.  Sources are file streams (one
 file per trigger keeps event time ordered across micro-batches); sinks are
-``foreachBatch`` / memory / file sinks with checkpoints in the shared folder.
+``foreachBatch`` and Parquet sinks with checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -54,6 +54,15 @@ def ndjson_stream(spark: SparkSession, path: str, schema: T.StructType,
     return parse_ndjson(lines, schema)
 
 
+def split_malformed(good_base: str, bad_base: str):
+    """A ``foreachBatch`` function that writes parsed records and malformed lines to two
+    folders, each batch in a place of its own (a repeated batch overwrites itself)."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.where("_malformed = 0").drop("_malformed").write.mode("overwrite").parquet(f"{good_base}/e{epoch_id}")
+        batch.where("_malformed = 1").write.mode("overwrite").parquet(f"{bad_base}/e{epoch_id}")
+    return write
+
+
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                 files_per_trigger: int = 1) -> DataFrame:
     """Typed file stream, ``files_per_trigger`` files per micro-batch in
@@ -87,26 +96,63 @@ def late_outcome_join(pred: DataFrame, outc: DataFrame, id_col: str, pred_ts: st
 
 # -- S4 corrected outcomes: last write wins via foreachBatch upsert ----------------------------
 
+def committed_batches(spark: SparkSession, folder: str, before: int) -> list[int]:
+    """Ids below ``before`` of the batches whose ``folder/e<id>`` write was committed, in order.
+
+    The state is what is on disk: a new process, or a batch that is run again, finds the same."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "e" and n[1:].isdigit() and int(n[1:]) < before
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
 class OutcomeTable:
-    """Outcomes keyed by id, a newer ``(ts, tiebreak)`` replaces the older
-    row.  Every micro-batch writes a new snapshot (old snapshot + batch reduced
-    by ``last_write_wins``), so readers never see a half-written table."""
+    """Outcomes keyed by id, a newer ``(ts, tiebreak)`` replaces the older row.
 
-    def __init__(self, base: str, id_col: str, ts_col: str, tiebreak: Sequence[str] = ()):
+    Ids are dealt into ``buckets`` by hash. A micro-batch rewrites only the buckets it
+    touches, under ``data/e<batch id>``, and then commits an index (bucket -> batch id) under
+    ``index/e<batch id>``; readers follow the last committed index, so they never see half a
+    batch. Nothing is kept in this object: after a restart the table is found on disk, and a
+    repeated batch id starts from the index before it and writes the same files again."""
+
+    def __init__(self, base: str, id_col: str, ts_col: str, tiebreak: Sequence[str] = (), buckets: int = 16):
         self.base, self.id_col, self.ts_col, self.tiebreak = base.rstrip("/"), id_col, ts_col, list(tiebreak)
-        self.version = -1
+        self.buckets = buckets
+
+    def _index(self, spark: SparkSession, before: int) -> dict[int, int]:
+        done = committed_batches(spark, f"{self.base}/index", before)
+        if not done:
+            return {}
+        return {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{self.base}/index/e{done[-1]}").collect()}
+
+    def _read(self, spark: SparkSession, index: dict[int, int], schema: T.StructType | None = None) -> DataFrame | None:
+        paths = [f"{self.base}/data/e{e}/_bucket={b}" for b, e in sorted(index.items())]
+        if not paths:
+            return None
+        return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
 
     def current(self, spark: SparkSession) -> DataFrame | None:
-        return spark.read.parquet(f"{self.base}/v{self.version}") if self.version >= 0 else None
+        return self._read(spark, self._index(spark, 1 << 62))
 
     def upsert(self, batch: DataFrame, epoch_id: int) -> None:
         from driftline.operators.outcomes import last_write_wins
         spark = batch.sparkSession
-        cur = self.current(spark)
-        rows = batch if cur is None else cur.drop("n_writes").unionByName(batch)
+        bucket = F.pmod(F.xxhash64(self.id_col), F.lit(self.buckets)).cast("int")
+        index = self._index(spark, epoch_id)
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]        # at most ``buckets`` rows
+        if not touched:
+            return
+        old = self._read(spark, {b: e for b, e in index.items() if b in touched}, batch.schema)
+        rows = batch if old is None else old.unionByName(batch)
         merged = last_write_wins(rows, self.id_col, self.ts_col, self.tiebreak).drop("n_writes")
-        self.version += 1
-        merged.write.mode("overwrite").parquet(f"{self.base}/v{self.version}")
+        merged.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.base}/data/e{epoch_id}")
+        index |= {b: epoch_id for b in touched}
+        spark.createDataFrame(sorted(index.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.base}/index/e{epoch_id}")
 
 
 # -- S5 windowed counts ---------------------------------------------------------------------------
@@ -124,30 +170,34 @@ def windowed_counts(df: DataFrame, ts_col: str, size: str, slide: str, measures:
 class CountWindows:
     """Assigns consecutive ids of ``size`` records across micro-batches.
 
-    The running row count is one number kept on the driver; inside a batch the
-    order is the distributed ``global_rank``.  Completed windows are appended
-    to ``base`` and handed to ``on_window`` (e.g. the drift analysis)."""
+    Each batch is written under ``base/e<batch id>``; the records before it are counted from
+    the committed batches on disk (their file footers), so a restart goes on where the files
+    end and a repeated batch is written again in its own place. Inside a batch the order is the
+    distributed ``global_rank``. Windows that the batch completes are handed to ``on_window``
+    (e.g. the drift analysis), again if the batch is run again."""
 
     def __init__(self, base: str, order_cols: Sequence[str], size: int, on_window=None):
-        self.base, self.order_cols, self.size, self.on_window = base, list(order_cols), size, on_window
-        self.offset = 0
-        self.done = -1
+        self.base, self.order_cols, self.size, self.on_window = base.rstrip("/"), list(order_cols), size, on_window
+
+    def log(self, spark: SparkSession, before: int = 1 << 62) -> DataFrame | None:
+        paths = [f"{self.base}/e{e}" for e in committed_batches(spark, self.base, before)]
+        return spark.read.parquet(*paths) if paths else None
 
     def process(self, batch: DataFrame, epoch_id: int) -> None:
         from driftline.operators.order import global_rank
+        spark = batch.sparkSession
+        earlier = self.log(spark, epoch_id)
+        offset = 0 if earlier is None else earlier.count()
         n = batch.count()
         if n == 0:
             return
-        r = global_rank(batch, self.order_cols, "_r").withColumn("_pos", F.col("_r") + self.offset) \
-            .withColumn("window_id", ((F.col("_pos") - 1) / self.size).cast("long")).drop("_r")
-        r.write.mode("append").parquet(self.base)
-        self.offset += n
-        complete = self.offset // self.size - 1
-        if self.on_window is not None and complete > self.done:
-            log = batch.sparkSession.read.parquet(self.base)
-            for w in range(self.done + 1, complete + 1):   # bounded: windows completed by this batch
+        r = global_rank(batch, self.order_cols, "_r").withColumn("_pos", F.col("_r") + offset) \
+            .withColumn("window_id", F.floor((F.col("_pos") - 1) / self.size).cast("long")).drop("_r")
+        r.write.mode("overwrite").parquet(f"{self.base}/e{epoch_id}")
+        if self.on_window is not None:
+            log = self.log(spark, epoch_id + 1)
+            for w in range(offset // self.size, (offset + n) // self.size):   # bounded: windows completed by this batch
                 self.on_window(log.where(F.col("window_id") == w), w)
-        self.done = max(self.done, complete)
 
 
 # -- S7 heartbeat watchdog ----------------------------------------------------------------------
@@ -174,8 +224,8 @@ def heartbeat_watchdog(df: DataFrame, key: str, ts_col: str, gap: str) -> DataFr
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
+            (last,) = state.get                # kept: a later event still reports the whole gap
+            state.update((last,))
             yield pd.DataFrame({"instance": [k[0]], "last_seen": [pd.Timestamp(last)], "next_seen": [pd.NaT],
                                 "alert": ["heartbeat_missing"]})
             return
@@ -218,16 +268,15 @@ class state_partitions:
         return False
 
 
-def run_available_now(df: DataFrame, name: str, checkpoint: str, mode: str = "append",
-                      partitions: int | None = None) -> DataFrame:
-    """Run a streaming query over everything available into a memory table and
-    return it as a batch DataFrame (tests and the query catalogue)."""
+def run_available_now(df: DataFrame, out: str, checkpoint: str, partitions: int | None = None) -> DataFrame:
+    """Run a streaming query over everything available into a Parquet sink (exactly once per
+    batch, by the sink's own log) and return the table; nothing passes through the driver."""
     spark = df.sparkSession
     with state_partitions(spark, partitions):
-        q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
+        q = (df.writeStream.format("parquet").option("path", out).outputMode("append")
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)
 
 
 def run_foreach_batch(df: DataFrame, fn, checkpoint: str, partitions: int | None = None) -> None:
