@@ -92,27 +92,37 @@ def _rolling(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """16 bits of each minwise token of a sorted non-empty set."""
+    """The minwise tokens (whole 64-bit shingle hashes) of a sorted non-empty set."""
     at = np.searchsorted(s, _BIN_STARTS)
     full = np.append(at[1:], len(s)) > at
-    values = ((s[np.minimum(at, len(s) - 1)] >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.int32)
+    values = s[np.minimum(at, len(s) - 1)]
     return values if full.all() else values[_ASK[np.arange(TOKENS), full[_ASK].argmax(axis=1)]]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set), tokens."""
+def short(tokens: np.ndarray) -> np.ndarray:
+    """31 bits of each token: enough to compare the sets of one node."""
+    return ((tokens >> np.uint64(20)) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, seed: int) -> DataFrame:
+    """doc_id, n_shingles, set_key (digest of the set), tokens (short), roots (the set's first node in each tree)."""
+    rng = np.random.default_rng(seed)
+    position, salt = np.resize(rng.permutation(TOKENS), trees), rng.integers(1, 2**63, trees, dtype=np.uint64)
+
     def sign(batches):
         for batch in batches:
             for a, b in text_chunks(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), width)
                 tokens = [minwise(s) if len(s) else None for s in sets]
+                roots = [None if t is None else _mix(t[position] ^ salt).view(np.int64) for t in tokens]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_key", "tokens"])
+                    pa.array([None if t is None else short(t) for t in tokens], pa.list_(pa.int32())),
+                    pa.array(roots, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "tokens", "roots"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, tokens array<int>")
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, tokens array<int>, roots array<long>")
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -169,13 +179,10 @@ def _in_blocks(rows: DataFrame, key: str, size: str, limit: int, member: str) ->
     return spread.withColumn(key, pair).drop("_own", "_other")
 
 
-def candidate_pairs(sets: DataFrame, *, percent: int, trees: int, depth: int, node_sets: int, seed: int) -> DataFrame:
-    """(a, b) spanning forests of the possible links of every tree node; ``sets``: rep, n, tokens."""
-    path = lambda before, i: F.xxhash64(before, F.get("tokens", i))
-    position = lambda before: F.pmod(F.xxhash64(F.lit(seed), before), F.lit(TOKENS)).cast("int")
-    root = F.xxhash64(F.lit(seed), "tree")
-    rows = sets.select("rep", "tokens", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")).select(
-        "rep", path(root, position(root)).alias("path"))
+def candidate_pairs(sets: DataFrame, *, percent: int, depth: int, node_sets: int, seed: int) -> DataFrame:
+    """(a, b) spanning forests of the possible links of every tree node; ``sets``: rep, n, tokens, roots."""
+    position = F.pmod(F.xxhash64(F.lit(seed), "path"), F.lit(TOKENS)).cast("int")
+    rows = sets.select("rep", F.explode("roots").alias("path"))
     found = None
     for level in range(1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -186,7 +193,7 @@ def candidate_pairs(sets: DataFrame, *, percent: int, trees: int, depth: int, no
         found = ready if found is None else found.unionByName(ready)
         if end:
             break
-        rows = big.join(sets, "rep").select("rep", path(F.col("path"), position(F.col("path"))).alias("path"))
+        rows = big.join(sets, "rep").select("rep", F.xxhash64("path", F.get("tokens", position)).alias("path"))
     found = _in_blocks(found, "path", "members", node_sets, "rep").join(sets, "rep").select("path", "rep", "n", "tokens")
 
     def compare(batches):
@@ -203,7 +210,7 @@ def candidate_pairs(sets: DataFrame, *, percent: int, trees: int, depth: int, no
 def confirm(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (exact, on full sets) that connect all that is connected among ``sets``."""
     n = np.array([len(s) for s in sets])
-    maybe = agreeing(np.stack([minwise(s) for s in sets]), n, percent)
+    maybe = agreeing(np.stack([short(minwise(s)) for s in sets]), n, percent)
     label, links = np.arange(len(sets)), []
     shared = _intersections(sets) if len(sets) >= 16 else None
     if shared is not None:
@@ -261,15 +268,16 @@ def links(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, *, w
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 85,
                     trees: int = 12, depth: int = 4, node_sets: int = 1500, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    signed = written(signatures(docs, id_col, text_col, width), "near-signatures")
+    signed = written(signatures(docs, id_col, text_col, width, trees, seed), "near-signatures")
     sets = written(signed.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "near-sets")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"),
+        F.first("roots").alias("roots")), "near-sets")
     named = sets.where("rep is not null")
-    pairs = candidate_pairs(named.select("rep", "n", "tokens"), percent=percent, trees=trees, depth=depth,
+    pairs = candidate_pairs(named.select("rep", "n", "tokens", "roots"), percent=percent, depth=depth,
                             node_sets=node_sets, seed=seed)
     grouped = components(pairs)
-    clusters = grouped.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(
-        grouped.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct())
+    clusters = written(grouped.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(
+        grouped.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()), "near-clusters")
     confirmed = components(links(docs, clusters, id_col, text_col, width=width, percent=percent, node_sets=node_sets))
     reps = named.select("set_key", "rep").join(confirmed, F.col("rep") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -281,5 +289,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of the documents kept, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__dl_kept")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__dl_kept")), "left_semi")
