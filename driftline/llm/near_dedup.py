@@ -18,7 +18,8 @@ documents are linked when ``100 * |intersection| >= percent * |union|``.
    allow the similarity. Each node returns a spanning forest of such pairs, so a dense group
    of m sets costs m - 1 rows; their components are candidate clusters.
 4. Links: each cluster's texts meet once (a cluster above ``node_sets`` in pairs of blocks),
-   are shingled again in full, and pairs are confirmed by exact intersection. Pairs already
+   are shingled again in full (a bitmap of the wanted ids drops the other texts before the
+   shuffle), and pairs are confirmed by exact intersection. Pairs already
    connected need no test, as only reachability is asked for. Components of the links follow.
 
 No bucket, node or cluster is capped and no partner dropped. Only documents that share a tree
@@ -43,6 +44,7 @@ from driftline.llm.components import components
 from driftline.llm.tokens import own_text, split_words, text_chunks
 
 TOKENS, AGREE, TINY = 64, 0.5, 24
+MARK_BITS = 24
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -245,12 +247,30 @@ def _intersections(sets: list[np.ndarray], cells: int = 40_000_000) -> np.ndarra
     return total.astype(np.int64)
 
 
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose ``rep`` is not wanted, so that the join after it shuffles few
+    texts: a bitmap of ``2**MARK_BITS`` hash values, of fixed size, lets a few strangers pass but
+    drops no wanted row. With very many wanted rows it passes all, and the join decides alone."""
+    mark = F.shiftrightunsigned(F.xxhash64("rep"), 64 - MARK_BITS)
+    words = wanted.select(mark.alias("m")).groupBy(F.expr("shiftright(m, 6)").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(m & 63 as int)))").alias("bits")).toPandas()     # at most 2**(MARK_BITS - 6) rows
+    bitmap = np.zeros(1 << (MARK_BITS - 6), np.uint64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def keep(batches):
+        for batch in batches:
+            m = batch.column(2).to_numpy().astype(np.int64)
+            yield batch.filter(pa.array((bitmap[m >> 6] >> (m & 63).astype(np.uint64) & np.uint64(1)).astype(bool))).select([0, 1])
+
+    return texts.withColumn("mark", mark).mapInArrow(keep, "rep long, text string")
+
+
 def links(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, *, width: int, percent: int,
           node_sets: int) -> DataFrame:
     """(a, b) confirmed links inside candidate clusters; ``clusters``: rep, cluster."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     placed = _in_blocks(clusters.join(sizes, "cluster"), "cluster", "members", node_sets, "rep").select("rep", "cluster")
-    texts = docs.select(docs[id_col].cast("long").alias("rep"), text_of(docs, text_col).alias("text"))
+    texts = _marked(docs.select(docs[id_col].cast("long").alias("rep"), text_of(docs, text_col).alias("text")), placed)
 
     def check(batches):
         for group in by_group(batches, "cluster"):
