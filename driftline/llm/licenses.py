@@ -194,8 +194,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, va
     templates = template_rows(spark)
     vocabulary = sorted({g for row in templates.select("words", "pairs").collect() for g in [*row["words"], *row["pairs"]]})
     classes = [*sorted(TEMPLATES), UNKNOWN]
-    # a bounded, hash-chosen sample of the documents' own paragraphs: the smallest hashes
-    lines = paragraphs(docs, id_col, text_col).select("line", F.xxhash64(F.lit(seed), "line").alias("h"))
+    # a bounded, hash-chosen sample: about ``background`` documents, then the smallest hashes of their paragraphs
+    share = max(1, docs.count() // background)
+    some = docs.where(F.pmod(F.xxhash64(F.lit(seed), docs[id_col]), F.lit(share)) == 0)
+    lines = paragraphs(some, id_col, text_col).select("line", F.xxhash64(F.lit(seed), "line").alias("h"))
     sample = lines.orderBy("h", "line").limit(background).distinct().select(
         F.slice(words_of(F.col("line")), 1, 200).alias("words"), "h").where(F.size("words") > 0)
     sample = written(sample.withColumn("hit", containment(real_pairs(F.col("words")))).where("hit < 0.5").drop("hit"), "licence-background")
