@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes encoded at once; bounds the memory of a task whatever the batch holds.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Distinct words remembered by a worker process; beyond that it starts afresh.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,6 +36,7 @@ def text_chunks(text: pa.Array, chunk_bytes: int = CHUNK_BYTES):
         to = int(np.searchsorted(ends, base + chunk_bytes, side="right"))
         yield at, (to := max(to, at + 1))
         at = to
+    pa.default_memory_pool().release_unused()      # a reused worker gives back what the chunks took
 
 
 def own_text(text: pa.Array) -> pa.Array:

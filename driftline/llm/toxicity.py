@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def design(batches):
         for batch in batches:
-            found = [feature_counts(t, number, marks) for t in batch.column(0).to_pylist()]
+            found = [feature_counts(t.as_py(), number, marks) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())),
                 pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.int64())],
@@ -181,7 +181,7 @@ def severity(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col:
     """One row per document: doc_id, severity (expected grade), p_toxic, grade (most probable), toxic."""
     def score(batches):
         for batch in batches:
-            above = model.above(model.eta(batch.column(1).to_pylist()))
+            above = model.above(model.eta(t.as_py() for t in batch.column(1)))
             edges = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(above.sum(1)), pa.array(above[:, 0]),
@@ -198,7 +198,7 @@ def keep_mild(docs: DataFrame, model: Severity, text_col: str = "text", threshol
 
     def keep(batches):
         for batch in batches:
-            above = model.above(model.eta(batch.column(at).cast(pa.string()).to_pylist()))[:, 0]
+            above = model.above(model.eta(t.as_py() for t in batch.column(at)))[:, 0]
             yield batch.filter(pa.array(above < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
