@@ -25,8 +25,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id stays."""
-    return near_dedup.keep_one(docs)
+    """Of each near-duplicate class (similarity 0.80 or more) the document with the smallest id stays."""
+    return near_dedup.keep_one(docs, percent=80, trees=24)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ documents are linked when ``100 * |intersection| >= percent * |union|``.
    and what is then still large is compared exhaustively too, in pairs of blocks. A pair of
    similarity s meets in a tree with probability s to s**depth; ``trees`` independent trees
    leave (1 - 0.85**4)**12 = 1.4e-4 of the pairs at the very threshold inside nodes that
-   needed all four levels, and less than 1e-9 where one level was enough.
-3. A comparison keeps pairs whose token agreement is at least ``AGREE`` (5 or more standard
-   deviations below the threshold; sets of under ``TINY`` shingles skip this) and whose sizes
+   needed all four levels, and less than 1e-9 where one level was enough. A lower threshold
+   wants more trees: at 0.80, 24 of them leave (1 - 0.8**4)**24 = 3.2e-6.
+3. A comparison keeps pairs whose token agreement is at most ``SLACK`` below the threshold (5 or
+   more standard deviations; sets of under ``TINY`` shingles skip this) and whose sizes
    allow the similarity. Each node returns a spanning forest of such pairs, so a dense group
    of m sets costs m - 1 rows; their components are candidate clusters.
 4. Links: each cluster's texts meet once (a cluster above ``node_sets`` in pairs of blocks),
@@ -43,7 +44,7 @@ from driftline.llm.common import shuffle_partitions, text_of, written
 from driftline.llm.components import components
 from driftline.llm.tokens import own_text, split_words, text_chunks
 
-TOKENS, AGREE, TINY = 64, 0.5, 24
+TOKENS, SLACK, TINY = 64, 35, 24
 MARK_BITS = 24
 SEED = 0x9E3779B97F4A7C15
 
@@ -149,7 +150,7 @@ def agreeing(tokens: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     for k in range(tokens.shape[1]):
         same += tokens[:, k, None] == tokens[None, :, k]
     small = np.minimum(n[:, None], n[None, :])
-    return ((same >= AGREE * tokens.shape[1]) | (small < TINY)) & (100 * small >= percent * np.maximum(n[:, None], n[None, :]))
+    return ((100.0 * same >= (percent - SLACK) * tokens.shape[1]) | (small < TINY)) & (100 * small >= percent * np.maximum(n[:, None], n[None, :]))
 
 
 def by_group(batches, key: str):
