@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import written
+from driftline.llm.common import hash_sample, written
 
 
 def usable(embedding: Column) -> Column:
@@ -178,9 +178,11 @@ def search(vectors: DataFrame, queries: Column | str, id_col: str = "vec_id", ve
     rows = rows.where(F.size("v") == d)
     router, probes = None, 1
     if n > exhaustive:
-        share = max(1, n // sample)
-        chosen = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(share)) == 0).select("v").limit(sample)
-        router, probes = fit_router(np.stack(chosen.toPandas()["v"].to_numpy()).astype(float), parts, degree, hidden, seed, recall, k)
+        named = rows.select("vec_id", "v")
+        chosen = hash_sample(named, n, sample, seed, "vec_id", "v").select("v").toPandas()["v"]
+        if len(chosen) < min(n, sample):                   # many copies of one row: the share of the hashes left too few
+            chosen = hash_sample(named, 0, sample, seed, "vec_id", "v").select("v").toPandas()["v"]
+        router, probes = fit_router(np.stack(chosen.to_numpy()).astype(float), parts, degree, hidden, seed, recall, k)
     parts = parts if router else 1
 
     def route(batches):

@@ -5,8 +5,10 @@ vector for all thresholds, thresholds in order by construction (the first, then
 steps). x holds log(1 + count) of the vocabulary's features: whole words, and their first 4,
 5 and 6 letters, which stand for a stem with any ending. The score is the expected grade.
 
-Fit, on at most ``sample`` labelled documents (chosen by a hash of their id; the bound keeps
-driver memory fixed), each distinct text once:
+Fit, on at most ``sample`` labelled documents (the bound keeps driver memory fixed), each
+distinct text once. Above the bound every label gets an equal part of it, or all its rows if
+they are fewer; a label's rows are those whose hash of the id comes first, and they are weighted
+by the share of them that was taken, so the model keeps the labels' own proportions:
 
 * the vocabulary is the ``vocabulary`` features of greatest chi-square between the lowest and
   the other grades, in ``min_docs`` documents or more (a Spark aggregate over the sample);
@@ -26,13 +28,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import text_of, written
+from driftline.llm.common import hash_sample, text_of, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -94,9 +97,11 @@ class Severity:
         return Sparse([r[0] for r in rows], [r[1] for r in rows], len(self.weights)).dot(self.weights)
 
 
-def cumulative_link(x: Sparse, grade: np.ndarray, grades: int, l2: float, steps: int = 300, rate: float = 0.1):
-    """Weights and thresholds of greatest penalised likelihood."""
-    share = np.cumsum(np.bincount(grade, minlength=grades))[:-1] / len(grade)
+def cumulative_link(x: Sparse, grade: np.ndarray, grades: int, l2: float, steps: int = 300, rate: float = 0.1,
+                    weight: np.ndarray | None = None):
+    """Weights and thresholds of greatest penalised likelihood; ``weight`` of each row, 1 on average."""
+    weight = np.ones(x.n) if weight is None else weight * x.n / weight.sum()
+    share = np.cumsum(np.bincount(grade, weight, minlength=grades))[:-1] / x.n
     first = np.log(share / (1 - share))
     free = np.concatenate([np.zeros(x.width), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
     m, v = np.zeros_like(free), np.zeros_like(free)
@@ -108,12 +113,12 @@ def cumulative_link(x: Sparse, grade: np.ndarray, grades: int, l2: float, steps:
         a, b = np.where(grade + 1 == grades, 1.0, a), np.where(grade == 0, 0.0, b)
         p = np.maximum(a - b, 1e-12)
         d_theta = np.zeros(grades + 1)
-        np.add.at(d_theta, grade + 1, -a * (1 - a) / p)
-        np.add.at(d_theta, grade, b * (1 - b) / p)
+        np.add.at(d_theta, grade + 1, -weight * a * (1 - a) / p)
+        np.add.at(d_theta, grade, weight * b * (1 - b) / p)
         d_theta = d_theta[1:-1] / x.n
         later = np.cumsum(d_theta[::-1])[::-1]               # a step moves all later thresholds
         d_free = np.concatenate([[later[0]], later[1:] * np.exp(free[x.width + 1:])])
-        g = np.concatenate([x.back(-(a + b - 1)) / x.n + l2 * w, d_free])
+        g = np.concatenate([x.back(-weight * (a + b - 1)) / x.n + l2 * w, d_free])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         free = free - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return free[:x.width], _ordered(free[x.width:])
@@ -129,8 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on labelled documents; labels above 1 are grades as they are, 0/1 labels are graded."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(
         labels[id_col].alias("_id"), labels[label_col].cast("int").alias("label"))
-    share = max(1, known.count() // sample)
-    known = known.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(share)) == 0).limit(sample)
+    known, rarity = label_sample(known.distinct(), sample, seed)
     texts = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("text"))
     # the sample's bound makes this side small whatever the tables hold
     rows = written(texts.join(F.broadcast(known), "_id").groupBy("text").agg(F.max("label").alias("label")), "severity-sample")
@@ -163,13 +167,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     table = rows.mapInArrow(design, "label int, found array<int>, counts array<int>, marked long").collect()
     grade = np.array([r["label"] for r in table])
+    weight = np.array([rarity[g] for g in grade])
     if grade.max() <= 1:
         grade = graded(grade, np.array([r["marked"] for r in table]))
     x = Sparse([r["found"] for r in table], [r["counts"] for r in table], len(words))
-    weights, thresholds = cumulative_link(x, grade, int(grade.max()) + 1, l2)
+    weights, thresholds = cumulative_link(x, grade, int(grade.max()) + 1, l2, weight=weight)
     return Severity(number, weights, thresholds)
 
 
+def label_sample(known: DataFrame, sample: int, seed: int) -> tuple[DataFrame, dict[int, float]]:
+    """At most ``sample`` rows of (_id, label), and how many rows each taken one of a label stands for."""
+    held = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}       # as many rows as grades
+    if sum(held.values()) <= sample:
+        return known, dict.fromkeys(held, 1.0)
+    bound, left = {}, sample
+    for i, label in enumerate(sorted(held, key=lambda g: (held[g], g))):                     # what rare labels leave goes to the others
+        bound[label] = min(held[label], left // (len(held) - i))
+        left -= bound[label]
+    parts = [hash_sample(known.where(F.col("label") == g), held[g], b, seed, "_id") for g, b in sorted(bound.items())]
+    return reduce(DataFrame.unionByName, parts), {g: held[g] / max(b, 1) for g, b in bound.items()}
+
+
 def graded(toxic: np.ndarray, marked: np.ndarray) -> np.ndarray:
     """0 if not toxic; else 1 to 3 by thirds of the toxic documents' marked words."""
     cuts = np.quantile(marked[toxic > 0], [1 / 3, 2 / 3])
