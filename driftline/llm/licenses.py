@@ -1,17 +1,25 @@
 """Licence families of paragraphs: trained n-gram classifier confirmed against templates (JVM only).
 
-1. Paragraphs are the non-empty lines of a text; words are runs of a-z, 0-9, ``.``, ``+`` and
-   ``-`` of the lower-cased line, without marks at either end. The features of a paragraph are
-   the counts of the word 1- and 2-grams that occur in the templates.
+1. Blocks are what blank lines separate; words are runs of a-z, 0-9, ``.``, ``+`` and ``-`` of
+   the lower-cased text, without marks at either end. A block is read as its lines (those of at
+   most ``longest`` words) and, for notices that are wrapped or lie in a long line, as windows:
+   for each template, every ``STRIDE`` words, of the template's length and ``PAD`` words more, so
+   every run of a template's length lies whole in one of its windows. Blocks, and pieces of
+   ``PIECE`` words of them, without ``confirm`` of any template's word pairs cannot hold a
+   licence and are not read further. The features of a line or window are the counts of the word
+   1- and 2-grams that occur in the templates.
 2. Training rows come from the templates below, each in ``variants`` copies that lose a tenth
    of their words and gain words of real paragraphs around them (both chosen by hash); the
-   class unknown gets at most ``background`` paragraphs of the documents that match no
-   template, and the plain sentences of ``OTHER``. A multinomial logistic regression is fitted.
+   class unknown gets at most ``background`` windows of ``longest`` words of lines of the
+   documents, those that match no template, and the plain sentences of ``OTHER``. A multinomial logistic regression is fitted.
 3. Every fifth row is held out of the fit and calibrates it: one temperature, the one of least
    negative log likelihood, scales the scores of all classes, unknown included.
-4. A paragraph is predicted as a family if that family is likelier than every other class,
+4. A line or window is predicted as a family if that family is likelier than every other class,
    unknown included. The prediction stands if some template of the family has at least
-   ``confirm`` of its word pairs in the paragraph.
+   ``confirm`` of its word pairs in it; a window must be predicted as the family it was cut for,
+   and no other family may share the same of its pairs and more.
+   The licence paragraphs of a block are such lines, and the whole block, once for each family
+   that only windows have.
 
 Null and empty texts have no paragraph. Every document gets a row; rows that share an id share
 one result (their paragraphs together). An empty table gives an empty result, and the model is
@@ -86,6 +94,8 @@ TEMPLATES = {
     ],
 }
 UNKNOWN = "unknown"
+#: Words that a window has beside a template's, words between windows (at most PAD + 1), words of a piece.
+PAD, STRIDE, PIECE = 10, 8, 400
 #: Own sentences that use words of licences without being one.
 OTHER = [
     "The council licensed a new market under the old bridge.",
@@ -131,6 +141,57 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where(F.trim("line") != "")
 
 
+def pieces(words: Column, size: int, step: int) -> Column:
+    """Runs of ``size`` words, one every ``step``, up to the one that reaches the end."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + step), F.lit(step))
+    return F.transform(starts, lambda i: F.slice(words, i, size))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def template_shares(words: Column, use) -> Column:
+    """``use`` of the list of (family, length of the template in words, share of its pairs among the words)."""
+    plain, sizes = _template_pairs(), _template_sizes()
+    every = sorted({p for texts in plain.values() for pairs in texts for p in pairs})
+    found = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
+                                          lambda a, b: F.concat_ws(" ", a, b)), lambda p: p.isin(every))
+    of = lambda k: use([(f, sizes[f][i], F.size(F.array_intersect(F.lit(p), k)) / F.lit(float(len(p))))
+                        for f, texts in plain.items() for i, p in enumerate(texts)])
+    return bound(words, lambda w: bound(found(w), of))
+
+
+def holds(words: Column, confirm: float) -> Column:
+    """Whether some template has ``confirm`` of its pairs among the words."""
+    return template_shares(words, lambda t: F.greatest(*[share for *_, share in t]) >= confirm)
+
+
+def explained(pairs: Column, family: Column) -> Column:
+    """Whether another family shares all pairs that this family shares with the window, and more: a part
+    of a longer notice of the other family is no notice of this one."""
+    plain = {f: sorted({p for pairs in texts for p in pairs}) for f, texts in _template_pairs().items()}
+    shared = F.array(*[F.array_intersect(F.lit(p), pairs) for p in plain.values()])
+    at = F.array_position(F.lit(list(plain)), family).cast("int") - 1
+    return bound(shared, lambda all_: bound(F.get(all_, at), lambda mine: F.exists(
+        all_, lambda other: (F.size(other) > F.size(mine)) & (F.size(F.array_except(mine, other)) == 0))))
+
+
+def windows(words: Column, confirm: float) -> Column:
+    """Windows (want, words) for the templates that have ``confirm`` of their pairs among the words."""
+    def named(family: str):
+        return lambda x: F.struct(F.lit(family).alias("want"), x.alias("words"))
+
+    def cut(w: Column) -> Column:
+        def for_each(t):
+            none = F.array().cast("array<struct<want: string, words: array<string>>>")
+            return F.concat(*[F.when(share >= confirm, F.transform(pieces(w, n + PAD, STRIDE), named(f))).otherwise(none)
+                              for f, n, share in t])
+        return template_shares(w, for_each)
+    return bound(words, cut)
+
+
 def containment(pairs: Column, families: Column | None = None) -> Column:
     """Greatest share of a template's pairs among ``pairs``, over all templates or one family's."""
     def shares(texts) -> Column:
@@ -158,6 +219,18 @@ def _template_pairs() -> dict[str, list[list[str]]]:
     return out
 
 
+def _template_sizes() -> dict[str, list[int]]:
+    """The templates' numbers of words."""
+    import re
+    return {f: [len(re.sub(r"[^a-z0-9.+-]+|[.+-]+(?=[^a-z0-9]|$)|(?<![a-z0-9])[.+-]+", " ", t.lower()).split()) for t in texts]
+            for f, texts in TEMPLATES.items()}
+
+
+def longest() -> int:
+    """Words of the longest window."""
+    return max(n for sizes in _template_sizes().values() for n in sizes) + PAD
+
+
 class Classifier:
     """Features, fitted regression, class names and temperature."""
 
@@ -194,12 +267,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, va
     templates = template_rows(spark)
     vocabulary = sorted({g for row in templates.select("words", "pairs").collect() for g in [*row["words"], *row["pairs"]]})
     classes = [*sorted(TEMPLATES), UNKNOWN]
-    # a bounded, hash-chosen sample: about ``background`` documents, then the smallest hashes of their paragraphs
+    # a bounded, hash-chosen sample: about ``background`` documents, the smallest hashes of their lines, then of the windows of these
     share = max(1, docs.count() // background)
     some = docs.where(F.pmod(F.xxhash64(F.lit(seed), docs[id_col]), F.lit(share)) == 0)
     lines = paragraphs(some, id_col, text_col).select("line", F.xxhash64(F.lit(seed), "line").alias("h"))
-    sample = lines.orderBy("h", "line").limit(background).distinct().select(
-        F.slice(words_of(F.col("line")), 1, 200).alias("words"), "h").where(F.size("words") > 0)
+    lines = lines.orderBy("h", "line").limit(background).distinct().select(
+        F.explode(bound(words_of(F.col("line")), lambda w: pieces(w, longest(), longest()))).alias("words")).where(F.size("words") > 0)
+    sample = lines.select("words", F.xxhash64(F.lit(seed), "words").alias("h")).orderBy("h", "words").limit(background).distinct()
     sample = written(sample.withColumn("hit", containment(real_pairs(F.col("words")))).where("hit < 0.5").drop("hit"), "licence-background")
     own = spark.createDataFrame([(t,) for t in OTHER], "text string").select(words_of(F.col("text")).alias("words"))
     fill = sample.select(F.slice("words", 1, 12).alias("around"), F.row_number().over(_order()).alias("n"))
@@ -244,11 +318,30 @@ def _loss(t: float) -> Column:
 
 def licensed_paragraphs(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text",
                         confirm: float = 0.6) -> DataFrame:
-    """(doc_id, line, family, probability, match) of every confirmed licence paragraph."""
-    rows = paragraphs(docs, id_col, text_col).withColumn("words", words_of(F.col("line")))
-    found = model.predict(rows).where(F.col("family") != UNKNOWN)
-    found = found.withColumn("match", containment(real_pairs(F.col("words")), F.col("family")))
-    return found.where(F.col("match") >= confirm).drop("words")
+    """(doc_id, line, family, probability, match) of every confirmed licence paragraph; ``line`` is a
+    line, or the whole block where only windows of it hold the family."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("_row"), docs[text_col].cast("string").alias("_text"))
+    blocks = rows.select("doc_id", "_row", F.posexplode(F.split("_text", r"\n\s*\n")).alias("_block", "_para"))
+    blocks = blocks.where(holds(words_of(F.col("_para")), confirm))
+    lines = F.transform(F.split("_para", "\n"), lambda x: F.struct(x.alias("line"), words_of(x).alias("words")))
+    cut = bound(words_of(F.col("_para")), lambda w: F.transform(pieces(w, PIECE, PIECE - longest()), lambda x: F.struct(
+        F.lit(None).cast("string").alias("line"), x.alias("words"))))
+    parts = blocks.select("doc_id", "_row", "_block", "_para", F.explode(F.concat(lines, cut)).alias("_part")).where(
+        holds(F.col("_part.words"), confirm))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("want"), F.col("_part.words").alias("words")))
+    read = parts.where(F.col("_part.line").isNull() | (F.size("_part.words") <= longest())).select(
+        "doc_id", "_row", "_block", "_para", F.col("_part.line").alias("line"),
+        F.explode(F.when(F.col("_part.line").isNotNull(), whole).otherwise(windows(F.col("_part.words"), confirm))).alias("_w"))
+    read = read.select("doc_id", "_row", "_block", "_para", "line", F.col("_w.want").alias("want"), F.col("_w.words").alias("words"))
+    read = read.where(holds(F.col("words"), confirm))
+    found = model.predict(read).where((F.col("family") != UNKNOWN) & F.coalesce(F.col("want") == F.col("family"), F.lit(True)))
+    found = found.withColumn("match", containment(real_pairs(F.col("words")), F.col("family"))).where(F.col("match") >= confirm)
+    found = found.where(F.col("want").isNull() | ~explained(real_pairs(F.col("words")), F.col("family")))
+    hit = lambda line: F.struct("probability", "match", F.col(line).alias("line"))
+    per_block = found.groupBy("doc_id", "_row", "_block", "family").agg(
+        F.collect_list(F.when(F.col("line").isNotNull(), hit("line"))).alias("own"), F.max(hit("_para")).alias("best"))
+    return per_block.select("doc_id", "family", F.explode(F.when(F.size("own") > 0, F.col("own")).otherwise(F.array("best"))).alias("x")).select(
+        "doc_id", "x.line", "family", "x.probability", "x.match")
 
 
 def document_licences(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text",
