@@ -10,6 +10,9 @@ values of a format share one, and equal values have equal pseudonyms in every do
 every way of writing their digits. Card numbers keep their first digit and get the right check
 digit; IBANs keep country and length and get the right check digits; e-mails keep their domain.
 
+A match that is not valid is tried with fewer of its last words (IBANs to their country's length);
+if no such part is valid the search goes on at the match's next word.
+
 Only texts with a digit, an ``@`` or a secret's sign are scanned. Null and empty texts, and
 texts without a value, come back as they are (null as null) with no span. The rows of a
 document are independent: no shuffle, and a task holds one batch of texts. Repeated rows have
@@ -219,22 +222,46 @@ def secret(p: Permutation, s: str) -> str:
     return letters(p, s, "secret")
 
 
+#: Lengths of the IBANs of a country.
+IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+
+
+def shorter(kind: str, text: str, a: int, b: int):
+    """Ends inside a match that is not valid as a whole, where its first words may be a value: longest first."""
+    if kind not in ("iban", "intl"):
+        return
+    length = IBAN_LENGTH.get(text[a:a + 2]) if kind == "iban" else None
+    for end in range(b - 1, a, -1):
+        if text[end - 1].isalnum() and not (text[end].isalnum() or text[end] == "_"):
+            if length is None or len(text[a:end].replace(" ", "")) == length:
+                yield end
+
+
 KINDS = {"email": email, "key": key, "secret": secret, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone,
          "intl": intl, "card": card}
 
 
 def pseudonymise(text: str, p: Permutation) -> tuple[str, list[dict]]:
     """The text with every valid value replaced, and the spans of the original text."""
-    out, spans, at = [], [], 0
-    for m in VALUE.finditer(text):
+    out, spans, at, start = [], [], 0, 0
+    while m := VALUE.search(text, start):
         kind = m.lastgroup
         a, b = m.span(kind)
         new = KINDS[kind](p, text[a:b])
         if new is None:
+            for b in shorter(kind, text, a, b):
+                if (new := KINDS[kind](p, text[a:b])) is not None:
+                    break
+        if new is None:
+            start = a + 1                                  # a value may begin at a later word of the match
             continue
         out += [text[at:a], new]
         spans.append({"kind": kind, "first": a, "last": b, "pseudonym": new})
-        at = b
+        at = start = b
     return "".join([*out, text[at:]]), spans
 
 
