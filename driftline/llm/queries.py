@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, exact_dedup, licenses, mixing, near_dedup, packing, pii, token_files, toxicity, warc
+from driftline.llm import ann, exact_dedup, fim, licenses, mixing, near_dedup, packing, pii, token_files, toxicity, warc
 from driftline.sources.tables import load_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     folder = token_files.write_tokens(load_table(spark, sf_dir, "documents"))
     return token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op12_fill_in_middle", r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS x FROM documents),
+         u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l,
+                      ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2,
+                      ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+         c AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a,
+                      greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b,
+                      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100
+                           THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+         s AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m,
+                      array_to_string(l[b + 1:n], '') AS z FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m
+                            ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM s""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rearranged for filling in the middle, and rebuilt from the outputs."""
+    outputs = fim.rearranged(load_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    return fim.restored(outputs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
