@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, exact_dedup, fim, licenses, mixing, near_dedup, packing, pii, token_files, toxicity, warc
+from driftline.llm import ann, exact_dedup, fim, licenses, maxscore, mixing, near_dedup, packing, pii, token_files, toxicity, warc
 from driftline.sources.tables import load_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query("op11_maxscore_topk", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                      list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
+               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best integer inner products of every row whose vec_id is divisible by 100, against all rows."""
+    return maxscore.search(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, scale=1024)
+
+
 @query("op12_fill_in_middle", r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS x FROM documents),
          u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l,
