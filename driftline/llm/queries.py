@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, exact_dedup, fim, licenses, maxscore, mixing, near_dedup, packing, pii, token_files, toxicity, warc
+from driftline.llm import ann, exact_dedup, fim, licenses, maxscore, mixing, near_dedup, packing, pii, repair, token_files, toxicity, warc
 from driftline.sources.tables import load_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,61 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents rearranged for filling in the middle, and rebuilt from the outputs."""
     outputs = fim.rearranged(load_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
     return fim.restored(outputs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op13_conversation_repair", r"""
+    WITH RECURSIVE
+    r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+    -- crc32, bit by bit: a byte is mixed in, then eight shifts (-1) follow
+    x AS (SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+              string_split(key, ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+              lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END)) % 20 AS d FROM r),
+    m AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                 CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x),
+    o AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending, role[1:1] AS initial,
+                 row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS occ,
+                 lag(role[1:1]) OVER w || role[1:1] AS pair
+          FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+    f AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN occ > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated'
+                    ELSE 'ok' END AS fault FROM o),
+    s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+    -- cost to go, audit and repaired lines from the end, by state: e nothing yet, y after system, u after user, a after assistant
+    g AS (SELECT conv_id, n + 1 AS pos, {'c': 0, 'a': '', 'x': ''} AS e, {'c': 6, 'a': 'II', 'x': 'user:' || chr(10) || 'assistant:' || chr(10)} AS y,
+                 {'c': 3, 'a': 'I', 'x': 'assistant:' || chr(10)} AS u, {'c': 0, 'a': '', 'x': ''} AS a FROM s
+          UNION ALL
+          SELECT conv_id, pos, list_sort([e, {'c': u.c + 3, 'a': 'I' || u.a, 'x': 'user:' || chr(10) || u.x}])[1],
+                 list_sort([y, {'c': u.c + 3, 'a': 'I' || u.a, 'x': 'user:' || chr(10) || u.x}])[1], u, a
+          FROM (SELECT conv_id, pos, e, y, list_sort([u, {'c': a.c + 3, 'a': 'I' || a.a, 'x': 'assistant:' || chr(10) || a.x}])[1] AS u,
+                       list_sort([a, {'c': u.c + 3, 'a': 'I' || u.a, 'x': 'user:' || chr(10) || u.x}])[1] AS a
+                FROM (SELECT conv_id, pos,
+                             list_sort([{'c': e.c + 4, 'a': 'D' || e.a, 'x': e.x},
+                                        {'c': y.c + t + CASE initial WHEN 's' THEN 0 ELSE 999999 END, 'a': 'K' || y.a, 'x': k || y.x},
+                                        {'c': u.c + t + CASE initial WHEN 'u' THEN 0 ELSE 999999 END, 'a': 'K' || u.a, 'x': k || u.x},
+                                        {'c': u.c + t + 3, 'a': 'R' || u.a, 'x': ru || u.x}])[1] AS e,
+                             list_sort([{'c': y.c + 4, 'a': 'D' || y.a, 'x': y.x},
+                                        {'c': u.c + t + CASE initial WHEN 'u' THEN 0 ELSE 999999 END, 'a': 'K' || u.a, 'x': k || u.x},
+                                        {'c': u.c + t + 3, 'a': 'R' || u.a, 'x': ru || u.x}])[1] AS y,
+                             list_sort([{'c': u.c + 4, 'a': 'D' || u.a, 'x': u.x},
+                                        {'c': a.c + t + CASE initial WHEN 'a' THEN 0 ELSE 999999 END, 'a': 'K' || a.a, 'x': k || a.x},
+                                        {'c': a.c + t + 3, 'a': 'R' || a.a, 'x': ra || a.x}])[1] AS u,
+                             list_sort([{'c': a.c + 4, 'a': 'D' || a.a, 'x': a.x},
+                                        {'c': u.c + t + CASE initial WHEN 'u' THEN 0 ELSE 999999 END, 'a': 'K' || u.a, 'x': k || u.x},
+                                        {'c': u.c + t + 3, 'a': 'R' || u.a, 'x': ru || u.x}])[1] AS a
+                      FROM (SELECT g.conv_id, f.pos, f.initial, e, y, u, a,
+                                   CASE fault WHEN 'ok' THEN 0 WHEN 'truncated' THEN 3 ELSE 999999 END AS t,
+                                   role || ':' || text || chr(10) AS k, 'user:' || text || chr(10) AS ru, 'assistant:' || text || chr(10) AS ra
+                            FROM g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.pos = g.pos - 1))))
+    SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+           sha256(coalesce(e.x[1:len(e.x) - 1], '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
+         LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id AND g.pos = 1""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired at least cost: faults, cost, audit and digest of every conversation."""
+    rows = repair.damaged(load_table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repaired(rows, gone=F.col("gone")))
