@@ -14,7 +14,8 @@ A match that is not valid is tried with fewer of its last words (IBANs to their
 if no such part is valid the search goes on at the match's next word.
 
 Only texts with a digit, an ``@`` or a secret's sign are scanned. Null and empty texts, and
-texts without a value, come back as they are (null as null) with no span. The rows of a
+texts without a value, come back as they are (null as null) with no span. A value of any length is
+replaced whole: longer strings are permuted in blocks. The rows of a
 document are independent: no shuffle, and a task holds one batch of texts. Repeated rows have
 equal results; an empty table gives an empty one. Other columns are not read.
 """
@@ -63,12 +64,19 @@ class Permutation:
         while True:
             a, b = x >> half, x & mask
             for r in range(self.rounds):
-                f = hashlib.blake2b(bytes([r]) + b.to_bytes(size, "big") + head, key=self.key, digest_size=size).digest()
+                f = self.draw(bytes([r]) + b.to_bytes(size, "big") + head, size)
                 a, b = b, a ^ (int.from_bytes(f, "big") & mask)
             x = a << half | b
             if x < n:
                 return x
 
+    def draw(self, message: bytes, size: int) -> bytes:
+        """``size`` keyed bytes: one digest of up to 64, and beyond that digests of the message with a counter."""
+        if size <= 64:
+            return hashlib.blake2b(message, key=self.key, digest_size=size).digest()
+        parts = (hashlib.blake2b(message + b"|%d" % i, key=self.key).digest() for i in range(-(-size // 64)))
+        return b"".join(parts)[:size]
+
     def walk(self, x: int, n: int, tweak: str, valid=None) -> int:
         """The permuted ``x``, permuted on until valid: a permutation of the valid numbers."""
         x = self.once(x, n, tweak)
@@ -167,8 +175,22 @@ def date(p: Permutation, s: str) -> str | None:
     return None
 
 
+#: Characters that are permuted as one number.
+LETTERS = 64
+
+
 def letters(p: Permutation, s: str, tweak: str) -> str:
-    """Digits to digits, lower case to lower case, upper to upper; the rest stays."""
+    """Digits to digits, lower case to lower case, upper to upper; the rest stays. A string of more than ``LETTERS``
+    characters is permuted block by block, each tweaked by the pseudonym before it, so that the work grows
+    with its length and equal strings alone share a pseudonym."""
+    out = ""
+    for a in range(0, len(s), LETTERS):
+        after = hashlib.blake2b(out.encode(), digest_size=16).hexdigest() if a else ""
+        out += _block(p, s[a:a + LETTERS], f"{tweak}:{after}" if a else tweak)
+    return out
+
+
+def _block(p: Permutation, s: str, tweak: str) -> str:
     sets = [next((k for k in (DIGITS, LOWER, UPPER) if c in k), None) for c in s]
     x, n = 0, 1
     for c, k in zip(s, sets):
