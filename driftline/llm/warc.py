@@ -291,12 +291,16 @@ def archived_pages(spark, folder: str) -> DataFrame:
     """Per page from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Digest and length of a response come from its payload; a revisit's from the response it
-    refers to. Two scans: the revisits' never inflates a payload.
+    refers to, of the responses of that id the one with the digest in the revisit's header: rows of
+    one id may hold unlike payloads, and each has its own row here. Two scans: the revisits' never
+    inflates a payload.
     """
     full = read_archive(spark, folder).where(F.col("record_type") == "response").select(
         page_of(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+        F.sha1("payload").alias("sha"), "record_type", F.lit(None).cast("long").alias("refers_to"), F.col("payload_digest").alias("header"))
     again = read_archive(spark, folder, payload=False).where(F.col("record_type") == "revisit").select(
-        page_of(F.col("record_id")).alias("page_id"), "record_type", page_of(F.col("refers_to")).alias("refers_to"))
-    original = full.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
-    return full.unionByName(again.join(original, "refers_to").select(*full.columns))
+        page_of(F.col("record_id")).alias("page_id"), "record_type", page_of(F.col("refers_to")).alias("refers_to"),
+        F.col("payload_digest").alias("header"))
+    original = full.select(F.col("page_id").alias("refers_to"), "header", "payload_bytes", "sha").distinct()
+    return full.unionByName(again.join(original, ["refers_to", "header"]).select(*full.columns)).select(
+        "page_id", "payload_bytes", F.col("sha").alias("payload_digest"), "record_type", "refers_to")

@@ -145,3 +145,13 @@ def test_queries_match_their_sql(spark, name):
     want = c.sql(LLM_ORACLES[name])
     got = LLM_QUERIES[name](spark, d).select(*want.columns).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
+def test_warc_rows_of_one_id_with_unlike_payloads(spark):
+    a, b, c = "A" * 1500, "B" * 1500, "c" * 20
+    rows = [(5, "u", a), (5, "u", b), (3, "u", a), (2, "u", b), (5, "u", c), (5, "u", a), (None, "u", a), (None, "u", None)]
+    folder = warc.archive_pages(spark.createDataFrame([(*r, "q", 1) for r in rows], PAGES))
+    got = sorted((tuple(r) for r in warc.archived_pages(spark, folder).collect()), key=str)
+    want = [(i, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), *(("revisit", 5) if len(h or "") > 1000 and i != 5 else ("response", None)))
+            for i, _, h in rows]
+    assert got == sorted(want, key=str)
