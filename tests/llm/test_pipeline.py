@@ -35,7 +35,7 @@ def test_stages(spark):
     assert exact.columns == columns and sorted(r["doc_id"] for r in got) == sorted(top.values())
 
     near = written(stages["near_dedup"](spark, exact, SF), "t")
-    want = {i for i, (_, c) in near_brute([(r["doc_id"], r["text"] or "") for r in got]).items() if i == c}
+    want = {i for i, (_, c) in near_brute([(r["doc_id"], r["text"] or "") for r in got], 80).items() if i == c}
     got = near.collect()
     assert near.columns == columns and {r["doc_id"] for r in got} == want and len(got) == len(want)
 
