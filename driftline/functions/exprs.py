@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "NULL_TOKEN", "EPSILON", "col_of", "binarise", "safe_div", "as_category",
     "linspace", "lit_array", "count_le", "count_lt", "hash_uniform",
-    "poisson1_cdf", "poisson_from_uniform", "replicate_hashes", "replicate_uniform", "t_test_p_even_df", "r6", "round_half_up",
+    "poisson1_cdf", "poisson_from_uniform", "t_test_p_even_df", "r6", "round_half_up",
     "status_class", "percentile_exact", "scalars",
 ]
 
@@ -97,21 +97,8 @@ def hash_uniform(*parts: str | Column, seed: int = 42) -> Column:
     return F.conv(hex8, 16, 10).cast("double") / F.lit(float(2 ** 32))
 
 
-def replicate_hashes(row_key: Sequence[str | Column], n_replicates: int, seed: int = 42) -> Column:
-    """md5 texts for replicates ``0..B-1`` of a row: one md5 of
-    ``key|chunk|seed`` serves four replicates (``chunk = b div 4``), each using
-    its own 8 hex digits (32 independent bits)."""
-    key = F.concat_ws("|", *[col_of(c).cast("string") for c in row_key])
-    n = (n_replicates + 3) // 4
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                       lambda c: F.md5(F.concat_ws("|", key, c.cast("string"), F.lit(str(seed)))))
-
-
-def replicate_uniform(hashes: Column, b: Column) -> Column:
-    """Uniform in [0, 1) of replicate ``b`` from :func:`replicate_hashes`."""
-    h = F.element_at(hashes, (F.floor(b / 4) + 1).cast("int"))
-    hex8 = h.substr((F.pmod(b, F.lit(4)) * 8 + 1).cast("int"), F.lit(8))
-    return F.conv(hex8, 16, 10).cast("double") / F.lit(float(2 ** 32))
+#: Shifts and factors of the 32-bit mixer behind replicate weights; products stay below 2**63.
+MIX = ((16, 15, 16), (0x7FEB352D, 0x45D9F3B))
 
 
 def poisson1_cdf(kmax: int = 12) -> list[float]:

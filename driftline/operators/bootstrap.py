@@ -1,44 +1,178 @@
-"""Bootstrap confidence intervals (F8, F10; used by H7, H8).
-
-A resample with replacement is represented by multiplicity weights: the weight
-of row r in replicate b is Poisson(1), drawn from an md5 hash of
-``(row key, b, seed)`` through the Poisson inverse CDF.  This is reproducible,
-independent of partitioning and executor loss, and lets every replicate reuse
-the grouped metric code with ``keys + ['b']`` and ``weight='w'``.
-
-Cost: ``rows x B`` weighted rows are generated inside the map stage.  For
-additive metrics (mean, Brier) the partial aggregate right after the generator
-collapses them to ``B`` rows per task before any shuffle; rank metrics shuffle
-``(b, score)`` partial sums and use the bucketed prefix sum, so no task holds a
-whole replicate.
+"""Bootstrap confidence intervals (F8-F10; used by H7, H8, K8).
+
+A resample with replacement is represented by multiplicity weights: the weight of a row in
+replicate b is Poisson(1), the inverse CDF of a 32-bit number mixed from two words of the md5 of
+``row key|seed`` and from b. It depends on nothing else, so it is reproducible, independent of
+partitioning and executor loss, and can be computed again instead of being moved.
+
+No table ever has rows x B rows. A task draws the weights of a chunk of its rows as a (rows, B + 1)
+array (the last column is 1: the point estimate is one more replicate) and keeps only B-vectors:
+
+* additive metrics (means) are sums per key and task, added up after one shuffle of those vectors;
+* rank metrics cut the scores into buckets of equal scores or equal share. The rows' first pass
+  gives each bucket's B-vectors of weighted positives and negatives, combined in the map tasks;
+  their prefix sums are the buckets' offsets; in the second pass a task streams a bucket's
+  rows by falling score from its offsets and returns the bucket's share of every replicate's average
+  precision, ROC-AUC and Brier score. A score that holds a bucket's worth of rows is a bucket of its own,
+  whose rows are summed to vectors before the shuffle.
+
+Rows whose label or score is null or NaN take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.exprs import poisson_from_uniform, replicate_hashes, replicate_uniform
+from driftline.functions.exprs import MIX, poisson1_cdf
 from driftline.operators import metrics as M
-from driftline.operators.order import cut_points
+from driftline.operators.order import bucketize, cut_points
+
+#: Rows whose weights are drawn at a time.
+CHUNK = 256
+#: (key, bucket) sums that a map task holds before it passes them on.
+HELD = 256
+
+
+# -- weights --------------------------------------------------------------------------------
+
+def row_words(row_key: Sequence[str], seed: int) -> list:
+    """Columns ``_h1, _h2``: two 32-bit words of the md5 of ``row key|seed``."""
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in row_key], F.lit(str(seed))))
+    return [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"_h{i + 1}") for i in range(2)]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    shift, factor = MIX
+    for s, m in zip(shift, factor):
+        x = (x ^ (x >> np.uint32(s))) * np.uint32(m)
+    return x ^ (x >> np.uint32(shift[-1]))
+
+
+class Weights:
+    """Poisson(1) multiplicities of rows in ``B`` replicates, and a column of ones."""
+
+    def __init__(self, B: int):
+        step = 0x9E3779B1
+        self.B = B
+        self.b = (np.arange(B, dtype=np.uint64) * np.uint64(step) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.cuts = [np.uint32(min(int(c * 2**32), 2**32 - 1)) for c in poisson1_cdf(12)[:12]]
+
+    def draw(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        x = _mix(_mix(h1[:, None] + self.b) ^ h2[:, None])
+        w = np.zeros(x.shape, np.uint8)
+        for c in self.cuts:
+            over = x > c
+            if not over.any():
+                break
+            w += over
+        return np.concatenate([w, np.ones((len(w), 1), np.uint8)], axis=1).astype(np.float64)
+
+
+# -- sums of vectors -----------------------------------------------------------------------
+
+def _pack(v: np.ndarray) -> bytes:
+    return np.ascontiguousarray(v, np.float64).tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float64)
+
+
+def _runs(batches: Iterable[pa.RecordBatch], n_keys: int):
+    """(key, slice) for runs of rows with equal first ``n_keys`` columns; a run may continue in the next slice."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)))) if n_keys else [()] * batch.num_rows
+        a = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[a]:
+                yield keys[a], batch.slice(a, i - a)
+                a = i
+
+
+def _emit(schema: pa.Schema, rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _arrow(df: DataFrame, names: Sequence[str]) -> list[pa.Field]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    known = to_arrow_schema(df.select(*names).schema) if names else pa.schema([])
+    return [known.field(n) for n in names]
+
+
+def _ddl(df: DataFrame, names: Sequence[str]) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def sum_vectors(df: DataFrame, keys: Sequence[str], vectors: Sequence[str]) -> DataFrame:
+    """The binary ``vectors`` of float64, added up per ``keys``."""
+    keys, k = list(keys), len(keys)
+    fields = pa.schema([*_arrow(df, keys), *[(v, pa.binary()) for v in vectors]])
+
+    def run(batches):
+        now, total = None, None
+        for key, part in _runs(batches, k):
+            if now != key:
+                if now is not None:
+                    yield _emit(fields, [(*now, *map(_pack, total))])
+                now, total = key, [0.0] * len(vectors)
+            for i in range(len(vectors)):
+                for x in part.column(k + i):
+                    total[i] = total[i] + _unpack(x.as_py())
+        if now is not None:
+            yield _emit(fields, [(*now, *map(_pack, total))])
+
+    dealt = df.select(*keys, *vectors)
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys) if keys else dealt.coalesce(1)
+    return dealt.mapInArrow(run, _ddl(df, keys) + ", ".join(f"{v} binary" for v in vectors))
 
 
-def replicate(df: DataFrame, row_key: Sequence[str], B: int, seed: int = 42) -> DataFrame:
-    """Add ``b`` (0..B-1) and Poisson(1) weight ``w``; rows with weight 0 are dropped.
+def _combined(df: DataFrame, keys: Sequence[str], values: Sequence[str], vectors: Sequence[str], B: int,
+              amounts: Callable[[np.ndarray, Sequence[np.ndarray]], Sequence[np.ndarray]]) -> DataFrame:
+    """Per task and ``keys``: the vectors ``sum over rows of weight x amount``, for the amounts of the rows' ``values``.
 
-    The md5 texts are computed once per row before the generator (one md5 per
-    four replicates); each replicate reads its own 32 bits."""
-    ex = df.withColumn("_h", replicate_hashes(row_key, B, seed)) \
-           .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    u = replicate_uniform(F.col("_h"), F.col("b"))
-    return ex.withColumn("w", poisson_from_uniform(u)).where(F.col("w") > 0).drop("_h")
+    ``df`` has the keys, ``_h1``, ``_h2`` and the values. A task passes its sums on when it holds ``HELD`` keys."""
+    keys, k = list(keys), len(keys)
+    fields = pa.schema([*_arrow(df, keys), *[(v, pa.binary()) for v in vectors]])
 
+    def run(batches):
+        weights, held = Weights(B), {}
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(k)))) if k else [()] * batch.num_rows
+            h1, h2 = (batch.column(k + i).to_numpy().astype(np.uint32) for i in range(2))
+            x = [batch.column(k + 2 + i).to_numpy(zero_copy_only=False) for i in range(len(values))]
+            group = {}
+            for i, n in enumerate(names):
+                group.setdefault(n, []).append(i)
+            for n, rows in group.items():
+                rows = np.array(rows)
+                for a in range(0, len(rows), CHUNK):
+                    at = rows[a:a + CHUNK]
+                    w = weights.draw(h1[at], h2[at])
+                    add = amounts(w, [v[at] for v in x])
+                    held[n] = [s + v for s, v in zip(held[n], add)] if n in held else list(add)
+            if len(held) > HELD:
+                yield _emit(fields, [(*n, *map(_pack, v)) for n, v in held.items()])
+                held = {}
+        if held:
+            yield _emit(fields, [(*n, *map(_pack, v)) for n, v in held.items()])
+
+    part = df.select(*keys, "_h1", "_h2", *values)
+    return part.mapInArrow(run, _ddl(df, keys) + ", ".join(f"{v} binary" for v in vectors))
+
+
+# -- intervals ------------------------------------------------------------------------------
 
 def percentile_interval(reps: DataFrame, value: str, keys: Sequence[str],
                         level: float = 0.95) -> DataFrame:
-    """Percentile interval (linear interpolation), replicate count and population SE."""
+    """Percentile interval (linear interpolation), replicate count and population SE; ``reps`` has at most B rows per key."""
     a = (1 - level) / 2
     return reps.groupBy(*keys).agg(
         F.percentile(F.col(value), F.lit(float(a))).alias("lower"),
@@ -47,45 +181,183 @@ def percentile_interval(reps: DataFrame, value: str, keys: Sequence[str],
         F.count(F.lit(1)).alias("n_replicates"))
 
 
+# -- F8: rank metrics -----------------------------------------------------------------------
+
+class _Bucket:
+    """One bucket of one key: its rows by falling score, from the sums of the buckets before it."""
+
+    def __init__(self, width: int):
+        self.p, self.n = np.zeros(width), np.zeros(width)                     # sums above the open score
+        self.first = None                                                     # sums of the buckets before
+        self.ap, self.s, self.sq = np.zeros(width), np.zeros(width), np.zeros(width)
+        self.score, self.gp, self.gn = None, np.zeros(width), np.zeros(width)
+
+    def start(self, p: np.ndarray, n: np.ndarray):
+        self.p, self.n, self.first = p.copy(), n.copy(), (p, n)
+
+    def close(self):
+        """Count the open score."""
+        self.p, self.n = self.p + self.gp, self.n + self.gn
+        at = self.p + self.n
+        self.ap += self.gp * np.divide(self.p, at, out=np.zeros_like(at), where=at > 0)
+        self.s += self.gp * (self.n - 0.5 * self.gn)
+
+    def add(self, score: np.ndarray, wp: np.ndarray, wn: np.ndarray, sq: np.ndarray):
+        """Rows in order: scores, weighted positives and negatives (rows, B + 1), sum of weighted squared errors."""
+        self.sq += sq
+        starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        gp, gn = np.add.reduceat(wp, starts, axis=0), np.add.reduceat(wn, starts, axis=0)
+        if self.score is not None and score[0] == self.score:
+            gp[0] += self.gp
+            gn[0] += self.gn
+        elif self.score is not None:
+            self.close()
+        # all but the last score are complete
+        p, n = self.p + np.cumsum(gp[:-1], axis=0), self.n + np.cumsum(gn[:-1], axis=0)
+        if len(p):
+            at = p + n
+            self.ap += (gp[:-1] * np.divide(p, at, out=np.zeros_like(at), where=at > 0)).sum(0)
+            self.s += (gp[:-1] * (n - 0.5 * gn[:-1])).sum(0)
+            self.p, self.n = p[-1], n[-1]
+        self.score, self.gp, self.gn = score[-1], gp[-1], gn[-1]
+
+    def result(self):
+        if self.score is not None:
+            self.close()
+        first = self.first or (0.0, 0.0)
+        return [self.ap, self.s, self.sq, self.p - first[0], self.n - first[1]]
+
+
+VECTORS = ["ap", "s", "sq", "p", "n"]
+
+
+def replicate_metrics(df: DataFrame, row_key: Sequence[str], keys: Sequence[str] = (), label: str = "label",
+                      score: str = "score", B: int = 1000, seed: int = 42) -> DataFrame:
+    """``(keys, b, total_pos, total_neg, average_precision, roc_auc, brier)`` for b in 0..B-1, and the point estimates
+    as b = B. Metrics without the classes they need are null."""
+    keys, k = list(keys), len(keys)
+    y, s = F.col(label).cast("double"), F.col(score).cast("double")
+    # read by the cut points and by both passes: cut the lineage once
+    base = df.where(y.isNotNull() & s.isNotNull() & ~F.isnan(y) & ~F.isnan(s)).select(
+        *keys, *row_words(row_key, seed), (y == 1).cast("double").alias("_y"), s.alias("_s"),
+        F.pow(s - y, 2).alias("_sq")).checkpoint()
+    cuts = cut_points(base, "_s", M._nb(base), descending=True)
+    hot = [i + 1 for i in range(len(cuts) - 1) if cuts[i + 1] == math.nextafter(cuts[i], math.inf)]
+    rows, _ = bucketize(base, F.col("_s"), len(cuts) + 1, True, cuts=cuts)
+    rows = rows.withColumnRenamed("_dl_bucket", "_b")
+    by = [*keys, "_b"]
+
+    def sums(w, x):
+        return [x[0] @ w, (1 - x[0]) @ w]
+
+    totals = sum_vectors(_combined(rows, by, ["_y"], ["p", "n"], B, sums), by, ["p", "n"])
+    before = _offsets(totals, keys, B)
+    single = rows.where(~F.col("_b").isin(hot)) if hot else rows
+    null = F.lit(None)
+    shape = [*by, F.lit(1).alias("_kind"), "_s", "_y", "_sq", "_h1", "_h2", *[null.cast("binary").alias(c) for c in ("p", "n", "q")]]
+    union = single.select(*shape).unionByName(before.select(
+        *by, F.lit(0).alias("_kind"), *[null.cast("double").alias(c) for c in ("_s", "_y", "_sq")],
+        *[null.cast("long").alias(c) for c in ("_h1", "_h2")], "p", "n", null.cast("binary").alias("q")))
+    if hot:
+        # a score with a bucket's worth of rows: its tasks' sums, instead of its rows
+        def hot_sums(w, x):
+            return [x[0] @ w, (1 - x[0]) @ w, x[1] @ w]
+        many = _combined(rows.where(F.col("_b").isin(hot)), [*by, "_s"], ["_y", "_sq"], ["p", "n", "q"], B, hot_sums)
+        union = union.unionByName(many.select(*by, F.lit(1).alias("_kind"), "_s", *[null.cast("double").alias(c) for c in ("_y", "_sq")],
+                                              *[null.cast("long").alias(c) for c in ("_h1", "_h2")], "p", "n", "q"))
+    fields = pa.schema([*_arrow(rows, by), *[(v, pa.binary()) for v in VECTORS]])
+
+    def run(batches):
+        weights, now, bucket = Weights(B), None, None
+        for key, part in _runs(batches, k + 1):
+            if key != now:
+                if now is not None:
+                    yield _emit(fields, [(*now, *map(_pack, bucket.result()))])
+                now, bucket = key, _Bucket(B + 1)
+            kind, s_, y_, sq_, h1, h2 = (part.column(k + 1 + i).to_numpy(zero_copy_only=False) for i in range(6))
+            vectors = [part.column(k + 7 + i) for i in range(3)]
+            i = 0
+            while i < len(kind):
+                if vectors[0][i].is_valid:
+                    p, n = (_unpack(v[i].as_py()) for v in vectors[:2])
+                    if kind[i] == 0:
+                        bucket.start(p, n)
+                    else:
+                        bucket.add(s_[i:i + 1], p[None, :], n[None, :], _unpack(vectors[2][i].as_py()))
+                    i += 1
+                    continue
+                j = i + 1
+                while j < len(kind) and j - i < CHUNK and not vectors[0][j].is_valid:
+                    j += 1
+                w = weights.draw(h1[i:j].astype(np.uint32), h2[i:j].astype(np.uint32))
+                wp = w * y_[i:j, None]
+                bucket.add(s_[i:j], wp, w - wp, sq_[i:j] @ w)
+                i = j
+        if now is not None:
+            yield _emit(fields, [(*now, *map(_pack, bucket.result()))])
+
+    dealt = union.repartition(*by).sortWithinPartitions(*by, "_kind", F.col("_s").desc())
+    per_bucket = dealt.mapInArrow(run, _ddl(rows, by) + ", ".join(f"{v} binary" for v in VECTORS))
+    return _metric_rows(sum_vectors(per_bucket, keys, VECTORS), keys)
+
+
+def _offsets(totals: DataFrame, keys: Sequence[str], B: int) -> DataFrame:
+    """Sums of the buckets before each bucket of a key, its buckets read as a stream."""
+    keys, k = list(keys), len(keys)
+    fields = pa.schema([*_arrow(totals, [*keys, "_b"]), ("p", pa.binary()), ("n", pa.binary())])
+
+    def run(batches):
+        now, p, n = None, None, None
+        for key, part in _runs(batches, k):
+            if key != now:
+                now, p, n = key, np.zeros(B + 1), np.zeros(B + 1)
+            out = []
+            for b, bp, bn in zip(*(part.column(k + i).to_pylist() for i in range(3))):
+                out.append((*key, b, _pack(p), _pack(n)))
+                p, n = p + _unpack(bp), n + _unpack(bn)
+            yield _emit(fields, out)
+
+    dealt = totals.select(*keys, "_b", "p", "n")
+    dealt = (dealt.repartition(*keys) if keys else dealt.coalesce(1)).sortWithinPartitions(*keys, "_b")
+    return dealt.mapInArrow(run, _ddl(totals, [*keys, "_b"]) + "p binary, n binary")
+
+
+def _metric_rows(total: DataFrame, keys: Sequence[str]) -> DataFrame:
+    keys, k = list(keys), len(keys)
+    names = ["b", "total_pos", "total_neg", "average_precision", "roc_auc", "brier"]
+    key_fields = _arrow(total, keys)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ap, s, sq, p, n = (_unpack(batch.column(k + j)[i].as_py()) for j in range(5))
+                with np.errstate(all="ignore"):
+                    values = [(p, None), (n, None), (ap / p, p > 0), ((n * p - s) / (p * n), (p > 0) & (n > 0)), (sq / (p + n), p + n > 0)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.repeat(batch.column(j)[i], len(p)).cast(key_fields[j].type) for j in range(k)], pa.array(np.arange(len(p)), pa.int32()),
+                     *[pa.array(v, pa.float64(), mask=None if ok is None else ~ok) for v, ok in values]], names=[*keys, *names])
+
+    return total.mapInArrow(run, _ddl(total, keys) + "b int, " + ", ".join(f"{c} double" for c in names[1:]))
+
+
 def bootstrap_metrics(df: DataFrame, row_key: Sequence[str], keys: Sequence[str] = (),
                       label: str = "label", score: str = "score", B: int = 1000,
                       level: float = 0.95, seed: int = 42,
-                      metrics: Sequence[str] = ("pr_auc", "roc_auc", "brier"),
-                      materialize: bool = True) -> DataFrame:
+                      metrics: Sequence[str] = ("pr_auc", "roc_auc", "brier")) -> DataFrame:
     """F8: point estimate and percentile CI of AP / ROC-AUC / Brier per ``keys``.
 
     Replicates with a single class are skipped; with no valid replicate the
     interval collapses to the point.  Output: ``(keys, metric, point, lower,
-    upper, se, n_replicates)``.  The (keys, row key, label, score) input is
-    checkpointed once because every branch below reads it.
-    """
+    upper, se, n_replicates)``."""
     keys = list(keys)
-    base = df.select(*keys, *row_key, F.col(label).alias("label"), F.col(score).alias("score"))
-    if materialize:
-        # read by the cut points, the point curve, every replicate and Brier:
-        # cut the lineage once (reliable checkpoint in spark.checkpoint.dir)
-        base = base.checkpoint()
-    cuts = cut_points(base, "score", M._nb(base), descending=True)
-    reps = replicate(base, row_key, B, seed)
-    rk = [*keys, "b"]
-    point_parts, rep_parts = [], []
-    # one weighted (keys, b, score) aggregate serves AP, ROC-AUC and Brier, so the
-    # replicate generator runs once
-    pt = M.rank_metrics(M.score_curve(base, keys, cuts=cuts, with_sq_error=True), keys)
-    rp = M.rank_metrics(M.score_curve(reps, rk, weight="w", cuts=cuts, with_sq_error=True,
-                                      materialize=materialize), rk)
-    rp = rp.where((F.col("total_pos") > 0) & (F.col("total_neg") > 0))
-    for m, c in (("pr_auc", "average_precision"), ("roc_auc", "roc_auc"), ("brier", "brier")):
-        if m in metrics:
-            point_parts.append(pt.select(*keys, F.lit(m).alias("metric"), F.col(c).alias("point")))
-            rep_parts.append(rp.select(*rk, F.lit(m).alias("metric"), F.col(c).alias("value")))
-    points = point_parts[0]
-    for p in point_parts[1:]:
-        points = points.unionByName(p)
-    reps_all = rep_parts[0]
-    for p in rep_parts[1:]:
-        reps_all = reps_all.unionByName(p)
-    ci = percentile_interval(reps_all, "value", [*keys, "metric"], level)
+    # keys x (B + 1) rows, read by the points and by the intervals
+    reps = replicate_metrics(df, row_key, keys, label, score, B, seed).checkpoint()
+    names = {"pr_auc": "average_precision", "roc_auc": "roc_auc", "brier": "brier"}
+    long = reps.select(*keys, "b", ((F.col("total_pos") > 0) & (F.col("total_neg") > 0)).alias("_ok"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(names[m]).alias("value")) for m in metrics])).alias("_m")).select(
+        *keys, "b", "_ok", "_m.metric", "_m.value")
+    points = long.where(F.col("b") == B).select(*keys, "metric", F.col("value").alias("point"))
+    ci = percentile_interval(long.where((F.col("b") < B) & F.col("_ok")), "value", [*keys, "metric"], level)
     j = points.join(ci, [*keys, "metric"], "left")
     return j.select(*keys, "metric", "point",
                     F.coalesce("lower", "point").alias("lower"),
@@ -96,12 +368,24 @@ def bootstrap_metrics(df: DataFrame, row_key: Sequence[str], keys: Sequence[str]
 
 def bootstrap_mean(df: DataFrame, value: str, row_key: Sequence[str], keys: Sequence[str] = (),
                    B: int = 500, level: float = 0.99, seed: int = 42) -> DataFrame:
-    """Percentile CI of a mean; the partial aggregate after the generator keeps
-    the shuffle at ``B`` rows per task."""
-    keys = list(keys)
-    reps = replicate(df.select(*keys, *row_key, value), row_key, B, seed)
-    r = reps.groupBy(*keys, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    return percentile_interval(r, "m", keys, level)
+    """Percentile CI of a mean: two B-vectors per task and key are all that is shuffled."""
+    keys, k = list(keys), len(keys)
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, *row_words(row_key, seed), v.alias("_v"))
+    total = sum_vectors(_combined(rows, keys, ["_v"], ["w", "wv"], B, lambda w, x: [w.sum(0), x[0] @ w]), keys, ["w", "wv"])
+    key_fields = _arrow(total, keys)
+
+    def means(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, wv = (_unpack(batch.column(k + j)[i].as_py())[:-1] for j in range(2))
+                m = np.divide(wv, w, out=np.zeros_like(w), where=w > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.repeat(batch.column(j)[i], B).cast(key_fields[j].type) for j in range(k)], pa.array(m, mask=w == 0)],
+                    names=[*keys, "m"])
+
+    reps = total.mapInArrow(means, _ddl(total, keys) + "m double").where("m is not null")
+    return percentile_interval(reps, "m", keys, level)
 
 
 def overlaps(a_lo, a_hi, b_lo, b_hi):

@@ -80,7 +80,7 @@ def cut_points(df: DataFrame, key: str | Column, n_buckets: int, descending: boo
     return sorted(cuts)
 
 
-def _bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
+def bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
                relative_error: int = 10000, cuts: list[float] | None = None
                ) -> tuple[DataFrame, int]:
     """Add ``_dl_bucket`` from approximate quantile cut points of ``key``."""
@@ -154,7 +154,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
     order_cols = list(order_cols)
     keys = list(keys)
     nb = n_buckets or _default_buckets(df)
-    b, _ = _bucketize(df, F.col(order_cols[0]), nb, descending)
+    b, _ = bucketize(df, F.col(order_cols[0]), nb, descending)
     b, cols = _split_hot(b, keys, order_cols, rows_per_bucket, descending)
     counts = b.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_dl_n"))
     wo = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -178,7 +178,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_cols: Sequence[str],
     """
     keys = list(keys)
     nb = n_buckets or _default_buckets(df)
-    b, _ = _bucketize(df, F.col(order_col), nb, descending, cuts=cuts)
+    b, _ = bucketize(df, F.col(order_col), nb, descending, cuts=cuts)
     tot = b.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"_dl_t_{c}") for c in value_cols])
     wo = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(*keys, _B, *[

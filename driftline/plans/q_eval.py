@@ -15,7 +15,7 @@ from driftline.plans.registry import register
 from driftline.plans.views import present
 
 THR = 0.35
-B = 20
+B = 1000
 DIMS = ["o_orderpriority", "o_orderstatus"]
 
 # ---------------------------------------------------------------- views (Spark)
@@ -335,12 +335,10 @@ def boot_sql(src: str, keys: list[str], B: int, level: float = 0.95) -> str:
     the oracle); ends in ``_bci(keys, metric, point, lower, upper, se, n_replicates)``."""
     ks = S.keysel(keys)
     kr = keys + ["b"]
-    u = S.replicate_uniform_sql("s.prediction_id", "r.range")
     on = " AND ".join([f"p.{k} = c.{k}" for k in keys] + ["p.metric = c.metric"]) or "p.metric = c.metric"
     gbk = f"GROUP BY {', '.join(keys)}" if keys else ""
     return (
-        f"_rep AS (SELECT * FROM (SELECT s.*, r.range AS b, {S.poisson_sql(u)} AS w FROM {src} s "
-        f"CROSS JOIN range({B}) r) WHERE w > 0),\n"
+        f"_rep AS ({S.replicate_sql(src, 'prediction_id', B)}),\n"
         + curve_sql("_rep", kr, weight="w", name="_bc") + ",\n"
         f"_brk AS (" + rank_sql("_bc", kr) + "),\n"
         f"_bbr AS (SELECT {S.keysel(kr)}sum(w * power(score - label, 2)) / sum(w) AS value, "
@@ -366,7 +364,7 @@ def boot_sql(src: str, keys: list[str], B: int, level: float = 0.95) -> str:
           "SELECT metric, round(point, 6) AS point, round(lower, 6) AS lower, round(upper, 6) AS upper, "
           "round(se, 6) AS se, n_replicates FROM _bci")
 def bootstrap_ci(spark, sf):
-    """F8: 95% percentile bootstrap CI (B = 20, md5-seeded Poisson weights) of
+    """F8: 95% percentile bootstrap CI (B = 1000, md5-seeded Poisson weights) of
     PR-AUC, ROC-AUC and Brier on all scored predictions."""
     return present(BS.bootstrap_metrics(scored(spark, sf), ["prediction_id"], B=B))
 
@@ -411,7 +409,7 @@ REPORT_SQL = (
 @register("evaluation_report", REPORT_SQL + "\nSELECT model, " + ", ".join(EVAL_COLS) + ", "
           + r6cols(EVAL_RATES + CI_COLS) + " FROM _rep_all")
 def evaluation_report(spark, sf):
-    """full report per candidate at 0.35 with bootstrap CIs (B = 20)."""
+    """full report per candidate at 0.35 with bootstrap CIs (B = 1000)."""
     return present(_report(spark, sf))
 
 

@@ -138,16 +138,14 @@ def retrain_triggers(spark, sf):
 
 
 CANARY_MIN = 1000
-CANARY_B = 100
+CANARY_B = 500
 
 
 @register("canary_verdict",
           "WITH " + REQ_SQL + ",\n"
           f"_base AS (SELECT * FROM _req WHERE instance <> {CANARY_INSTANCE}),\n"
           f"_can AS (SELECT * FROM _req WHERE instance = {CANARY_INSTANCE}),\n"
-          "_rep AS (SELECT * FROM (SELECT duration_ms / 1000.0 AS v, r.range AS b, "
-          + S.poisson_sql(S.replicate_uniform_sql("q.event_id", "r.range"))
-          + f" AS w FROM _base q CROSS JOIN range({CANARY_B}) r) WHERE w > 0),\n"
+          f"_rep AS ({S.replicate_sql('(SELECT event_id, duration_ms / 1000.0 AS v FROM _base)', 'event_id', CANARY_B)}),\n"
           "_m AS (SELECT b, sum(w * v) / sum(w) AS m FROM _rep GROUP BY b),\n"
           f"_ci AS (SELECT quantile_cont(m, {S.dbl((1 - 0.99) / 2)}) AS lo, quantile_cont(m, {S.dbl(1 - (1 - 0.99) / 2)}) AS hi FROM _m),\n"
           "_b AS (SELECT avg(is_5xx::DOUBLE) AS base_err FROM _base),\n"
@@ -160,7 +158,7 @@ CANARY_B = 100
 def canary_verdict(spark, sf):
     """K8: the canary instance after >= 1000 requests: p99 within SLO, 5xx ratio
     at most 1.5x the baseline instances', mean latency score inside the 99%
-    bootstrap CI (B = 100) of the baseline mean."""
+    bootstrap CI (B = 500) of the baseline mean."""
     r = V.req(spark, sf).withColumn("v", F.col("duration_ms") / 1000.0)
     base = r.where(F.col("instance") != CANARY_INSTANCE)
     can = r.where(F.col("instance") == CANARY_INSTANCE)

@@ -19,7 +19,7 @@ NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CAT = ["l_linestatus"]
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 TARGET_RECALL = 0.5
-B = 20
+B = 1000
 
 
 def _splits(spark, sf):

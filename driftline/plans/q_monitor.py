@@ -18,7 +18,7 @@ from driftline.plans.views import present, t
 
 LI_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             "l_extendedprice", "l_quantity"]
-K_NULL = 10
+K_NULL = 20
 
 # ---------------------------------------------------------------- H5, H6, H17
 
@@ -45,7 +45,7 @@ NULL_SQL = (
           "round(p90, 6) AS p90, round(p99, 6) AS p99, round(maximum, 6) AS maximum, round(threshold, 6) AS threshold, "
           "clamped FROM _calt")
 def null_calibration(spark, sf):
-    """H5 + E11 + E15: lineitem in ship-date order (full tiebreak), 10 equal
+    """H5 + E11 + E15: lineitem in ship-date order (full tiebreak), 20 equal
     windows, PSI of each adjacent pair with edges from the earlier window;
     threshold = clip(p99, 0.10, 0.25) per feature."""
     cal = D.calibrate_thresholds(_null_long(spark, sf))
@@ -75,7 +75,7 @@ def false_alarms(spark, sf):
 # ---------------------------------------------------------------- H7
 
 PD_CUT = "1998-01-01"
-PD_B = 100
+PD_B = 500
 PD_THR = 0.35
 
 
@@ -83,8 +83,7 @@ PD_THR = 0.35
           "WITH " + SCORED_SQL.split(",\n_outc")[0] + ",\n"
           f"_r AS (SELECT * FROM _pred WHERE pred_ts < TIMESTAMP '{PD_CUT}'),\n"
           f"_c AS (SELECT * FROM _pred WHERE pred_ts >= TIMESTAMP '{PD_CUT}'),\n"
-          f"_rep AS (SELECT * FROM (SELECT p.score, {S.poisson_sql(S.replicate_uniform_sql('p.prediction_id', 'r.range'))} AS w, "
-          f"r.range AS b FROM _r p CROSS JOIN range({PD_B}) r) WHERE w > 0),\n"
+          f"_rep AS ({S.replicate_sql('_r', 'prediction_id', PD_B)}),\n"
           "_m AS (SELECT b, sum(w * score) / sum(w) AS m FROM _rep GROUP BY b),\n"
           f"_ci AS (SELECT quantile_cont(m, {S.dbl((1 - 0.99) / 2)}) AS lo, quantile_cont(m, {S.dbl(1 - (1 - 0.99) / 2)}) AS hi FROM _m),\n"
           f"_rs AS (SELECT avg(score) AS rm, avg(CAST(score >= {PD_THR} AS INTEGER)::DOUBLE) AS ra FROM _r),\n"
@@ -111,7 +110,7 @@ def prediction_drift(spark, sf):
 # ---------------------------------------------------------------- H8 / E14
 
 LD_CUT = "1997-01-01"
-LD_B = 20
+LD_B = 1000
 LD_FRACTION = 0.6
 
 
@@ -140,7 +139,7 @@ def matured_earliest(df, order_cols, fraction):
           "CAST(coalesce(ok = 1 AND CASE WHEN se > 0 THEN (bl - obs) / se ELSE 0.0 END > 2.0, false) AS INTEGER) AS breaching FROM _x")
 def label_drift(spark, sf):
     """H8 + E14: orders from 1997 form the window; its earliest 60% by time are
-    matured; PR-AUC drop vs the pre-1997 baseline in bootstrap SEs (B = 20)."""
+    matured; PR-AUC drop vs the pre-1997 baseline in bootstrap SEs (B = 1000)."""
     s = scored(spark, sf)
     cut = F.lit(LD_CUT).cast("timestamp")
     win = s.where(F.col("pred_ts") >= cut)

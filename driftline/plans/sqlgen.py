@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from driftline.functions.exprs import NULL_TOKEN, linspace, poisson1_cdf
+from driftline.functions.exprs import MIX, NULL_TOKEN, linspace, poisson1_cdf
 
 
 def dbl(v: float) -> str:
@@ -40,11 +40,20 @@ def hash_uniform_sql(*parts: str, seed: int = 42) -> str:
             f" / 4294967296.0)")
 
 
-def replicate_uniform_sql(key: str, b: str, seed: int = 42) -> str:
-    """SQL twin of ``replicate_hashes`` + ``replicate_uniform``."""
-    txt = f"CAST({key} AS VARCHAR) || '|' || CAST(({b}) // 4 AS VARCHAR) || '|{seed}'"
-    return (f"(('0x' || substr(md5({txt}), CAST(1 + 8 * (({b}) % 4) AS INTEGER), 8))::BIGINT::DOUBLE"
-            f" / 4294967296.0)")
+def replicate_sql(src: str, key: str, B: int, seed: int = 42) -> str:
+    """Rows of ``src`` for each replicate that draws them, with ``b`` and weight ``w``: SQL twin of the bootstrap weights."""
+    word = lambda i: f"('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), {1 + 8 * i}, 8))::BIGINT"
+    step, mask = 0x9E3779B1, 0xFFFFFFFF
+    x = f"SELECT s.*, r.range AS b, (_h1 + (r.range * {step}) % {mask + 1}) % {mask + 1} AS _x FROM (SELECT *, {word(0)} AS _h1, {word(1)} AS _h2 FROM {src}) s CROSS JOIN range({B}) r"
+
+    def mixed(inner: str) -> str:
+        (a, c, e), factors = MIX
+        for shift, factor in zip((a, c), factors):
+            inner = f"SELECT * REPLACE ((xor(_x, _x >> {shift}) * {factor}) % {mask + 1} AS _x) FROM ({inner})"
+        return f"SELECT * REPLACE (xor(_x, _x >> {e}) AS _x) FROM ({inner})"
+    x = mixed(f"SELECT * REPLACE (xor(_x, _h2) AS _x) FROM ({mixed(x)})")
+    u = "(_x::DOUBLE / 4294967296.0)"
+    return f"SELECT * EXCLUDE (_x, _h1, _h2) FROM (SELECT *, {poisson_sql(u)} AS w FROM ({x})) WHERE w > 0"
 
 
 def poisson_sql(u: str, kmax: int = 12) -> str:

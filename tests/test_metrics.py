@@ -105,3 +105,64 @@ def test_interval_overlap(spark):
     got = [r[0] for r in df.select(BS.overlaps("al", "ah", "bl", "bh").alias("o")).collect()]
     assert got == [True, False]
     del F
+
+
+def _bootstrap_brute(rows, B, seed=42):
+    """Replicate metrics of (key, id, label, score) rows by Python integers and sorting."""
+    import hashlib
+
+    from driftline.functions.exprs import MIX, poisson1_cdf
+    cdf, (shift, factor) = poisson1_cdf(12), MIX
+
+    def mix(x):
+        for s, m in zip(shift, factor):
+            x = (x ^ (x >> s)) * m % 2**32
+        return x ^ (x >> shift[-1])
+
+    def weight(i, b):
+        h = hashlib.md5(f"{i}|{seed}".encode()).hexdigest()
+        u = mix(mix((int(h[:8], 16) + b * 0x9E3779B1) % 2**32) ^ int(h[8:16], 16)) / 2**32
+        return next((k for k in range(12) if u <= cdf[k]), 12)
+
+    out = {}
+    for b in range(B + 1):
+        drawn = [(k, y, s, 1 if b == B else weight(i, b)) for k, i, y, s in rows]
+        for key in {r[0] for r in rows}:
+            mine = [r[1:] for r in drawn if r[0] == key and r[3]]
+            p, n = sum(w for y, _, w in mine if y), sum(w for y, _, w in mine if not y)
+            ap = auc = cp = cn = 0
+            for s in sorted({s for _, s, _ in mine}, reverse=True):
+                gp, gn = (sum(w for y, t, w in mine if t == s and y == c) for c in (1, 0))
+                cp, cn = cp + gp, cn + gn
+                ap += gp * cp / (cp + cn)
+                auc += gp * (n - cn + gn / 2)
+            out[key, b] = (p, n, ap / p if p else None, auc / p / n if p and n else None,
+                           sum(w * (s - y) ** 2 for y, s, w in mine) / (p + n) if mine else None)
+    return out
+
+
+def test_bootstrap_vectors_equal_brute_force(spark):
+    """Hot scores (a third of the rows), ties, one key with one class, scores in many buckets, null rows."""
+    import random
+    rng = random.Random(3)
+    rows = [("a", i, int(rng.random() < 0.3), 0.5 if rng.random() < 0.35 else round(rng.random(), 2)) for i in range(400)]
+    rows += [("b", i, int(rng.random() < 0.5), 0.25) for i in range(400, 440)] + [("c", i, 0, rng.random()) for i in range(440, 450)]
+    extra = [("a", 900, None, 0.3), ("a", 901, 1, None), ("a", 902, 1, float("nan"))]
+    df = spark.createDataFrame(rows + extra, "k string, id long, label int, score double").repartition(5)
+    want = _bootstrap_brute(rows, 12)
+    got = {(r["k"], r["b"]): r for r in BS.replicate_metrics(df, ["id"], ["k"], B=12).collect()}
+    assert set(got) == set(want)
+    for key, values in want.items():
+        for name, v in zip(("total_pos", "total_neg", "average_precision", "roc_auc", "brier"), values):
+            assert got[key][name] == (None if v is None else pytest.approx(v, rel=1e-9)), (key, name)
+    plan = BS.replicate_metrics(df, ["id"], ["k"], B=12)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_bootstrap_mean_equals_brute_force(spark):
+    rows = [("a", i, 1, float(i % 7)) for i in range(50)] + [("b", i, 0, 2.0) for i in range(50, 60)]
+    df = spark.createDataFrame([(k, i, s) for k, i, _, s in rows], "k string, id long, v double").repartition(3)
+    got = {r["k"]: r for r in BS.bootstrap_mean(df, "v", ["id"], ["k"], B=40, level=0.9).collect()}
+    brier = _bootstrap_brute([(k, i, 0, s) for k, i, _, s in rows], 40)       # squared errors of label 0 are v ** 2
+    assert got["b"]["lower"] == got["b"]["upper"] == 2.0 and brier["b", 0][4] == 4.0
+    assert got["a"]["lower"] < 3.0 < got["a"]["upper"] and got["a"]["n_replicates"] == 40
