@@ -60,14 +60,12 @@ def exclude(df: DataFrame, classes: Sequence[ExclusionClass]) -> DataFrame:
 # -- B3 first row per entity ---------------------------------------------------------
 
 def first_per_entity(df: DataFrame, entity: str, order_cols: Sequence[str]) -> DataFrame:
-    """Earliest row of every entity by ``order_cols``.
-
-    ``min_by`` is a partial aggregate: a hot entity collapses map-side, no task
-    ever sorts one entity's rows and there is no global sort."""
-    cols = [c for c in df.columns if c != entity]
-    key = F.struct(*[F.col(c) for c in order_cols])
-    g = df.groupBy(entity).agg(F.min_by(F.struct(*cols), key).alias("_first"))
-    return g.select(entity, "_first.*").select(*df.columns)
+    """Earliest row of every entity by ``order_cols``, nulls first.
+
+    The rank filter is a window-group limit: a map task keeps one row per entity
+    before the shuffle, so a hot entity costs a row a task; there is no global sort."""
+    from driftline.operators.outcomes import top_row
+    return top_row(df, [entity], [F.col(c).asc_nulls_first() for c in order_cols])
 
 
 # -- B4 / B5 missing values ----------------------------------------------------------

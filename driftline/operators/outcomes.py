@@ -2,7 +2,7 @@
 
 The only join of the monitored service is a lookup of outcomes by prediction
 id.  Outcomes arrive late and can be corrected, so they are reduced to the
-last write per id first (a partial aggregate: a hot id collapses map-side),
+last write per id first (by a window-group limit: a hot id collapses map-side),
 then joined; AQE picks broadcast / shuffle-hash / sort-merge at run time.
 """
 
@@ -10,22 +10,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def last_write_wins(outcomes: DataFrame, id_col: str, ts_col: str,
                     tiebreak: Sequence[str] = ()) -> DataFrame:
-    """One row per id: the latest ``(ts, tiebreak...)`` wins.
+    """One row per id: the latest ``(ts, tiebreak...)`` wins, nulls before all; with ``n_writes``.
 
     A distributed table has no file order, so "last line" becomes "latest
-    timestamp, then a total tiebreak"."""
+    timestamp, then a total tiebreak". The rank filter is a window-group limit: every map task
+    keeps one row per id before the shuffle, so a hot id costs a row a task; the writes are counted by a
+    hash aggregate."""
+    order = [F.col(c).desc_nulls_last() for c in (ts_col, *tiebreak)]
+    last = top_row(outcomes, [id_col], order)
+    writes = outcomes.groupBy(F.col(id_col).alias("_wid")).agg(F.count(F.lit(1)).alias("n_writes"))
     cols = [c for c in outcomes.columns if c != id_col]
-    order = F.struct(F.col(ts_col), *[F.col(c) for c in tiebreak])
-    g = outcomes.groupBy(id_col).agg(
-        F.max_by(F.struct(*cols), order).alias("_last"),
-        F.count(F.lit(1)).alias("n_writes"))
-    return g.select(id_col, "_last.*", "n_writes")
+    return last.join(writes, F.col(id_col).eqNullSafe(F.col("_wid"))).select(id_col, *cols, "n_writes")
+
+
+def top_row(df: DataFrame, keys: Sequence[str], order: Sequence[F.Column]) -> DataFrame:
+    """The first row of every key in ``order``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_dl_rn", F.row_number().over(w)).where("_dl_rn = 1").drop("_dl_rn")
 
 
 def join_outcomes(predictions: DataFrame, lww: DataFrame, id_col: str) -> DataFrame:

@@ -26,13 +26,11 @@ DELAY = "40 days 1 hour"
 
 
 def _pred_files(spark, sf, base):
-    p = V.pred(spark, sf).select("prediction_id", "pred_ts", "score", F.year("pred_ts").alias("_y"))
-    ST.write_ordered(spark, p, "_y", base)
+    ST.write_ordered(spark, V.pred(spark, sf).select("prediction_id", "pred_ts", "score"), "pred_ts", base)
 
 
 def _outc_files(spark, sf, base):
-    o = V.outc(spark, sf).withColumn("_y", F.year("outcome_ts"))
-    ST.write_ordered(spark, o, "_y", base)
+    ST.write_ordered(spark, V.outc(spark, sf), "outcome_ts", base)
 
 
 @register("stream_join_outcomes",
@@ -46,7 +44,7 @@ def _outc_files(spark, sf, base):
           "WHERE p.prediction_id NOT IN (SELECT prediction_id FROM _m) "
           f"AND p.pred_ts + INTERVAL {WITHIN_DAYS} DAYS < (SELECT wm FROM _wm)")
 def stream_join_outcomes(spark, sf):
-    """S1 + S2 + S3 + S9: prediction and outcome streams (one file per year),
+    """S1 + S2 + S3 + S9: prediction and outcome streams (files in time order),
     watermarked, de-duplicated on id, left-outer joined with outcomes inside
     [pred_ts, pred_ts + 37 d]; unmatched predictions appear once the watermark
     has passed them."""
@@ -73,12 +71,11 @@ BURN_DELAY = "1 hour"
           "round(sum(is_5xx)::DOUBLE / count(*), 6) AS error_ratio FROM _w GROUP BY window_start "
           "HAVING window_start + INTERVAL 6 HOURS <= (SELECT wm FROM _wm)")
 def stream_burn(spark, sf):
-    """S5 (+ S2): request stream (one file per day) counted in sliding 6 h
+    """S5 (+ S2): request stream (files in time order) counted in sliding 6 h
     windows every hour; append mode emits each window once the watermark
     (1 h delay) has passed its end."""
     base = scratch_dir(spark, "stream_burn")
-    r = V.req(spark, sf).select("ts", "is_5xx", F.to_date("ts").cast("string").alias("_d"))
-    ST.write_ordered(spark, r, "_d", f"{base}/req")
+    ST.write_ordered(spark, V.req(spark, sf).select("ts", "is_5xx"), "ts", f"{base}/req")
     sch = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("is_5xx", T.IntegerType())])
     s = ST.with_event_time(ST.file_stream(spark, f"{base}/req", sch), "ts", BURN_DELAY)
     w = ST.windowed_counts(s, "ts", "6 hours", "1 hour",
@@ -138,13 +135,58 @@ HB_GAP_S = 2 * 3600
           "UNION ALL SELECT instance, max(ts), NULL::TIMESTAMP, 'heartbeat_missing' FROM _req GROUP BY instance "
           f"HAVING max(ts) + INTERVAL {HB_GAP_S} SECONDS < (SELECT max(ts) FROM _req) - INTERVAL 10 MINUTES")
 def stream_heartbeat(spark, sf):
-    """Per-instance heartbeat watchdog (applyInPandasWithState): gaps over
+    """S1 + S7: per-instance heartbeat watchdog (applyInPandasWithState) over an NDJSON stream: gaps over
     2 h between consecutive requests, found inside and across micro-batches
     with the last-seen state; event-time timeouts report trailing silence."""
     base = scratch_dir(spark, "stream_heartbeat")
-    r = V.req(spark, sf).select("instance", "ts", F.to_date("ts").cast("string").alias("_d"))
-    ST.write_ordered(spark, r, "_d", f"{base}/req")
+    # the wire format has microseconds, which the JSON writer's own timestamps lack
+    r = V.req(spark, sf).select("instance", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
+    ST.write_ordered(spark, r, "ts", f"{base}/req", "json")
     sch = T.StructType([T.StructField("instance", T.LongType()), T.StructField("ts", T.TimestampType())])
-    s = ST.with_event_time(ST.file_stream(spark, f"{base}/req", sch), "ts", "10 minutes")
+    lines = ST.ndjson_stream(spark, f"{base}/req", sch).where("_malformed = 0").select("instance", "ts")
+    s = ST.with_event_time(lines, "ts", "10 minutes")
     out = ST.run_available_now(ST.heartbeat_watchdog(s, "instance", "ts", "2 hours"), f"{base}/out", f"{base}/_ckpt")
     return present(out)
+
+
+HOLD_LIMIT = 0.2
+#: (rule, step, hold, seconds of each): an hourly ratio held for two hours, and two daily windows in a row.
+HOLDS = [("hold_2h", "1 hour", "2 hours", 3600, 7200), ("two_windows", "1 day", "1 day", 86400, 86400)]
+
+
+def _hold_sql(rule: str, step_s: int, hold_s: int) -> str:
+    return (
+        f"SELECT '{rule}' AS rule, instance, make_timestamp(b * {step_s}000000) AS window_start, n, hits, c AS condition, "
+        f"CASE WHEN c = 1 THEN make_timestamp(s * {step_s}000000) END AS active_since, "
+        f"CAST(c = 1 AND (b - s) * {step_s} >= {hold_s} AS INTEGER) AS firing, "
+        f"CAST(c = 1 AND (b - s) * {step_s} >= {hold_s} AND (b - s - 1) * {step_s} < {hold_s} AS INTEGER) AS starts_firing, 0 AS resolved "
+        f"FROM (SELECT *, min(b) OVER (PARTITION BY instance, c, i) AS s FROM (SELECT *, b - row_number() OVER (PARTITION BY instance, c ORDER BY b) AS i FROM _g{step_s}))\n"
+        f"UNION ALL SELECT '{rule}', instance, make_timestamp((b + 1) * {step_s}000000), 0, 0, 0, NULL, 0, 0, 1 "
+        f"FROM (SELECT *, lead(b) OVER (PARTITION BY instance ORDER BY b) AS nb FROM _g{step_s}) "
+        f"WHERE c = 1 AND (nb > b + 1 OR nb IS NULL AND make_timestamp((b + 2) * {step_s}000000) <= (SELECT wm FROM _wm))")
+
+
+@register("stream_hold",
+          "WITH " + REQ_SQL + ",\n"
+          f"_wm AS (SELECT max(ts) - INTERVAL '{BURN_DELAY}' AS wm FROM _req),\n"
+          + ",\n".join(
+              f"_g{step_s} AS (SELECT instance, epoch_us(ts) // {step_s}000000 AS b, count(*) AS n, CAST(sum(is_5xx) AS BIGINT) AS hits, "
+              f"CAST(sum(is_5xx)::DOUBLE / count(*) > {HOLD_LIMIT!r}::DOUBLE AS INTEGER) AS c FROM _req GROUP BY 1, 2 "
+              f"HAVING make_timestamp((epoch_us(min(ts)) // {step_s}000000 + 1) * {step_s}000000) <= (SELECT wm FROM _wm))"
+              for _, _, _, step_s, _ in HOLDS)
+          + "\n" + " UNION ALL ".join(_hold_sql(r, step_s, hold_s) for r, _, _, step_s, hold_s in HOLDS))
+def stream_hold(spark, sf):
+    """S8 (+ S2, S5): per instance, the 5xx ratio above 0.2 held for two hours of hourly windows, and
+    confirmed by two daily windows in a row; the island start lives in keyed state, and silence behind an
+    open island resolves it by an event-time timer."""
+    base = scratch_dir(spark, "stream_hold")
+    ST.write_ordered(spark, V.req(spark, sf).select("ts", "instance", "is_5xx"), "ts", f"{base}/req")
+    sch = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("instance", T.LongType()),
+                        T.StructField("is_5xx", T.IntegerType())])
+    out = None
+    for rule, step, hold, _, _ in HOLDS:
+        rows = ST.hold_stream(ST.file_stream(spark, f"{base}/req", sch), "instance", "ts", "is_5xx",
+                              lambda n, hits: hits / n > HOLD_LIMIT, step, hold, BURN_DELAY)
+        got = ST.run_available_now(rows, f"{base}/{rule}", f"{base}/_ckpt_{rule}").select(F.lit(rule).alias("rule"), "*")
+        out = got if out is None else out.unionByName(got)
+    return present(out)

@@ -20,27 +20,18 @@ from driftline.sources.files import parse_ndjson
 
 # -- file helpers (test inputs written in event-time order) ----------------------------
 
-def set_mtime(spark: SparkSession, path: str, epoch_ms: int) -> None:
-    """Set modification times of every file under ``path`` through the Hadoop
-    FileSystem API (local or distributed), so a file stream reads in order."""
+def write_ordered(spark: SparkSession, df: DataFrame, ts_col: str, base: str, fmt: str = "parquet", files: int = 8) -> list[str]:
+    """Write ``files`` files that cover consecutive ranges of ``ts_col``, in one job with a task a file, and give
+    them modification times in that order: a file stream then reads them in event-time order, however many
+    files it takes in a batch. Returns their paths."""
+    df.repartitionByRange(files, ts_col).write.format(fmt).save(base)
     jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    for st in fs.listStatus(p):
-        fs.setTimes(st.getPath(), epoch_ms, -1)
-
-
-def write_ordered(spark: SparkSession, df: DataFrame, part_col: str, base: str, fmt: str = "parquet") -> list[str]:
-    """Write one folder per value of ``part_col`` (ascending), with increasing
-    modification times; returns the file glob folders written."""
-    vals = sorted(r[0] for r in df.select(part_col).distinct().collect())  # bounded: periods
-    out = []
-    for i, v in enumerate(vals):
-        p = f"{base}/part={v}"
-        df.where(F.col(part_col) == v).drop(part_col).coalesce(1).write.format(fmt).save(p)
-        set_mtime(spark, p, 1_000_000_000_000 + i * 60_000)
-        out.append(p)
-    return out
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(st.getPath().toString() for st in fs.listStatus(path) if st.getPath().getName().startswith("part-"))
+    for i, p in enumerate(parts):                           # bounded by ``files``
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(p), 1_000_000_000_000 + i * 60_000, -1)
+    return parts
 
 
 # -- S1 / S2 / S9 ---------------------------------------------------------------------------
@@ -113,47 +104,141 @@ def committed_batches(spark: SparkSession, folder: str, before: int) -> list[int
 class OutcomeTable:
     """Outcomes keyed by id, a newer ``(ts, tiebreak)`` replaces the older row.
 
-    Ids are dealt into ``buckets`` by hash. A micro-batch rewrites only the buckets it
-    touches, under ``data/e<batch id>``, and then commits an index (bucket -> batch id) under
-    ``index/e<batch id>``; readers follow the last committed index, so they never see half a
-    batch. Nothing is kept in this object: after a restart the table is found on disk, and a
-    repeated batch id starts from the index before it and writes the same files again."""
+    Ids lie in the leaves of an extendible hash: leaf ``(depth, prefix)`` holds the ids whose hash ends in
+    the ``depth`` bits of ``prefix``. A leaf is a base and some deltas. A micro-batch writes its own rows only, as a delta of the
+    leaves they fall into; a leaf whose deltas have grown to ``compact`` times its base (or to ``max_deltas``) is
+    rewritten as a new base, and splits when it then holds more than ``leaf_rows`` rows. So a batch rewrites about
+    what it touches, and a leaf stays small however large the table grows.
+
+    All files of a batch go under ``data/e<batch id>``; then an index of all leaves is committed under
+    ``index/e<batch id>``; readers follow the last committed index, so they never see half a batch.
+    Nothing is kept in this object: after a restart the table is found on disk, and a
+    repeated batch id starts from the index before it and writes the same files again. A batch begins by
+    removing the files that the last ``keep`` indexes before it no longer name."""
 
-    def __init__(self, base: str, id_col: str, ts_col: str, tiebreak: Sequence[str] = (), buckets: int = 16):
+    INDEX = "depth int, prefix long, epoch long, base boolean, n long"
+
+    def __init__(self, base: str, id_col: str, ts_col: str, tiebreak: Sequence[str] = (), leaf_rows: int = 1_000_000,
+                 compact: float = 0.5, max_deltas: int = 16, keep: int = 2):
         self.base, self.id_col, self.ts_col, self.tiebreak = base.rstrip("/"), id_col, ts_col, list(tiebreak)
-        self.buckets = buckets
+        self.leaf_rows, self.compact, self.max_deltas, self.keep = leaf_rows, compact, max_deltas, keep
 
-    def _index(self, spark: SparkSession, before: int) -> dict[int, int]:
+    def _index(self, spark: SparkSession, before: int) -> list[tuple]:
+        """Runs ``(depth, prefix, epoch, base, n)`` of the last committed index: a few a leaf, no rows of the table."""
         done = committed_batches(spark, f"{self.base}/index", before)
         if not done:
-            return {}
-        return {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{self.base}/index/e{done[-1]}").collect()}
+            return []
+        return sorted(tuple(r) for r in spark.read.schema(self.INDEX).parquet(f"{self.base}/index/e{done[-1]}").collect())
 
-    def _read(self, spark: SparkSession, index: dict[int, int], schema: T.StructType | None = None) -> DataFrame | None:
-        paths = [f"{self.base}/data/e{e}/_bucket={b}" for b, e in sorted(index.items())]
-        if not paths:
-            return None
+    def _read(self, spark: SparkSession, runs: Sequence[tuple], schema: T.StructType | None = None) -> DataFrame:
+        paths = [f"{self.base}/data/e{e}/_leaf={d}-{p}" for d, p, e, *_ in runs]
         return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
 
+    def _last(self, rows: DataFrame) -> DataFrame:
+        from driftline.operators.outcomes import top_row
+        return top_row(rows, [self.id_col], [F.col(c).desc_nulls_last() for c in (self.ts_col, *self.tiebreak)])
+
     def current(self, spark: SparkSession) -> DataFrame | None:
-        return self._read(spark, self._index(spark, 1 << 62))
+        runs = self._index(spark, 1 << 62)
+        if not runs:
+            return None
+        changed = {(d, p) for d, p, _, base, _ in runs if not base}
+        clean, mixed = ([r for r in runs if ((r[0], r[1]) in changed) == c] for c in (False, True))
+        parts = ([self._read(spark, clean)] if clean else []) + ([self._last(self._read(spark, mixed))] if mixed else [])
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _hash(self):
+        return F.xxhash64(self.id_col)
+
+    def _placed(self, rows: DataFrame, leaves: Sequence[tuple[int, int]]) -> DataFrame:
+        """``rows`` with the ``_leaf`` that their id falls into: a join with the directory, one slot per
+        hash suffix of the greatest depth."""
+        spark, depth = rows.sparkSession, max(d for d, _ in leaves)
+        table = spark.createDataFrame([(d, p) for d, p in leaves], "depth int, prefix long")
+        slots = table.select(F.concat_ws("-", "depth", "prefix").alias("_leaf"), F.explode(F.transform(
+            F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {depth} - depth) - 1")),
+            lambda i: F.col("prefix") + i * F.expr("shiftleft(1L, depth)"))).alias("_slot"))
+        return rows.withColumn("_slot", F.pmod(self._hash(), F.lit(1 << depth))).join(slots, "_slot").drop("_slot")
 
     def upsert(self, batch: DataFrame, epoch_id: int) -> None:
-        from driftline.operators.outcomes import last_write_wins
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(self.id_col), F.lit(self.buckets)).cast("int")
-        index = self._index(spark, epoch_id)
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]        # at most ``buckets`` rows
-        if not touched:
+        self._clean(spark, epoch_id)
+        runs = self._index(spark, epoch_id)
+        leaves = sorted({(d, p) for d, p, *_ in runs}) or [(0, 0)]
+        rows = self._placed(self._last(batch), leaves)
+        added = {self._name(r["_leaf"]): r["count"] for r in rows.groupBy("_leaf").count().collect()}     # at most a row a leaf
+        if not added:
             return
-        old = self._read(spark, {b: e for b, e in index.items() if b in touched}, batch.schema)
-        rows = batch if old is None else old.unionByName(batch)
-        merged = last_write_wins(rows, self.id_col, self.ts_col, self.tiebreak).drop("n_writes")
-        merged.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.base}/data/e{epoch_id}")
-        index |= {b: epoch_id for b in touched}
-        spark.createDataFrame(sorted(index.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(
+        held = {leaf: [r for r in runs if (r[0], r[1]) == leaf] for leaf in leaves}
+        full = [leaf for leaf, n in added.items() if self._due(held[leaf], n)]
+        named = [f"{d}-{p}" for d, p in full]
+        out = rows.where(~F.col("_leaf").isin(named)) if full else rows
+        if full:
+            old = [r for leaf in full for r in held[leaf]]
+            fresh = rows.where(F.col("_leaf").isin(named)).drop("_leaf")
+            merged = self._last(self._read(spark, old, batch.schema).unionByName(fresh) if old else fresh)
+            out = out.unionByName(self._placed(merged, self._split(full, held, added)))
+        folder = f"{self.base}/data/e{epoch_id}"
+        # a leaf's rows of this batch go to one file: it holds leaf_rows rows at most
+        out.repartition("_leaf").write.mode("overwrite").partitionBy("_leaf").parquet(folder)
+        written = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("_leaf", T.StringType())])).parquet(folder)
+        counts = {self._name(r["_leaf"]): r["count"] for r in written.groupBy("_leaf").count().collect()}
+        keep = [r for r in runs if (r[0], r[1]) not in full]
+        new = [(d, p, epoch_id, (d, p) not in added or (d, p) in full, n) for (d, p), n in counts.items()]
+        # leaves of a split that no row fell into keep their place in the directory
+        empty = [(d, p, epoch_id, True, 0) for d, p in (self._split(full, held, added) if full else []) if (d, p) not in counts]
+        self._touch(spark, folder, empty, batch.schema)
+        spark.createDataFrame(sorted(keep + new + empty), self.INDEX).coalesce(1).write.mode("overwrite").parquet(
             f"{self.base}/index/e{epoch_id}")
 
+    @staticmethod
+    def _name(leaf: str) -> tuple[int, int]:
+        d, p = leaf.split("-")
+        return int(d), int(p)
+
+    def _due(self, runs: Sequence[tuple], n: int) -> bool:
+        """Whether a leaf that ``n`` rows are added to is rewritten."""
+        base, deltas = sum(r[4] for r in runs if r[3]), [r[4] for r in runs if not r[3]]
+        return sum(deltas) + n > self.compact * base or len(deltas) + 1 >= self.max_deltas
+
+    def _split(self, full: Sequence[tuple], held: dict, added: dict) -> list[tuple[int, int]]:
+        """The leaves that rewritten ones become: split until none can hold more than ``leaf_rows`` rows on average."""
+        out = []
+        for d, p in full:
+            n, k = sum(r[4] for r in held[d, p]) + added[d, p], 0
+            while n > self.leaf_rows << k:
+                k += 1
+            out += [(d + k, p + (i << d)) for i in range(1 << k)]
+        return out
+
+    def _touch(self, spark: SparkSession, folder: str, runs: Sequence[tuple], schema: T.StructType) -> None:
+        for d, p, *_ in runs:
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/_leaf={d}-{p}")
+
+    def _clean(self, spark: SparkSession, before: int) -> None:
+        """Remove what no index among the last ``keep`` ones before this batch names: readers of those go on."""
+        done = committed_batches(spark, f"{self.base}/index", before)
+        if len(done) <= self.keep:
+            return
+        kept = done[-self.keep:]
+        named = {(r["epoch"], f"_leaf={r['depth']}-{r['prefix']}") for r in spark.read.schema(self.INDEX).parquet(
+            *[f"{self.base}/index/e{e}" for e in kept]).collect()}
+        jvm = spark._jvm
+        data = jvm.org.apache.hadoop.fs.Path(f"{self.base}/data")
+        fs = data.getFileSystem(spark._jsc.hadoopConfiguration())
+        for epoch in fs.listStatus(data):
+            name = epoch.getPath().getName()
+            if not name[1:].isdigit() or int(name[1:]) >= before:
+                continue
+            leaves = [st.getPath() for st in fs.listStatus(epoch.getPath()) if st.getPath().getName().startswith("_leaf=")]
+            dead = [path for path in leaves if (int(name[1:]), path.getName()) not in named]
+            for path in dead:
+                fs.delete(path, True)
+            if len(dead) == len(leaves):
+                fs.delete(epoch.getPath(), True)
+        for e in done[:-self.keep]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.base}/index/e{e}"), True)
+
 
 # -- S5 windowed counts ---------------------------------------------------------------------------
 
@@ -165,6 +250,108 @@ def windowed_counts(df: DataFrame, ts_col: str, size: str, slide: str, measures:
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *measures.keys())
 
 
+# -- S8 hold time and consecutive windows ----------------------------------------------------
+
+HOLD_OUT = ("window_start timestamp, n long, hits long, condition int, active_since timestamp, firing int, starts_firing int, "
+            "resolved int")
+HOLD_STATE = "steps array<long>, n array<long>, hits array<long>, last long, start long"
+
+
+class Island:
+    """One key's windows: open ones with their counts, the last closed one, and the first of the run of windows
+    that meet the condition. Windows are numbered by ``step`` since the epoch."""
+
+    def __init__(self, step_ms: int, hold_ms: int, condition, saved=None):
+        steps, n, hits, last, start = saved or ([], [], [], None, None)
+        self.step, self.hold, self.condition = step_ms, hold_ms, condition
+        self.open = {s: [a, b] for s, a, b in zip(steps, n, hits)}
+        self.last, self.start = last, start
+
+    def add(self, step: int, n: int, hits: int) -> None:
+        """Events of a window; those of a window that was closed come too late."""
+        if self.last is None or step > self.last:
+            have = self.open.setdefault(step, [0, 0])
+            have[0] += n
+            have[1] += hits
+
+    def close(self, watermark_ms: int) -> list[tuple]:
+        """Rows (window, n, hits, condition, island start, firing, starts_firing, resolved) of what the watermark has passed."""
+        rows = []
+
+        def silence():
+            if self.start is not None:
+                rows.append((self.last + 1, 0, 0, 0, None, 0, 0, 1))
+                self.start = None
+        for step in sorted(self.open):
+            if (step + 1) * self.step > watermark_ms:
+                break
+            n, hits = self.open.pop(step)
+            if self.last is not None and step != self.last + 1:
+                silence()
+            true = bool(self.condition(n, hits))
+            self.start = (step if self.start is None else self.start) if true else None
+            age = (step - self.start) * self.step if true else -1
+            rows.append((step, n, hits, int(true), self.start, int(age >= self.hold), int(self.hold <= age < self.hold + self.step), 0))
+            self.last = step
+        if self.start is not None and self.last + 1 not in self.open and (self.last + 2) * self.step <= watermark_ms:
+            silence()
+        return rows
+
+    def timer(self) -> int | None:
+        """The end of the next window to be closed or missed."""
+        ends = [(s + 1) * self.step for s in self.open]
+        if self.start is not None and self.last + 1 not in self.open:
+            ends.append((self.last + 2) * self.step)
+        return min(ends, default=None)
+
+    def saved(self) -> tuple:
+        steps = sorted(self.open)
+        return steps, [self.open[s][0] for s in steps], [self.open[s][1] for s in steps], self.last, self.start
+
+
+def hold_stream(events: DataFrame, key: str, ts_col: str, hit_col: str, condition, step: str, hold: str, delay: str) -> DataFrame:
+    """Per key, a condition over consecutive windows of ``step`` fires once it has held for ``hold`` (``for:``);
+    with a hold of one step that is the confirmation by two windows in a row.
+
+    ``condition(n, hits)`` judges a window by its events and by those whose ``hit_col`` is 1. Tasks combine
+    their events to counts per key and window first, so a key's state sees a few rows a batch however
+    many events it has. The keyed state holds the open windows' counts (as many as ``delay`` spans), the last closed
+    window and the window in which the island of true windows began. A window is closed by an event-time timer, once
+    the watermark has passed its end; a missing window ends an open island (a row with ``resolved`` 1), even when
+    the key stays silent from then on. Output: one row per closed window (batch twin: ``slo.hold``). A batch
+    that is run again starts from the state before it."""
+    step_ms, hold_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (step, hold))
+    key_type = events.schema[key].dataType.simpleString()
+    names = [c.split()[0] for c in HOLD_OUT.split(", ")]
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for e in batches:
+            at = e["ts"].astype("datetime64[us]")
+            e = e.assign(step=at.astype("int64") // (step_ms * 1000), at=at)
+            yield e.groupby(["key", "step"], as_index=False, dropna=False).agg(n=("hit", "size"), hits=("hit", "sum"), at=("at", "max"))
+
+    rows = events.where(F.col(ts_col).isNotNull()).select(F.col(key).alias("key"), F.col(ts_col).cast("timestamp").alias("ts"),
+                                                          F.coalesce(F.col(hit_col).cast("long"), F.lit(0)).alias("hit"))
+    parts = rows.mapInPandas(counts, f"key {key_type}, step long, n long, hits long, at timestamp").withWatermark("at", delay)
+
+    def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        island = Island(step_ms, hold_ms, condition, state.get if state.exists else None)
+        if not state.hasTimedOut:
+            for p in pdfs:
+                for x in p[["step", "n", "hits"]].itertuples(index=False):
+                    island.add(int(x.step), int(x.n), int(x.hits))
+        closed = island.close(state.getCurrentWatermarkMs())
+        state.update(island.saved())
+        if (end := island.timer()) is not None:
+            state.setTimeoutTimestamp(end)
+        when = lambda number: pd.NaT if number is None else pd.Timestamp(number * step_ms, unit="ms")
+        out = [(k[0], when(w), n, h, c, when(since), f, s, r) for w, n, h, c, since, f, s, r in closed]
+        if out:
+            yield pd.DataFrame(out, columns=[key, *names]).astype({"window_start": "datetime64[us]", "active_since": "datetime64[us]"})
+
+    return parts.groupBy("key").applyInPandasWithState(fn, f"`{key}` {key_type}, {HOLD_OUT}", HOLD_STATE, "append", "EventTimeTimeout")
+
+
 # -- S6 count-based monitoring windows ----------------------------------------------------------
 
 class CountWindows:

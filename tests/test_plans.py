@@ -33,3 +33,11 @@ def test_row_level_windows_are_partitioned(spark, name):
         if m and "RowFrame, unboundedpreceding$(), currentrow$()" in line:
             # running sums / row numbers over rows carry the bucket in their partition spec
             assert "_dl_bucket" in line, line
+
+
+@pytest.mark.parametrize("name", ["join_outcomes", "first_per_entity", "clean_ledger"])
+def test_latest_and_first_rows_without_sort_aggregate(spark, name):
+    p = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "SortAggregate" not in p
+    if name != "clean_ledger":
+        assert p.count("WindowGroupLimit") >= 2, "a partial limit before the shuffle and a final one"

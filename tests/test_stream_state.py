@@ -13,7 +13,7 @@ def _outcomes(spark, rows):
 
 def test_upsert_survives_restart_and_repeated_batch(spark):
     base = scratch_dir(spark, "lww")
-    make = lambda: ST.OutcomeTable(base, "id", "ts", buckets=4)
+    make = lambda: ST.OutcomeTable(base, "id", "ts", leaf_rows=2)
     make().upsert(_outcomes(spark, [(1, 1, 0), (2, 1, 0), (3, 5, 1)]), 0)
     make().upsert(_outcomes(spark, [(2, 3, 1), (3, 4, 0), (9, 1, 1)]), 1)
     make().upsert(_outcomes(spark, [(2, 3, 1), (3, 4, 0), (9, 1, 1)]), 1)      # the batch is run again
@@ -41,3 +41,95 @@ def test_ndjson_stream_sends_malformed_lines_aside(spark):
     ST.run_foreach_batch(s, ST.split_malformed(f"{base}/good", f"{base}/bad"), f"{base}/ckpt")
     assert sorted(r["a"] for r in spark.read.parquet(f"{base}/good/e0").collect()) == [1, 2]
     assert spark.read.parquet(f"{base}/bad/e0").count() == 1
+
+
+def _files(spark, path):
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    it, out = fs.listFiles(jvm.org.apache.hadoop.fs.Path(path), True), []
+    while it.hasNext():
+        f = it.next()
+        if f.getPath().getName().endswith(".parquet"):
+            out.append(f.getPath().toString())
+    return out
+
+
+def test_small_batches_rewrite_little_and_leaves_split(spark):
+    """A 1 % batch writes under a tenth of a large table; superseded files go; leaves follow the table's size."""
+    base, n = scratch_dir(spark, "lsm"), 20_000
+    table = ST.OutcomeTable(base, "id", "ts", leaf_rows=1000, max_deltas=4)
+    table.upsert(spark.range(n).select("id", F.lit(0).cast("long").alias("ts"), F.lit(0).alias("label")), 0)
+    leaves = {(r[0], r[1]) for r in table._index(spark, 1)}
+    assert len(leaves) == 32 and sum(r[4] for r in table._index(spark, 1)) == n
+    want, total = {i: 0 for i in range(n)}, 0
+    for e in range(1, 8):
+        ids = [(i * 7919 + e) % (n + 300) for i in range(200)]
+        table.upsert(spark.createDataFrame([(i, e, 1) for i in ids], "id long, ts long, label int"), e)
+        if e in (3, 5):                                                        # the batch is run again
+            table.upsert(spark.createDataFrame([(i, e, 1) for i in ids], "id long, ts long, label int"), e)
+        want |= {i: e for i in ids}
+        wrote = spark.read.parquet(f"{base}/data/e{e}").count()
+        total += wrote
+        assert wrote < 0.1 * n or e == 4                                       # max_deltas: every leaf is rewritten once in four
+    assert total < 7 * 200 + 1.1 * n
+    assert {r["id"]: r["ts"] for r in table.current(spark).collect()} == want
+    names = [f.split("/data/")[1].split("/")[0] for f in _files(spark, f"{base}/data")]
+    assert "e0" not in names and set(names) <= {f"e{e}" for e in range(4, 8)}
+
+
+def test_outcome_table_takes_null_ids_ties_and_empty_batches(spark):
+    table = ST.OutcomeTable(scratch_dir(spark, "odd"), "id", "ts", ["label"], leaf_rows=2)
+    table.upsert(_outcomes(spark, []), 0)
+    assert table.current(spark) is None
+    table.upsert(_outcomes(spark, [(None, 1, 0), (None, 2, 1), (5, 1, 0), (5, 1, 3), (6, None, 1), (7, 1, 1), (8, 1, 1)]), 1)
+    table.upsert(_outcomes(spark, [(6, 0, 2), (5, 1, 2), (None, 1, 9)]), 2)
+    table.upsert(_outcomes(spark, []), 3)
+    got = sorted((tuple(r) for r in table.current(spark).select("id", "ts", "label").collect()), key=str)
+    assert got == sorted([(None, 2, 1), (5, 1, 3), (6, 0, 2), (7, 1, 1), (8, 1, 1)], key=str)
+
+
+EVENTS = T.StructType([T.StructField("key", T.StringType()), T.StructField("at", T.TimestampType()), T.StructField("bad", T.IntegerType())])
+
+
+def _events(spark, rows):
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    return spark.createDataFrame([(k, start + dt.timedelta(minutes=m), b) for k, m, b in rows], EVENTS)
+
+
+def _hold_rows(spark, base, out):
+    s = ST.hold_stream(ST.file_stream(spark, f"{base}/in", EVENTS), "key", "at", "bad", lambda n, hits: hits > 0, "1 hour", "2 hours", "10 minutes")
+    got = ST.run_available_now(s, f"{base}/{out}", f"{base}/ckpt_{out}", partitions=2).collect()
+    return sorted((r["key"], r["window_start"].hour, r["n"], r["condition"], r["firing"], r["starts_firing"], r["resolved"]) for r in got)
+
+
+def test_hold_stream_survives_restart_and_repeated_batch(spark):
+    base = scratch_dir(spark, "hold")
+    first = [("a", 60 * h + 5, 1) for h in range(3)] + [("b", 10, 1), ("b", 130, 1)]
+    later = [("a", 60 * h + 5, 1) for h in (3, 4)] + [("a", 301, 0), ("c", 60 * 9 + 30, 0)]
+    _events(spark, first).coalesce(1).write.parquet(f"{base}/in/p0")
+    _hold_rows(spark, base, "x")                                               # the first run ends here
+    _events(spark, later).coalesce(1).write.parquet(f"{base}/in/p1")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{base}/ckpt_x/commits")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max((st.getPath() for st in fs.listStatus(path) if st.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    fs.delete(last, False)                                                     # its last batch counts as not run
+    got = _hold_rows(spark, base, "x")
+    assert got == _hold_rows(spark, base, "y")                                 # one run over everything
+    assert [r for r in got if r[0] == "a"] == [("a", 0, 1, 1, 0, 0, 0), ("a", 1, 1, 1, 0, 0, 0), ("a", 2, 1, 1, 1, 1, 0), ("a", 3, 1, 1, 1, 0, 0),
+                                              ("a", 4, 1, 1, 1, 0, 0), ("a", 5, 1, 0, 0, 0, 0)]
+    # b falls silent: its open island is resolved by the timer, twice
+    assert [r for r in got if r[0] == "b"] == [("b", 0, 1, 1, 0, 0, 0), ("b", 1, 0, 0, 0, 0, 1), ("b", 2, 1, 1, 0, 0, 0), ("b", 3, 0, 0, 0, 0, 1)]
+
+
+def test_island_closes_in_order_and_drops_late_windows():
+    i = ST.Island(1000, 1000, lambda n, hits: hits >= n)
+    for step in (3, 1, 2):
+        i.add(step, 2, 2)
+    assert i.timer() == 2000 and i.close(1999) == []
+    assert [r[0] for r in i.close(3000)] == [1, 2] and i.start == 1
+    i = ST.Island(1000, 1000, lambda n, hits: hits >= n, i.saved())
+    i.add(2, 5, 0)                                                             # too late: window 2 is closed
+    i.add(3, 1, 0)
+    assert i.close(4000) == [(3, 3, 2, 0, None, 0, 0, 0)] and i.timer() is None
