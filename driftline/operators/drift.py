@@ -75,14 +75,10 @@ def reference_edges(ref: DataFrame, numeric: Sequence[str], bins: int = 10,
     )
 
 
-def materialize_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Evaluate a result bounded by keys x features (e.g. edges) once and keep
-    it as a local relation, so every later use (binning join, flags) reads the
-    rows instead of re-planning the aggregate.  The bound is checked."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"expected at most {max_rows} rows (keys x features), got more")
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+def materialize(df: DataFrame) -> DataFrame:
+    """Evaluate a table of keys x features (e.g. edges) once, in the shared checkpoint folder: every later
+    use (binning join, flags) reads the rows instead of re-planning the aggregate, however many keys there are."""
+    return df.checkpoint()
 
 
 def cell_rows(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -122,7 +118,7 @@ def psi_cells(reference: DataFrame, current: DataFrame, numeric: Sequence[str] =
     """
     numeric, categorical, keys = list(numeric), list(categorical), list(keys)
     if numeric and edges is None:
-        edges = materialize_small(reference_edges(reference, numeric, bins, keys, edge_method))
+        edges = materialize(reference_edges(reference, numeric, bins, keys, edge_method))
     ml = bins - 1
     u = (cell_rows(reference, numeric, categorical, keys, edges, keys, ml).withColumn("side", F.lit(REF))
          .unionByName(cell_rows(current, numeric, categorical, keys, edges, keys, ml)
@@ -138,16 +134,14 @@ def psi_vs_reference(reference: DataFrame, current: DataFrame, window_col: str,
     """PSI of every window of ``current`` against one fixed reference.
 
     The reference is binned and counted once; its (feature x cell) counts, a
-    table bounded by features x bins/levels, are fanned out to the window ids
-    (a bounded list), so reference rows are never replicated per window."""
+    table bounded by features x bins/levels, are fanned out to the window ids,
+    so reference rows are never replicated per window."""
     numeric, categorical = list(numeric), list(categorical)
-    edges = materialize_small(reference_edges(reference, numeric, bins, (), edge_method)) if numeric else None
+    edges = materialize(reference_edges(reference, numeric, bins, (), edge_method)) if numeric else None
     ref_cells = (cell_rows(reference, numeric, categorical, (), edges, (), bins - 1)
                  .groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("ref_n")))
-    ids = [r[0] for r in current.select(window_col).distinct().collect()]  # bounded: windows
-    if not ids:
-        raise ValueError("current has no windows")
-    ref_w = ref_cells.withColumn(window_col, F.explode(F.array(*[F.lit(i) for i in sorted(ids)])))
+    # windows x cells: both sides are counts by then, so the product is the size of the result
+    ref_w = ref_cells.crossJoin(current.select(window_col).distinct())
     cur_cells = (cell_rows(current, numeric, categorical, [window_col], edges, (), bins - 1)
                  .groupBy(window_col, "feature", "cell").agg(F.count(F.lit(1)).alias("cur_n")))
     cells = (ref_w.select(window_col, "feature", "cell", "ref_n", F.lit(0).cast("long").alias("cur_n"))
@@ -198,7 +192,7 @@ def psi(reference: DataFrame, current: DataFrame, numeric: Sequence[str] = (),
         bins: int = 10, edge_method: str = "exact") -> DataFrame:
     """H2/H3: PSI per feature, with edge metadata (degenerate flag, kind)."""
     numeric, categorical, keys = list(numeric), list(categorical), list(keys)
-    edges = materialize_small(reference_edges(reference, numeric, bins, keys, edge_method)) if numeric else None
+    edges = materialize(reference_edges(reference, numeric, bins, keys, edge_method)) if numeric else None
     cells = psi_cells(reference, current, numeric, categorical, keys, edges, bins, edge_method)
     res = psi_from_cells(cells, keys)
     kind = F.when(F.col("feature").isin(numeric), F.lit("numeric")).otherwise(F.lit("categorical"))

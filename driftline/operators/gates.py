@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.quantile import with_quantiles
+
 
 def pivot_models(metrics: DataFrame, incumbent: str, challenger: str, cols: Sequence[str]) -> DataFrame:
     """One row with ``inc_<m>`` and ``ch_<m>`` from a per-model metrics table."""
@@ -66,8 +68,8 @@ def canary_checks(canary: DataFrame, value: str, error_flag: str, baseline_error
                   ci_lower: Column, ci_upper: Column, slo_p99: float, min_n: int = 1000) -> DataFrame:
     """K8: canary verdict once it has ``min_n`` rows: p99 within SLO, error ratio
     at most 1.5x the baseline's, mean inside the baseline's bootstrap CI."""
-    c = canary.agg(F.count(F.lit(1)).alias("n"), F.percentile(value, F.lit(0.99)).alias("p99"),
-                   F.avg(F.col(error_flag).cast("double")).alias("error_ratio"), F.avg(value).alias("mean_score"))
+    c = with_quantiles(canary.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(error_flag).cast("double")).alias("error_ratio"),
+                                  F.avg(value).alias("mean_score")), canary, value, {"p99": 0.99})
     ok = ((F.col("n") >= min_n) & (F.col("p99") <= slo_p99) & (F.col("error_ratio") <= baseline_error * 1.5) &
           (F.col("mean_score") >= ci_lower) & (F.col("mean_score") <= ci_upper))
     return c.select("n", "p99", "error_ratio", baseline_error.alias("baseline_error_ratio"), "mean_score",

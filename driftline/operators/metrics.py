@@ -291,9 +291,9 @@ def single_feature_baseline(df: DataFrame, feature: str, label: str = "label",
                             pct: float = 0.89) -> DataFrame:
     """rank by one feature; flag strictly above its 89th percentile; the
     score for rank metrics is the min-max scaled feature."""
-    st = df.agg(F.percentile(F.col(feature).cast("double"), F.lit(pct)).alias("cut"),
-                F.min(feature).cast("double").alias("mn"),
-                F.max(feature).cast("double").alias("mx"))
+    from driftline.operators.quantile import with_quantiles
+    st = with_quantiles(df.agg(F.min(feature).cast("double").alias("mn"), F.max(feature).cast("double").alias("mx")),
+                        df, feature, {"cut": pct})
     ss = scalars(st, "cut", "mn", "mx")
     cut, mn, mx = ss["cut"], ss["mn"], ss["mx"]
     rng = F.when((mx - mn) == 0, F.lit(1.0)).otherwise(mx - mn)

@@ -31,7 +31,7 @@ _S = "_dl_sub"
 _K = "_dl_key"
 
 
-def _default_buckets(df: DataFrame) -> int:
+def default_buckets(df: DataFrame) -> int:
     try:
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - conf always set in practice
@@ -153,7 +153,7 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
     """
     order_cols = list(order_cols)
     keys = list(keys)
-    nb = n_buckets or _default_buckets(df)
+    nb = n_buckets or default_buckets(df)
     b, _ = bucketize(df, F.col(order_cols[0]), nb, descending)
     b, cols = _split_hot(b, keys, order_cols, rows_per_bucket, descending)
     counts = b.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_dl_n"))
@@ -177,7 +177,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_cols: Sequence[str],
     first, which also makes tie handling exact).  Sums are inclusive.
     """
     keys = list(keys)
-    nb = n_buckets or _default_buckets(df)
+    nb = n_buckets or default_buckets(df)
     b, _ = bucketize(df, F.col(order_col), nb, descending, cuts=cuts)
     tot = b.groupBy(*keys, _B).agg(*[F.sum(c).alias(f"_dl_t_{c}") for c in value_cols])
     wo = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)

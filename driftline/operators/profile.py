@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions.exprs import NULL_TOKEN, safe_div
+from driftline.operators.quantile import with_quantiles
 
 
 def _is_string(df: DataFrame, c: str) -> bool:
@@ -64,32 +65,14 @@ def top_value_share(df: DataFrame, columns: Sequence[str] | None = None,
     """Share of the most frequent value (null counted as a value) per column;
     ``near_zero_variance`` when the share is in ``[low, high)``.
 
-    A column whose distinct count exceeds ``(1-low) * n + 1`` cannot reach the
-    share, so it is pruned with ``approx_count_distinct`` (with a 2x margin)
-    before the value-count shuffle; its share is then reported as null."""
+    All columns share one shuffle of value counts, combined in the map tasks first, so a frequent value
+    costs a row a task."""
     cols = list(columns or df.columns)
-    st = df.agg(F.count(F.lit(1)).alias("n"),
-                *[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    n = st["n"]
-    bound = 2 * (1 - low) * n + 2
-    keep = [c for c in cols if st[c] <= bound]
-    rows = []
-    spark = df.sparkSession
-    if keep:
-        d = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TOKEN)).alias(c) for c in keep])
-        vc = d.unpivot([], keep, "column_name", "value").groupBy("column_name", "value").count()
-        top = vc.groupBy("column_name").agg(F.max("count").alias("top_count"))
-        rows.append(top.select("column_name", (F.col("top_count") / F.lit(n)).alias("top_share")))
-    pruned = [c for c in cols if c not in keep]
-    if pruned:
-        rows.append(spark.createDataFrame([(c,) for c in pruned], "column_name string")
-                    .select("column_name", F.lit(None).cast("double").alias("top_share")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    d = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NULL_TOKEN)).alias(c) for c in cols])
+    counts = d.unpivot([], cols, "column_name", "value").groupBy("column_name", "value").count()
     s = F.col("top_share")
-    return out.select("column_name", "top_share",
-                      F.coalesce((s >= low) & (s < high), F.lit(False)).cast("int").alias("near_zero_variance"))
+    return counts.groupBy("column_name").agg((F.max("count") / F.sum("count")).alias("top_share")).select(
+        "column_name", "top_share", ((s >= low) & (s < high)).cast("int").alias("near_zero_variance"))
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -157,5 +140,4 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def moments(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and exact 90th percentile."""
-    return df.groupBy(*keys).agg(F.avg(col).alias("mean"),
-                                 F.percentile(F.col(col).cast("double"), F.lit(0.9)).alias("p90"))
+    return with_quantiles(df.groupBy(*keys).agg(F.avg(col).alias("mean")), df, col, {"p90": 0.9}, keys)

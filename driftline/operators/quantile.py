@@ -1,140 +1,85 @@
-"""Exact linear-interpolated quantiles without a single-task merge (H1).
-
-Spark's exact ``percentile`` merges every distinct value of a group in one
-task.  Here a bounded sketch (``percentile_approx``, rank error <= n/accuracy)
-brackets each target rank inside a value slab; one pass counts the rows below
-and inside every slab.  A slab of more than ``slab_rows`` rows is bracketed
-again by a sketch of its own rows, until it is small or no longer shrinks
-(ties).  The slabs' rows are then collapsed to value counts, map-side first,
-and running counts over the distinct values give the exact order statistics.
-The result equals the linear interpolation ``x[lo] + f * (x[hi] - x[lo])`` at
-position ``(n-1) q``.  A slab that misses its rank (outside the sketch's
-guarantee) is widened to the full range and bracketed anew.  A group without
-any value keeps its row: null quantiles and ``n`` = 0.
+"""Exact linear-interpolated quantiles of any number of groups, without a single-task merge.
+
+Spark's exact ``percentile`` merges every distinct value of a group in one task. Here the values are
+first collapsed to value counts per group (map-side, so a hot value is a row a task) and laid into
+buckets of about equal numbers of distinct values, cut by one bounded sketch over all groups: whatever the
+groups' sizes and ranges, a group's part of a bucket is no larger than the bucket. The buckets' counts per
+group tell which bucket holds each wanted rank; only those buckets are put in order, each on its own, and
+a running count gives the order statistics. The result is the linear interpolation
+``(1 - f) * x[lo] + f * x[hi]`` at position ``(n - 1) q``. Nothing but the cut points passes through the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.order import bucketize, cut_points, default_buckets
+
 
 def _long(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
     d = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
     return d.unpivot(list(keys), list(cols), "feature", "x")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (),
-                    accuracy: int = 10000, max_groups: int = 200_000, slab_rows: int = 1_000_000) -> DataFrame:
-    """``(keys..., feature, q array<double> (in qs order), mn, mx, n)`` per group."""
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on equal ``names``, nulls being equal; the names of ``a`` stay."""
+    renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in b.columns])
+    on = F.lit(True)
+    for c in names:
+        on = on & a[c].eqNullSafe(renamed[f"_r_{c}"])
+    return a.join(renamed, on, how).drop(*[f"_r_{c}" for c in names])
+
+
+def grouped_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], keys: Sequence[str] = (),
+                      n_buckets: int | None = None) -> DataFrame:
+    """``(keys..., q array<double> in the order of qs, n)`` of the non-null values of every group; without keys always
+    one row. A group without a value has no row (without keys: null and 0). NaN counts as the greatest value."""
     keys, qs = list(keys), [float(q) for q in qs]
-    spark = df.sparkSession
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    h = df.select(*keys, x.alias("_x")).where("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = cut_points(h, "_x", n_buckets or default_buckets(df))
+    b, _ = bucketize(h, F.col("_x"), len(cuts) + 1, False, cuts=cuts)
+    part = [*keys, "_dl_bucket"]
+    # a key has as many rows here as there are buckets
+    each = Window.partitionBy(*keys)
+    totals = b.groupBy(*part).agg(F.sum("_c").alias("_t")).select(
+        *part, "_t", (F.sum("_t").over(each.orderBy("_dl_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")).alias("_before"),
+        F.sum("_t").over(each).alias("_n"))
+    position = [(F.col("_n") - 1) * F.lit(q) for q in qs]
+    ranks = F.array_distinct(F.array(*[r.cast("long") for p in position for r in (F.floor(p) + 1, F.ceil(p) + 1)]))
+    wanted = totals.withColumn("_ranks", F.filter(ranks, lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_t"))))
+    wanted = wanted.where(F.size("_ranks") > 0).select(*part, "_before", "_n", "_ranks")
+    w = Window.partitionBy(*part).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    hit = _same(b, wanted, part).select(*keys, "_x", "_c", "_n", "_ranks", (F.col("_before") + F.sum("_c").over(w)).alias("_upto"))
+    hit = hit.where(F.exists("_ranks", lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_c"))))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c")), F.col("_x")))
+    aggs = [a for i, p in enumerate(position) for a in (at(F.floor(p) + 1).alias(f"_l{i}"), at(F.ceil(p) + 1).alias(f"_h{i}"))]
+    found = (hit.groupBy(*keys) if keys else hit).agg(F.max("_n").alias("_n"), *aggs)
+    values = [F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise(
+        F.col(f"_l{i}") * (F.ceil(p) - p) + F.col(f"_h{i}") * (p - F.floor(p))) for i, p in enumerate(position)]
+    q = F.when(F.col("_n").isNotNull(), F.array(*values))
+    return found.select(*keys, q.alias("q"), F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
+def with_quantiles(table: DataFrame, df: DataFrame, value: str | Column, named: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """``table`` (one row per ``keys``, or one row) with the quantiles ``{column: q}`` of ``df``'s values beside it."""
+    q = grouped_quantiles(df, value, list(named.values()), keys).drop("n")
+    joined = _same(table, q, list(keys), "left") if keys else table.join(q)
+    return joined.select(*table.columns, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(named)])
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (),
+                    n_buckets: int | None = None) -> DataFrame:
+    """``(keys..., feature, q array<double> (in qs order), mn, mx, n)`` per group and column. A group without any
+    value keeps its row: null quantiles and ``n`` = 0."""
+    keys = list(keys)
     long = _long(df, cols, keys)
-    m = 3.0 / accuracy
-    levels = sorted({min(max(q - m, 0.0), 1.0) for q in qs} | {min(max(q + m, 0.0), 1.0) for q in qs})
-    sk = long.groupBy(*keys, "feature").agg(
-        F.count("x").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-        F.percentile_approx("x", levels, accuracy).alias("arr"))
-    groups = sk.limit(max_groups + 1).collect()          # bounded: keys x features
-    if len(groups) > max_groups:
-        raise ValueError("too many quantile groups")
-    pos = {v: i for i, v in enumerate(levels)}
-    slabs, bounds = {}, {}                              # (group, i) -> [lo, hi, r_lo, r_hi, fraction]
-    for g in groups:
-        gk = tuple(g[k] for k in keys) + (g["feature"],)
-        bounds[gk] = g
-        for i, q in enumerate(qs if g["n"] else ()):
-            h = (g["n"] - 1) * q
-            lo = g["mn"] if q - m <= 0 else g["arr"][pos[min(max(q - m, 0.0), 1.0)]]
-            hi = g["mx"] if q + m >= 1 else g["arr"][pos[min(max(q + m, 0.0), 1.0)]]
-            slabs[gk, i] = [float(lo), float(hi), math.floor(h) + 1, math.ceil(h) + 1, h - math.floor(h)]
-    slab_of = _Slabs(spark, long, keys)
-    below, inside, todo, was = {}, {}, dict(slabs), {}
-    while todo:
-        got = slab_of.counts(todo)
-        large = {}
-        for k in todo:
-            lo, hi, r_lo, r_hi, _ = slabs[k]
-            below[k], inside[k] = got[k]
-            if r_lo <= below[k] or r_hi > below[k] + inside[k]:      # missed: start from the full range
-                g = bounds[k[0]]
-                slabs[k][:2] = [float(g["mn"]), float(g["mx"])]
-                below[k], inside[k] = 0, g["n"]
-            if inside[k] > slab_rows and lo < hi and inside[k] <= was.get(k, math.inf) / 2:
-                large[k] = [(r_lo - below[k]) / inside[k], (r_hi - below[k]) / inside[k]]
-            was[k] = inside[k]
-        todo = {}
-        for k, (lo, hi) in slab_of.narrow({k: (slabs[k], at) for k, at in large.items()}, m, accuracy).items():
-            slabs[k][:2] = [lo, hi]
-            todo[k] = slabs[k]
-    values = slab_of.pick({k: (v, {v[2] - below[k], v[3] - below[k]}) for k, v in slabs.items()})
-    out = []
-    for gk, g in bounds.items():
-        vals = []
-        for i in range(len(qs) if g["n"] else 0):
-            _, _, r_lo, r_hi, f = slabs[gk, i]
-            xl, xh = values[gk, i, r_lo - below[gk, i]], values[gk, i, r_hi - below[gk, i]]
-            vals.append(xl if r_lo == r_hi else xl + f * (xh - xl))
-        out.append((*gk, vals or None, g["mn"], g["mx"], int(g["n"])))
-    key_fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = (key_fields + ", " if keys else "") + "feature string, q array<double>, mn double, mx double, n long"
-    return spark.createDataFrame(out, schema)
-
-
-class _Slabs:
-    """Passes over the long table for a bounded set of (group, target, lo, hi) slabs."""
-
-    def __init__(self, spark, long: DataFrame, keys: list[str]):
-        self.spark, self.long, self.on = spark, long, [*keys, "feature"]
-        types = ", ".join(f"{k} {long.schema[k].dataType.simpleString()}" for k in keys)
-        self.head = (types + ", " if keys else "") + "feature string"
-
-    def _table(self, rows: list, fields: str) -> DataFrame:
-        return F.broadcast(self.spark.createDataFrame(rows, f"{self.head}, {fields}"))      # bounded: groups x targets
-
-    def _rows(self, slabs: dict) -> DataFrame:
-        """The values of each slab's group, one row per (value, slab), with ``part``: -1 below, 0 inside."""
-        by: dict = {}
-        for (gk, i), (lo, hi, *_) in slabs.items():
-            by.setdefault(gk, []).append((i, lo, hi))
-        st = self._table([(*gk, v) for gk, v in by.items()], "slabs array<struct<qi: int, lo: double, hi: double>>")
-        j = self.long.where(F.col("x").isNotNull()).join(st, self.on)
-        hit = F.filter("slabs", lambda s: F.col("x") <= s["hi"])
-        return j.select(*self.on, "x", F.explode(hit).alias("s")).select(
-            *self.on, "x", F.col("s.qi").alias("qi"), F.when(F.col("x") < F.col("s.lo"), -1).otherwise(0).alias("part"))
-
-    def counts(self, slabs: dict) -> dict:
-        """(rows below, rows inside) of each slab."""
-        got = self._rows(slabs).groupBy(*self.on, "qi").agg(
-            F.count_if(F.col("part") < 0).alias("below"), F.count_if(F.col("part") == 0).alias("inside")).collect()
-        found = {(tuple(r[c] for c in self.on), r["qi"]): (r["below"], r["inside"]) for r in got}
-        return {k: found.get(k, (0, 0)) for k in slabs}
-
-    def narrow(self, slabs: dict, margin: float, accuracy: int) -> dict:
-        """New (lo, hi) around the wanted fractions of each slab's own rows."""
-        if not slabs:
-            return {}
-        wanted = self._table([(*gk, i, [max(a - margin, 0.0), min(b + margin, 1.0)])
-                              for (gk, i), (_, (a, b)) in slabs.items()], "qi int, at array<double>")
-        rows = self._rows({k: v for k, (v, _) in slabs.items()}).where("part = 0")
-        # the fractions differ by slab, so the sketch is read at a fixed fine grid and the bracket picked from it
-        grid = [i / 2000 for i in range(2001)]
-        sk = rows.groupBy(*self.on, "qi").agg(F.percentile_approx("x", grid, accuracy).alias("g")).join(wanted, [*self.on, "qi"])
-        got = sk.select(*self.on, "qi", F.get("g", F.floor(F.col("at")[0] * 2000).cast("int")).alias("lo"),
-                        F.get("g", F.ceil(F.col("at")[1] * 2000).cast("int")).alias("hi")).collect()
-        return {(tuple(r[c] for c in self.on), r["qi"]): (r["lo"], r["hi"]) for r in got}
-
-    def pick(self, slabs: dict) -> dict:
-        """The values at the wanted 1-based ranks inside each slab."""
-        if not slabs:
-            return {}
-        need = self._table([(*gk, i, rk) for (gk, i), (_, ranks) in slabs.items() for rk in sorted(ranks)], "qi int, rk long")
-        counts = self._rows({k: v for k, (v, _) in slabs.items()}).where("part = 0").groupBy(*self.on, "qi", "x").agg(
-            F.count(F.lit(1)).alias("c"))
-        w = Window.partitionBy(*self.on, "qi").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-        picked = counts.withColumn("upto", F.sum("c").over(w)).join(need, [*self.on, "qi"]).where(
-            (F.col("rk") <= F.col("upto")) & (F.col("rk") > F.col("upto") - F.col("c")))
-        return {(tuple(r[c] for c in self.on), r["qi"], r["rk"]): r["x"] for r in picked.collect()}
+    by = [*keys, "feature"]
+    ends = long.groupBy(*by).agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
+    return _same(ends, grouped_quantiles(long, "x", qs, by, n_buckets), by, "left").select(
+        *by, "q", "mn", "mx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.exprs import count_lt, lit_array, scalars
+from driftline.operators.quantile import with_quantiles
 
 # Latency histogram bucket upper bounds (seconds) of the service.
 LATENCY_BUCKETS = (0.001, 0.0025, 0.005, 0.0075, 0.010, 0.015, 0.020, 0.030, 0.040, 0.050,
@@ -162,17 +163,16 @@ def last_status(df: DataFrame, key: str, ts: str, status: str) -> DataFrame:
 def latency_profile(df: DataFrame, period: Column, value: str, seconds: float) -> DataFrame:
     """Exact percentiles, max and rate per period; the knee is the first
     period whose rate falls while p99 rises (periods are few rows)."""
-    g = df.groupBy(period.alias("period")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile(F.col(value), F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.75, 0.9, 0.95, 0.99)],
-        F.max(value).alias("max"))
+    d = df.withColumn("period", period)
+    g = with_quantiles(d.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max")), d, value,
+                       {f"p{int(q * 100)}": q for q in (0.5, 0.75, 0.9, 0.95, 0.99)}, ["period"])
     g = g.withColumn("rps", F.col("n") / F.lit(float(seconds)))
     w = Window.orderBy("period")
     knee = (F.col("rps") < F.lag("rps").over(w)) & (F.col("p99") > F.lag("p99").over(w))
     return g.withColumn("knee_candidate", F.coalesce(knee, F.lit(False)).cast("int"))
 
 
-def slo_derivation(p99: Column, target: float, days: int) -> list[Column]:
+def slo_derivation(p99: Column, target: float, days: Column) -> list[Column]:
     """SLO = 2 x p99, ticket = 1.5 x p99, error budget minutes."""
     return [(p99 * 2).alias("slo_p99"), (p99 * 1.5).alias("ticket_p99"),
-            F.lit((1 - target) * days * 1440).alias("budget_minutes")]
+            ((1 - target) * days * F.lit(1440)).alias("budget_minutes")]

@@ -9,6 +9,7 @@ from driftline.operators import gates as G
 from driftline.operators import metrics as M
 from driftline.operators import profile as P
 from driftline.operators.bootstrap import bootstrap_mean
+from driftline.operators.quantile import grouped_quantiles
 from driftline.plans import q_eval as E
 from driftline.plans.q_monitor import AL_REF_CUT  # also registers drift_alerts, reused below
 from driftline.plans import sqlgen as S
@@ -43,7 +44,7 @@ def _wide(spark, sf):
     w = G.pivot_models(per, INCUMBENT, CHALLENGER, ["pr_auc", "pr_auc_lower", "brier", "ece", "worst_gap", "hash"])
     base = E.scored(spark, sf).agg(F.avg(F.col("label").cast("double"))).scalar()
     req = V.req(spark, sf).where(F.col("instance") == CANARY_INSTANCE)
-    p99 = req.agg(F.percentile(F.col("duration_ms") / 1000.0, F.lit(0.99))).scalar()
+    p99 = grouped_quantiles(req, F.col("duration_ms") / 1000.0, [0.99]).select(F.get("q", F.lit(0))).scalar()
     return w.select("*", base.alias("baseline_pr_auc"), p99.alias("canary_p99"))
 
 

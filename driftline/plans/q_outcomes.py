@@ -8,6 +8,7 @@ from driftline.functions.exprs import scalars
 from driftline.operators import drift as D
 from driftline.operators import outcomes as O
 from driftline.operators import profile as P
+from driftline.operators.quantile import with_quantiles
 from driftline.plans import sqlgen as S
 from driftline.plans import views as V
 from driftline.plans.q_eval import LWW_SQL, OUTC_SQL, PRED_SQL
@@ -66,11 +67,9 @@ MATURE_DAYS = 30
 def maturation_lag(spark, sf):
     """A label counts only 30 days after its prediction; delay quantiles."""
     m = O.maturation(_joined(spark, sf), "pred_ts", "outcome_ts", MATURE_DAYS)
-    return present(m.agg(F.count("lag_days").alias("n_labelled"), F.sum("matured").cast("long").alias("n_matured"),
-                         F.percentile("lag_days", F.lit(0.5)).alias("lag_p50"),
-                         F.percentile("lag_days", F.lit(0.9)).alias("lag_p90"),
-                         F.percentile("lag_days", F.lit(0.99)).alias("lag_p99"),
-                         F.avg(F.col("matured").cast("double")).alias("matured_share")))
+    g = m.agg(F.count("lag_days").alias("n_labelled"), F.sum("matured").cast("long").alias("n_matured"),
+              F.avg(F.col("matured").cast("double")).alias("matured_share"))
+    return present(with_quantiles(g, m, "lag_days", {"lag_p50": 0.5, "lag_p90": 0.9, "lag_p99": 0.99}))
 
 
 @register("label_watchdog", "WITH " + PRED_SQL + ",\n" + OUTC_SQL + ",\n"

@@ -25,15 +25,13 @@ def _profile_sql() -> str:
                 f"SELECT '{tab}' AS tbl, '{c}' AS column_name, count(*) AS n_rows, CAST({sent} AS BIGINT) AS n_sentinel, "
                 f"count(*) FILTER (WHERE {c} IS NULL) AS n_null, "
                 f"CAST(coalesce(count({c}) = count(*) AND min({c}) = max({c}), false) AS INTEGER) AS constant, "
-                f"count(DISTINCT coalesce(CAST({c} AS VARCHAR), '<null>')) AS nd, "
-                f"(SELECT max(k) FROM (SELECT count(*) AS k FROM {tab} GROUP BY {c})) AS top_count FROM {tab}")
+                    f"(SELECT max(k) FROM (SELECT count(*) AS k FROM {tab} GROUP BY {c})) AS top_count FROM {tab}")
     return (
         "WITH _p AS (" + " UNION ALL ".join(parts) + ")\n"
         "SELECT tbl, column_name, n_rows, n_sentinel, round(100.0 * n_sentinel / n_rows, 6) AS pct_sentinel, n_null, "
         "round(100.0 * n_null / n_rows, 6) AS pct_null, constant, "
-        "round(CASE WHEN nd <= 2 * (1 - 0.995) * n_rows + 2 THEN top_count::DOUBLE / n_rows END, 6) AS top_share, "
-        "CAST(coalesce(CASE WHEN nd <= 2 * (1 - 0.995) * n_rows + 2 THEN top_count::DOUBLE / n_rows END >= 0.995 "
-        "AND CASE WHEN nd <= 2 * (1 - 0.995) * n_rows + 2 THEN top_count::DOUBLE / n_rows END < 1.0, false) AS INTEGER) "
+        "round(top_count::DOUBLE / n_rows, 6) AS top_share, "
+        "CAST(top_count::DOUBLE / n_rows >= 0.995 AND top_count::DOUBLE / n_rows < 1.0 AS INTEGER) "
         "AS near_zero_variance FROM _p")
 
 

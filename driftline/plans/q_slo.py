@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftline.functions.exprs import count_lt, status_class
 from driftline.operators import clean as C
 from driftline.operators import slo as L
+from driftline.operators.quantile import grouped_quantiles, with_quantiles
 from driftline.plans import sqlgen as S
 from driftline.plans import views as V
 from driftline.plans.registry import register
@@ -162,7 +163,8 @@ def latency_quantiles(spark, sf):
     h = _hist(spark, sf)
     q = L.histogram_quantiles(h, [0.5, 0.95, 0.99], ["endpoint", "b6"])
     r = _req(spark, sf).withColumn("b6", L.bucket_of("ts", 6 * HOUR))
-    ex = r.groupBy("endpoint", "b6").agg(F.percentile(F.col("duration_ms") / 1000.0, F.lit(0.99)).alias("exact_p99"))
+    ex = grouped_quantiles(r, F.col("duration_ms") / 1000.0, [0.99], ["endpoint", "b6"]).select(
+        "endpoint", "b6", F.get("q", F.lit(0)).alias("exact_p99"))
     return present(q.join(ex, ["endpoint", "b6"]).select(
         "endpoint", L.bucket_time("b6", 6 * HOUR).alias("window_start"), F.col("total").cast("long").alias("n"),
         "p50", "p95", "p99", "exact_p99"))
@@ -428,10 +430,8 @@ def latency_profile(spark, sf):
 def slo_derivation(spark, sf):
     """SLO = 2 x p99, ticket = 1.5 x p99, error budget minutes over the days observed."""
     r = _req(spark, sf)
-    g = r.agg(F.percentile(F.col("duration_ms") / 1000.0, F.lit(0.99)).alias("p99"),
-              F.countDistinct(F.to_date("ts")).alias("days"))
-    return present(g.select("p99", (F.col("p99") * 2).alias("slo_p99"), (F.col("p99") * 1.5).alias("ticket_p99"),
-                            "days", ((1 - SLO_TARGET) * F.col("days") * 1440).alias("budget_minutes")))
+    g = with_quantiles(r.agg(F.countDistinct(F.to_date("ts")).alias("days")), r, F.col("duration_ms") / 1000.0, {"p99": 0.99})
+    return present(g.select("p99", "days", *L.slo_derivation(F.col("p99"), SLO_TARGET, F.col("days"))))
 
 
 # ---------------------------------------------------------------- J21

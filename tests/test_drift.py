@@ -144,20 +144,41 @@ def test_perturbations(spark):
     assert shares["A"] > 1.5 * shares["B"]
 
 
-def test_exact_quantiles_of_ties_nulls_and_narrowed_slabs(spark):
+def test_exact_quantiles_of_ties_nulls_and_few_or_many_buckets(spark):
     import numpy as np
     from driftline.operators.quantile import exact_quantiles
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=5000), rng.integers(0, 4, 5000).astype(float)
     df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)], "x double, y double, z double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    for rows in (1_000_000, 20):                       # 20: every slab is bracketed again, ties stop shrinking
-        got = {r["feature"]: r for r in exact_quantiles(df, ["x", "y", "z"], qs, accuracy=100, slab_rows=rows).collect()}
+    for buckets in (1, 8, 300):
+        got = {r["feature"]: r for r in exact_quantiles(df, ["x", "y", "z"], qs, n_buckets=buckets).collect()}
         assert np.allclose(got["x"]["q"], np.quantile(x, qs), atol=0, rtol=1e-12)
         assert np.allclose(got["y"]["q"], np.quantile(y, qs))
         assert got["z"]["q"] is None and got["z"]["n"] == 0
 
 
+def test_grouped_quantiles_of_many_groups_hot_groups_and_null_keys(spark):
+    import numpy as np
+    from driftline.operators.quantile import grouped_quantiles
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in rng.normal(size=4000)] + [("ties", 7.0)] * 3000 + [(None, float(v)) for v in rng.normal(50, 1, 40)]
+    rows += [(f"g{i % 700}", float(v)) for i, v in enumerate(rng.exponential(size=5000))] + [("hot", None), ("nothing", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r["k"]: r for r in grouped_quantiles(df, "x", [0.05, 0.5, 0.99], ["k"], n_buckets=40).collect()}
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    assert set(got) == set(by)
+    for k, v in by.items():
+        assert got[k]["n"] == len(v) and np.allclose(got[k]["q"], np.quantile(v, [0.05, 0.5, 0.99]), rtol=1e-12)
+    whole = grouped_quantiles(df, "x", [0.5]).collect()
+    assert len(whole) == 1 and np.isclose(whole[0]["q"][0], np.median([v for _, v in rows if v is not None]))
+    none = grouped_quantiles(df.where("k = 'nothing'"), "x", [0.5]).collect()
+    assert [(r["q"], r["n"]) for r in none] == [(None, 0)] and grouped_quantiles(df.where("k = 'nothing'"), "x", [0.5], ["k"]).count() == 0
+
+
 def test_psi_keeps_a_feature_without_values(spark):
     from driftline.operators.drift import psi
     df = spark.createDataFrame([(float(i), None) for i in range(50)], "a double, b double")
