@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "NULL_TOKEN", "EPSILON", "col_of", "binarise", "safe_div", "as_category",
     "linspace", "lit_array", "count_le", "count_lt", "hash_uniform",
-    "poisson1_cdf", "poisson_from_uniform", "t_test_p_even_df", "r6", "round_half_up",
+    "poisson1_cdf", "poisson_from_uniform", "t_test_p", "r6", "round_half_up",
     "status_class", "percentile_exact", "scalars",
 ]
 
@@ -121,27 +121,48 @@ def poisson_from_uniform(u: Column, kmax: int = 12) -> Column:
     return expr
 
 
-def t_test_p_even_df(rho: Column, k: int) -> Column:
+def t_test_p(rho: Column, k: int) -> Column:
     """Two-sided p-value of a Spearman/Pearson coefficient over ``k`` points.
 
-    Student t with ``df = k - 2`` degrees of freedom; for even df the tail has a
-    closed form (Abramowitz and Stegun 26.7.4):
-    ``p = 1 - sin(theta) * sum_{j=0}^{df/2-1} c_j cos(theta)^(2j)`` with
-    ``c_0 = 1`` and ``c_j = c_{j-1} (2j-1)/(2j)``.  |rho| = 1 gives p = 0.
-    """
+    Student t with ``df = k - 2`` degrees of freedom: ``p = I_x(df / 2, 1 / 2)`` at ``x = 1 - rho**2``, the regularised
+    incomplete beta function by its continued fraction (modified Lentz), for any number of points.
+    |rho| = 1 gives p = 0, and fewer than three points give null."""
     dof = k - 2
-    if dof <= 0 or dof % 2:
-        raise ValueError("closed form needs an even number of degrees of freedom")
-    r = F.abs(rho)
-    t = r * F.sqrt(F.lit(float(dof)) / (F.lit(1.0) - r * r))
-    theta = F.atan(t / F.lit(math.sqrt(dof)))
-    c = F.pow(F.cos(theta), 2)
-    series, coef = F.lit(1.0), 1.0
-    for j in range(1, dof // 2):
-        coef *= (2 * j - 1) / (2 * j)
-        series = series + F.lit(coef) * F.pow(c, j)
-    p = F.lit(1.0) - F.sin(theta) * series
-    return F.when(r >= 1.0, F.lit(0.0)).otherwise(F.greatest(p, F.lit(0.0)))
+    if dof <= 0:
+        return F.lit(None).cast("double")
+    r2 = rho * rho
+    return F.when(r2 >= 1.0, F.lit(0.0)).when(rho.isNotNull(), incomplete_beta(F.lit(1.0) - r2, dof / 2, 0.5))
+
+
+def incomplete_beta(x: Column, a: float, b: float, steps: int = 200) -> Column:
+    """Regularised ``I_x(a, b)`` for x in [0, 1]; ``steps`` bounds the continued fraction, which settles to 1e-14 long before."""
+    # the fraction converges fast below the mean; above it the other tail is computed
+    low = x < F.lit((a + 1) / (a + b + 2))
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(low, _beta_tail(x, a, b, steps)).otherwise(
+        F.lit(1.0) - _beta_tail(F.lit(1.0) - x, b, a, steps))
+
+
+def _beta_tail(x: Column, a: float, b: float, steps: int) -> Column:
+    tiny = F.lit(1e-300)
+    front = F.exp(F.lit(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) - math.log(a)) + F.lit(a) * F.log(x) + F.lit(b) * F.log1p(-x))
+
+    def away(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def once(s: Column, factor: Column) -> Column:
+        d = F.lit(1.0) / away(F.lit(1.0) + factor * s["d"])
+        c = away(F.lit(1.0) + factor / s["c"])
+        return F.struct((s["h"] * d * c).alias("h"), c.alias("c"), d.alias("d"))
+
+    def step(s: Column, j: Column) -> Column:
+        m = F.floor(j / 2).cast("double")
+        even = m * (F.lit(b) - m) * x / ((F.lit(a - 1) + 2 * m) * (F.lit(a) + 2 * m))
+        odd = -(F.lit(a) + m) * (F.lit(a + b) + m) * x / ((F.lit(a) + 2 * m) * (F.lit(a + 1) + 2 * m))
+        return once(s, F.when(j % 2 == 0, even).otherwise(odd))
+
+    d0 = F.lit(1.0) / away(F.lit(1.0) - F.lit((a + b) / (a + 1)) * x)
+    start = F.struct(d0.alias("h"), F.lit(1.0).alias("c"), d0.alias("d"))
+    return front * F.aggregate(F.sequence(F.lit(2), F.lit(2 * steps + 1)), start, step, lambda s: s["h"])
 
 
 def round_half_up(c: str | Column, dp: int = 6) -> Column:

@@ -7,9 +7,9 @@ these operators never use it on row-level data. Instead:
    (one pass, a bounded sketch; the cuts are literals, so every later pass
    assigns the same bucket to a row, even after a task is recomputed);
 2. ``Bucketizer`` (binary search on the JVM) assigns a bucket per row;
-3. a bucket that is over-full because one leading value is hot is split again
-   on the next order column (number, time or text), with cut points computed per
-   hot bucket, and so on through the order columns;
+3. a bucket that is overfull, whether by a hot leading value, by several or because the table is
+   large, is split again at quantiles of its own rows, on the first order column (number, time or text)
+   that is not the same in all of them, until no bucket is overfull;
 4. per-bucket counts / sums give offsets (a table of at most a few thousand
    rows per key), and ``row_number`` / running sums run inside each bucket.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.functions.exprs import col_of, count_lt
+from driftline.functions.exprs import col_of
 
 _B = "_dl_bucket"
 _S = "_dl_sub"
@@ -51,14 +51,6 @@ def _placed(k: Column, descending: bool) -> Column:
     return F.when(k.isNull(), last if descending else first).when(F.isnan(k), first if descending else last).otherwise(k)
 
 
-def _image(df: DataFrame, column: str) -> Column:
-    """A number that never decreases along the order of the column: text counts by its first six bytes."""
-    c = F.col(column)
-    if isinstance(df.schema[column].dataType, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return _sortable(c)
-
-
 def cut_points(df: DataFrame, key: str | Column, n_buckets: int, descending: bool = False,
                relative_error: int = 10000) -> list[float]:
     """Approximate quantile cut points of an order key (metadata: ``n_buckets - 1``
@@ -103,37 +95,84 @@ def bucketize(df: DataFrame, key: Column, n_buckets: int, descending: bool,
     return out.withColumn(_B, F.col(_B).cast("int")).drop(_K), len(splits) - 1
 
 
-def _split_hot(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target: int,
-               descending: bool) -> tuple[DataFrame, list[str]]:
-    """Cut over-full buckets that hold one value of an order column again on the next column,
-    column after column, as long as one is hot. Returns the frame and its bucket columns, in order."""
-    cols = [_B]
-    for i in range(1, len(order_cols)):
-        prev, nxt = order_cols[i - 1], order_cols[i]
-        counts = df.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("count"),
-                                              F.min(prev).alias("_mn"), F.max(prev).alias("_mx"),
-                                              F.count(prev).alias("_known"))
-        one_value = (F.col("_mn") == F.col("_mx")) & (F.col("_known") == F.col("count")) | (F.col("_known") == 0)
-        hot = counts.where((F.col("count") > 4 * target) & one_value)
-        hot_rows = hot.select(*keys, *cols, "count").collect()   # bounded: #hot buckets
-        if not hot_rows:
-            break
-        nk = _image(df, nxt)
-        if descending:
-            nk = -nk
-        parts = max(2, max(int(r["count"]) // target for r in hot_rows))
-        fracs = [k / parts for k in range(1, parts)]
-        cuts = (df.join(F.broadcast(hot.select(*keys, *cols)), [*keys, *cols], "left_semi")
-                  .groupBy(*keys, *cols)
-                  .agg(F.array_sort(F.array_distinct(
-                      F.percentile_approx(nk, fracs, max(10000, 4 * parts)))).alias("_dl_cuts")))
-        # one row per hot bucket: size proven by ``hot_rows`` above
-        out = df.join(F.broadcast(cuts), [*keys, *cols], "left")
-        sub = F.when(F.col("_dl_cuts").isNull(), F.lit(0)).otherwise(
-            count_lt(F.col("_dl_cuts"), _placed(nk, descending)))
-        df = out.withColumn(f"{_S}{i}", sub).drop("_dl_cuts")
-        cols.append(f"{_S}{i}")
-    return df, cols
+def join_same(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on equal ``names``, nulls being equal (bucket columns hold none); the names of ``a`` stay."""
+    renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in b.columns])
+    on = None
+    for c in names:
+        same = a[c] == renamed[f"_r_{c}"] if c.startswith((_B, _S)) else a[c].eqNullSafe(renamed[f"_r_{c}"])
+        on = same if on is None else on & same
+    return a.join(renamed, on, how).drop(*[f"_r_{c}" for c in names])
+
+
+def _distance(df: DataFrame, column: str, least: Column, shared: Column) -> Column:
+    """A number that never decreases along the values of a column inside a bucket: whole numbers and times by
+    their distance from the bucket's least value, so that large ones keep their last digits, texts by the six
+    bytes behind the bytes that all of the bucket's texts share."""
+    c, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), shared + 1, F.lit(6))), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return (F.unix_micros(c) - F.unix_micros(least)).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return (F.unix_micros(c.cast("timestamp")) - F.unix_micros(least.cast("timestamp"))).cast("double")
+    if isinstance(kind, T.IntegralType):
+        return (c.cast("decimal(20,0)") - least.cast("decimal(20,0)")).cast("double")
+    return _sortable(c)
+
+
+#: Cuts of one overfull bucket in one pass, and hot buckets up to which their cuts are broadcast.
+PASS_CUTS, BROADCAST_BUCKETS = 64, 10_000
+
+
+def _split_overfull(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str], target: int,
+                    descending: bool) -> tuple[DataFrame, list[str]]:
+    """Cut every bucket of more than ``4 * target`` rows, again and again, until none is left that the order
+    columns can still split. Returns the frame and its bucket columns, in order.
+
+    A bucket is cut on the first order column that is not the same in all its rows, at quantiles of its own rows. A cut
+    is a value of the bucket and gets a part of its own, with the values between two cuts as further parts, so
+    one pass sets apart hot values, several of them too, and any pass makes parts smaller than the bucket."""
+    cols, before = [_B], None
+    while True:
+        group = [*keys, *cols]
+        ends = [e for i, c in enumerate(order_cols) for e in (
+            F.min(c).alias(f"_mn{i}"), F.max(c).alias(f"_mx{i}"), F.count(c).alias(f"_known{i}"))]
+        counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), *ends).where(F.col("_n") > 4 * target)
+        at = F.lit(None).cast("int")
+        for i in reversed(range(len(order_cols))):
+            same = (F.col(f"_known{i}") == 0) | ((F.col(f"_known{i}") == F.col("_n")) & (F.col(f"_mn{i}") == F.col(f"_mx{i}")))
+            at = F.when(~same, F.lit(i)).otherwise(at)
+        over = counts.withColumn("_at", at).where("_at is not null")
+        state = over.agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+        if not state["n"] or state == before:                 # none left, or values that no number tells apart
+            return df, cols
+        before = state
+        keep = [f for i in range(len(order_cols)) for f in (f"_mn{i}", f"_mx{i}")]
+        hot = over.select(*group, "_at", *keep)
+        small = state["n"] <= BROADCAST_BUCKETS
+        marked = join_same(df, F.broadcast(hot) if small else hot, group, "left")
+        x = F.lit(None).cast("double")
+        for i, c in enumerate(order_cols):
+            shared = F.lit(0)
+            if isinstance(df.schema[c].dataType, T.StringType):
+                low, high = F.hex(F.encode(F.col(f"_mn{i}"), "utf-8")), F.hex(F.encode(F.col(f"_mx{i}"), "utf-8"))
+                # leading bytes that the least and the greatest text share: all between share them
+                shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.length(low), F.length(high)), F.lit(2)), F.lit(2)), F.lit(0), lambda n, j: F.when(
+                    (n == F.floor(j / 2)) & (F.substring(low, j, F.lit(2)) == F.substring(high, j, F.lit(2))) & (F.length(low) > j) & (F.length(high) > j),
+                    n + 1).otherwise(n))
+            image = _distance(df, c, F.col(f"_mn{i}"), shared)
+            x = F.when(F.col("_at") == i, _placed(-image if descending else image, descending)).otherwise(x)
+        marked = marked.withColumn("_x", x)
+        fracs = [k / PASS_CUTS for k in range(1, PASS_CUTS)]
+        cuts = marked.where("_at is not null").groupBy(*group).agg(F.array_sort(F.array_distinct(
+            F.percentile_approx("_x", fracs, 10_000))).alias("_cuts"))
+        out = join_same(marked, F.broadcast(cuts) if small else cuts, group, "left")
+        part = F.when(F.col("_at").isNull(), F.lit(0)).otherwise(
+            F.size(F.filter("_cuts", lambda c: c < F.col("_x"))) + F.size(F.filter("_cuts", lambda c: c <= F.col("_x"))))
+        name = f"{_S}{len(cols)}"
+        df = out.withColumn(name, part).drop("_at", "_x", "_cuts", *keep)
+        cols.append(name)
 
 
 def _order_exprs(order_cols: Sequence[str], descending: bool) -> list[Column]:
@@ -148,21 +187,21 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank"
     """1-based position of every row in the order ``order_cols`` (within ``keys``).
 
     ``order_cols`` must give a total order (add tiebreak columns); the leading
-    column must be numeric or a timestamp.  No task ever sees more than one
-    bucket that the order columns can still split.
+    column must be numeric or a timestamp.  However many rows there are, a task orders a bucket of at most
+    ``4 * rows_per_bucket`` rows, unless they agree in all order columns.
     """
     order_cols = list(order_cols)
     keys = list(keys)
     nb = n_buckets or default_buckets(df)
     b, _ = bucketize(df, F.col(order_cols[0]), nb, descending)
-    b, cols = _split_hot(b, keys, order_cols, rows_per_bucket, descending)
+    b, cols = _split_overfull(b, keys, order_cols, rows_per_bucket, descending)
     counts = b.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("_dl_n"))
     wo = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
     # offsets table: one row per (key, bucket); AQE broadcasts it when small
     offsets = counts.select(*keys, *cols,
                             F.coalesce(F.sum("_dl_n").over(wo), F.lit(0)).alias("_dl_off"))
     w = Window.partitionBy(*keys, *cols).orderBy(*_order_exprs(order_cols, descending))
-    return (b.join(offsets, [*keys, *cols], "inner")
+    return (join_same(b, offsets, [*keys, *cols])
              .withColumn(rank_col, (F.col("_dl_off") + F.row_number().over(w)).cast("long"))
              .drop(*cols, "_dl_off"))
 
@@ -187,7 +226,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_cols: Sequence[str],
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = (Window.partitionBy(*keys, _B).orderBy(oc)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = b.join(offsets, [*keys, _B], "inner")
+    out = join_same(b, offsets, [*keys, _B])
     for c in value_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_dl_o_{c}") + F.sum(c).over(w))
     return out.drop(_B, *[f"_dl_o_{c}" for c in value_cols])

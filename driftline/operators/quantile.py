@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.order import bucketize, cut_points, default_buckets
+from driftline.operators.order import bucketize, cut_points, default_buckets, join_same
 
 
 def _long(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -24,15 +24,6 @@ def _long(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
     return d.unpivot(list(keys), list(cols), "feature", "x")
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
-    """``a`` joined with ``b`` on equal ``names``, nulls being equal; the names of ``a`` stay."""
-    renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in names else F.col(c) for c in b.columns])
-    on = F.lit(True)
-    for c in names:
-        on = on & a[c].eqNullSafe(renamed[f"_r_{c}"])
-    return a.join(renamed, on, how).drop(*[f"_r_{c}" for c in names])
-
-
 def grouped_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], keys: Sequence[str] = (),
                       n_buckets: int | None = None) -> DataFrame:
     """``(keys..., q array<double> in the order of qs, n)`` of the non-null values of every group; without keys always
@@ -53,7 +44,7 @@ def grouped_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], k
     wanted = totals.withColumn("_ranks", F.filter(ranks, lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_t"))))
     wanted = wanted.where(F.size("_ranks") > 0).select(*part, "_before", "_n", "_ranks")
     w = Window.partitionBy(*part).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    hit = _same(b, wanted, part).select(*keys, "_x", "_c", "_n", "_ranks", (F.col("_before") + F.sum("_c").over(w)).alias("_upto"))
+    hit = join_same(b, wanted, part).select(*keys, "_x", "_c", "_n", "_ranks", (F.col("_before") + F.sum("_c").over(w)).alias("_upto"))
     hit = hit.where(F.exists("_ranks", lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_c"))))
 
     def at(rank: Column) -> Column:
@@ -69,7 +60,7 @@ def grouped_quantiles(df: DataFrame, value: str | Column, qs: Sequence[float], k
 def with_quantiles(table: DataFrame, df: DataFrame, value: str | Column, named: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """``table`` (one row per ``keys``, or one row) with the quantiles ``{column: q}`` of ``df``'s values beside it."""
     q = grouped_quantiles(df, value, list(named.values()), keys).drop("n")
-    joined = _same(table, q, list(keys), "left") if keys else table.join(q)
+    joined = join_same(table, q, list(keys), "left") if keys else table.join(q)
     return joined.select(*table.columns, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(named)])
 
 
@@ -81,5 +72,5 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], key
     long = _long(df, cols, keys)
     by = [*keys, "feature"]
     ends = long.groupBy(*by).agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    return _same(ends, grouped_quantiles(long, "x", qs, by, n_buckets), by, "left").select(
+    return join_same(ends, grouped_quantiles(long, "x", qs, by, n_buckets), by, "left").select(
         *by, "q", "mn", "mx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

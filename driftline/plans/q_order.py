@@ -18,7 +18,7 @@ OR_STATUS = ["F", "O", "P"]
 
 
 def t_test_sql(rho: str, k: int) -> str:
-    """SQL twin of ``t_test_p_even_df``."""
+    """The p-value in closed form, for an even number of degrees of freedom."""
     import math
     dof = k - 2
     r = f"abs({rho})"
@@ -117,6 +117,42 @@ def proxy_verification(spark, sf):
                              vs["n_trending"].alias("n_trending"), vs["passed"].alias("passed")))
 
 
+def t_test_integral_sql(rho: str, k: int, panels: int = 400) -> str:
+    """The p-value for any number of points, by Simpson's rule over the angle whose sine is |rho|."""
+    dof = k - 2
+    theta = f"asin(abs({rho}))"
+    weight = f"(CASE WHEN i = 0 OR i = {2 * panels} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    area = (f"list_sum(list_transform(range({2 * panels + 1}), lambda i: {weight} * power(cos({theta} * i / {2 * panels}.0::DOUBLE), {dof - 1}))) "
+            f"* {theta} / {6 * panels}.0::DOUBLE")
+    c = f"exp(lgamma({dof + 1} / 2.0::DOUBLE) - lgamma({dof} / 2.0::DOUBLE)) / sqrt(pi())"
+    return f"(CASE WHEN abs({rho}) >= 1.0 THEN 0.0 ELSE greatest(1.0::DOUBLE - 2 * {c} * {area}, 0.0) END)"
+
+
+def _bins_sql(k: int) -> str:
+    return (f"SELECT {k} AS n_bins, signal, rho AS spearman_rho, CASE WHEN rho IS NOT NULL THEN {t_test_integral_sql('rho', k)} END AS p_value FROM ("
+            f"SELECT signal, corr(bin::DOUBLE, ry) AS rho FROM (SELECT *, rank() OVER (PARTITION BY signal ORDER BY rate) "
+            f"+ (count(*) OVER (PARTITION BY signal, rate) - 1) / 2.0 AS ry FROM ({_OR_SIG_SQL.replace('FROM _b', f'FROM _b{k}')})) GROUP BY signal)")
+
+
+TREND_BINS = (9, 20)
+
+
+@register("proxy_bins",
+          "WITH _r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders),\n"
+          + ",\n".join(f"_b{k} AS (SELECT *, {bin_sql('rn', 'n', k)} AS bin FROM _r)" for k in TREND_BINS)
+          + "\nSELECT n_bins, signal, round(spearman_rho, 6) AS spearman_rho, round(p_value, 6) AS p_value FROM ("
+          + " UNION ALL ".join(_bins_sql(k) for k in TREND_BINS) + ")")
+def proxy_bins(spark, sf):
+    """The trend test with 9 and with 20 bins (7 and 18 degrees of freedom)."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    out = None
+    for k in TREND_BINS:
+        rates = SP.bin_rates(SP.ranked_bins(o, ["o_orderkey"], k), _or_signals())
+        one = SP.spearman_trend(rates, k).select(F.lit(k).alias("n_bins"), "signal", "spearman_rho", "p_value")
+        out = one if out is None else out.unionByName(one)
+    return present(out)
+
+
 # ---------------------------------------------------------------- E6
 
 @register("discontinuity",

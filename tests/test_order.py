@@ -91,3 +91,36 @@ def test_descending_prefix_sum_counts_a_null_key_last(spark):
     df = spark.createDataFrame([(4.0, 5), (3.0, 3), (2.0, 2), (None, 1)], "s double, v long")
     got = {r["s"]: r["cum_v"] for r in prefix_sum(df, "s", ["v"], descending=True).collect()}
     assert got == {4.0: 5, 3.0: 8, 2.0: 10, None: 11}
+
+
+def _largest_part(spark, rows, schema, cols, target, keys=(), descending=False):
+    from driftline.operators import order as O
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    b, _ = O.bucketize(df, F.col(cols[0]), 8, descending)
+    split, parts = O._split_overfull(b, list(keys), cols, target, descending)
+    sizes = [r["count"] for r in split.groupBy(*keys, *parts).count().collect()]
+    assert sum(sizes) == len(rows)
+    return max(sizes)
+
+
+def test_overfull_buckets_are_split_until_none_is_left(spark):
+    """One leading value with text tiebreaks behind a long common prefix; two hot values a bucket; large whole numbers."""
+    text = [(7, f"common-prefix-{'é' * (i % 3)}{i:06d}") for i in range(20_000)]
+    two = [(1.0 if i % 2 else 1.0 + 1e-12, i) for i in range(6000)] + [(float(i), i) for i in range(500)]
+    large = [(0, 2**62 + i) for i in range(5000)]
+    for down in (False, True):
+        assert _largest_part(spark, text, "a int, b string", ["a", "b"], 500, descending=down) <= 2000
+        assert _largest_part(spark, two, "a double, b long", ["a", "b"], 100, descending=down) <= 400
+        assert _largest_part(spark, large, "a int, b long", ["a", "b"], 100, descending=down) <= 400
+        _rank_of(spark, text[:3000], "a int, b string", ["a", "b"], down)
+        _rank_of(spark, two[:3000], "a double, b long", ["a", "b"], down)
+        _rank_of(spark, large[:2000], "a int, b long", ["a", "b"], down)
+    # rows that agree in all order columns stay together, and the search for more ends
+    assert _largest_part(spark, [(1, "x")] * 3000, "a int, b string", ["a", "b"], 100) == 3000
+
+
+def test_keyed_rank_keeps_rows_of_a_null_key(spark):
+    from driftline.operators.order import global_rank
+    df = spark.createDataFrame([(None if i % 3 else "k", i) for i in range(300)], "k string, v long")
+    got = global_rank(df, ["v"], "r", keys=["k"], n_buckets=4, rows_per_bucket=20).collect()
+    assert sorted(r["r"] for r in got if r["k"] is None) == list(range(1, 201)) and len(got) == 300
