@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is two aggregates and two joins over the edges, written to the shared folder. A
-node with very many neighbours is a map-side combined minimum and one side of a join that
-Spark can split; no neighbour list is ever collected.
+node's smallest neighbour is a map-side combined minimum. Edges meet it by a shuffle, except those of
+nodes that hold more than a ``HOT``-th of all edges: there can be at most ``2 * HOT`` such nodes, so their
+minima are broadcast and their edges stay where they are. No neighbour list is ever collected.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import written
 
+#: A node with more than one in so many edges is hot.
+HOT = 500
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge that is not its component's smallest node."""
@@ -19,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = written(e, "components")
     state = _state(e)
     while state[0]:
-        e = written(_small_star(_large_star(e)), "components")
+        e = written(_small_star(_large_star(e, state[0]), state[0]), "components")
         if (now := _state(e)) == state:
             break
         state = now
@@ -31,18 +35,26 @@ def _state(e: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` (u, v) with ``m`` of their ``u`` from ``least`` (_u, m, c: its number of edges)."""
+    hot = F.broadcast(least.where(F.col("c") > n // HOT).select(F.col("_u").alias("_hot"), F.col("m").alias("_m")))
+    marked = edges.join(hot, F.col("u") == F.col("_hot"), "left")
+    rest = marked.where("_hot is null").select("u", "v").join(least.where(F.col("c") <= n // HOT), F.col("u") == F.col("_u"))
+    return marked.where("_hot is not null").select("u", "v", F.col("_m").alias("m")).unionByName(rest.select("u", "v", "m"))
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     """Greater neighbours of every node go to the smallest node of its neighbourhood."""
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(
-        F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(
+        F.col("u").alias("_u"), F.least("u", "m").alias("m"), "c")
+    return _with_least(both.where("v > u"), least, n).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     """Smaller neighbours of every node, and the node, go to the smallest of them."""
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    others = e.join(least.withColumnRenamed("hi", "_h"), F.col("hi") == F.col("_h")).select(
-        F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-    return others.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
+    edges = e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumnRenamed("u", "_u")
+    others = _with_least(edges, least, n).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+    return others.unionByName(least.select(F.col("_u").alias("hi"), F.col("m").alias("lo"))).distinct()

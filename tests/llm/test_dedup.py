@@ -111,3 +111,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(101, 161)) and all(got[i] == 5 for i in range(300, 400)) and len(got) == 160
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_hot_nodes_and_many_small_ones(spark):
+    """A star whose centre has most edges, a fan into a greatest node, and pairs, more than the hot nodes' bound."""
+    pairs = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(1500)]
+    star = [(5, i) for i in range(100, 2100)]
+    fan = [(i, 9_000) for i in range(3000, 4500)] + [(4499, 4)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs + star + fan, "a long, b long")).collect()}
+    want = {b: a for a, b in pairs} | {i: 5 for i in range(100, 2100)} | {i: 4 for i in range(3000, 4500)} | {9000: 4}
+    assert got == want
