@@ -64,6 +64,16 @@ def missingness_gate(ref_profile: DataFrame, cur_profile: DataFrame, max_points:
                     (d <= max_points).cast("int").alias("passed"))
 
 
+def data_gate(missing: DataFrame, expectations: DataFrame) -> DataFrame:
+    """K6: both halves as rows ``(gate, passed, observed, limit_value)``: the largest rise of a column's missing
+    share, from ``missingness_gate``'s rows, and the table expectations that fail."""
+    m = missing.agg(F.max("delta_points").alias("observed"), F.min("passed").alias("passed"), F.lit(10.0).alias("limit_value"))
+    e = expectations.agg(F.count_if(F.col("passed") == 0).cast("double").alias("observed"), F.min("passed").alias("passed"),
+                         F.lit(0.0).alias("limit_value"))
+    cols = ["passed", "observed", "limit_value"]
+    return m.select(F.lit("k6_missingness").alias("gate"), *cols).unionByName(e.select(F.lit("k6_table_expectations").alias("gate"), *cols))
+
+
 def canary_checks(canary: DataFrame, value: str, error_flag: str, baseline_error: Column,
                   ci_lower: Column, ci_upper: Column, slo_p99: float, min_n: int = 1000) -> DataFrame:
     """K8: canary verdict once it has ``min_n`` rows: p99 within SLO, error ratio

@@ -43,14 +43,14 @@ def grid_series(df: DataFrame, ts: str, step_s: int, measures: Mapping[str, Colu
     ``base`` lists the keys (default: the keys seen in the data)."""
     keys = list(keys)
     b = df.withColumn("_b", bucket_of(ts, step_s))
-    g = b.groupBy(*keys, "_b").agg(*[m.alias(n) for n, m in measures.items()])
+    g = b.groupBy(*keys, "_b").agg(*[m.alias(n) for n, m in measures.items()]) if measures else b.select(*keys, "_b").distinct()
     sp = (span if span is not None else df).select(bucket_of(ts, step_s).alias("_b"))
     bounds = scalars(sp.agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")), "lo", "hi")
     lo, hi = bounds["lo"], bounds["hi"]
     if base is None:
         base = b.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     grid = base.select(*keys, F.explode(F.sequence(lo, hi)).alias("_b"))
-    out = grid.join(g, [*keys, "_b"], "left").fillna(0, list(measures))
+    out = grid.join(g, [*keys, "_b"], "left").fillna(0, list(measures)) if measures else grid
     return out.withColumn("t", bucket_time(F.col("_b") + 1, step_s))
 
 
@@ -155,9 +155,16 @@ def consecutive_gaps(df: DataFrame, key: str, ts: str, min_gap_s: float) -> Data
         key, F.col(ts).alias("gap_start"), F.col("_next").alias("gap_end"), (gap / 6e7).alias("gap_minutes"))
 
 
-def last_status(df: DataFrame, key: str, ts: str, status: str) -> DataFrame:
-    """Last value per instance (partial aggregate ``max_by``)."""
-    return df.groupBy(key).agg(F.max_by(status, F.struct(ts)).alias("last_status"), F.max(ts).alias("last_ts"))
+def status_series(df: DataFrame, key: str, ts: str, status: str, step_s: int, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """The status of every instance at every grid point, its last one at or before it (null before the
+    first). A step's last status is found by a window-group limit (a row a task and step); the
+    series itself is bounded by instances x grid points."""
+    from driftline.operators.outcomes import top_row
+    b = df.select(key, ts, F.col(status).alias("_status"), *tiebreak).withColumn("_b", bucket_of(ts, step_s))
+    last = top_row(b, [key, "_b"], [F.col(ts).desc(), *[F.col(c).desc() for c in tiebreak]]).select(key, "_b", "_status")
+    grid = grid_series(df, ts, step_s, {}, [key])
+    w = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(last, [key, "_b"], "left").withColumn(status, F.last("_status", ignorenulls=True).over(w)).drop("_status")
 
 
 def latency_profile(df: DataFrame, period: Column, value: str, seconds: float) -> DataFrame:

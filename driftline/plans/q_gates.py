@@ -14,13 +14,16 @@ from driftline.plans import q_eval as E
 from driftline.plans.q_monitor import AL_REF_CUT  # also registers drift_alerts, reused below
 from driftline.plans import sqlgen as S
 from driftline.plans import views as V
-from driftline.plans.q_profile import _ORDER_COLS
+from driftline.plans.q_profile import _FP_CATS, _ORDER_COLS, fingerprint_sql
 from driftline.plans.registry import ORACLES, register
 from driftline.plans.views import REQ_SQL, present, t
 
 INCUMBENT, CHALLENGER = "price_linear", "price_priority"
 CANARY_INSTANCE = 3
 SLO_P99 = 0.485
+#: The incumbent was trained on the orders before, the challenger on all.
+TRAINED_TO = "1997-01-01"
+_TRAINED_SQL = f"(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{TRAINED_TO}')"
 _INNER10 = E._INNER10
 
 
@@ -32,13 +35,15 @@ def _model_frames(spark, sf):
 def _wide(spark, sf):
     rep = E._report(spark, sf).select("model", "pr_auc", "pr_auc_lower", "brier")
     frames = _model_frames(spark, sf)
-    h = P.contract_fingerprint(t(spark, sf, "orders").select(*_ORDER_COLS), ["o_orderpriority", "o_orderstatus"])
-    hv = h.select("fingerprint").first()[0]
+    o, cut = t(spark, sf, "orders").select(*_ORDER_COLS), F.lit(TRAINED_TO).cast("timestamp")
+    # each model's contract is that of the orders it was trained on
+    trained = {INCUMBENT: o.where(F.col("o_orderdate") < cut), CHALLENGER: o}
     rows = []
     for m, df in frames.items():   # bounded loop over candidate models; two numbers each
         ece = M.ece(M.calibration_bins(df)).select("ece").first()[0]
         gap = M.worst_gap(M.subgroup_metrics(df, E.DIMS, E.THR)).select("worst_recall_gap").first()[0]
-        rows.append((m, float(ece), float(gap), hv))
+        own = P.contract_fingerprint(trained[m], _FP_CATS).select("fingerprint").first()[0]
+        rows.append((m, float(ece), float(gap), own))
     extra = spark.createDataFrame(rows, "model string, ece double, worst_gap double, hash string")
     per = rep.join(extra, "model")
     w = G.pivot_models(per, INCUMBENT, CHALLENGER, ["pr_auc", "pr_auc_lower", "brier", "ece", "worst_gap", "hash"])
@@ -76,7 +81,8 @@ def _gate_sql() -> str:
         "SELECT 'k2_brier_ratio', ch_brier / inc_brier <= 1.02, ch_brier / inc_brier, 1.02 FROM _gw UNION ALL "
         "SELECT 'k2_ece', ch_ece <= 0.05, ch_ece, 0.05 FROM _gw UNION ALL "
         "SELECT 'k3_recall_gap', abs(ch_worst_gap) <= abs(inc_worst_gap) * (1 + 0.2), abs(ch_worst_gap), abs(inc_worst_gap) * (1 + 0.2) FROM _gw UNION ALL "
-        "SELECT 'k5_contract_hash', true, 1.0, 1.0 FROM _gw UNION ALL "
+        "SELECT 'k5_contract_hash', a.h = b.h, (a.h = b.h)::INTEGER::DOUBLE, 1.0 FROM "
+        + f"({fingerprint_sql(_TRAINED_SQL)}) a, ({fingerprint_sql('orders')}) b UNION ALL "
         f"SELECT 'k5_canary_p99', canary_p99 <= {SLO_P99!r}, canary_p99, {SLO_P99!r} FROM _gw)")
 
 
@@ -110,6 +116,30 @@ def missingness_gate(spark, sf):
     return present(G.missingness_gate(ref, cur))
 
 
+@register("data_gate",
+          "WITH _m AS (" + ORACLES["missingness_gate"] + "), _e AS (" + ORACLES["table_expectations"] + ")\n"
+          "SELECT 'k6_missingness' AS gate, min(passed) AS passed, round(max(delta_points), 6) AS observed, 10.0 AS limit_value FROM _m UNION ALL "
+          "SELECT 'k6_table_expectations', min(passed), count(*) FILTER (WHERE passed = 0), 0.0 FROM _e")
+def data_gate(spark, sf):
+    """K6: missing shares and the table expectations, both halves of the gate."""
+    from driftline.plans.q_clean import table_expectations
+    return present(G.data_gate(missingness_gate(spark, sf), table_expectations(spark, sf)))
+
+
+@register("contract_gate",
+          f"SELECT a.h AS incumbent, b.h AS challenger, c.h AS filtered, (a.h = b.h)::INTEGER AS equal_contract, (a.h = c.h)::INTEGER AS equal_filtered "
+          f"FROM ({fingerprint_sql(_TRAINED_SQL)}) a, ({fingerprint_sql('orders')}) b, "
+          f"({fingerprint_sql(chr(40) + 'SELECT * FROM orders WHERE o_orderstatus <> ' + chr(39) + 'P' + chr(39) + chr(41))}) c")
+def contract_gate(spark, sf):
+    """K5: fingerprints of the contracts of two models, and of one trained without the orders in progress, whose level is then
+    missing: its fingerprint differs and the gate fails."""
+    o, cut = t(spark, sf, "orders").select(*_ORDER_COLS), F.lit(TRAINED_TO).cast("timestamp")
+    a, b, c = (P.contract_fingerprint(x, _FP_CATS).select("fingerprint").scalar() for x in (
+        o.where(F.col("o_orderdate") < cut), o, o.where(F.col("o_orderstatus") != "P")))
+    return spark.range(1).select(a.alias("incumbent"), b.alias("challenger"), c.alias("filtered"), (a == b).cast("int").alias("equal_contract"),
+                                 (a == c).cast("int").alias("equal_filtered"))
+
+
 SCHEDULE_DAYS = 90
 
 
@@ -119,21 +149,24 @@ SCHEDULE_DAYS = 90
           f"SELECT 'schedule' AS trigger_name, CAST((SELECT date_diff('day', trained, as_of_ts) FROM _asof) >= {SCHEDULE_DAYS} AS INTEGER) AS fired, "
           f"'model older than {SCHEDULE_DAYS} days' AS reason UNION ALL "
           "SELECT 'data_drift', CAST(coalesce(max(confirmed), 0) AS INTEGER), 'confirmed drift alert (2 consecutive windows)' FROM _st UNION ALL "
+          "SELECT 'label_drift', (SELECT max(breaching) FROM (" + ORACLES["label_drift"] + ")), 'PR-AUC drop of matured labels' UNION ALL "
           "SELECT 'manual', 0, 'operator request' UNION ALL "
           "SELECT 'single_window_breach', 0, 'not a trigger: one breaching window is noise'")
 def retrain_triggers(spark, sf):
     """K7: retrain triggers (schedule: the model is trained on lineitem before
-    the alert reference cut; confirmed data drift; manual) and the
+    the alert reference cut; confirmed data drift; label drift; manual) and the
     explicit non-trigger (a single breaching window), from the alert tables."""
-    from driftline.plans.q_monitor import _alert_windows
+    from driftline.plans.q_monitor import _alert_windows, label_drift
     li = t(spark, sf, "lineitem")
     a = li.agg(F.max("l_shipdate").alias("asof"),
                F.max(F.when(F.col("l_shipdate") < F.lit(AL_REF_CUT).cast("timestamp"), F.col("l_shipdate"))).alias("trained"))
     age = a.select(F.datediff(F.to_date("asof"), F.to_date("trained")).alias("d")).first()["d"]  # one number
     conf = _alert_windows(spark, sf).agg(F.coalesce(F.max("confirmed"), F.lit(0))).scalar()
+    label = label_drift(spark, sf).agg(F.coalesce(F.max("breaching"), F.lit(0))).scalar()
     frame = spark.range(1)
     return G.triggers({"schedule": (F.lit(age is not None and age >= SCHEDULE_DAYS), f"model older than {SCHEDULE_DAYS} days"),
                        "data_drift": (conf == 1, "confirmed drift alert (2 consecutive windows)"),
+                       "label_drift": (label == 1, "PR-AUC drop of matured labels"),
                        "manual": (F.lit(False), "operator request"),
                        "single_window_breach": (F.lit(False), "not a trigger: one breaching window is noise")}, frame)
 

@@ -83,6 +83,14 @@ _FP_CATS = ["o_orderpriority", "o_orderstatus"]
 _FP_HEAD = '{"columns":["' + '","'.join(sorted(_ORDER_COLS)) + '"],"levels":{'
 
 
+def fingerprint_sql(src: str) -> str:
+    """``h``: the fingerprint of the orders contract over the rows of ``src``."""
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {src}" for c in _FP_CATS)
+    return ("SELECT substr(sha256('" + _FP_HEAD + "' || array_to_string(list_sort(list(item)), ',') || '}}'), 1, 16) AS h FROM ("
+            "SELECT '\"' || col || '\":[\"' || array_to_string(list_sort(list(v)), '\",\"') || '\"]' AS item FROM ("
+            f"SELECT DISTINCT col, v FROM ({levels}) WHERE v IS NOT NULL) GROUP BY col)")
+
+
 @register("contract_fingerprint",
           "WITH _lv AS (SELECT DISTINCT col, v FROM (" + " UNION ALL ".join(
               f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM orders" for c in _FP_CATS)

@@ -434,38 +434,6 @@ def slo_derivation(spark, sf):
     return present(g.select("p99", "days", *L.slo_derivation(F.col("p99"), SLO_TARGET, F.col("days"))))
 
 
-# ---------------------------------------------------------------- J21
-
-RUNBOOKS = {"fast_burn": "runbooks/error-budget-burn.md", "slow_burn": "runbooks/error-budget-burn.md",
-            "latency_p99": "runbooks/latency.md", "latency_creep": "runbooks/latency.md",
-            "saturation": "runbooks/saturation.md", "score_shift": "runbooks/score-shift.md",
-            "no_traffic": "runbooks/no-traffic.md", "validation_spike": "runbooks/validation.md"}
-SEVERITY = {"fast_burn": "page", "slow_burn": "ticket", "latency_p99": "page", "latency_creep": "ticket",
-            "saturation": "ticket", "score_shift": "ticket", "no_traffic": "ticket", "validation_spike": "ticket"}
-
-
-@register("alert_table",
-          BURN_SQL.replace("WITH ", "WITH ", 1) + ",\n" + P99_SQL.split("WITH ", 1)[1].split(REQ2_SQL + ",\n", 1)[1] + ",\n"
-          + SIMPLE_SQL.split(REQ2_SQL + ",\n", 1)[1] + ",\n"
-          "_rb(rule, runbook) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in RUNBOOKS.items()) + "),\n"
-          "_sv(rule, severity) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in SEVERITY.items()) + "),\n"
-          "_fires AS (SELECT rule, t AS fired_at, ratio_long AS value FROM _burn WHERE starts_firing = 1 UNION ALL "
-          "SELECT rule, t, p99 FROM _p99 WHERE starts_firing = 1 UNION ALL SELECT rule, t, value FROM _simple WHERE starts_firing = 1)\n"
-          "SELECT f.rule, s.severity, f.fired_at, round(f.value, 6) AS value, r.runbook FROM _fires f JOIN _sv s USING (rule) JOIN _rb r USING (rule)")
-def alert_table(spark, sf):
-    """Every rule's firing onsets in one table (rule, severity, fired_at,
-    value, runbook); exactly two severities, page and ticket."""
-    sp = spark
-    fires = (_burn(sp, sf).where(F.col("starts_firing") == 1).select("rule", F.col("t").alias("fired_at"),
-                                                                      F.col("ratio_long").alias("value"))
-             .unionByName(_p99_rules(sp, sf).where(F.col("starts_firing") == 1)
-                          .select("rule", F.col("t").alias("fired_at"), F.col("p99").alias("value")))
-             .unionByName(_simple_rules(sp, sf).where(F.col("starts_firing") == 1)
-                          .select("rule", F.col("t").alias("fired_at"), "value")))
-    meta = sp.createDataFrame([(k, SEVERITY[k], RUNBOOKS[k]) for k in RUNBOOKS], "rule string, severity string, runbook string")
-    return present(fires.join(F.broadcast(meta), "rule").select("rule", "severity", "fired_at", "value", "runbook"))
-
-
 # ---------------------------------------------------------------- J18 model health
 
 MH_THR = 0.35
