@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.operators.profile import distinct_counts
 from driftline.functions.exprs import binarise, col_of, safe_div  # noqa: F401
 
 
@@ -260,10 +261,15 @@ def normalise_routes(df: DataFrame, key: Column, routes: DataFrame, key_col: str
 
 
 def cleaning_ledger(df: DataFrame, classes: Sequence[ExclusionClass], entity: str, order_cols: Sequence[str],
-                    sentinel: str, label: str, replacement: str = "Unknown") -> tuple[DataFrame, DataFrame]:
-    """Exclusion classes, then first row per entity, then sentinel ->
-    ``replacement`` (the fixed order), with the step ledger
-    ``(step, metric, value)`` built from aggregates of the same inputs."""
+                    sentinel: str, label: str, replacement: str = "Unknown", not_measured: Sequence[str] = (),
+                    bands: tuple[Sequence[str], BandRules] | None = None, drops: Mapping[str, str] | None = None
+                    ) -> tuple[DataFrame, DataFrame]:
+    """The cleaned table and the step ledger ``(step, metric, value)``, the steps in fixed order: exclusion
+    classes, first row per entity, sentinel -> ``replacement``, null -> ``NotMeasured`` on ``not_measured``, code banding of
+    ``bands`` (columns, rules), ``drops`` (column -> reason).
+
+    Row counts come from one aggregate before and one behind the entity step, and all evidence of the column
+    steps from one pass over the rows that are kept."""
     from driftline.functions.exprs import scalars
     ev = exclusion_evidence(df, classes, label)
     rows = [ev.select("step", F.lit("n_rows").alias("metric"), F.col("n_rows").cast("double").alias("value")),
@@ -282,13 +288,34 @@ def cleaning_ledger(df: DataFrame, classes: Sequence[ExclusionClass], entity: st
                           F.concat(F.lit("sentinel:"), "column_name").alias("metric"),
                           F.col("n").cast("double").alias("value")))
     clean = replace_sentinel(first, sentinel, replacement)
-    fs = scalars(clean.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("r")), "n", "r")
+    filled = fill_not_measured(clean, not_measured)
+    banded = band_codes(filled, bands[0], bands[1]) if bands else filled
+    out, reasons = drop_with_reasons(banded, drops or {})
+    if not_measured:
+        counts = clean.agg(*[F.count_if(F.col(c).isNull()).cast("double").alias(c) for c in not_measured])
+        rows.append(_metrics(counts, "null_to_not_measured", {f"filled:{c}": c for c in not_measured}))
+    if bands:
+        # cardinality of the codes before and of the bands after
+        before, after = distinct_counts(filled, bands[0]), distinct_counts(banded, bands[0])
+        for name, d in (("levels_before", before), ("levels_after", after)):
+            rows.append(d.select(F.lit("code_banding").alias("step"), F.concat(F.lit(f"{name}:"), "column_name").alias("metric"),
+                                 F.col("n_distinct").cast("double").alias("value")))
+    for c, reason in sorted(reasons.items()):
+        rows.append(one.select(F.lit("drop_columns").alias("step"), F.lit(f"dropped:{c}:{reason}").alias("metric"),
+                               F.lit(1.0).alias("value")))
+    fs = scalars(out.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("r")), "n", "r")
     nin, nout = df.select(F.count(F.lit(1))).scalar(), fs["n"]
     for m, v in (("rows_in", nin), ("rows_out", nout), ("rows_removed", nin - nout),
-                 ("pct_removed", (nin - nout) * 100.0 / nin), ("positive_rate", fs["r"])):
+                 ("pct_removed", (nin - nout) * 100.0 / nin), ("positive_rate", fs["r"]), ("columns_out", F.lit(len(out.columns)))):
         rows.append(one.select(F.lit("all_steps").alias("step"), F.lit(m).alias("metric"),
                                v.cast("double").alias("value")))
-    out = rows[0]
+    ledger = rows[0]
     for r in rows[1:]:
-        out = out.unionByName(r)
-    return clean, out
+        ledger = ledger.unionByName(r)
+    return out, ledger
+
+
+def _metrics(one_row: DataFrame, step: str, named: Mapping[str, str]) -> DataFrame:
+    """``(step, metric, value)`` rows of a one-row table's columns."""
+    st = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in named.items()]))
+    return one_row.select(st.alias("s")).select(F.lit(step).alias("step"), "s.metric", "s.value")

@@ -26,6 +26,21 @@ def _orders(spark, sf):
     return t(spark, sf, "orders").withColumn("label", binarise("o_orderstatus", "F"))
 
 
+#: Stand-ins: a weight that only even orders have measured, and a code from the price.
+CODE_BANDS = C.BandRules(bands=(C.Band("low", ranges=((0, 149),)), C.Band("middle", ranges=((150, 299),), exact=(305,)),
+                                C.Band("round", int_equal=(400,))), text_prefixes=("V",), default="other")
+DROPS = {"o_clerk": "free text", "o_weight": "rarely measured", "o_custkey": "identifier"}
+
+
+def _coded_orders(spark, sf):
+    """Orders with a column that is often not measured and a text code."""
+    key = F.col("o_orderkey")
+    return _orders(spark, sf).withColumn("o_weight", F.when(key % 2 == 0, (key % 10).cast("string"))).withColumn(
+        "o_grade", F.when(key % 7 == 0, F.lit(None)).otherwise((key % 5).cast("string"))).withColumn(
+        "o_code", F.when(key % 11 == 0, F.concat(F.lit("V"), (key % 3).cast("string"))).otherwise(
+            F.floor(F.col("o_totalprice") / 1000).cast("string")))
+
+
 # ---------------------------------------------------------------- B2
 
 _EVID_SQL = " UNION ALL ".join(
@@ -58,39 +73,19 @@ def first_per_entity(spark, sf):
 # ---------------------------------------------------------------- B8 ledger
 
 def _ledger(spark, sf):
-    _, ledger = C.cleaning_ledger(_orders(spark, sf), CLASSES, "o_custkey", ["o_orderkey"], SENTINEL, "label")
+    _, ledger = C.cleaning_ledger(_coded_orders(spark, sf), CLASSES, "o_custkey", ["o_orderkey"], SENTINEL, "label",
+                                  not_measured=["o_grade", "o_weight"], bands=(["o_code"], CODE_BANDS), drops=DROPS)
     return ledger
 
 
-_FIRST_SQL = (f"_o AS (SELECT *, {LABEL_SQL} AS label FROM orders),\n"
+_FIRST_SQL = (f"_o AS (SELECT *, {LABEL_SQL} AS label, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS VARCHAR) END AS o_weight, "
+              "CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 5 AS VARCHAR) END AS o_grade, "
+              "CASE WHEN o_orderkey % 11 = 0 THEN 'V' || (o_orderkey % 3) ELSE CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) END AS o_code "
+              "FROM orders),\n"
               f"_k AS (SELECT * FROM _o WHERE {_EX_WHERE}),\n"
               "_f AS (SELECT * FROM _k QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)")
 
 
-@register("clean_ledger",
-          "WITH " + _FIRST_SQL + ",\n_ev AS (SELECT step, n_rows, n_positive, CASE WHEN n_rows > 0 THEN n_positive::DOUBLE / n_rows ELSE 0.0 END AS positive_rate FROM ("
-          + _EVID_SQL + ")),\n"
-          "_l AS (SELECT step, 'n_rows' AS metric, n_rows::DOUBLE AS value FROM _ev UNION ALL "
-          "SELECT step, 'n_positive', n_positive::DOUBLE FROM _ev UNION ALL SELECT step, 'positive_rate', positive_rate FROM _ev UNION ALL "
-          "SELECT 'first_per_entity', 'rows_before', (SELECT count(*) FROM _k)::DOUBLE UNION ALL "
-          "SELECT 'first_per_entity', 'rows_after', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
-          "SELECT 'first_per_entity', 'rows_removed', ((SELECT count(*) FROM _k) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
-          "SELECT 'first_per_entity', 'unique_entities', (SELECT count(DISTINCT o_custkey) FROM _k)::DOUBLE UNION ALL "
-          f"SELECT 'sentinel_to_text', 'sentinel:' || c, n::DOUBLE FROM (SELECT 'o_orderstatus' AS c, count(*) FILTER (WHERE o_orderstatus = '{SENTINEL}') AS n FROM _f "
-          f"UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE o_orderpriority = '{SENTINEL}') FROM _f) WHERE n > 0 UNION ALL "
-          "SELECT 'all_steps', 'rows_in', (SELECT count(*) FROM orders)::DOUBLE UNION ALL "
-          "SELECT 'all_steps', 'rows_out', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
-          "SELECT 'all_steps', 'rows_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
-          "SELECT 'all_steps', 'pct_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f)) * 100.0 / (SELECT count(*) FROM orders) UNION ALL "
-          "SELECT 'all_steps', 'positive_rate', (SELECT avg(label) FROM _f))\n"
-          "SELECT step, metric, round(value, 6) AS value FROM _l")
-def clean_ledger(spark, sf):
-    """B1-B8 + D9: orders cleaned in the fixed order (exclusion classes, then
-    first order per customer, then sentinel '4-NOT SPECIFIED' -> 'Unknown'),
-    with the step ledger ``(step, metric, value)``."""
-    return present(_ledger(spark, sf))
-
-
 # ---------------------------------------------------------------- B6
 
 SIZE_RULES = C.BandRules(bands=(C.Band("small", ranges=((1, 10),), exact=(25,)),
@@ -119,6 +114,49 @@ def band_sql(col: str, rules: C.BandRules) -> str:
     return "CASE " + " ".join(parts) + f" ELSE '{rules.default}' END"
 
 
+@register("clean_ledger",
+          "WITH " + _FIRST_SQL + ",\n_ev AS (SELECT step, n_rows, n_positive, CASE WHEN n_rows > 0 THEN n_positive::DOUBLE / n_rows ELSE 0.0 END AS positive_rate FROM ("
+          + _EVID_SQL + ")),\n"
+          "_l AS (SELECT step, 'n_rows' AS metric, n_rows::DOUBLE AS value FROM _ev UNION ALL "
+          "SELECT step, 'n_positive', n_positive::DOUBLE FROM _ev UNION ALL SELECT step, 'positive_rate', positive_rate FROM _ev UNION ALL "
+          "SELECT 'first_per_entity', 'rows_before', (SELECT count(*) FROM _k)::DOUBLE UNION ALL "
+          "SELECT 'first_per_entity', 'rows_after', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
+          "SELECT 'first_per_entity', 'rows_removed', ((SELECT count(*) FROM _k) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
+          "SELECT 'first_per_entity', 'unique_entities', (SELECT count(DISTINCT o_custkey) FROM _k)::DOUBLE UNION ALL "
+          f"SELECT 'sentinel_to_text', 'sentinel:' || c, n::DOUBLE FROM (SELECT 'o_orderstatus' AS c, count(*) FILTER (WHERE o_orderstatus = '{SENTINEL}') AS n FROM _f "
+          f"UNION ALL SELECT 'o_orderpriority', count(*) FILTER (WHERE o_orderpriority = '{SENTINEL}') FROM _f) WHERE n > 0 UNION ALL "
+          "SELECT 'null_to_not_measured', 'filled:o_grade', count(*) FILTER (WHERE o_grade IS NULL)::DOUBLE FROM _f UNION ALL "
+          "SELECT 'null_to_not_measured', 'filled:o_weight', count(*) FILTER (WHERE o_weight IS NULL)::DOUBLE FROM _f UNION ALL "
+          "SELECT 'code_banding', 'levels_before:o_code', count(DISTINCT o_code)::DOUBLE FROM _f UNION ALL "
+          "SELECT 'code_banding', 'levels_after:o_code', count(DISTINCT " + band_sql("o_code", CODE_BANDS) + ")::DOUBLE FROM _f UNION ALL "
+          "SELECT 'drop_columns', 'dropped:o_custkey:identifier', 1.0 UNION ALL SELECT 'drop_columns', 'dropped:o_weight:rarely measured', 1.0 UNION ALL "
+          "SELECT 'all_steps', 'columns_out', (SELECT count(*) + 2 FROM (DESCRIBE orders)) UNION ALL "
+          "SELECT 'all_steps', 'rows_in', (SELECT count(*) FROM orders)::DOUBLE UNION ALL "
+          "SELECT 'all_steps', 'rows_out', (SELECT count(*) FROM _f)::DOUBLE UNION ALL "
+          "SELECT 'all_steps', 'rows_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f))::DOUBLE UNION ALL "
+          "SELECT 'all_steps', 'pct_removed', ((SELECT count(*) FROM orders) - (SELECT count(*) FROM _f)) * 100.0 / (SELECT count(*) FROM orders) UNION ALL "
+          "SELECT 'all_steps', 'positive_rate', (SELECT avg(label) FROM _f))\n"
+          "SELECT step, metric, round(value, 6) AS value FROM _l")
+def clean_ledger(spark, sf):
+    """B1-B8 + D9: orders cleaned in the fixed order (exclusion classes, first order per customer, sentinel
+    '4-NOT SPECIFIED' -> 'Unknown', null -> 'NotMeasured', code banding, dropped columns with reasons),
+    with the step ledger ``(step, metric, value)``."""
+    return present(_ledger(spark, sf))
+
+
+@register("clean_features",
+          "WITH " + _FIRST_SQL + "\nSELECT o_orderkey, o_orderstatus, CASE WHEN o_orderpriority = '" + SENTINEL + "' THEN 'Unknown' ELSE o_orderpriority END AS o_orderpriority, "
+          "round(o_totalprice, 6) AS o_totalprice, coalesce(o_grade, 'NotMeasured') AS o_grade, " + band_sql("o_code", CODE_BANDS) + " AS o_code, "
+          "'label' AS y_columns FROM _f")
+def clean_features(spark, sf):
+    """B5 + B7 + B8 + B10: the cleaned rows' features, without identifier, label and dropped columns; the label apart."""
+    clean, _ = C.cleaning_ledger(_coded_orders(spark, sf), CLASSES, "o_custkey", ["o_orderkey"], SENTINEL, "label",
+                                 not_measured=["o_grade", "o_weight"], bands=(["o_code"], CODE_BANDS), drops=DROPS)
+    x, y = C.split_xy(clean, "label", ["o_orderdate", "o_custkey"])
+    return present(x.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_grade", "o_code",
+                            F.lit(",".join(y.columns)).alias("y_columns")))
+
+
 @register("band_codes",
           "WITH _p AS (SELECT p_size, regexp_extract(p_brand, '#([0-9]+)', 1) AS brand_code FROM part)\n"
           f"SELECT {band_sql('p_size', SIZE_RULES)} AS size_band, {band_sql('brand_code', BRAND_RULES)} AS brand_band, "
