@@ -6,14 +6,15 @@ folding, class weights, calibration choice, sweeps) is DataFrame code.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INFREQUENT = "__infrequent__"
@@ -33,32 +34,32 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> D
 
 # -- G2 infrequent folding ------------------------------------------------------------------
 
-def fit_levels(df: DataFrame, cols: Sequence[str], min_frequency: int = 30) -> dict[str, tuple[list[str], bool]]:
-    """G2 fit: frequent levels per column (>= ``min_frequency`` rows) and whether
-    an infrequent bucket exists.  Levels of categorical columns are bounded
-    metadata (one ``groupBy`` for all columns)."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "value")
-    vc = long.where(F.col("value").isNotNull()).groupBy("column_name", "value").count()
-    rows = vc.collect()
-    out = {c: ([], False) for c in cols}
-    for r in rows:
-        lv, infreq = out[r["column_name"]]
-        if r["count"] >= min_frequency:
-            lv.append(r["value"])
-        else:
-            infreq = True
-        out[r["column_name"]] = (lv, infreq)
-    return {c: (sorted(lv), inf) for c, (lv, inf) in out.items()}
-
-
-def fold_levels(df: DataFrame, levels: dict[str, tuple[list[str], bool]]) -> DataFrame:
-    """G2 transform: infrequent and unseen values -> the infrequent bucket when
-    it exists, else null (all-zero indicators)."""
-    out = df
-    for c, (lv, infreq) in levels.items():
-        v = F.col(c).cast("string")
-        out = out.withColumn(c, F.when(v.isin(lv), v).otherwise(F.lit(INFREQUENT) if infreq else F.lit(None)))
-    return out
+@dataclass(frozen=True)
+class Levels:
+    """Fitted levels: ``frequent`` (column_name, level), and per column whether an infrequent bucket exists."""
+
+    frequent: DataFrame
+    infrequent: dict[str, bool]
+
+    def fold(self, df: DataFrame) -> DataFrame:
+        """G2 transform: infrequent and unseen values -> the infrequent bucket when it exists, else null (all-zero
+        indicators). A join per column with its level table, which Spark broadcasts while it is small."""
+        out = df
+        for c, bucket in self.infrequent.items():
+            level = self.frequent.where(F.col("column_name") == c).select(F.col("level").alias("_level"))
+            other = F.lit(INFREQUENT) if bucket else F.lit(None)
+            out = out.join(level, out[c].cast("string") == F.col("_level"), "left").withColumn(
+                c, F.coalesce("_level", other)).drop("_level")
+        return out
+
+
+def fit_levels(df: DataFrame, cols: Sequence[str], min_frequency: int = 30) -> Levels:
+    """G2 fit: the frequent levels of each column (``min_frequency`` rows or more) and whether an infrequent bucket
+    exists. One value count for all columns, written once in the shared folder; two numbers a column reach the driver."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "level")
+    counts = long.where(F.col("level").isNotNull()).groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    rare = {r["column_name"]: r["rare"] > 0 for r in counts.groupBy("column_name").agg(F.count_if(F.col("n") < min_frequency).alias("rare")).collect()}
+    return Levels(counts.where(F.col("n") >= min_frequency).select("column_name", "level"), {c: rare.get(c, False) for c in cols})
 
 
 def preprocessor(numeric: Sequence[str], categorical: Sequence[str], with_mean: bool = True) -> list:
@@ -150,20 +151,67 @@ def choose_calibration(val: DataFrame, score_col: str = "score", label: str = "l
     return best, (iso if best == "isotonic" else sig), rep
 
 
-# -- G13 response sweep --------------------------------------------------------------------------
+# -- G13 response sweep and behaviour suites --------------------------------------------------------
+
+def response(model: PipelineModel, rows: DataFrame, feature: str, grid: Sequence[float]) -> DataFrame:
+    """``rows`` with ``_response``: the row's scores along the ascending ``grid`` of ``feature``. One scoring a grid value
+    beside the others on the same row: nothing is repeated or shuffled."""
+    out = rows.withColumn("_kept", F.col(feature))
+    for i, g in enumerate(sorted(grid)):
+        out = score(model, out.withColumn(feature, F.lit(float(g))), f"_at{i}")
+    names = [f"_at{i}" for i in range(len(grid))]
+    return out.withColumn(feature, F.col("_kept")).withColumn("_response", F.array(*names)).drop("_kept", *names)
 
-def sweep(model: PipelineModel, rows: DataFrame, row_id: str, feature: str, grid: Sequence[float],
-          direction: int = 1) -> DataFrame:
-    """G13 + K4: every row scored at every grid value of ``feature`` (a generator over
-    a literal grid, no join); share of rows whose score is monotone in the
+
+def monotone(response_col: str, direction: int, slack: float = 1e-12) -> Column:
+    """Whether a response never goes against ``direction``."""
+    r = F.col(response_col)
+    steps = F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: (F.get(r, i) - F.get(r, i - 1)) * direction)
+    return F.forall(steps, lambda d: d >= -slack)
+
+
+def sweep(model: PipelineModel, rows: DataFrame, feature: str, grid: Sequence[float], direction: int = 1) -> DataFrame:
+    """G13 + K4: every row scored at every grid value of ``feature``; share of rows whose score is monotone in the
     expected ``direction``."""
-    ex = rows.withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    s = score(model, ex)
-    w = Window.partitionBy(row_id).orderBy(feature)
-    d = s.withColumn("_d", (F.col("score") - F.lag("score").over(w)) * direction)
-    per = d.groupBy(row_id).agg(F.min(F.coalesce("_d", F.lit(0.0))).alias("_min_step"))
-    return per.agg(F.count(F.lit(1)).alias("n_rows"),
-                   F.avg((F.col("_min_step") >= -1e-12).cast("double")).alias("monotone_share"))
+    per = response(model, rows, feature, grid).select(monotone("_response", direction).alias("_ok"))
+    return per.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("_ok").cast("double")).alias("monotone_share"))
+
+
+def behaviour_suites(model: PipelineModel, rows: DataFrame, key: Sequence[str], numeric: Sequence[str], categorical: Sequence[str],
+                     sweeps: Mapping[str, tuple[Sequence[float], int]], extremes: Sequence[float] = (-1e6, 0.0, 1e6),
+                     copies: int = 5) -> DataFrame:
+    """G13 + K4: ``(suite, n_checked, n_failed, passed)``. Every row is scored again under a change that must not
+    matter, beside its own score on the same row: columns reversed, rows dealt and ordered anew, rows in
+    copies; or under one that must leave a probability: unseen levels in all categories, numeric
+    extremes; and along the grid of each feature of ``sweeps`` ((grid, direction) by feature)."""
+    base = score(model, rows, "_own").select(*key, *numeric, *categorical, "_own")
+    same = F.abs(F.col("_again") - F.col("_own")) <= 1e-12
+    valid = F.col("_again").isNotNull() & ~F.isnan("_again") & (F.col("_again") >= 0) & (F.col("_again") <= 1)
+
+    def again(df):
+        return score(model, df, "_again")
+    order = F.xxhash64(F.lit(91), *key)
+    checks = [("column_order", again(base.select(*reversed(base.columns))), same),
+              ("batch_position", again(base.repartition(7, order).sortWithinPartitions(order)), same),
+              ("batch_size", again(base.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))), same),
+              ("probability", base.withColumn("_again", F.col("_own")), valid)]
+    unseen = base
+    for c in categorical:
+        unseen = unseen.withColumn(c, F.lit("a level that no fit has seen"))
+    checks.append(("unseen_levels", again(unseen), valid))
+    for x in extremes:
+        far = base
+        for c in numeric:
+            far = far.withColumn(c, F.lit(float(x)))
+        checks.append((f"extreme_{x:g}", again(far), valid))
+    for feature, (grid, direction) in sweeps.items():
+        checks.append((f"monotone_{feature}", response(model, base, feature, grid), monotone("_response", direction)))
+    out = None
+    for name, df, ok in checks:
+        one = df.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_failed")).select(
+            F.lit(name).alias("suite"), "n_checked", "n_failed", (F.col("n_failed") == 0).cast("int").alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # -- F19 separability ------------------------------------------------------------------------------

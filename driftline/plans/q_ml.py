@@ -30,7 +30,7 @@ def _splits(spark, sf):
     levels = ML.fit_levels(s.where(F.col("split") == "train"), CAT)
     # read by every fit, calibration and evaluation below: cut the lineage once
     # (reliable checkpoint in the shared spark.checkpoint.dir)
-    s = ML.fold_levels(s, levels).checkpoint()
+    s = levels.fold(s).checkpoint()
     return {k: s.where(F.col("split") == k).drop("split") for k in ("train", "val", "test")}
 
 
@@ -119,16 +119,36 @@ def champion(spark, sf):
 
 @register("sweep")
 def sweep(spark, sf):
-    """G13 + K4: 200 test rows (hash sample) scored over a grid of l_quantity;
+    """G13 + K4: all test rows scored over a grid of l_quantity;
     share whose score moves monotonically in the coefficient's direction."""
     sp = _splits(spark, sf)
     m = _fit_lr(sp["train"])
     coef = m.stages[-1].coefficients[0]
-    rows = SP.hash_sample(sp["test"], ORDER, 200).withColumn("row_id", F.sha2(F.concat_ws("|", *ORDER), 256))
-    res = ML.sweep(m, rows, "row_id", "l_quantity", [1, 5, 10, 25, 40, 50], 1 if coef >= 0 else -1)
+    res = ML.sweep(m, sp["test"], "l_quantity", [1, 5, 10, 25, 40, 50], 1 if coef >= 0 else -1)
     return present(res.withColumn("behaviour_gate", (F.col("monotone_share") == 1.0).cast("int")))
 
 
+EXTREMES = (-1e6, 0.0, 1e6)
+SWEEPS = {"l_quantity": [1, 5, 10, 25, 40, 50], "l_discount": [0.0, 0.02, 0.05, 0.1], "l_tax": [0.0, 0.04, 0.08]}
+_SUITES = (["column_order", "batch_position", "probability", "unseen_levels"] + [f"extreme_{x:g}" for x in EXTREMES]
+           + [f"monotone_{f}" for f in SWEEPS])
+
+
+@register("behaviour_suites",
+          "WITH _k AS (SELECT floor(count(*) * 0.95::DOUBLE) AS keep FROM lineitem),\n"
+          "_t AS (SELECT CAST(keep - floor(keep * 0.6::DOUBLE) - floor(keep * 0.2::DOUBLE) AS BIGINT) AS n FROM _k)\n"
+          "SELECT suite, n * times AS n_checked, CAST(0 AS BIGINT) AS n_failed, 1 AS passed FROM _t, (VALUES "
+          + ", ".join(f"('{s}', 1)" for s in _SUITES) + ", ('batch_size', 5)) v(suite, times)")
+def behaviour_suites(spark, sf):
+    """G13 + K4: one row per behaviour suite over all test rows (column order, batch position and size, unseen levels,
+    numeric extremes, scores in [0, 1], monotone responses); every suite must pass for the gate."""
+    sp = _splits(spark, sf)
+    m = _fit_lr(sp["train"])
+    coef = m.stages[-1].coefficients
+    grids = {f: (grid, 1 if coef[NUM.index(f)] >= 0 else -1) for f, grid in SWEEPS.items()}
+    return present(ML.behaviour_suites(m, sp["test"], ORDER[:5], NUM, CAT, grids, EXTREMES, 5))
+
+
 @register("separability")
 def separability(spark, sf):
     """unconstrained decision tree train vs test ROC-AUC; alarm above 0.95."""
