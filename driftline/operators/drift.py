@@ -360,6 +360,61 @@ def label_drift(matured: DataFrame, baseline_pr_auc: float | Column, row_key: Se
         F.coalesce(enough & (dse > limit_se), F.lit(False)).cast("int").alias("breaching"))
 
 
+# -- H9 window analysis --------------------------------------------------------------
+
+def window_analysis(reference: DataFrame, current: DataFrame, window_col: str, run_id: str, thresholds: DataFrame, *,
+                    numeric: Sequence[str], categorical: Sequence[str], score: str, decision_threshold: float,
+                    row_key: Sequence[str], reference_hash: Column, hash_col: str, label: str | None = None,
+                    baseline_pr_auc: float | Column | None = None, bins: int = 10, min_rows: int = 1000, min_labels: int = 500,
+                    rate_limit: float = 0.25, limit_se: float = 2.0, mean_draws: int = 500, mean_level: float = 0.99,
+                    label_draws: int = 1000, seed: int = 42) -> DataFrame:
+    """H9: one row per ``(run, window)``: data drift against the features' thresholds (H4), prediction drift against the
+    reference's bootstrap interval (H7), label drift of the matured rows (H8), whether the window was scored under the
+    reference's contract, and a note on small windows.
+
+    A window whose rows do not all carry the reference's contract hash is not comparable: it keeps its figures, and
+    none of them counts as a breach. All windows are analysed together, each step grouped by the window."""
+    from driftline.functions.exprs import scalars
+    from driftline.operators.bootstrap import bootstrap_mean, bootstrap_metrics
+    from driftline.operators.order import join_same
+    w, s = [window_col], F.col(score)
+    alert = (s >= decision_threshold).cast("double")
+    known = F.col(label) if label else F.lit(None).cast("int")
+    stats = current.groupBy(*w).agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.count_if(F.col(hash_col).eqNullSafe(reference_hash)) == F.count(F.lit(1))).alias("_same"),
+        F.avg(s).alias("mean_score"), F.avg(alert).alias("alert_rate"), F.count(known).alias("n_matured"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("n_positive"))
+    data = data_drift(psi_vs_reference(reference, current, window_col, numeric, categorical, bins), thresholds).groupBy(*w).agg(
+        F.sum("breaching").alias("n_breaching"),
+        F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("breaching") == 1, F.col("feature"))))).alias("breaching_features"))
+    ref = scalars(reference.agg(F.avg(s).alias("m"), F.avg(alert).alias("a")), "m", "a")
+    ci = scalars(bootstrap_mean(reference, score, row_key, B=mean_draws, level=mean_level, seed=seed), "lower", "upper")
+    out = join_same(stats, data, w, "left")
+    if label:
+        boot = bootstrap_metrics(current.where(F.col(label).isNotNull()), row_key, w, label, score, label_draws, seed=seed,
+                                 metrics=("pr_auc",)).select(*w, F.col("point").alias("_ap"), F.col("se").alias("_se"))
+        out = join_same(out, boot, w, "left")
+    else:
+        out = out.withColumn("_ap", F.lit(None).cast("double")).withColumn("_se", F.lit(None).cast("double"))
+    base = baseline_pr_auc if isinstance(baseline_pr_auc, Column) else F.lit(baseline_pr_auc).cast("double")
+    enough = (F.col("n_matured") >= min_labels) & (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_matured"))
+    drop = F.when(enough, base - F.col("_ap"))
+    change = F.when(ref["a"] != 0, (F.col("alert_rate") - ref["a"]) / ref["a"]).otherwise(F.lit(0.0))
+    outside = (F.col("mean_score") < ci["lower"]) | (F.col("mean_score") > ci["upper"])
+    in_se = F.when(F.col("_se") > 0, drop / F.col("_se")).when(drop.isNotNull(), F.lit(0.0))
+
+    def breach(c: Column) -> Column:
+        return (F.col("_same") & F.coalesce(c, F.lit(False))).cast("int")
+    note = F.when(~F.col("_same"), F.lit("other contract: not comparable")).when(
+        F.col("n_rows") < min_rows, F.lit(f"window below {min_rows} rows: indicative only")).otherwise(F.lit(""))
+    return out.select(
+        F.lit(run_id).alias("run_id"), window_col, "n_rows", F.col("_same").cast("int").alias("comparable"), note.alias("note"),
+        F.coalesce("n_breaching", F.lit(0)).alias("n_breaching"), F.coalesce("breaching_features", F.lit("")).alias("breaching_features"),
+        breach(F.col("n_breaching") > 0).alias("data_drift"), "mean_score", "alert_rate", change.alias("alert_rate_change"),
+        breach(outside | (F.abs(change) > rate_limit)).alias("prediction_drift"), "n_matured", drop.alias("pr_auc_drop"),
+        in_se.alias("drop_in_standard_errors"), breach(in_se > limit_se).alias("label_drift"))
+
+
 # -- H10 / H11 alert confirmation -------------------------------------------------
 
 def alert_state(window_breaches: DataFrame, window_col: str, count_col: str,

@@ -209,3 +209,56 @@ def drift_alerts(spark, sf):
     windows from 1999 get an induced shift (quantity +10 capped at 50, discount
     collapsed to 0, return flag collapsed to R); confirmed = 3+ features over 0.10 in 2 consecutive windows."""
     return present(_alert_windows(spark, sf))
+
+
+# ---------------------------------------------------------------- H9
+
+RP_CUT, RP_CHANGED, RP_THR, RP_LIMIT = "1996-01-01", 1998, 0.35, 0.02
+RP_NUM, RP_CAT = ["o_totalprice"], ["o_orderpriority", "o_orderstatus"]
+RP_COLS = ["o_totalprice", "o_orderpriority", "o_orderstatus", "score", "label", "prediction_id"]
+
+
+def _rp_sql() -> str:
+    out = "(coalesce(mean_score < lo OR mean_score > hi, false) OR abs(change) > 0.25)"
+    same = f"(win <> {RP_CHANGED})"
+    return (
+        "WITH " + SCORED_SQL + ",\n"
+        "_sc AS (SELECT s.prediction_id, s.pred_ts, s.score, s.label, o.o_totalprice, o.o_orderpriority, o.o_orderstatus, "
+        "CAST(year(s.pred_ts) AS INTEGER) AS win FROM _scored s JOIN orders o ON o.o_orderkey = s.prediction_id),\n"
+        f"_rp_ref AS (SELECT * FROM _sc WHERE pred_ts < TIMESTAMP '{RP_CUT}'),\n_cur AS (SELECT * FROM _sc WHERE pred_ts >= TIMESTAMP '{RP_CUT}'),\n"
+        "_refw AS (SELECT r.* REPLACE (w.win AS win) FROM _rp_ref r CROSS JOIN (SELECT DISTINCT win FROM _cur) w),\n"
+        + S.psi_sql("_refw", "_cur", RP_NUM, RP_CAT, keys=["win"]) + ",\n"
+        f"_dd AS (SELECT win, count(*) FILTER (WHERE psi > {RP_LIMIT}) AS n_breaching, "
+        f"coalesce(string_agg(CASE WHEN psi > {RP_LIMIT} THEN feature END, ',' ORDER BY feature), '') AS breaching_features FROM _psi GROUP BY win),\n"
+        + curve_sql("_rp_ref", [], name="_bl") + ",\n_blr AS (" + rank_sql("_bl", []) + "),\n"
+        + boot_sql("_cur", ["win"], LD_B) + ",\n"
+        f"_mrep AS ({S.replicate_sql('_rp_ref', 'prediction_id', PD_B)}),\n_mm AS (SELECT b, sum(w * score) / sum(w) AS m FROM _mrep GROUP BY b),\n"
+        f"_mci AS (SELECT quantile_cont(m, {S.dbl((1 - 0.99) / 2)}) AS lo, quantile_cont(m, {S.dbl(1 - (1 - 0.99) / 2)}) AS hi FROM _mm),\n"
+        f"_rs AS (SELECT avg(CAST(score >= {RP_THR} AS INTEGER)::DOUBLE) AS ra FROM _rp_ref),\n"
+        f"_ws AS (SELECT win, count(*) AS n_rows, avg(score) AS mean_score, avg(CAST(score >= {RP_THR} AS INTEGER)::DOUBLE) AS alert_rate, "
+        "count(label) AS n_matured, CAST(sum(label) AS BIGINT) AS npos FROM _cur GROUP BY win),\n"
+        "_a AS (SELECT w.*, d.n_breaching, d.breaching_features, lo, hi, CASE WHEN ra <> 0 THEN (alert_rate - ra) / ra ELSE 0.0 END AS change, "
+        "CASE WHEN n_matured >= 500 AND npos > 0 AND npos < n_matured THEN (SELECT average_precision FROM _blr) - b.point END AS drp, b.se "
+        "FROM _ws w JOIN _dd d USING (win) LEFT JOIN (SELECT * FROM _bci WHERE metric = 'pr_auc') b USING (win), _mci, _rs),\n"
+        "_z AS (SELECT *, CASE WHEN se > 0 THEN drp / se WHEN drp IS NOT NULL THEN 0.0 END AS dse FROM _a)\n"
+        f"SELECT 'replay-1' AS run_id, win, n_rows, CAST({same} AS INTEGER) AS comparable, "
+        f"CASE WHEN NOT {same} THEN 'other contract: not comparable' WHEN n_rows < 1000 THEN 'window below 1000 rows: indicative only' ELSE '' END AS note, "
+        f"n_breaching, breaching_features, CAST({same} AND n_breaching > 0 AS INTEGER) AS data_drift, round(mean_score, 6) AS mean_score, "
+        f"round(alert_rate, 6) AS alert_rate, round(change, 6) AS alert_rate_change, CAST({same} AND {out} AS INTEGER) AS prediction_drift, n_matured, "
+        f"round(drp, 6) AS pr_auc_drop, round(dse, 6) AS drop_in_standard_errors, CAST({same} AND coalesce(dse > 2.0, false) AS INTEGER) AS label_drift FROM _z")
+
+
+@register("window_replay", _rp_sql())
+def window_replay(spark, sf):
+    """H9 (+ H4, H7, H8): scored orders replayed in yearly windows from 1996 against the years before; the windows'
+    contract hash is the reference's, except in 1998, whose window is therefore not comparable."""
+    s = scored(spark, sf).select("prediction_id", "pred_ts", "score", "label", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    cut = F.lit(RP_CUT).cast("timestamp")
+    ref, cur = s.where(F.col("pred_ts") < cut), s.where(F.col("pred_ts") >= cut).withColumn("win", F.year("pred_ts"))
+    own = F.lit("orders-contract-1")
+    cur = cur.withColumn("contract", F.when(F.col("win") == RP_CHANGED, F.lit("orders-contract-2")).otherwise(own))
+    thr = spark.createDataFrame([(f, RP_LIMIT) for f in RP_NUM + RP_CAT], "feature string, threshold double")
+    base = M.rank_metrics(M.score_curve(ref)).select("average_precision").scalar()
+    return present(D.window_analysis(ref, cur, "win", "replay-1", thr, numeric=RP_NUM, categorical=RP_CAT, score="score",
+                                     decision_threshold=RP_THR, row_key=["prediction_id"], reference_hash=own, hash_col="contract",
+                                     label="label", baseline_pr_auc=base, mean_draws=PD_B, label_draws=LD_B))
