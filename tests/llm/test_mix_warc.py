@@ -10,9 +10,44 @@ from driftline.llm.common import file_system
 from tests.llm.frames import no_docs, odd_docs, odd_rows
 
 
-def test_targets_and_flow():
-    t = mixing.source_targets({"a": 100, "b": 1000, None: 1000}, (3, 1, 2), 1.5 * 2100, 2)
-    assert t["a"] == 200 and abs(sum(t.values()) - 3150) < 1e-9 and abs(t[None] / t["b"] - 2) < 1e-9
+def plain_targets(sizes, weights, budget, max_repeat):
+    """Water filling as the contract says it: full sources stop, the excess is reshared by weight."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
+    target, left, open_ = {}, float(budget), names
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > max_repeat * sizes[s]]
+        target |= {s: float(max_repeat * sizes[s]) for s in over} if over else {s: left * weight[s] / total for s in open_}
+        left, open_ = left - sum(target[s] for s in over), [s for s in open_ if s not in target]
+    return target
+
+
+def test_targets_of_many_sources(spark):
+    import random
+    rng = random.Random(8)
+    for n in (1, 3, 700):
+        sizes = {None if i == 2 else f"site-{'é' if i % 3 else 'z'}-{i}.example": int(rng.paretovariate(0.6) * 10) % 10**7 for i in range(n)}
+        table = spark.createDataFrame([([s], v) for s, v in sizes.items()], "pattern array<string>, pattern_size long")
+        got = {r["source"]: r["target"] for r in mixing.source_table(table, (3, 1, 2), 1.5, 2).collect()}
+        want = plain_targets(sizes, (3, 1, 2), 1.5 * sum(sizes.values()), 2)
+        assert got == {s: pytest.approx(v, rel=1e-9) for s, v in want.items()}
+
+
+def test_every_source_of_a_host_list_is_mixed(spark):
+    """More sources than documents each, none of which overlap but two: no list of them reaches the driver."""
+    rows = [(i, "w " * (1 + i % 5), [f"host{i // 3}"] if i % 50 else [f"host{i // 3}", "shared"]) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source array<string>")).collect()
+    assert len(got) == 6000 and all(0 <= r["copies"] <= 2 for r in got)
+    alone = {}
+    for r in got:
+        if len(r["pattern"]) == 1 and int(r["pattern"][0][4:]) * 3 % 50 not in (48, 49, 0):
+            x = alone.setdefault(r["pattern"][0], [0, r["target"]])
+            x[0] += r["taken"]
+    assert len(alone) > 1500 and all(abs(t - want) <= 5 for t, want in alone.values())
+
+
+def test_flow():
     # the shared pattern serves the source that has too little of its own; first copies before second ones
     flow = mixing.min_cost_flow({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 100, "b": 110}, 2)
     assert flow == {(("a",), "a"): 100, (("a", "b"), "b"): 100, (("b",), "b"): 10}
