@@ -16,7 +16,8 @@ Index: every vector goes to its most probable part. A part is split by hash into
 about ``block`` candidates, so copies of one vector never meet in one task. Search: a query goes
 to that many most probable parts (more, until they hold enough candidates), to every block
 of them; each block returns its own best ``k`` by exact double-precision inner product, and a
-ranking per query merges them. Tables of up to ``exhaustive`` vectors have a single part.
+ranking per query merges them. There is a part for every ``part_rows`` vectors up to 64 parts, and above
+100,000 vectors their number grows with the square root of the table, as far as the sample holds 32 vectors a part.
 
 Vectors that are null, empty, zero, of another length than most, or that hold a null or
 non-finite component take no part; nor do rows with a null id. Rows that share the query's id
@@ -163,9 +164,14 @@ def top_k(queries: np.ndarray, names: np.ndarray, own: np.ndarray, x: np.ndarray
             yield a + i, near[best], score[best]
 
 
+def part_count(n: int, part_rows: int = 24, sample: int = 8192) -> int:
+    """Parts of a table of ``n`` vectors."""
+    return max(1, min(n // part_rows, int(64 * max(1.0, n / 100_000) ** 0.5), max(64, sample // 32)))
+
+
 def search(vectors: DataFrame, queries: Column | str, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 20,
-           parts: int = 64, recall: float = 0.95, sample: int = 8192, degree: int = 32, hidden: int = 256, block: int = 2048,
-           exhaustive: int = 2048, seed: int = 3) -> DataFrame:
+           parts: int | None = None, recall: float = 0.95, sample: int = 8192, degree: int = 32, hidden: int = 256, block: int = 2048,
+           part_rows: int = 24, seed: int = 3) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that ``queries`` selects, against all rows."""
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("v"),
                           (F.expr(queries) if isinstance(queries, str) else queries).alias("asks"))
@@ -177,7 +183,8 @@ def search(vectors: DataFrame, queries: Column | str, id_col: str = "vec_id", ve
     d, n = dims[0]["d"], dims[0]["count"]
     rows = rows.where(F.size("v") == d)
     router, probes = None, 1
-    if n > exhaustive:
+    parts = parts or part_count(n, part_rows, sample)
+    if parts > 1:
         named = rows.select("vec_id", "v")
         chosen = hash_sample(named, n, sample, seed, "vec_id", "v").select("v").toPandas()["v"]
         if len(chosen) < min(n, sample):                   # many copies of one row: the share of the hashes left too few

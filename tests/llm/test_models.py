@@ -137,13 +137,13 @@ def vectors(n, seed=6):
     return [(int(i), (centre[i % 12] + 0.5 * rng.normal(size=8)).astype(np.float32).tolist(), 1, "x") for i in range(n)]
 
 
-def test_search_small_table_is_exact_with_ties_and_unusable_rows(spark):
+def test_search_of_one_part_is_exact_with_ties_and_unusable_rows(spark):
     rows = vectors(90)
     rows += [(100 + i, rows[3][1], 1, "x") for i in range(40)]                # ties go to the smaller id
     rows += [(200, None, 1, "x"), (220, [], 1, "x"), (240, [0.0] * 8, 1, "x"), (260, [1.0, None] * 4, 1, "x"),
              (280, [float("nan")] * 8, 1, "x"), (300, [float("inf")] * 8, 1, "x"), (320, [1.0] * 5, 1, "x"), (None, [1.0] * 8, 1, "x")]
     got = {}
-    for r in ann.search(spark.createDataFrame(rows, VEC), "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+    for r in ann.search(spark.createDataFrame(rows, VEC), "vec_id % 20 = 0", parts=1).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = brute(rows, 20, 20)
     assert got.keys() == want.keys()
@@ -155,7 +155,7 @@ def test_search_small_table_is_exact_with_ties_and_unusable_rows(spark):
 
 def test_search_learned_partitions_recall(spark):
     rows = vectors(4000)
-    found = ann.search(spark.createDataFrame(rows, VEC), "vec_id % 20 = 0", parts=16, block=300, exhaustive=100, sample=2048)
+    found = ann.search(spark.createDataFrame(rows, VEC), "vec_id % 20 = 0", parts=16, block=300, sample=2048)
     got = {}
     for r in found.collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -163,3 +163,8 @@ def test_search_learned_partitions_recall(spark):
     hits = sum(len(got[q] & {j for j, _ in want[q]}) for q in want)
     assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
     assert hits >= 0.9 * 20 * len(want)
+
+
+def test_parts_follow_the_size_of_the_table():
+    assert [ann.part_count(n) for n in (0, 20, 500, 2000, 51_282, 100_000)] == [1, 1, 20, 64, 64, 64]
+    assert ann.part_count(400_000) == 128 and ann.part_count(10**9) == 256 and ann.part_count(10**9, sample=65_536) == 2048

@@ -51,7 +51,7 @@ def test_search_does_not_depend_on_row_order(spark):
     try:
         for r in (rows, rows[::-1]):
             ann.search(spark.createDataFrame(r, "vec_id long, embedding array<float>, part int, rank string").coalesce(1),
-                       "vec_id % 100 = 0", k=5, parts=4, sample=400, degree=8, hidden=16, exhaustive=100).count()
+                       "vec_id % 100 = 0", k=5, parts=4, sample=400, degree=8, hidden=16).count()
     finally:
         ann.fit_router = fit
     assert len(chosen[0]) == 400 and (chosen[0] == chosen[1]).all()
