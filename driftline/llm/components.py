@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import written
 
-#: A node with more than one in so many edges is hot.
-HOT = 500
+#: A node with more than one in ``HOT`` edges is hot, unless it has no more than ``FEW``.
+HOT, FEW = 500, 1000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,9 +37,12 @@ def _state(e: DataFrame) -> tuple:
 
 def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
     """``edges`` (u, v) with ``m`` of their ``u`` from ``least`` (_u, m, c: its number of edges)."""
-    hot = F.broadcast(least.where(F.col("c") > n // HOT).select(F.col("_u").alias("_hot"), F.col("m").alias("_m")))
-    marked = edges.join(hot, F.col("u") == F.col("_hot"), "left")
-    rest = marked.where("_hot is null").select("u", "v").join(least.where(F.col("c") <= n // HOT), F.col("u") == F.col("_u"))
+    many = max(n // HOT, FEW)
+    hot = least.where(F.col("c") > many).select(F.col("_u").alias("_hot"), F.col("m").alias("_m"))
+    if hot.isEmpty():
+        return edges.join(least, F.col("u") == F.col("_u")).select("u", "v", "m")
+    marked = edges.join(F.broadcast(hot), F.col("u") == F.col("_hot"), "left")
+    rest = marked.where("_hot is null").select("u", "v").join(least.where(F.col("c") <= many), F.col("u") == F.col("_u"))
     return marked.where("_hot is not null").select("u", "v", F.col("_m").alias("m")).unionByName(rest.select("u", "v", "m"))
 
 
@@ -47,14 +50,14 @@ def _large_star(e: DataFrame, n: int) -> DataFrame:
     """Greater neighbours of every node go to the smallest node of its neighbourhood."""
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(
-        F.col("u").alias("_u"), F.least("u", "m").alias("m"), "c")
+    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(
+        F.col("u").alias("_u"), F.least("u", "m").alias("m"), "c"), "components-least")
     return _with_least(both.where("v > u"), least, n).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
     """Smaller neighbours of every node, and the node, go to the smallest of them."""
     edges = e.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumnRenamed("u", "_u")
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumnRenamed("u", "_u"), "components-least")
     others = _with_least(edges, least, n).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
     return others.unionByName(least.select(F.col("_u").alias("hi"), F.col("m").alias("lo"))).distinct()
