@@ -42,7 +42,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, load_table(spark, sf_dir, "labels")))
 
 
-@query("op3_near_dedup")
+@query("op3_near_dedup", r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS ws
+        FROM documents),
+    s AS (
+        SELECT doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+               ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS sh
+        FROM w),
+    t AS (SELECT sh, min(doc_id) AS u, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+    e AS (SELECT u, n, unnest(sh) AS g FROM t),
+    link AS (
+        SELECT a.u AS x, b.u AS y
+        FROM e a JOIN e b ON a.g = b.g AND a.u < b.u AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        GROUP BY a.u, b.u, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach(u, r) AS (SELECT u, u FROM t UNION SELECT reach.u, y FROM reach JOIN both_ways ON x = r),
+    comp AS (SELECT u, min(r) AS c FROM reach GROUP BY u)
+    SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp.c, s.doc_id) AS component_id,
+           s.doc_id = coalesce(comp.c, s.doc_id) AS kept
+    FROM s LEFT JOIN t ON t.sh = s.sh LEFT JOIN comp ON comp.u = t.u""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, similarity 0.85 or more."""
     return near_dedup.near_duplicates(load_table(spark, sf_dir, "documents"))
