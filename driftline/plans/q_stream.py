@@ -144,8 +144,7 @@ def stream_heartbeat(spark, sf):
     ST.write_ordered(spark, r, "ts", f"{base}/req", "json")
     sch = T.StructType([T.StructField("instance", T.LongType()), T.StructField("ts", T.TimestampType())])
     lines = ST.ndjson_stream(spark, f"{base}/req", sch).where("_malformed = 0").select("instance", "ts")
-    s = ST.with_event_time(lines, "ts", "10 minutes")
-    out = ST.run_available_now(ST.heartbeat_watchdog(s, "instance", "ts", "2 hours"), f"{base}/out", f"{base}/_ckpt")
+    out = ST.run_available_now(ST.heartbeat_watchdog(lines, "instance", "ts", "2 hours", "10 minutes"), f"{base}/out", f"{base}/_ckpt")
     return present(out)
 
 

@@ -101,6 +101,31 @@ def committed_batches(spark: SparkSession, folder: str, before: int) -> list[int
                   and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
 
 
+def drop_unnamed(spark: SparkSession, base: str, index_schema: str, folder, before: int, keep: int) -> None:
+    """Remove the folders under ``data/e<id>`` that no index among the last ``keep`` ones before this batch names
+    (``folder(row)`` is the name that an index row gives), and the older indexes: readers of the kept ones go on."""
+    done = committed_batches(spark, f"{base}/index", before)
+    if len(done) <= keep:
+        return
+    named = {(r["epoch"], folder(r)) for r in spark.read.schema(index_schema).parquet(
+        *[f"{base}/index/e{e}" for e in done[-keep:]]).collect()}
+    jvm = spark._jvm
+    data = jvm.org.apache.hadoop.fs.Path(f"{base}/data")
+    fs = data.getFileSystem(spark._jsc.hadoopConfiguration())
+    for epoch in fs.listStatus(data):
+        name = epoch.getPath().getName()
+        if not name[1:].isdigit() or int(name[1:]) >= before:
+            continue
+        runs = [st.getPath() for st in fs.listStatus(epoch.getPath()) if st.isDirectory()]
+        dead = [path for path in runs if (int(name[1:]), path.getName()) not in named]
+        for path in dead:
+            fs.delete(path, True)
+        if len(dead) == len(runs):
+            fs.delete(epoch.getPath(), True)
+    for e in done[:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{base}/index/e{e}"), True)
+
+
 class OutcomeTable:
     """Outcomes keyed by id, a newer ``(ts, tiebreak)`` replaces the older row.
 
@@ -216,28 +241,7 @@ class OutcomeTable:
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/_leaf={d}-{p}")
 
     def _clean(self, spark: SparkSession, before: int) -> None:
-        """Remove what no index among the last ``keep`` ones before this batch names: readers of those go on."""
-        done = committed_batches(spark, f"{self.base}/index", before)
-        if len(done) <= self.keep:
-            return
-        kept = done[-self.keep:]
-        named = {(r["epoch"], f"_leaf={r['depth']}-{r['prefix']}") for r in spark.read.schema(self.INDEX).parquet(
-            *[f"{self.base}/index/e{e}" for e in kept]).collect()}
-        jvm = spark._jvm
-        data = jvm.org.apache.hadoop.fs.Path(f"{self.base}/data")
-        fs = data.getFileSystem(spark._jsc.hadoopConfiguration())
-        for epoch in fs.listStatus(data):
-            name = epoch.getPath().getName()
-            if not name[1:].isdigit() or int(name[1:]) >= before:
-                continue
-            leaves = [st.getPath() for st in fs.listStatus(epoch.getPath()) if st.getPath().getName().startswith("_leaf=")]
-            dead = [path for path in leaves if (int(name[1:]), path.getName()) not in named]
-            for path in dead:
-                fs.delete(path, True)
-            if len(dead) == len(leaves):
-                fs.delete(epoch.getPath(), True)
-        for e in done[:-self.keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.base}/index/e{e}"), True)
+        drop_unnamed(spark, self.base, self.INDEX, lambda r: f"_leaf={r['depth']}-{r['prefix']}", before, self.keep)
 
 
 # -- S5 windowed counts ---------------------------------------------------------------------------
@@ -357,80 +361,119 @@ def hold_stream(events: DataFrame, key: str, ts_col: str, hit_col: str, conditio
 class CountWindows:
     """Assigns consecutive ids of ``size`` records across micro-batches.
 
-    Each batch is written under ``base/e<batch id>``; the records before it are counted from
-    the committed batches on disk (their file footers), so a restart goes on where the files
-    end and a repeated batch is written again in its own place. Inside a batch the order is the
-    distributed ``global_rank``. Windows that the batch completes are handed to ``on_window``
-    (e.g. the drift analysis), again if the batch is run again."""
+    The log is a list of runs, each a folder that holds the records of consecutive positions. A batch
+    writes its records as a run of tier 0 under ``data/e<batch id>``; ``fan`` runs of one tier at the end of the
+    list are merged into one of the next tier, so after n batches there are about ``fan`` runs for each power of
+    ``fan`` in n and a record is rewritten once a tier. The list, with the positions that each run covers, is committed
+    under ``index/e<batch id>``: the position a batch starts at and the runs of a window are read from
+    the last list, without looking into files. A restart goes on where that list ends, and a repeated batch
+    starts from the list before it and writes the same folders again. Superseded folders go once the last ``keep``
+    lists do not name them.
+
+    Inside a batch the order is the distributed ``global_rank``. Windows that the batch completes are handed to
+    ``on_window`` (e.g. the drift analysis) from the runs that overlap them, again if the batch is run again."""
 
-    def __init__(self, base: str, order_cols: Sequence[str], size: int, on_window=None):
+    INDEX = "epoch long, tier int, first long, last long"
+
+    def __init__(self, base: str, order_cols: Sequence[str], size: int, on_window=None, fan: int = 8, keep: int = 2):
         self.base, self.order_cols, self.size, self.on_window = base.rstrip("/"), list(order_cols), size, on_window
+        self.fan, self.keep = fan, keep
+
+    def runs(self, spark: SparkSession, before: int = 1 << 62) -> list[tuple]:
+        """Runs ``(epoch, tier, first, last)`` of the last committed list, in order of position."""
+        done = committed_batches(spark, f"{self.base}/index", before)
+        if not done:
+            return []
+        rows = spark.read.schema(self.INDEX).parquet(f"{self.base}/index/e{done[-1]}").collect()
+        return sorted((tuple(r) for r in rows), key=lambda r: r[2])
+
+    def _read(self, spark: SparkSession, runs: Sequence[tuple]) -> DataFrame:
+        return spark.read.parquet(*[f"{self.base}/data/e{e}/t{tier}" for e, tier, *_ in runs])
 
     def log(self, spark: SparkSession, before: int = 1 << 62) -> DataFrame | None:
-        paths = [f"{self.base}/e{e}" for e in committed_batches(spark, self.base, before)]
-        return spark.read.parquet(*paths) if paths else None
+        runs = self.runs(spark, before)
+        return self._read(spark, runs) if runs else None
 
     def process(self, batch: DataFrame, epoch_id: int) -> None:
         from driftline.operators.order import global_rank
         spark = batch.sparkSession
-        earlier = self.log(spark, epoch_id)
-        offset = 0 if earlier is None else earlier.count()
+        drop_unnamed(spark, self.base, self.INDEX, lambda r: f"t{r['tier']}", epoch_id, self.keep)
+        runs = self.runs(spark, epoch_id)
+        offset = runs[-1][3] if runs else 0
         n = batch.count()
         if n == 0:
             return
         r = global_rank(batch, self.order_cols, "_r").withColumn("_pos", F.col("_r") + offset) \
             .withColumn("window_id", F.floor((F.col("_pos") - 1) / self.size).cast("long")).drop("_r")
-        r.write.mode("overwrite").parquet(f"{self.base}/e{epoch_id}")
+        r.write.mode("overwrite").parquet(f"{self.base}/data/e{epoch_id}/t0")
+        runs = self._merged(spark, [*runs, (epoch_id, 0, offset + 1, offset + n)], epoch_id)
+        spark.createDataFrame(runs, self.INDEX).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index/e{epoch_id}")
         if self.on_window is not None:
-            log = self.log(spark, epoch_id + 1)
             for w in range(offset // self.size, (offset + n) // self.size):   # bounded: windows completed by this batch
-                self.on_window(log.where(F.col("window_id") == w), w)
+                part = [x for x in runs if x[2] <= (w + 1) * self.size and x[3] > w * self.size]
+                self.on_window(self._read(spark, part).where(F.col("window_id") == w), w)
+
+    def _merged(self, spark: SparkSession, runs: list[tuple], epoch_id: int) -> list[tuple]:
+        """The list after merging its end while that is ``fan`` runs of one tier."""
+        while len(runs) >= self.fan and len({x[1] for x in runs[-self.fan:]}) == 1:
+            last, tier = runs[-self.fan:], runs[-1][1] + 1
+            self._read(spark, last).write.mode("overwrite").parquet(f"{self.base}/data/e{epoch_id}/t{tier}")
+            runs = [*runs[:-self.fan], (epoch_id, tier, last[0][2], last[-1][3])]
+        return runs
 
 
 # -- S7 heartbeat watchdog ----------------------------------------------------------------------
 
-WATCHDOG_OUT = "instance long, last_seen timestamp, next_seen timestamp, alert string"
+WATCHDOG_OUT = "last_seen timestamp, next_seen timestamp, alert string"
 WATCHDOG_STATE = "last_seen timestamp"
 
 
-def heartbeat_watchdog(df: DataFrame, key: str, ts_col: str, gap: str) -> DataFrame:
+def heartbeat_watchdog(df: DataFrame, key: str, ts_col: str, gap: str, delay: str) -> DataFrame:
     """Per-key last-seen state.  Gaps longer than ``gap`` between
     consecutive events are reported inside a micro-batch and across batches
     (the state holds the last event seen); when the watermark passes
     ``last_seen + gap`` with no new event, an event-time timeout reports
-    ``heartbeat_missing`` (batch twin: consecutive gaps, J16).  The pandas
-    group is one key's events of one micro-batch."""
+    ``heartbeat_missing`` (batch twin: consecutive gaps, J16). The watermark trails the latest event by ``delay``.
+
+    Two events of one slot of ``gap`` lie closer than that, so tasks first reduce their events to the earliest and
+    latest of each key and slot: a key's state sees a few rows a task and slot, however many events it has.
+    Events without a time are left out."""
     gap_td = pd.Timedelta(gap)
-    gap_ms = int(gap_td.total_seconds() * 1000)
+    gap_us = int(gap_td.total_seconds() * 1_000_000)
+    key_type = df.schema[key].dataType.simpleString()
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for e in batches:
+            slot = e["at"].astype("datetime64[us]").astype("int64") // gap_us
+            yield e.assign(slot=slot).groupby(["key", "slot"], as_index=False, dropna=False).agg(
+                first=("at", "min"), at=("at", "max"))[["key", "first", "at"]]
 
-    def empty():
-        return pd.DataFrame({"instance": pd.Series([], dtype="int64"),
-                             "last_seen": pd.Series([], dtype="datetime64[us]"),
-                             "next_seen": pd.Series([], dtype="datetime64[us]"),
-                             "alert": pd.Series([], dtype="object")})
+    rows = df.where(F.col(ts_col).isNotNull()).select(F.col(key).alias("key"), F.col(ts_col).cast("timestamp").alias("at"))
+    parts = rows.mapInPandas(ends, f"key {key_type}, first timestamp, at timestamp").withWatermark("at", delay)
 
     def fn(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             (last,) = state.get                # kept: a later event still reports the whole gap
             state.update((last,))
-            yield pd.DataFrame({"instance": [k[0]], "last_seen": [pd.Timestamp(last)], "next_seen": [pd.NaT],
+            yield pd.DataFrame({key: [k[0]], "last_seen": [pd.Timestamp(last)], "next_seen": [pd.NaT],
                                 "alert": ["heartbeat_missing"]})
             return
-        ts = pd.concat([p[ts_col] for p in pdfs], ignore_index=True)
+        seen = [x for p in pdfs for x in (p["first"], p["at"])]
         if state.exists:
             (prev,) = state.get
-            ts = pd.concat([pd.Series([pd.Timestamp(prev)]), ts], ignore_index=True)
-        ts = ts.sort_values(ignore_index=True)
+            seen.append(pd.Series([pd.Timestamp(prev)]))
+        ts = pd.concat(seen, ignore_index=True).sort_values(ignore_index=True)
         nxt = ts.shift(-1)
         m = (nxt - ts) > gap_td
-        out = pd.DataFrame({"instance": k[0], "last_seen": ts[m].values, "next_seen": nxt[m].values,
-                            "alert": "heartbeat_gap"})
         latest = ts.iloc[-1]
         state.update((latest.to_pydatetime(),))
-        state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + gap_ms)
-        yield out if len(out) else empty()
+        state.setTimeoutTimestamp(int(latest.timestamp() * 1000) + gap_us // 1000)
+        if m.any():
+            yield pd.DataFrame({"last_seen": ts[m].values, "next_seen": nxt[m].values, "alert": "heartbeat_gap"}).assign(
+                **{key: k[0]})[[key, "last_seen", "next_seen", "alert"]]
 
-    return df.groupBy(key).applyInPandasWithState(fn, WATCHDOG_OUT, WATCHDOG_STATE, "append", "EventTimeTimeout")
+    return parts.groupBy("key").applyInPandasWithState(fn, f"`{key}` {key_type}, {WATCHDOG_OUT}", WATCHDOG_STATE, "append",
+                                                       "EventTimeTimeout")
 
 
 class state_partitions:

@@ -34,6 +34,60 @@ def test_count_windows_survive_restart_and_repeated_batch(spark):
     assert counts == {0: 10, 1: 10, 2: 10, 3: 1} and set(seen) == {(0, 10), (1, 10), (2, 10)}
 
 
+def test_count_windows_merge_runs_and_drop_superseded_ones(spark):
+    """Runs stay logarithmic in the batches, positions are gapless, a repeated batch changes nothing, and a window
+    reads the runs that overlap it only."""
+    base, seen = scratch_dir(spark, "runs"), {}
+    make = lambda: ST.CountWindows(base, ["ts", "id"], 5, lambda df, w: seen.update(
+        {w: (sorted(r["id"] for r in df.collect()), len(df.inputFiles()))}), fan=3)
+    at = 0
+    for e in range(11):
+        n = 0 if e == 4 else 3 + e % 3
+        batch = spark.range(at, at + n, numPartitions=1).select("id", F.col("id").alias("ts"))
+        make().process(batch, e)
+        if e in (2, 8):                                                        # the batch is run again
+            make().process(batch, e)
+        at += n
+    runs = make().runs(spark)
+    assert runs[0][2] == 1 and runs[-1][3] == at and all(a[3] + 1 == b[2] for a, b in zip(runs, runs[1:]))
+    assert [r[1] for r in runs] == [2, 0]                                      # ten batches with rows: 9 merged twice, 1 left
+    assert sorted((r["_pos"], r["id"]) for r in make().log(spark).collect()) == [(i + 1, i) for i in range(at)]
+    assert {w: rows for w, (rows, _) in seen.items()} == {w: list(range(5 * w, 5 * w + 5)) for w in range(at // 5)}
+    named = {f"{base}/data/e{e}/t{t}" for e, t, *_ in runs}
+    assert len({f.rsplit("/", 1)[0].split(":", 1)[-1] for f in _files(spark, f"{base}/data")} - {n.split(":", 1)[-1] for n in named}) <= 4
+    assert len(ST.committed_batches(spark, f"{base}/index", 1 << 62)) <= 3
+
+
+def test_watchdog_state_sees_few_rows_of_a_hot_key(spark):
+    """A key with a third of all rows and one event in an otherwise empty day: gaps equal a plain search."""
+    import datetime as dt
+    base, t0 = scratch_dir(spark, "watchdog"), dt.datetime(2024, 1, 1)
+    times = {1: [i * 7 for i in range(3000)] + [40_000, 40_001], 2: [0, 3599, 7200, 10_800, 14_401], None: [5, 50_000],
+             3: [i * 31 for i in range(500)] + [90_000]}
+    rows = [(k, t0 + dt.timedelta(seconds=s)) for k, ts in times.items() for s in ts] + [(2, None)]
+    ST.write_ordered(spark, spark.createDataFrame(rows, "host long, ts timestamp"), "ts", f"{base}/in", files=4)
+    sch = T.StructType([T.StructField("host", T.LongType()), T.StructField("ts", T.TimestampType())])
+    s = ST.file_stream(spark, f"{base}/in", sch)
+    got = ST.run_available_now(ST.heartbeat_watchdog(s, "host", "ts", "1 hour", "10 minutes"), f"{base}/out", f"{base}/ckpt").collect()
+    want = {(k, a, b) for k, ts in times.items() for a, b in zip(sorted(ts), sorted(ts)[1:]) if b - a > 3600}
+    at = lambda x: int((x - t0).total_seconds())
+    assert {(r["host"], at(r["last_seen"]), at(r["next_seen"])) for r in got if r["alert"] == "heartbeat_gap"} == want
+    assert all(r["next_seen"] is None for r in got if r["alert"] == "heartbeat_missing")
+    assert len([r for r in got if r["alert"] == "heartbeat_gap"]) == len(want)
+
+
+def test_replayed_ids_are_dropped_within_the_watermark(spark):
+    """Ids sent again within the delay, in the same file or a later one, count once."""
+    import datetime as dt
+    base, t0 = scratch_dir(spark, "replay"), dt.datetime(2024, 1, 1)
+    rows = [(i % 40, t0 + dt.timedelta(seconds=i)) for i in range(120)]
+    ST.write_ordered(spark, spark.createDataFrame(rows, "id long, ts timestamp"), "ts", f"{base}/in", files=3)
+    sch = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType())])
+    s = ST.dedupe(ST.with_event_time(ST.file_stream(spark, f"{base}/in", sch), "ts", "10 minutes"), "id")
+    got = ST.run_available_now(s, f"{base}/out", f"{base}/ckpt").collect()
+    assert sorted(r["id"] for r in got) == list(range(40))
+
+
 def test_ndjson_stream_sends_malformed_lines_aside(spark):
     base = scratch_dir(spark, "ndjson")
     spark.createDataFrame([('{"a": 1}',), ("{bad",), ('{"a": 2}',)], "value string").coalesce(1).write.text(f"{base}/in")
