@@ -253,9 +253,9 @@ def batch_attribution(df: DataFrame, batch_col: str, order_cols: Sequence[str],
 
 def normalise_routes(df: DataFrame, key: Column, routes: DataFrame, key_col: str = "route_key",
                      template_col: str = "template") -> DataFrame:
-    """Concrete path -> template via a left join on the route table (bounded by
-    the service's routes, so broadcast); unmatched paths share one bucket."""
-    j = df.withColumn(key_col, key).join(F.broadcast(routes), key_col, "left")
+    """Concrete path -> template via a left join on the route table (which Spark broadcasts
+    while it is small); unmatched paths share one bucket."""
+    j = df.withColumn(key_col, key).join(routes, key_col, "left")
     return j.withColumn("route", F.coalesce(F.col(template_col), F.lit("unmatched"))).drop(key_col, template_col)
 
 

@@ -214,7 +214,7 @@ def data_drift(psi_df: DataFrame, thresholds: DataFrame, keys: Sequence[str] = (
     and ``breaching = 0`` rather than judged against a default.
     """
     t = thresholds.select("feature", F.col("threshold").cast("double").alias("threshold"))
-    j = psi_df.join(F.broadcast(t), "feature", "left")
+    j = psi_df.join(t, "feature", "left")                      # Spark broadcasts the thresholds while they are small
     return j.select(
         "*",
         F.when(F.col("threshold").isNull(), F.lit("skipped_no_threshold"))
@@ -289,7 +289,7 @@ def calibration_summary(cal: DataFrame) -> DataFrame:
 
 def false_alarms(null_long: DataFrame, cal: DataFrame, uniform: float = 0.10) -> DataFrame:
     """Alarms over the null pairs, uniform threshold vs calibrated."""
-    j = null_long.join(F.broadcast(cal.select("feature", "threshold")), "feature")
+    j = null_long.join(cal.select("feature", "threshold"), "feature")
     return j.agg(F.count(F.lit(1)).alias("n_checks"),
                  F.count_if(F.col("psi") > uniform).alias("uniform_alarms"),
                  F.count_if(F.col("psi") > F.col("threshold")).alias("calibrated_alarms")) \

@@ -164,7 +164,7 @@ def choose_threshold(curve: DataFrame, target_recall: float, keys: Sequence[str]
 # -- F11 / F12 calibration ---------------------------------------------------
 
 def calibration_bins(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
-                     score: str = "score", bins: int = 10) -> DataFrame:
+                     score: str = "score", bins: int = 10, weight: str | None = None) -> DataFrame:
     """reliability table, one row per ``(keys, bin)`` including empty bins.
 
     Bins are right-closed ``(lo, hi]`` with the first closed at 0: the bin of p
@@ -173,9 +173,13 @@ def calibration_bins(df: DataFrame, keys: Sequence[str] = (), label: str = "labe
     keys = list(keys)
     edges = linspace(bins)
     b = F.least(F.greatest(count_lt(edges[1:-1], F.col(score)), F.lit(0)), F.lit(bins - 1))
+    def mean(c: Column) -> Column:
+        w = F.when(c.isNotNull(), _w(weight))
+        return F.sum(w * c) / F.sum(w)
+
     g = df.groupBy(*keys, b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"), F.avg(score).alias("confidence"),
-        F.avg(F.col(label).cast("double")).alias("accuracy"))
+        F.sum(F.col(weight) if weight else F.lit(1)).alias("count"), mean(F.col(score).cast("double")).alias("confidence"),
+        mean(F.col(label).cast("double")).alias("accuracy"))
     grid = (df.select(*keys).distinct() if keys else df.sparkSession.range(1).select())
     grid = grid.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     e = lit_array(edges)
@@ -214,16 +218,20 @@ def stack_dimensions(df: DataFrame, dims: Sequence[str], cols: Sequence[str]) ->
 def subgroup_metrics(df: DataFrame, dims: Sequence[str], threshold: float,
                      label: str = "label", score: str = "score", min_n: int = 500,
                      ece_min_n: int = 50) -> DataFrame:
-    """metrics per ``(dimension, grp)`` at one shared threshold."""
+    """metrics per ``(dimension, grp)`` at one shared threshold.
+
+    The rows are aggregated once, to counts per (dimension, group, label, score), and written to the
+    checkpoint folder; the four groups of metrics are weighted ones of those counts."""
     s = stack_dimensions(df, dims, [label, score]).withColumnRenamed(label, "label") \
         .withColumnRenamed(score, "score")
-    keys = ["dimension", "grp"]
-    conf = confusion(s, threshold, keys)
-    overall = confusion(df.select(F.col(label).alias("label"), F.col(score).alias("score")),
-                        threshold).select("recall").scalar()
-    rm = rank_metrics(score_curve(s, keys), keys).select(*keys, "average_precision")
-    br = brier(s, keys)
-    ec = ece(calibration_bins(s, keys), keys).select(*keys, F.col("ece").alias("_ece"))
+    keys, w = ["dimension", "grp"], "_n"
+    s = s.groupBy(*keys, "label", "score").agg(F.count(F.lit(1)).alias(w)).checkpoint()
+    conf = confusion(s, threshold, keys, weight=w)
+    # every dimension holds all rows once, which leaves the ratio as it is
+    overall = confusion(s, threshold, weight=w).select("recall").scalar()
+    rm = rank_metrics(score_curve(s, keys, weight=w), keys).select(*keys, "average_precision")
+    br = brier(s, keys, weight=w)
+    ec = ece(calibration_bins(s, keys, weight=w), keys).select(*keys, F.col("ece").alias("_ece"))
     j = (conf.join(rm, keys, "left").join(br, keys, "left").join(ec, keys, "left")
              .withColumn("overall_recall", overall))
     n, npos = F.col("n"), F.col("n_positive")

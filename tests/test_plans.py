@@ -45,3 +45,9 @@ def test_latest_and_first_rows_without_sort_aggregate(spark, name):
     assert "SortAggregate" not in p
     if name != "clean_ledger":
         assert p.count("WindowGroupLimit") >= 2, "a partial limit before the shuffle and a final one"
+
+
+def test_subgroup_metrics_aggregate_the_rows_once(spark):
+    """The four groups of metrics read the counts per (dimension, group, label, score), not the scored table again."""
+    p = _plan(E.queries()["subgroup_metrics"](spark, SF_SMALL))
+    assert "FileScan" not in p and "Scan ExistingRDD" in p
