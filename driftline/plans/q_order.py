@@ -266,8 +266,7 @@ def fixed_windows(spark, sf):
     rows = rows.withColumn("window_id", ((F.col("_rank") - 1 - F.pmod(F.col("_rank") - 1, F.col("_ws")))
                                          / F.col("_ws")).cast("long"))
     rows = rows.where((F.col("scheme") != "equal_k") | (F.col("window_id") < K_EQ))
-    g = rows.groupBy("scheme", "window_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts_min"),
-                                                 F.max("ts").alias("ts_max"))
+    g = SP.order_bounds(rows, "ts", ["scheme", "window_id"]).withColumnsRenamed({"order_min": "ts_min", "order_max": "ts_max"})
     keep = ((F.col("scheme") == "equal_k") | ((F.col("scheme") == "fixed") & (F.col("n") == SIZE)) |
             ((F.col("scheme") == "fixed_keep_half") & (F.col("n") >= SIZE // 2)))
     return present(g.where(keep).withColumn("n_matured", F.floor(F.col("n") * F.lit(0.6)).cast("long")))
