@@ -101,3 +101,12 @@ def test_validation_rules(spark):
     assert [r["valid"] for r in v] == [1, 0, 0]
     types = sorted(e["type"] for e in v[1]["errors"])
     assert types == ["enum", "int_parsing", "less_than_equal"]
+
+
+def test_expected_levels_count_other_and_absent_ones(spark):
+    from driftline.operators.validate import expect_levels
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("x",), ("y",)], "c string")
+    n = lambda d, exp: d.select("*").transform(lambda v: expect_levels(v, "c", exp)).first()["n_violations"]
+    assert n(df.where("c in ('a', 'b') or c is null"), ["b", "a", "a"]) == 0
+    assert n(df, ["a", "b", "z"]) == 3                                          # x and y are others, z never occurs
+    assert n(df.limit(0), ["a", "b"]) == 2 and n(df.where("c = 'a'"), ["a", 1]) == 1
