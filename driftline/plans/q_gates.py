@@ -27,14 +27,15 @@ _TRAINED_SQL = f"(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{TRAINED_T
 _INNER10 = E._INNER10
 
 
-def _model_frames(spark, sf):
-    s = E.scored(spark, sf)
+def _model_frames(s):
     return {m: s.withColumn("score", F.expr(e).cast("double")) for m, e, _ in E.CANDIDATES}
 
 
 def _wide(spark, sf):
-    rep = E._report(spark, sf).select("model", "pr_auc", "pr_auc_lower", "brier")
-    frames = _model_frames(spark, sf)
+    s = E.scored_once(spark, sf)
+    # a row a model, read by a gate each
+    rep = E._report(spark, sf, s).select("model", "pr_auc", "pr_auc_lower", "brier").checkpoint()
+    frames = _model_frames(s)
     o, cut = t(spark, sf, "orders").select(*_ORDER_COLS), F.lit(TRAINED_TO).cast("timestamp")
     # each model's contract is that of the orders it was trained on
     trained = {INCUMBENT: o.where(F.col("o_orderdate") < cut), CHALLENGER: o}
@@ -47,7 +48,7 @@ def _wide(spark, sf):
     extra = spark.createDataFrame(rows, "model string, ece double, worst_gap double, hash string")
     per = rep.join(extra, "model")
     w = G.pivot_models(per, INCUMBENT, CHALLENGER, ["pr_auc", "pr_auc_lower", "brier", "ece", "worst_gap", "hash"])
-    base = E.scored(spark, sf).agg(F.avg(F.col("label").cast("double"))).scalar()
+    base = s.agg(F.avg(F.col("label").cast("double"))).scalar()
     req = V.req(spark, sf).where(F.col("instance") == CANARY_INSTANCE)
     p99 = grouped_quantiles(req, F.col("duration_ms") / 1000.0, [0.99]).select(F.get("q", F.lit(0))).scalar()
     return w.select("*", base.alias("baseline_pr_auc"), p99.alias("canary_p99"))
