@@ -63,13 +63,14 @@ def _candidates(spark, sf):
             "forest": ML.fit_pipeline(tw, NUM, CAT, ML.forest())}
     rows = []
     for name, m in fits.items():       # bounded: candidate models
-        val = ML.score(m, sp["val"])
+        # each split is scored once, and what is read again below is a label and a score a row
+        val = ML.score(m, sp["val"]).select("label", "score").checkpoint()
         method, cal, _ = ML.choose_calibration(val)
         valc = ML.apply_calibration(method, cal, val)
         thr = M.choose_threshold(M.score_curve(valc.select("label", F.col("cal_score").alias("score"))),
                                  TARGET_RECALL).select("threshold").first()[0]
         test = ML.apply_calibration(method, cal, ML.score(m, sp["test"])).select(
-            F.lit(name).alias("model"), "label", F.col("cal_score").alias("score"), *ORDER)
+            F.lit(name).alias("model"), "label", F.col("cal_score").alias("score"), *dict.fromkeys(ORDER)).checkpoint()
         rows.append((name, method, thr, test))
     prior = ML.prior_score(sp["train"], sp["test"]).select(F.lit("prior").alias("model"), "label", "score", *ORDER)
     rows.append(("prior", "none", 0.0, prior))
@@ -87,7 +88,8 @@ def _evaluate(spark, sf):
                                 F.col("upper").alias("pr_auc_upper")), "model").join(e, "model") \
                 .withColumn("calibration", F.lit(method)).withColumn("threshold", F.lit(float(thr)))
         out = r if out is None else out.unionByName(r)
-    return out
+    # a row a model, which the champion's choice reads several times
+    return out.checkpoint()
 
 
 @register("train_eval")
