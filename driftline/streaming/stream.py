@@ -190,7 +190,8 @@ class OutcomeTable:
         self._clean(spark, epoch_id)
         runs = self._index(spark, epoch_id)
         leaves = sorted({(d, p) for d, p, *_ in runs}) or [(0, 0)]
-        rows = self._placed(self._last(batch), leaves)
+        # counted, and written in two ways: reduced to its last writes once
+        rows = self._placed(self._last(batch), leaves).checkpoint()
         added = {self._name(r["_leaf"]): r["count"] for r in rows.groupBy("_leaf").count().collect()}     # at most a row a leaf
         if not added:
             return
@@ -409,9 +410,13 @@ class CountWindows:
         runs = self._merged(spark, [*runs, (epoch_id, 0, offset + 1, offset + n)], epoch_id)
         spark.createDataFrame(runs, self.INDEX).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index/e{epoch_id}")
         if self.on_window is not None:
+            # opening runs lists their files: the windows that lie in the same runs, nearly all of a batch, share one frame
+            opened, part = None, None
             for w in range(offset // self.size, (offset + n) // self.size):   # bounded: windows completed by this batch
-                part = [x for x in runs if x[2] <= (w + 1) * self.size and x[3] > w * self.size]
-                self.on_window(self._read(spark, part).where(F.col("window_id") == w), w)
+                mine = [x for x in runs if x[2] <= (w + 1) * self.size and x[3] > w * self.size]
+                if mine != part:
+                    opened, part = self._read(spark, mine), mine
+                self.on_window(opened.where(F.col("window_id") == w), w)
 
     def _merged(self, spark: SparkSession, runs: list[tuple], epoch_id: int) -> list[tuple]:
         """The list after merging its end while that is ``fan`` runs of one tier."""

@@ -32,3 +32,37 @@ def test_bucket_counts_ties_across_chunks():
     got = bucket.result()
     for want, have in zip((ap, s, sq @ w, p - 3, neg - 2), got):
         assert np.allclose(want, have, rtol=1e-12)
+
+
+def test_count_windows_open_a_batch_once(spark, tmp_path):
+    from driftline.streaming.stream import CountWindows
+    opened, seen = [], {}
+
+    class Counted(CountWindows):
+        def _read(self, spark, runs):
+            opened.append(len(runs))
+            return super()._read(spark, runs)
+    cw = Counted(str(tmp_path), ["id"], 10, on_window=lambda df, w: seen.update({w: sorted(r.id for r in df.collect())}))
+    for epoch in range(2):
+        cw.process(spark.range(epoch * 65, epoch * 65 + 65).select("id"), epoch)
+    assert seen == {w: list(range(10 * w, 10 * w + 10)) for w in range(13)}
+    assert len(opened) == 3                  # a batch's own run, and the window that began in the one before
+
+
+def test_reweighted_copies_are_drawn_once(spark):
+    from driftline.operators import drift as D
+    df = spark.range(400).selectExpr("id", "IF(id % 4 = 0, 'a', 'b') AS seg")
+    r = D.reweight_sample(df, "seg", ["a"], 30.0, ["id"])
+    assert r.columns == ["id", "seg", "copy"] and "Filter (" not in r._jdf.queryExecution().optimizedPlan().toString()
+    per = {x["id"]: x["c"] for x in r.groupBy("id").agg({"copy": "collect_set"}).toDF("id", "c").collect()}
+    assert all(sorted(c) == list(range(1, len(c) + 1)) for c in per.values())
+    assert r.count() == sum(map(len, per.values()))
+
+
+def test_compressed_log_files_are_bounded(spark, tmp_path):
+    from driftline.sources import files as FS
+    path = str(tmp_path / "log")
+    FS.append_ndjson(spark.range(10, numPartitions=1).selectExpr("id AS outcome_label"), path, "gzip", 4)
+    assert len(list((tmp_path / "log").glob("*.json.gz"))) == 3
+    good, bad = FS.read_ndjson(spark, path, FS.OUTCOME_SCHEMA)
+    assert good.count() == 10 and bad.first()[0] == 0
