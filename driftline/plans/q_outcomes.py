@@ -111,8 +111,9 @@ def reweighted_sample(spark, sf):
     c = t(spark, sf, "customer")
     r = D.reweight_sample(c, "c_mktsegment", RW_LEVELS, RW_WEIGHT, ["c_custkey"])
     b = c.groupBy(F.col("c_mktsegment").alias("value")).agg(F.count(F.lit(1)).alias("n_before"))
-    a = r.groupBy(F.col("c_mktsegment").alias("value")).agg(F.count(F.lit(1)).alias("n_after"))
-    nb, na = c.select(F.count(F.lit(1))).scalar(), r.select(F.count(F.lit(1))).scalar()
+    # a row a segment, read by the shares and by their total: the sample is drawn once
+    a = r.groupBy(F.col("c_mktsegment").alias("value")).agg(F.count(F.lit(1)).alias("n_after")).checkpoint()
+    nb, na = c.select(F.count(F.lit(1))).scalar(), a.agg(F.coalesce(F.sum("n_after"), F.lit(0))).scalar()
     j = b.join(a, "value", "left").fillna(0, ["n_after"])
     return present(j.select("value", "n_before", (F.col("n_before") / nb).alias("share_before"), "n_after",
                             (F.col("n_after") / na).alias("share_after")))
