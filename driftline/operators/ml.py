@@ -14,6 +14,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.storagelevel import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,10 @@ INFREQUENT = "__infrequent__"
 # -- G14 class weights ------------------------------------------------------------------
 
 def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> DataFrame:
-    """``n / (2 * n_class)`` per row (two class counts, a scalar each)."""
-    g = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    from driftline.functions.exprs import scalars
-    gs = scalars(g, "n", "p")
-    n, p = gs["n"], gs["p"]
+    """``n / (2 * n_class)`` per row. The two class counts reach the driver: as scalar subqueries they would be
+    counted again by every pass of a fit that reads the weights."""
+    g = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
+    n, p = F.lit(g["n"]).cast("long"), F.lit(g["p"]).cast("long")
     w = F.when(F.col(label) == 1, n / (2 * p)).otherwise(n / (2 * (n - p)))
     return df.withColumn(weight_col, w.cast("double"))
 
@@ -36,30 +36,42 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "weight") -> D
 
 @dataclass(frozen=True)
 class Levels:
-    """Fitted levels: ``frequent`` (column_name, level), and per column whether an infrequent bucket exists."""
+    """Fitted levels: ``frequent`` (column_name, level), per column whether an infrequent bucket exists, and the columns
+    whose levels are few enough to be broadcast."""
 
     frequent: DataFrame
     infrequent: dict[str, bool]
+    few: frozenset[str] = frozenset()
 
     def fold(self, df: DataFrame) -> DataFrame:
         """G2 transform: infrequent and unseen values -> the infrequent bucket when it exists, else null (all-zero
-        indicators). A join per column with its level table, which Spark broadcasts while it is small."""
+        indicators). A join per column with its level table, which is broadcast while its levels are few: their counted
+        number says so, Spark's estimate from the rows that they were counted in does not."""
         out = df
         for c, bucket in self.infrequent.items():
             level = self.frequent.where(F.col("column_name") == c).select(F.col("level").alias("_level"))
             other = F.lit(INFREQUENT) if bucket else F.lit(None)
+            if c in self.few:
+                level = F.broadcast(level)
             out = out.join(level, out[c].cast("string") == F.col("_level"), "left").withColumn(
                 c, F.coalesce("_level", other)).drop("_level")
         return out
 
 
+#: Levels of a column up to which its level table is broadcast.
+BROADCAST_LEVELS = 10_000
+
+
 def fit_levels(df: DataFrame, cols: Sequence[str], min_frequency: int = 30) -> Levels:
     """G2 fit: the frequent levels of each column (``min_frequency`` rows or more) and whether an infrequent bucket
-    exists. One value count for all columns, written once in the shared folder; two numbers a column reach the driver."""
+    exists. One value count for all columns, written once in the shared folder; three numbers a column reach the driver."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "level")
     counts = long.where(F.col("level").isNotNull()).groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    rare = {r["column_name"]: r["rare"] > 0 for r in counts.groupBy("column_name").agg(F.count_if(F.col("n") < min_frequency).alias("rare")).collect()}
-    return Levels(counts.where(F.col("n") >= min_frequency).select("column_name", "level"), {c: rare.get(c, False) for c in cols})
+    known = {r["column_name"]: r for r in counts.groupBy("column_name").agg(
+        F.count_if(F.col("n") < min_frequency).alias("rare"), F.count_if(F.col("n") >= min_frequency).alias("frequent")).collect()}
+    return Levels(counts.where(F.col("n") >= min_frequency).select("column_name", "level"),
+                  {c: c in known and known[c]["rare"] > 0 for c in cols},
+                  frozenset(c for c in cols if c not in known or known[c]["frequent"] <= BROADCAST_LEVELS))
 
 
 def preprocessor(numeric: Sequence[str], categorical: Sequence[str], with_mean: bool = True) -> list:
@@ -96,8 +108,15 @@ def forest(num_trees: int = 300, depth: int = 6, min_leaf: int = 50, seed: int =
 
 
 def fit_pipeline(train: DataFrame, numeric, categorical, estimator) -> PipelineModel:
-    """Preprocessor + estimator fitted together."""
-    return Pipeline(stages=preprocessor(numeric, categorical) + [estimator]).fit(train)
+    """Preprocessor + estimator fitted together. The estimator reads its rows several times before it holds them in a
+    form of its own, so the preprocessed ones (what it reads of them) are kept, on disk where memory ends, until it is fitted."""
+    prepared = Pipeline(stages=preprocessor(numeric, categorical)).fit(train)
+    wanted = [estimator.getOrDefault(p) for p in ("featuresCol", "labelCol", "weightCol") if estimator.hasParam(p) and estimator.isDefined(p)]
+    rows = prepared.transform(train).select(*[c for c in wanted if c]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=[*prepared.stages, estimator.fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
@@ -153,14 +172,37 @@ def choose_calibration(val: DataFrame, score_col: str = "score", label: str = "l
 
 # -- G13 response sweep and behaviour suites --------------------------------------------------------
 
+def _columns(stage, params: Sequence[str]) -> set[str]:
+    """The columns that the stage's parameters name."""
+    named = [stage.getOrDefault(p) for p in params if stage.hasParam(p) and stage.isDefined(p)]
+    return {c for v in named for c in ([v] if isinstance(v, str) else v)}
+
+
+def _moved_by(model: PipelineModel, feature: str) -> tuple[list, list]:
+    """The stages that read nothing of ``feature``, and those that do, themselves or by an earlier stage's output."""
+    moved, still, moving = {feature}, [], []
+    for stage in model.stages:
+        if _columns(stage, ("inputCol", "inputCols", "featuresCol")) & moved:
+            moving.append(stage)
+            moved |= _columns(stage, ("outputCol", "outputCols", "predictionCol", "probabilityCol", "rawPredictionCol"))
+        else:
+            still.append(stage)
+    return still, moving
+
+
 def response(model: PipelineModel, rows: DataFrame, feature: str, grid: Sequence[float]) -> DataFrame:
     """``rows`` with ``_response``: the row's scores along the ascending ``grid`` of ``feature``. One scoring a grid value
-    beside the others on the same row: nothing is repeated or shuffled."""
-    out = rows.withColumn("_kept", F.col(feature))
+    beside the others on the same row: nothing is repeated or shuffled, and the stages that do not read the feature
+    run once a row."""
+    still, moving = _moved_by(model, feature)
+    if moving and moving[-1].hasParam("rawPredictionCol"):
+        moving[-1] = moving[-1].copy({moving[-1].rawPredictionCol: ""})      # the probability in one step
+    out = PipelineModel(stages=still).transform(rows.withColumn("_kept", F.col(feature)))
+    helpers = [c for c in out.columns if c not in rows.columns and c != "_kept"]
     for i, g in enumerate(sorted(grid)):
-        out = score(model, out.withColumn(feature, F.lit(float(g))), f"_at{i}")
+        out = score(PipelineModel(stages=moving), out.withColumn(feature, F.lit(float(g))), f"_at{i}")
     names = [f"_at{i}" for i in range(len(grid))]
-    return out.withColumn(feature, F.col("_kept")).withColumn("_response", F.array(*names)).drop("_kept", *names)
+    return out.withColumn(feature, F.col("_kept")).withColumn("_response", F.array(*names)).drop("_kept", *helpers, *names)
 
 
 def monotone(response_col: str, direction: int, slack: float = 1e-12) -> Column:

@@ -26,11 +26,10 @@ def _splits(spark, sf):
     li = t(spark, sf, "lineitem").select(*dict.fromkeys(ORDER + NUM + CAT + ["l_returnflag"]))
     li = li.withColumn("label", binarise("l_returnflag", "R"))
     r = global_rank(li, ORDER, "_rank")
-    s = SP.chronological_split(r, li.count())
-    levels = ML.fit_levels(s.where(F.col("split") == "train"), CAT)
-    # read by every fit, calibration and evaluation below: cut the lineage once
-    # (reliable checkpoint in the shared spark.checkpoint.dir)
-    s = levels.fold(s).checkpoint()
+    # read by the levels and by every fit, calibration and evaluation below: ranked and cut from its
+    # lineage once (reliable checkpoint in the shared spark.checkpoint.dir)
+    s = SP.chronological_split(r, li.count()).checkpoint()
+    s = ML.fit_levels(s.where(F.col("split") == "train"), CAT).fold(s)
     return {k: s.where(F.col("split") == k).drop("split") for k in ("train", "val", "test")}
 
 
