@@ -18,6 +18,8 @@ from pyspark.storagelevel import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators.trees import CellTrees, fit_on_cells
+
 INFREQUENT = "__infrequent__"
 
 
@@ -107,18 +109,25 @@ def forest(num_trees: int = 300, depth: int = 6, min_leaf: int = 50, seed: int =
                                   minInstancesPerNode=min_leaf, seed=seed)
 
 
-def fit_pipeline(train: DataFrame, numeric, categorical, estimator) -> PipelineModel:
-    """Preprocessor + estimator fitted together. The estimator reads its rows several times before it holds them in a
-    form of its own, so the preprocessed ones (what it reads of them) are kept, on disk where memory ends, until it is fitted."""
+def fit_pipelines(train: DataFrame, numeric, categorical, estimators: Mapping[str, object]) -> dict[str, PipelineModel]:
+    """Preprocessor + estimator fitted together, for several estimators with one preprocessor. An estimator reads its
+    rows several times before it holds them in a form of its own, so the preprocessed ones (what the estimators read of
+    them) are kept, on disk where memory ends, until all are fitted. Trees of a large table are fitted on its counted cells."""
     prepared = Pipeline(stages=preprocessor(numeric, categorical)).fit(train)
-    wanted = [estimator.getOrDefault(p) for p in ("featuresCol", "labelCol", "weightCol") if estimator.hasParam(p) and estimator.isDefined(p)]
+    wanted = dict.fromkeys(e.getOrDefault(p) for e in estimators.values() for p in ("featuresCol", "labelCol", "weightCol")
+                           if e.hasParam(p) and e.isDefined(p))
     rows = prepared.transform(train).select(*[c for c in wanted if c]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return PipelineModel(stages=[*prepared.stages, estimator.fit(rows)])
+        return {name: PipelineModel(stages=[*prepared.stages, fit_on_cells(e, rows) or e.fit(rows)]) for name, e in estimators.items()}
     finally:
         rows.unpersist()
 
 
+def fit_pipeline(train: DataFrame, numeric, categorical, estimator) -> PipelineModel:
+    """``fit_pipelines`` of one estimator."""
+    return fit_pipelines(train, numeric, categorical, {"": estimator})[""]
+
+
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     """Batch scoring; positive-class probability as a double column."""
     t = model.transform(df).withColumn(out, vector_to_array("probability")[1])
@@ -126,6 +135,13 @@ def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     return t.drop(*helpers)
 
 
+def score_counts(model: PipelineModel, df: DataFrame, by: Sequence[str], out: str = "score") -> DataFrame:
+    """G11 counted: rows of each ``by`` and score, ``(*by, out, _n)``."""
+    if isinstance(model.stages[-1], CellTrees):
+        return model.stages[-1].score_counts(PipelineModel(stages=model.stages[:-1]).transform(df), by, out)
+    return score(model, df, out).groupBy(*by, out).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def prior_score(train: DataFrame, df: DataFrame, label: str = "label", out: str = "score") -> DataFrame:
     """The prior model scores every row with the training prevalence."""
     return df.withColumn(out, train.agg(F.avg(F.col(label).cast("double"))).scalar())
