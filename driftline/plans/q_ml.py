@@ -57,16 +57,15 @@ def _candidates(spark, sf):
     sp = _splits(spark, sf)
     tw = ML.balanced_weights(sp["train"], "label")
     sw = tw.agg(F.sum("weight")).first()[0]
-    fits = {"logistic_c1": ML.fit_pipeline(tw, NUM, CAT, ML.logistic(1.0, sw)),
-            "logistic_c005": ML.fit_pipeline(tw, NUM, CAT, ML.logistic(0.05, sw)),
-            "forest": ML.fit_pipeline(tw, NUM, CAT, ML.forest())}
+    fits = ML.fit_pipelines(tw, NUM, CAT, {"logistic_c1": ML.logistic(1.0, sw), "logistic_c005": ML.logistic(0.05, sw),
+                                           "forest": ML.forest()})
     rows = []
     for name, m in fits.items():       # bounded: candidate models
         # each split is scored once, and what is read again below is a label and a score a row
         val = ML.score(m, sp["val"]).select("label", "score").checkpoint()
         method, cal, _ = ML.choose_calibration(val)
         valc = ML.apply_calibration(method, cal, val)
-        thr = M.choose_threshold(M.score_curve(valc.select("label", F.col("cal_score").alias("score"))),
+        thr = M.choose_threshold(M.score_curve(valc.select("label", F.col("cal_score").alias("score")), materialize=True),
                                  TARGET_RECALL).select("threshold").first()[0]
         test = ML.apply_calibration(method, cal, ML.score(m, sp["test"])).select(
             F.lit(name).alias("model"), "label", F.col("cal_score").alias("score"), *dict.fromkeys(ORDER)).checkpoint()
