@@ -286,7 +286,8 @@ def separability(train: DataFrame, test: DataFrame, numeric, categorical, max_de
     m = fit_pipeline(train, numeric, categorical, dt)
 
     def curve(df: DataFrame) -> DataFrame:
-        return score_curve(score(m, df).select("label", "score").checkpoint())   # scored once, read several times
+        # scored once, to the counts of its scores, which are read several times
+        return score_curve(score_counts(m, df, ["label"]).checkpoint(), weight="_n")
     tr = rank_metrics(curve(train)).select(F.col("roc_auc").alias("train_auc"))
     te = rank_metrics(curve(test)).select("roc_auc").scalar()
     depth = m.stages[-1].depth

@@ -80,3 +80,14 @@ def test_bins_are_closed_above_and_hold_nan_and_infinity(spark):
     from pyspark.ml.functions import array_to_vector
     got = grid.coded(df.select("i", array_to_vector(F.array("a", "b", "c")).alias("v")), "v").orderBy("i").collect()
     assert grid.bins(np.array([r["_cell"] for r in got])).tolist() == [[0, 0, 0], [1, 0, 1], [2, 0, 0], [2, 0, 1]]
+
+
+def test_separability_is_the_same_on_cells(df, on_cells, monkeypatch):
+    train, test = df.where(F.pmod(F.hash("x", "z", "c", "label", F.spark_partition_id()), F.lit(2)) == 0).checkpoint(), df
+    seen, scored = [], ML.score
+    monkeypatch.setattr(ML, "score", lambda *a, **k: seen.append(1) or scored(*a, **k))
+    on = ML.separability(train, test, NUM, CAT).first()
+    assert not seen                                               # rows are counted, not scored one by one
+    monkeypatch.setattr(TR, "LARGE", 10 ** 9)
+    off = ML.separability(train, test, NUM, CAT).first()
+    assert seen and tuple(on) == pytest.approx(tuple(off)) and on["depth"] > 3
