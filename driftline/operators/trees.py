@@ -99,15 +99,18 @@ class Grid:
         return out
 
 
-def fit_grid(rows: DataFrame, features: str, label: str, weight: Column, n_bins: int) -> Grid:
+def fit_grid(rows: DataFrame, features: str, label: str, weight: Column, n_bins: int) -> Grid | None:
     """Thresholds of every feature from evenly spaced quantiles of all its rows in each class, weighted as the class is:
-    where MLlib reads a random sample of as many rows."""
+    where MLlib reads a random sample of as many rows. None with NaN or infinite values, which MLlib refuses."""
     y = F.col(label).cast("double")
     x = rows.select(F.when(y.isin(0.0, 1.0), y).alias("_y"), weight.alias("_w"), vector_to_array(features).alias("_x"))
     n = len(x.first()["_x"])
     shares = f"cast(split('{','.join(repr((i + 0.5) / SAMPLE) for i in range(SAMPLE))}', ',') as array<double>)"    # a literal to the parser
-    got = x.select("_y", "_w", *[F.get("_x", F.lit(i)).alias(f"_x{i}") for i in range(n)]).groupBy("_y").agg(
-        F.sum("_w").alias("_w"), *[F.expr(f"percentile_approx(_x{i}, {shares}, {SAMPLE})").alias(f"_x{i}") for i in range(n)]).collect()
+    finite = F.forall("_x", lambda v: F.abs(v) < math.inf)
+    got = x.select("_y", "_w", finite.alias("_ok"), *[F.get("_x", F.lit(i)).alias(f"_x{i}") for i in range(n)]).groupBy("_y").agg(
+        F.sum("_w").alias("_w"), F.min("_ok").alias("_ok"), *[F.expr(f"percentile_approx(_x{i}, {shares}, {SAMPLE})").alias(f"_x{i}") for i in range(n)]).collect()
+    if not all(r["_ok"] for r in got):
+        return None
     cuts = []
     for i in range(n):
         values = [np.array(r[f"_x{i}"] or [], float) for r in got]
@@ -278,7 +281,7 @@ def _counted(rows: DataFrame, grid: Grid, features: str, label: str, weight: Col
     cells = grid.coded(rows.select(features, F.col(label).cast("double").alias("_y"), weight.alias("_w")), features).groupBy(
         "_cell", "_y", "_w").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     many = cells.count()
-    if many > MOST_CELLS or many * ROWS_A_CELL > n or cells.where("_y is null or _w is null or _y not in (0, 1) or not _w >= 0").head(1):
+    if many > MOST_CELLS or many * ROWS_A_CELL > n or cells.where("_y is null or _w is null or _y not in (0, 1) or isnan(_w) or not _w >= 0").head(1):
         return None
     return cells.orderBy("_cell", "_y", "_w").toArrow()
 
@@ -298,7 +301,7 @@ def fit_on_cells(estimator, rows: DataFrame) -> CellTrees | None:
     weighted = estimator.isDefined("weightCol") and estimator.getWeightCol()
     weight = (F.col(estimator.getWeightCol()) if weighted else F.lit(1.0)).cast("double")
     grid = fit_grid(rows, features, label, weight, estimator.getMaxBins())
-    if grid.n_cells >= 2 ** 62 or (cells := _counted(rows, grid, features, label, weight, n)) is None:
+    if grid is None or grid.n_cells >= 2 ** 62 or (cells := _counted(rows, grid, features, label, weight, n)) is None:
         return None
     sc = rows.sparkSession.sparkContext
     shared = sc.broadcast(tuple(cells.column(c).to_numpy() for c in ("_cell", "_y", "_w", "_n")))

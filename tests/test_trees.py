@@ -91,3 +91,9 @@ def test_separability_is_the_same_on_cells(df, on_cells, monkeypatch):
     monkeypatch.setattr(TR, "LARGE", 10 ** 9)
     off = ML.separability(train, test, NUM, CAT).first()
     assert seen and tuple(on) == pytest.approx(tuple(off)) and on["depth"] > 3
+
+
+def test_values_that_mllib_refuses_are_refused_on_large_tables(df, on_cells):
+    broken = df.withColumn("x", F.when(F.col("z") < 6, F.col("x")))
+    with pytest.raises(Exception, match="NaN or Infinity"):
+        ML.fit_pipeline(broken, NUM, CAT, DecisionTreeClassifier(labelCol="label", maxDepth=3))
